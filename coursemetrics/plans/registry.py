@@ -338,3 +338,65 @@ FROM i""")
 def _weights(b):
     w = features.interaction_weights(features.interaction_matrix(b.silver))
     return w.select("learner_email", "course_id", features.stable_round("weight", 6).alias("weight"))
+
+
+# ── dropout model (E2-E16, C4, A7, D23): rows-only checks ──────────────────
+
+from coursemetrics.operators import dropout  # noqa: E402
+
+_MODELS: dict = {}
+
+
+def fitted_dropout(b: Binding) -> "dropout.DropoutModel":
+    """The model for this data directory, fitted once per process (a fit is an action)."""
+    key = b.sf_dir.rstrip("/")
+    if key not in _MODELS:
+        _MODELS[key] = dropout.train_dropout(features.training_features(b.silver))
+    return _MODELS[key]
+
+
+@register("stratified_split")
+def _split(b):
+    s = dropout.stratified_split(features.training_features(b.silver))
+    return s.groupBy("completed", "is_train").agg(F.count("*").alias("pairs"))
+
+
+@register("dropout_model_info")
+def _model_info(b):
+    return dropout.model_info(fitted_dropout(b), b.spark)
+
+
+@register("feature_importances")
+def _importances(b):
+    return dropout.feature_importances(fitted_dropout(b), b.spark)
+
+
+@register("confusion_matrix")
+def _confusion(b):
+    return dropout.confusion_matrix(fitted_dropout(b), features.training_features(b.silver))
+
+
+@register("gold_dropout_risk")
+def _gold_risk(b):
+    return dropout.gold_dropout_risk(fitted_dropout(b), features.training_features(b.silver))
+
+
+@register("high_risk_pairs")
+def _high_risk(b):
+    return dropout.high_risk_pairs(dropout.gold_dropout_risk(fitted_dropout(b), features.training_features(b.silver)))
+
+
+@register("score_course")
+def _score_course(b):
+    return dropout.score_course(fitted_dropout(b), features.course_learner_features(b.silver))
+
+
+@register("at_risk_with_risk")
+def _at_risk_with_risk(b):
+    scored = dropout.score_course(fitted_dropout(b), features.course_learner_features(b.silver))
+    return dropout.at_risk_with_risk(reports.at_risk_learners(b.silver), scored)
+
+
+@register("feature_summary")
+def _feature_summary(b):
+    return dropout.feature_summary(features.dropout_features(features.training_features(b.silver)))
