@@ -400,3 +400,40 @@ def _at_risk_with_risk(b):
 @register("feature_summary")
 def _feature_summary(b):
     return dropout.feature_summary(features.dropout_features(features.training_features(b.silver)))
+
+
+# ── recommender (F2-F5, C5, C8): rows-only checks ──────────────────────────
+
+from coursemetrics.operators import recommend  # noqa: E402
+
+_RECS: dict = {}
+
+
+def fitted_recommender(b: Binding) -> "recommend.Recommender":
+    key = b.sf_dir.rstrip("/")
+    if key not in _RECS:
+        _RECS[key] = recommend.fit_recommender(features.interaction_matrix(b.silver))
+    return _RECS[key]
+
+
+@register("svd_course_factors")
+def _course_factors(b):
+    rec = fitted_recommender(b)
+    return rec.course_factors.select("course_id", F.size("v").alias("k"),
+                                     F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("norm_sq"))
+
+
+@register("recommender_info")
+def _rec_info(b):
+    return recommend.recommender_info(fitted_recommender(b), features.interaction_matrix(b.silver))
+
+
+@register("recommend_courses")
+def _recommend(b):
+    return recommend.recommend_courses(fitted_recommender(b), features.interaction_matrix(b.silver))
+
+
+@register("recommendations_with_title")
+def _recommend_titles(b):
+    recs = recommend.recommend_courses(fitted_recommender(b), features.interaction_matrix(b.silver))
+    return recommend.recommendations_with_title(recs, b.dim_courses)
