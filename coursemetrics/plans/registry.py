@@ -437,3 +437,130 @@ def _recommend(b):
 def _recommend_titles(b):
     recs = recommend.recommend_courses(fitted_recommender(b), features.interaction_matrix(b.silver))
     return recommend.recommendations_with_title(recs, b.dim_courses)
+
+
+# ── search (G1-G9) ─────────────────────────────────────────────────────────
+
+from coursemetrics.operators import search  # noqa: E402
+from coursemetrics.plans.oracle import (bm25_ctes, vector_ctes, CENTROIDS_SQL, EMBED_TEXT_SQL)  # noqa: E402
+
+SEARCH_TOP = 5
+VECTOR_TOP = 10
+
+
+def _catalogue_docs(b: Binding) -> DataFrame:
+    return search.search_docs(b.dim_courses, _gcc(b), search.course_vectors_from_embeddings(b.table("embeddings")))
+
+
+@register("course_embed_text", f"SELECT course_id, {EMBED_TEXT_SQL} AS embed_text FROM dim_courses")
+def _embed_text(b):
+    return search.course_embed_text(b.dim_courses)
+
+
+_SEARCH_DOCS_SQL = """
+SELECT c.course_id, c.title, coalesce(c.description, '') AS description, c.department, c.skill_level, c.format,
+       coalesce(CAST(c.duration_hours AS DOUBLE), 0) AS duration_hours,
+       array_to_string(coalesce(c.skills_taught, []), ', ') AS skills_taught,
+       CAST(coalesce(c.num_modules, 0) AS INTEGER) AS num_modules,
+       g.completion_rate_pct AS completion_rate, g.avg_score,
+       CAST(len(e.embedding) AS INTEGER) AS vector_dim
+FROM dim_courses c LEFT JOIN gold_course_completion g ON c.course_id = g.course_id
+LEFT JOIN embeddings e ON c.course_id = printf('COURSE-%04d', e.vec_id + 1)"""
+
+
+@register("search_docs", _SEARCH_DOCS_SQL)
+def _search_docs(b):
+    d = _catalogue_docs(b)
+    return d.withColumn("skills_taught", F.array_join("skills_taught", ", ")) \
+            .withColumn("vector_dim", F.size("content_vector")).withColumn(
+                "vector_dim", F.when(F.col("content_vector").isNotNull(), F.col("vector_dim"))).drop("content_vector")
+
+
+@register("facet_counts", """
+WITH d AS (SELECT * FROM dim_courses)
+SELECT 'department' AS facet, department AS value, COUNT(*) AS count FROM d GROUP BY department
+UNION ALL SELECT 'skill_level', skill_level, COUNT(*) FROM d GROUP BY skill_level
+UNION ALL SELECT 'format', format, COUNT(*) FROM d GROUP BY format
+UNION ALL SELECT 'skills_taught', s, COUNT(*) FROM (SELECT unnest(skills_taught) AS s FROM d) x GROUP BY s""")
+def _facets(b):
+    return search.facet_counts(_catalogue_docs(b))
+
+
+@register("document_facets", """
+SELECT 'lang' AS facet, lang AS value, COUNT(*) AS count FROM documents GROUP BY lang
+UNION ALL SELECT 'source', source, COUNT(*) FROM documents GROUP BY source""", bind=False)
+def _doc_facets(b):
+    return search.facet_counts(b.table("documents"), fields=("lang", "source"), array_fields=())
+
+
+_EMB_DOCS = "SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
+
+
+@register("vector_top_k", "WITH " + vector_ctes("vk", _EMB_DOCS, CENTROIDS_SQL, VECTOR_TOP).strip()
+          + "\nSELECT query_id, doc_id, similarity, rank FROM vk_top", bind=False)
+def _vector_top_k(b):
+    emb = b.table("embeddings")
+    return search.vector_top_k(emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")),
+                               search.label_centroids(emb), VECTOR_TOP)
+
+
+@register("filtered_vector_top_k", "WITH " + vector_ctes(
+    "fv", _EMB_DOCS, "SELECT query_id, qv, query_id AS label FROM (" + CENTROIDS_SQL + ") c", VECTOR_TOP,
+    "d.label = q.label").strip() + "\nSELECT query_id, doc_id, similarity, rank FROM fv_top", bind=False)
+def _filtered_vector_top_k(b):
+    emb = b.table("embeddings")
+    docs = emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+    reqs = search.label_centroids(emb).withColumn("label", F.col("query_id"))
+    return search.vector_top_k(docs, reqs, VECTOR_TOP, filters=[("label", "label", "eq")])
+
+
+_BENCH_REQ = "SELECT item_id AS query_id, text AS query_text FROM benchmark"
+
+
+@register("keyword_top_k", "WITH " + bm25_ctes("kw", "SELECT doc_id, text FROM documents", _BENCH_REQ,
+                                               VECTOR_TOP).strip()
+          + "\nSELECT query_id, doc_id, score, rank FROM kw_top", bind=False)
+def _keyword_top_k(b):
+    reqs = b.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return search.keyword_top_k(b.table("documents"), reqs, VECTOR_TOP)
+
+
+_HYB_DOCS = ("SELECT d.doc_id, d.text, CAST(e.embedding AS DOUBLE[]) AS v FROM documents d "
+             "LEFT JOIN embeddings e ON d.doc_id = e.vec_id")
+_HYB_REQ = ("SELECT b.item_id AS query_id, b.text AS query_text, CAST(e.embedding AS DOUBLE[]) AS qv "
+            "FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id")
+
+
+@register("hybrid_search", "WITH " + vector_ctes("hv", _HYB_DOCS, _HYB_REQ, 2 * SEARCH_TOP).strip() + ","
+          + bm25_ctes("hk", "SELECT doc_id, text FROM documents", "SELECT query_id, query_text FROM (" + _HYB_REQ
+                      + ") r", 2 * SEARCH_TOP).rstrip() + f""",
+fused AS (SELECT query_id, doc_id, round(SUM(1.0 / (60 + rank)), 8) AS rrf
+          FROM (SELECT query_id, doc_id, rank FROM hv_top UNION ALL SELECT query_id, doc_id, rank FROM hk_top) u
+          GROUP BY query_id, doc_id)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM fused) x
+WHERE rank <= {SEARCH_TOP}""", bind=False)
+def _hybrid(b):
+    emb = b.table("embeddings")
+    docs = (b.table("documents").select("doc_id", "text")
+            .join(emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id", "left"))
+    reqs = (b.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+            .join(emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")),
+                  "query_id", "left"))
+    return search.hybrid_search(docs, reqs, SEARCH_TOP)
+
+
+_GAP_REQ = """
+SELECT department AS query_id, department,
+       'Courses teaching: ' || string_agg(skill_name, ', ' ORDER BY rank) AS query_text
+FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY skill_gap DESC, skill_name) AS rank
+      FROM gold_department_skills) g WHERE rank <= 3 GROUP BY department"""
+_COURSE_TEXT_DOCS = f"SELECT course_id AS doc_id, department, {EMBED_TEXT_SQL} AS text FROM dim_courses"
+
+
+@register("search_by_skills", "WITH " + bm25_ctes("sk", _COURSE_TEXT_DOCS, _GAP_REQ, SEARCH_TOP,
+                                                  "post.department = qt.department").strip()
+          + "\nSELECT query_id, doc_id AS course_id, score, rank FROM sk_top")
+def _search_by_skills(b):
+    docs = search.course_embed_text(b.dim_courses).join(b.dim_courses.select("course_id", "department"), "course_id")
+    hits = search.search_by_skills(docs, search.gap_skill_requests(_gds(b)), SEARCH_TOP)
+    return hits.withColumnRenamed("doc_id", "course_id")
