@@ -564,3 +564,166 @@ def _search_by_skills(b):
     docs = search.course_embed_text(b.dim_courses).join(b.dim_courses.select("course_id", "department"), "course_id")
     hits = search.search_by_skills(docs, search.gap_skill_requests(_gds(b)), SEARCH_TOP)
     return hits.withColumnRenamed("doc_id", "course_id")
+
+
+# ── context and prompt tables (H1-H6) and plan items (P-2, P-6, P-9, P-10) ─
+
+from coursemetrics.operators import context  # noqa: E402
+
+
+@register("learner_context", f"""
+WITH sk AS (
+  SELECT email, string_agg(printf('  %-30s %.1f%s', skill_name, {sr('proficiency_level', 1)},
+                                  CASE WHEN proficiency_level < 3.5 THEN ' <-- GAP' ELSE '' END),
+                           chr(10) ORDER BY proficiency_level, skill_pos) AS lines
+  FROM learner_skills GROUP BY email),
+gp AS (
+  SELECT department, chr(10) || 'TOP DEPARTMENT SKILL GAPS:' || chr(10)
+         || string_agg(printf('  %-30s avg=%.2f  gap=%.2f', skill_name, {sr('avg_proficiency', 2)},
+                              {sr('skill_gap', 2)}), chr(10) ORDER BY rank) AS gaps_block
+  FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY skill_gap DESC, skill_name) AS rank
+        FROM gold_department_skills WHERE coalesce(skill_gap, 0) > 0) t
+  WHERE rank <= 5 GROUP BY department),
+done AS (
+  SELECT learner_email AS email, list(course_id ORDER BY course_id) AS cs
+  FROM (SELECT DISTINCT course_id, learner_email FROM silver WHERE verb = 'completed' AND course_completed) d
+  GROUP BY learner_email)
+SELECT l.learner_id, l.email,
+       'LEARNER PROFILE:' || chr(10) || '  Name:       ' || coalesce(l.name, 'Unknown') || chr(10)
+       || '  Department: ' || coalesce(l.department, 'Unknown') || chr(10)
+       || '  Job title:  ' || coalesce(l.job_title, 'Unknown') || chr(10)
+       || '  Hire date:  ' || coalesce(l.hire_date, 'Unknown')
+       || coalesce(chr(10) || 'CURRENT SKILL PROFICIENCY (out of 5.0, target is 3.5):' || chr(10) || sk.lines, '')
+       || coalesce(gp.gaps_block, '')
+       || CASE WHEN len(done.cs) > 0 THEN chr(10) || 'ALREADY COMPLETED (' || CAST(len(done.cs) AS VARCHAR)
+               || ' courses):' || chr(10)
+               || array_to_string(list_transform(done.cs[1:10], lambda c: '  ' || c), chr(10))
+               || CASE WHEN len(done.cs) > 10 THEN chr(10) || '  ... and ' || CAST(len(done.cs) - 10 AS VARCHAR)
+                       || ' more' ELSE '' END
+               ELSE '' END AS context
+FROM dim_learners l LEFT JOIN sk ON sk.email = l.email LEFT JOIN gp ON gp.department = l.department
+LEFT JOIN done ON done.email = l.email""")
+def _learner_context(b):
+    return context.learner_context(b.dim_learners, _gds(b), reports.completions(b.silver))
+
+
+def _skill_hits(b: Binding) -> tuple[DataFrame, DataFrame]:
+    docs = search.course_embed_text(b.dim_courses).join(b.dim_courses.select("course_id", "department"), "course_id")
+    reqs = search.gap_skill_requests(_gds(b))
+    hits = search.search_by_skills(docs, reqs, SEARCH_TOP).withColumnRenamed("doc_id", "course_id")
+    cat = _catalogue_docs(b).drop("content_vector")
+    return hits.join(cat, "course_id"), reqs
+
+
+_NA = "CASE WHEN {c} IS NULL OR {c} = 0 THEN 'N/A' ELSE CAST({c} AS VARCHAR) END"
+
+
+@register("search_results_block", "WITH " + bm25_ctes("sk", _COURSE_TEXT_DOCS, _GAP_REQ, SEARCH_TOP,
+                                                      "post.department = qt.department").strip() + f""",
+cat AS ({_SEARCH_DOCS_SQL}),
+h AS (SELECT t.query_id, t.rank, c.* FROM sk_top t JOIN cat c ON c.course_id = t.doc_id),
+blk AS (
+  SELECT query_id, 'AVAILABLE COURSES FROM CATALOG:' || chr(10) || string_agg(
+      chr(10) || printf('[%d] %s (ID: %s)', rank, title, course_id) || chr(10)
+      || '    Department: ' || coalesce(department, '?') || '  |  Level: ' || coalesce(skill_level, '?') || chr(10)
+      || '    Format: ' || coalesce(format, '?') || '  |  Duration: ' || CAST(duration_hours AS VARCHAR) || 'h'
+      || chr(10) || '    Skills taught: ' || skills_taught || chr(10)
+      || '    Completion rate: ' || {_NA.format(c='completion_rate')} || '%  |  Avg score: '
+      || {_NA.format(c='avg_score')} || chr(10)
+      || '    Description: ' || substring(coalesce(description, ''), 1, 200), chr(10) ORDER BY rank) AS block
+  FROM h GROUP BY query_id)
+SELECT r.query_id, coalesce(blk.block, 'No courses found matching this query.') AS search_block
+FROM (SELECT DISTINCT query_id FROM ({_GAP_REQ}) q) r LEFT JOIN blk ON blk.query_id = r.query_id""")
+def _results_block(b):
+    hits, reqs = _skill_hits(b)
+    return context.search_results_block(hits, reqs)
+
+
+@register("skill_profile", f"""
+SELECT learner_id, rank AS position, skill_name, proficiency_level,
+       CASE WHEN proficiency_level < 2.5 THEN 'red' WHEN proficiency_level < 3.5 THEN 'yellow' ELSE 'green' END
+         AS band,
+       printf('%s — %.1f/5', skill_name, {sr('proficiency_level', 1)}) AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY learner_id ORDER BY proficiency_level, skill_pos) AS rank
+      FROM learner_skills) s WHERE rank <= 6""")
+def _skill_profile(b):
+    return context.skill_profile(b.dim_learners)
+
+
+@register("conversation_history", """
+SELECT conv_id, turn AS position, role, text AS content FROM conversations WHERE role IN ('user', 'assistant')""",
+          bind=False)
+def _history(b):
+    return context.conversation_history(b.table("conversations"))
+
+
+@register("rag_prompts")
+def _rag_prompts(b):
+    conv = b.table("conversations")
+    reqs = context.last_user_messages(conv)
+    docs = (search.course_embed_text(b.dim_courses))
+    hits = (search.keyword_top_k(docs, reqs.select(F.col("conv_id").alias("query_id"),
+                                                   F.col("message").alias("query_text")),
+                                 SEARCH_TOP, doc_id="course_id", text="embed_text")
+            .withColumnRenamed("doc_id", "course_id")
+            .join(_catalogue_docs(b).drop("content_vector"), "course_id"))
+    blocks = context.search_results_block(hits, reqs.select(F.col("conv_id").alias("query_id"))) \
+        .withColumnRenamed("query_id", "conv_id")
+    ctx = (context.learner_context(b.dim_learners, _gds(b), reports.completions(b.silver))
+           .select(F.regexp_extract("email", r"^user(\d+)@", 1).cast("bigint").alias("conv_id"), "context"))
+    return context.rag_prompts(reqs, context.conversation_history(conv), blocks, ctx)
+
+
+@register("dept_skills_active_learners", f"""
+WITH active AS (SELECT DISTINCT learner_email AS email, department AS event_department FROM silver)
+SELECT a.event_department AS department, ls.skill_name,
+       {sr('AVG(ls.proficiency_level)', 2)} AS avg_proficiency,
+       {sr('3.5 - AVG(ls.proficiency_level)', 2)} AS skill_gap, COUNT(*) AS learner_count
+FROM learner_skills ls JOIN active a ON ls.email = a.email GROUP BY a.event_department, ls.skill_name""")
+def _dept_skills_active(b):
+    return context.dept_skills_active_learners(gold.learner_skill_rows(b.dim_learners), b.silver)
+
+
+def _part(u: str) -> str:
+    return f"coalesce(TRY_CAST(regexp_extract(duration_iso, '(\\d+){u}', 1) AS BIGINT), 0)"
+
+
+@register("avg_duration_hours", f"""
+WITH t AS (SELECT course_id, CASE WHEN duration_iso IS NOT NULL
+                                  THEN {_part('H')} * 3600 + {_part('M')} * 60 + {_part('S')} END AS secs
+           FROM silver)
+SELECT course_id, {sr('AVG(secs) / 3600.0', 4)} AS avg_duration_hours, COUNT(secs) AS timed_events
+FROM t GROUP BY course_id""")
+def _avg_duration(b):
+    return context.avg_duration_hours(b.silver)
+
+
+@register("course_review_input", """
+WITH f AS (SELECT course_id, list({'module_id': module_id, 'learners_reached': learners_reached,
+                                   'learners_completed': learners_completed,
+                                   'module_completion_pct': module_completion_pct,
+                                   'avg_quiz_score': avg_quiz_score} ORDER BY module_id) AS modules
+           FROM gold_module_dropoff GROUP BY course_id)
+SELECT g.course_id, CAST(to_json({'course_id': g.course_id, 'title': g.title, 'department': g.department,
+                                  'course_format': g.course_format, 'enrolled': g.enrolled,
+                                  'completed': g.completed, 'completion_rate_pct': g.completion_rate_pct,
+                                  'avg_score': g.avg_score, 'modules': f.modules}) AS VARCHAR) AS review_input
+FROM gold_course_completion g LEFT JOIN f ON f.course_id = g.course_id""")
+def _course_review(b):
+    return context.course_review_input(_gcc(b), _gmd(b))
+
+
+@register("gap_review_input", """
+WITH g AS (SELECT department, list({'skill_name': skill_name, 'avg_proficiency': avg_proficiency,
+                                   'skill_gap': skill_gap} ORDER BY rank) AS gaps
+           FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY skill_gap DESC, skill_name) AS rank
+                 FROM gold_department_skills) x WHERE rank <= 10 GROUP BY department),
+c AS (SELECT department, list({'course_id': course_id, 'title': title} ORDER BY rank) AS courses
+      FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY title, course_id) AS rank
+            FROM dim_courses) y WHERE rank <= 15 GROUP BY department)
+SELECT coalesce(g.department, c.department) AS department,
+       CAST(to_json({'department': coalesce(g.department, c.department), 'gaps': g.gaps, 'courses': c.courses})
+            AS VARCHAR) AS review_input
+FROM g FULL OUTER JOIN c ON g.department = c.department""")
+def _gap_review(b):
+    return context.gap_review_input(_gds(b), b.dim_courses)
