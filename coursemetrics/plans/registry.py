@@ -745,3 +745,31 @@ def _silver_from_bronze(b):
     bronze = text.select(F.from_json("json", EVENT_SCHEMA).alias("s")).select("s.*")
     flat = silver_ops.silver_events(bronze)
     return flat.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+# ── streaming (S1-S3): rows-only checks ────────────────────────────────────
+
+from coursemetrics import streaming  # noqa: E402
+
+
+def _event_stream(b: Binding) -> DataFrame:
+    return streaming.events.read_event_stream(b.spark, f"{b.sf_dir.rstrip('/')}/events.parquet")
+
+
+@register("stream_silver")
+def _stream_silver(b):
+    out = streaming.run_to_table(streaming.stream_silver(_event_stream(b)), "silver")
+    return b.spark.read.parquet(out)
+
+
+@register("stream_dedup")
+def _stream_dedup(b):
+    out = streaming.run_to_table(streaming.stream_dedup(streaming.stream_silver(_event_stream(b))), "dedup")
+    return b.spark.read.parquet(out)
+
+
+@register("stream_engagement")
+def _stream_engagement(b):
+    out = streaming.run_to_table(streaming.stream_engagement(streaming.stream_silver(_event_stream(b))),
+                                 "engagement")
+    return b.spark.read.parquet(out)
