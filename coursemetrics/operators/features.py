@@ -69,11 +69,8 @@ def dropout_features(features: DataFrame, median=None) -> DataFrame:
     A row that still has no score gets 0, as do other missing features.
     """
     if median is None:
-        # single-row side: a proven size bound, joined on a constant key
-        f = (features.withColumn("_one", F.lit(1))
-             .join(F.broadcast(median_avg_score(features).withColumn("_one", F.lit(1))), "_one")
-             .drop("_one"))
-        fill = F.col("median_avg_score")
+        f = features
+        fill = median_avg_score(features).select("median_avg_score").scalar()   # scalar subquery
     else:
         f = features
         fill = F.lit(float(median))
@@ -82,8 +79,6 @@ def dropout_features(features: DataFrame, median=None) -> DataFrame:
            .withColumn("events_per_day", F.col("total_events") / F.greatest(F.col("active_days"), F.lit(1)))
            .withColumn("completion_velocity", F.col("modules_touched") / F.greatest(F.col("span_days"), F.lit(1)))
            .withColumn("score_x_events", F.col("avg_score") * F.col("total_events")))
-    if median is None:
-        out = out.drop("median_avg_score")
     return out
 
 

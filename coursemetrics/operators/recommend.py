@@ -82,11 +82,11 @@ def recommender_info(rec: Recommender, interactions: DataFrame) -> DataFrame:
     fac = (rec.learner_factors.select(F.posexplode("u"))
            .groupBy("pos").agg(F.sum("col").alias("s1"), F.sum(F.col("col") ** 2).alias("s2"))
            .agg(F.sum(F.col("s2") / n_learners - (F.col("s1") / n_learners) ** 2).alias("factor_var")))
-    both = tot.withColumn("_one", F.lit(1)).join(F.broadcast(fac.withColumn("_one", F.lit(1))), "_one")
-    return both.select(F.lit(n_learners).cast("bigint").alias("n_learners"),
+    return tot.select(F.lit(n_learners).cast("bigint").alias("n_learners"),
                        F.lit(rec.n_courses).cast("bigint").alias("n_courses"),
                        F.lit(rec.k).cast("bigint").alias("n_components"),
-                       F.round(F.col("factor_var") / F.col("total_var"), 4).alias("explained_variance_ratio"))
+                       F.round(fac.select("factor_var").scalar() / F.col("total_var"), 4)
+                       .alias("explained_variance_ratio"))
 
 
 def _score_block(v: np.ndarray, ids: np.ndarray, top_n: int):

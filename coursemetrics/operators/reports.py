@@ -28,12 +28,9 @@ def as_of_literal(value, like: DataFrame, ts_col: str = "ts") -> Column:
     return F.lit(str(value)).cast(dtype)
 
 
-def _one_row(*frames: DataFrame) -> DataFrame:
-    """Join single-row aggregates side by side (equi-join on a constant key)."""
-    out = frames[0].withColumn("_one", F.lit(1))
-    for f in frames[1:]:
-        out = out.join(F.broadcast(f.withColumn("_one", F.lit(1))), "_one")
-    return out.drop("_one")
+def scalar(df: DataFrame, col: str) -> Column:
+    """A one-value aggregate as a scalar subquery (evaluated once, no join)."""
+    return df.select(col).scalar()
 
 
 # ── notebook checks ────────────────────────────────────────────────────────
@@ -94,8 +91,9 @@ def overview_kpis(silver: DataFrame, gold_course_completion: DataFrame, dim_cour
     rate = (gold_course_completion.filter(F.col("enrolled") >= min_enrolled)
             .agg(stable_round(F.avg("completion_rate_pct"), 1).alias("avg_completion_rate")))
     courses = dim_courses.agg(F.count("*").alias("total_courses"))
-    return _one_row(learners, rate, courses).select("total_learners", "active_this_month",
-                                                    "avg_completion_rate", "total_courses")
+    return learners.select("total_learners", "active_this_month",
+                           scalar(rate, "avg_completion_rate").alias("avg_completion_rate"),
+                           scalar(courses, "total_courses").alias("total_courses"))
 
 
 def completion_funnel(gold_module_dropoff: DataFrame, course_id=None) -> DataFrame:
@@ -165,9 +163,11 @@ def at_risk_learners(silver: DataFrame, course_id=None, as_of=AS_OF_AT_RISK, min
 def effectiveness_quadrants(ranking: DataFrame) -> DataFrame:
     """Score as percent plus median quadrant lines (medians over the ranked courses)."""
     r = ranking.withColumn("avg_score_pct", stable_round(F.coalesce(F.col("avg_score"), F.lit(0.0)) * 100, 1))
+    # medians over the ranked courses (one row per course: bounded by the catalogue)
     medians = r.agg(F.median("completion_rate_pct").alias("median_completion_rate"),
                     F.median("avg_score_pct").alias("median_score_pct"))
-    out = _one_row(r, medians)
+    out = r.select("*", scalar(medians, "median_completion_rate").alias("median_completion_rate"),
+                   scalar(medians, "median_score_pct").alias("median_score_pct"))
     hi_rate = F.col("completion_rate_pct") >= F.col("median_completion_rate")
     hi_score = F.col("avg_score_pct") >= F.col("median_score_pct")
     quadrant = (F.when(hi_rate & hi_score, "high completion, high score")

@@ -10,9 +10,10 @@ Scale notes
   ``mapInPandas`` (numpy on Arrow batches) and emits only each partition's
   top k per request; the final top k is a window with a partial group limit
   before its shuffle. No request x document pairs are shuffled.
-* Keyword search repartitions documents by id once; term frequencies, the
-  join with the (broadcast) request terms and the per (request, document)
-  sums then all run on that partitioning without another exchange, and only
+* Keyword search tokenises documents in the scan, keeps only occurrences of
+  request terms (broadcast semi-join), and shuffles those once by document;
+  term and document frequencies, the join with the request terms and the
+  per (request, document) sums then run on that partitioning, and only
   per-partition top-k rows reach the final shuffle.
 """
 
@@ -205,24 +206,26 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
     """
     fcols = [d for d, _, _ in filters or []]
     rcols = [r for _, r, _ in filters or []]
-    d = (docs.select(F.col(doc_id).alias("doc_id"), *fcols, tokens(text).alias("toks"))
-         .repartition("doc_id"))
-    stats = d.agg(F.count("*").alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-    post = (d.select("doc_id", *fcols, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-            .groupBy("doc_id", *fcols, "dl", "term").agg(F.count("*").alias("tf")))
     qterms = requests.select(F.col(query_id).alias("query_id"), *[F.col(r).alias("r_" + r) for r in rcols],
                              F.explode(F.array_distinct(tokens(query_text))).alias("term"))
     small = fits(qterms, MAX_BROADCAST_TERMS)
-    terms = qterms.select("term").distinct()
-    bterms = F.broadcast(terms) if small else terms
-    dfreq = post.join(bterms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    q = F.broadcast(qterms) if small else qterms
-    joined = post.join(q, "term")
+    # Corpus statistics over every document (scalar subqueries; Spark merges the two into one scan).
+    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(text))).alias("a"))
+    n_docs, avgdl = stats.select("n").scalar(), stats.select("a").scalar()
+    occ = docs.select(F.col(doc_id).alias("doc_id"), *fcols, tokens(text).alias("toks")) \
+        .select("doc_id", *fcols, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    if small:
+        # keep only query-term occurrences before anything is shuffled
+        occ = occ.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
+    # One shuffle by document; term frequencies, document frequencies, the join with the
+    # request terms and the per (request, document) sums all run on this partitioning.
+    post = occ.repartition("doc_id").groupBy("doc_id", *fcols, "dl", "term").agg(F.count("*").alias("tf"))
+    dfreq = post.groupBy("term").agg(F.count("*").alias("df"))
+    joined = post.join(F.broadcast(qterms) if small else qterms, "term")
     if filters:
         joined = joined.filter(_filter_expr(filters, "", "r_"))
     joined = (joined.join(F.broadcast(dfreq) if small else dfreq, "term")
-              .withColumn("_one", F.lit(1))
-              .join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one"))       # one row
+              .withColumn("n_docs", n_docs).withColumn("avgdl", avgdl))
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     contrib = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = (joined.groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score"))
