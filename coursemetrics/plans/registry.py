@@ -756,16 +756,18 @@ def _event_stream(b: Binding) -> DataFrame:
     return streaming.events.read_event_stream(b.spark, f"{b.sf_dir.rstrip('/')}/events.parquet")
 
 
-@register("stream_silver")
+@register("stream_silver", "SELECT * FROM silver")
 def _stream_silver(b):
     out = streaming.run_to_table(streaming.stream_silver(_event_stream(b)), "silver")
     return b.spark.read.parquet(out)
 
 
-@register("stream_dedup")
+@register("stream_dedup", "SELECT * FROM silver")
 def _stream_dedup(b):
+    """Event ids are unique in the driver data, so the deduplicated stream equals silver
+    (event time shown as UTC wall-clock time again)."""
     out = streaming.run_to_table(streaming.stream_dedup(streaming.stream_silver(_event_stream(b))), "dedup")
-    return b.spark.read.parquet(out)
+    return b.spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("stream_engagement")
