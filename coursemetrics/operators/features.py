@@ -51,9 +51,10 @@ def training_features(silver: DataFrame, min_events: int = 5) -> DataFrame:
 def course_learner_features(silver: DataFrame, course_id=None, min_events: int = 3) -> DataFrame:
     """Features of learners who have not completed the course (no label)."""
     s = _eq_or_all(silver, "course_id", course_id).filter(F.col("learner_email").isNotNull())
-    open_rows = s.join(completions(s), ["course_id", "learner_email"], "left_anti")
-    return (open_rows.groupBy("course_id", "learner_email").agg(*_activity_aggs())
-            .filter(F.col("total_events") >= min_events))
+    per_pair = (s.groupBy("course_id", "learner_email").agg(*_activity_aggs())
+                .filter(F.col("total_events") >= min_events))
+    # aggregate first, then the anti join sees one row per (course, learner)
+    return per_pair.join(completions(s), ["course_id", "learner_email"], "left_anti")
 
 
 def median_avg_score(features: DataFrame) -> DataFrame:

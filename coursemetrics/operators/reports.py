@@ -145,14 +145,14 @@ def completions(silver: DataFrame) -> DataFrame:
 def at_risk_learners(silver: DataFrame, course_id=None, as_of=AS_OF_AT_RISK, min_days: int = 7) -> DataFrame:
     s = _eq_or_all(silver, "course_id", course_id).filter(F.col("learner_email").isNotNull())
     now = as_of_literal(as_of, silver)
-    # Anti join on (course, learner): the keys are non-null, so this equals NOT IN.
-    # Both sides are partitioned on the join keys and the aggregate below reuses
-    # that partitioning (its keys contain them), so no further shuffle is added.
-    open_rows = s.join(completions(s), ["course_id", "learner_email"], "left_anti")
-    return (open_rows.groupBy("course_id", "learner_email", "learner_name", "department")
-            .agg(F.size(F.collect_set("module_id")).cast("bigint").alias("modules_started"),
-                 F.max("ts").alias("last_activity"),
-                 stable_round(F.avg("score"), 3).alias("avg_score"))
+    # Aggregate first (partial aggregation absorbs a hot learner or course), then drop the
+    # (course, learner) pairs with a completion: the anti join sees one row per pair.
+    # The keys are non-null, so the anti join equals NOT IN.
+    per_learner = (s.groupBy("course_id", "learner_email", "learner_name", "department")
+                   .agg(F.size(F.collect_set("module_id")).cast("bigint").alias("modules_started"),
+                        F.max("ts").alias("last_activity"),
+                        stable_round(F.avg("score"), 3).alias("avg_score")))
+    return (per_learner.join(completions(s), ["course_id", "learner_email"], "left_anti")
             .withColumn("days_inactive", F.datediff(now, F.col("last_activity")).cast("bigint"))
             .filter(F.col("days_inactive") > min_days)
             .select("course_id", "learner_email", "learner_name", "department", "modules_started",

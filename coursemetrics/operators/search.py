@@ -10,11 +10,12 @@ Scale notes
   ``mapInPandas`` (numpy on Arrow batches) and emits only each partition's
   top k per request; the final top k is a window with a partial group limit
   before its shuffle. No request x document pairs are shuffled.
-* Keyword search tokenises documents in the scan, keeps only occurrences of
-  request terms (broadcast semi-join), and shuffles those once by document;
-  term and document frequencies, the join with the request terms and the
-  per (request, document) sums then run on that partitioning, and only
-  per-partition top-k rows reach the final shuffle.
+* Keyword search tokenises documents in the scan and keeps only occurrences
+  of request terms (broadcast semi-join); term frequencies are aggregated on
+  (document, term) with map-side combining, and the postings are placed by
+  document (a huge document moves at most one row per request term). The
+  join with the request terms and the per (request, document) sums run on
+  that placement; only per-partition top-k rows reach the final shuffle.
 """
 
 from __future__ import annotations
@@ -217,9 +218,12 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
     if small:
         # keep only query-term occurrences before anything is shuffled
         occ = occ.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
-    # One shuffle by document; term frequencies, document frequencies, the join with the
-    # request terms and the per (request, document) sums all run on this partitioning.
-    post = occ.repartition("doc_id").groupBy("doc_id", *fcols, "dl", "term").agg(F.count("*").alias("tf"))
+    # Term frequencies: partial aggregation on (document, term) first, so a very large document
+    # is spread over tasks by term; the postings (at most one row per document and request
+    # term) are then placed by document. The join with the request terms and the per
+    # (request, document) sums run on that placement without another exchange.
+    post = (occ.groupBy("doc_id", *fcols, "dl", "term").agg(F.count("*").alias("tf"))
+            .repartition("doc_id"))
     dfreq = post.groupBy("term").agg(F.count("*").alias("df"))
     joined = post.join(F.broadcast(qterms) if small else qterms, "term")
     if filters:

@@ -571,23 +571,24 @@ def _search_by_skills(b):
 from coursemetrics.operators import context  # noqa: E402
 
 
-@register("learner_context", f"""
-WITH sk AS (
+_LEARNER_CONTEXT_CTES = f"""
+lc_sk AS (
   SELECT email, string_agg(printf('  %-30s %.1f%s', skill_name, {sr('proficiency_level', 1)},
                                   CASE WHEN proficiency_level < 3.5 THEN ' <-- GAP' ELSE '' END),
                            chr(10) ORDER BY proficiency_level, skill_pos) AS lines
   FROM learner_skills GROUP BY email),
-gp AS (
+lc_gp AS (
   SELECT department, chr(10) || 'TOP DEPARTMENT SKILL GAPS:' || chr(10)
          || string_agg(printf('  %-30s avg=%.2f  gap=%.2f', skill_name, {sr('avg_proficiency', 2)},
                               {sr('skill_gap', 2)}), chr(10) ORDER BY rank) AS gaps_block
   FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY skill_gap DESC, skill_name) AS rank
         FROM gold_department_skills WHERE coalesce(skill_gap, 0) > 0) t
   WHERE rank <= 5 GROUP BY department),
-done AS (
+lc_done AS (
   SELECT learner_email AS email, list(course_id ORDER BY course_id) AS cs
   FROM (SELECT DISTINCT course_id, learner_email FROM silver WHERE verb = 'completed' AND course_completed) d
-  GROUP BY learner_email)
+  GROUP BY learner_email),
+lc AS (
 SELECT l.learner_id, l.email,
        'LEARNER PROFILE:' || chr(10) || '  Name:       ' || coalesce(l.name, 'Unknown') || chr(10)
        || '  Department: ' || coalesce(l.department, 'Unknown') || chr(10)
@@ -601,8 +602,11 @@ SELECT l.learner_id, l.email,
                || CASE WHEN len(done.cs) > 10 THEN chr(10) || '  ... and ' || CAST(len(done.cs) - 10 AS VARCHAR)
                        || ' more' ELSE '' END
                ELSE '' END AS context
-FROM dim_learners l LEFT JOIN sk ON sk.email = l.email LEFT JOIN gp ON gp.department = l.department
-LEFT JOIN done ON done.email = l.email""")
+FROM dim_learners l LEFT JOIN lc_sk sk ON sk.email = l.email LEFT JOIN lc_gp gp ON gp.department = l.department
+LEFT JOIN lc_done done ON done.email = l.email)"""
+
+
+@register("learner_context", "WITH " + _LEARNER_CONTEXT_CTES.strip() + "\nSELECT learner_id, email, context FROM lc")
 def _learner_context(b):
     return context.learner_context(b.dim_learners, _gds(b), reports.completions(b.silver))
 
@@ -618,11 +622,20 @@ def _skill_hits(b: Binding) -> tuple[DataFrame, DataFrame]:
 _NA = "CASE WHEN {c} IS NULL OR {c} = 0 THEN 'N/A' ELSE CAST({c} AS VARCHAR) END"
 
 
-@register("search_results_block", "WITH " + bm25_ctes("sk", _COURSE_TEXT_DOCS, _GAP_REQ, SEARCH_TOP,
-                                                      "post.department = qt.department").strip() + f""",
-cat AS ({_SEARCH_DOCS_SQL}),
-h AS (SELECT t.query_id, t.rank, c.* FROM sk_top t JOIN cat c ON c.course_id = t.doc_id),
-blk AS (
+def context_system_sql() -> str:
+    """SQL twin of the system message of ``context.rag_prompts``."""
+    prompt = context.SYSTEM_PROMPT.replace("'", "''")
+    return (f"'{prompt}' || coalesce(chr(10) || chr(10) || lcc.context, '') || chr(10) || chr(10) "
+            "|| '<search_results>' || chr(10) || coalesce(b.search_block, 'No courses found matching this query.') "
+            "|| chr(10) || '</search_results>'")
+
+
+def _block_ctes(p: str, top_cte: str, req_sql: str) -> str:
+    """CTE ``{p}_blocks`` (query_id, search_block) from hits ``top_cte`` (query_id, doc_id=course_id, rank)."""
+    return f"""
+{p}_cat AS ({_SEARCH_DOCS_SQL}),
+{p}_h AS (SELECT t.query_id, t.rank, c.* FROM {top_cte} t JOIN {p}_cat c ON c.course_id = t.doc_id),
+{p}_blk AS (
   SELECT query_id, 'AVAILABLE COURSES FROM CATALOG:' || chr(10) || string_agg(
       chr(10) || printf('[%d] %s (ID: %s)', rank, title, course_id) || chr(10)
       || '    Department: ' || coalesce(department, '?') || '  |  Level: ' || coalesce(skill_level, '?') || chr(10)
@@ -631,9 +644,15 @@ blk AS (
       || '    Completion rate: ' || {_NA.format(c='completion_rate')} || '%  |  Avg score: '
       || {_NA.format(c='avg_score')} || chr(10)
       || '    Description: ' || substring(coalesce(description, ''), 1, 200), chr(10) ORDER BY rank) AS block
-  FROM h GROUP BY query_id)
-SELECT r.query_id, coalesce(blk.block, 'No courses found matching this query.') AS search_block
-FROM (SELECT DISTINCT query_id FROM ({_GAP_REQ}) q) r LEFT JOIN blk ON blk.query_id = r.query_id""")
+  FROM {p}_h GROUP BY query_id),
+{p}_blocks AS (
+  SELECT r.query_id, coalesce(b.block, 'No courses found matching this query.') AS search_block
+  FROM (SELECT DISTINCT query_id FROM ({req_sql}) q) r LEFT JOIN {p}_blk b ON b.query_id = r.query_id)"""
+
+
+@register("search_results_block", "WITH " + bm25_ctes("sk", _COURSE_TEXT_DOCS, _GAP_REQ, SEARCH_TOP,
+                                                      "post.department = qt.department").strip() + ","
+          + _block_ctes("sb", "sk_top", _GAP_REQ).rstrip() + "\nSELECT query_id, search_block FROM sb_blocks")
 def _results_block(b):
     hits, reqs = _skill_hits(b)
     return context.search_results_block(hits, reqs)
@@ -657,7 +676,28 @@ def _history(b):
     return context.conversation_history(b.table("conversations"))
 
 
-@register("rag_prompts")
+_RAG_REQ = """
+SELECT c.conv_id, c.turn, c.text AS message
+FROM conversations c
+JOIN (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id) m
+  ON m.conv_id = c.conv_id AND m.turn = c.turn"""
+_COURSE_TEXT_ONLY = f"SELECT course_id AS doc_id, {EMBED_TEXT_SQL} AS text FROM dim_courses"
+
+
+@register("rag_prompts", "WITH rq AS (" + _RAG_REQ + ")," + bm25_ctes(
+    "rg", _COURSE_TEXT_ONLY, "SELECT conv_id AS query_id, message AS query_text FROM rq", SEARCH_TOP).rstrip()
+    + "," + _block_ctes("rb", "rg_top", "SELECT conv_id AS query_id FROM rq").rstrip() + ","
+    + _LEARNER_CONTEXT_CTES.strip() + ",\n" + f"""
+lcc AS (SELECT CAST(regexp_extract(email, '^user(\\d+)@', 1) AS BIGINT) AS conv_id, context FROM lc)
+SELECT rq.conv_id, CAST(0 AS BIGINT) AS position, 'system' AS role,
+       {context_system_sql()} AS content
+FROM rq LEFT JOIN rb_blocks b ON b.query_id = rq.conv_id LEFT JOIN lcc ON lcc.conv_id = rq.conv_id
+UNION ALL
+SELECT h.conv_id, h.turn + 1, h.role, h.text
+FROM conversations h JOIN rq ON rq.conv_id = h.conv_id
+WHERE h.role IN ('user', 'assistant') AND h.turn < rq.turn
+UNION ALL
+SELECT conv_id, turn + 1, 'user', message FROM rq""")
 def _rag_prompts(b):
     conv = b.table("conversations")
     reqs = context.last_user_messages(conv)
