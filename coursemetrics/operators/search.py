@@ -222,8 +222,11 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
     # is spread over tasks by term; the postings (at most one row per document and request
     # term) are then placed by document. The join with the request terms and the per
     # (request, document) sums run on that placement without another exchange.
+    # An explicit partition count: AQE would coalesce this (small) exchange, but the join below
+    # multiplies rows and runs on this placement without another exchange.
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     post = (occ.groupBy("doc_id", *fcols, "dl", "term").agg(F.count("*").alias("tf"))
-            .repartition("doc_id"))
+            .repartition(n_parts, "doc_id"))
     dfreq = post.groupBy("term").agg(F.count("*").alias("df"))
     joined = post.join(F.broadcast(qterms) if small else qterms, "term")
     if filters:
