@@ -228,3 +228,16 @@ def feature_summary(features: DataFrame) -> DataFrame:
     """describe() of the model features (count, mean, stddev, min, quartiles, max)."""
     return features.select(*[c for c in FEATURE_COLS if c in features.columns], LABEL).summary(
         "count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+
+
+def score_records(model: DropoutModel, spark: SparkSession, records: list[dict]) -> DataFrame:
+    """Single-record scoring re-aimed as a tiny batch: dicts with the five base features.
+
+    As in the reference, the fill-in median comes from the batch itself, so a lone record
+    without a score gets 0 for it.
+    """
+    base = [("total_events", "long"), ("modules_touched", "long"), ("avg_score", "double"),
+            ("active_days", "long"), ("span_days", "long")]
+    rows = [tuple(r.get(k) for k, _ in base) for r in records]
+    df = spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in base))
+    return score_dropout(model, df, median="batch").withColumn("dropout_risk", F.round("dropout_risk", 4))

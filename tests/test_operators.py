@@ -140,3 +140,26 @@ def test_embed_catalogue(spark):
     df = spark.createDataFrame([("c1", "abc"), ("c2", "de")], "course_id string, embed_text string")
     out = embed_catalogue(df, lambda texts: [[float(len(t)), 1.0] for t in texts], batch=1)
     assert {r["course_id"]: r["content_vector"] for r in out.collect()} == {"c1": [3.0, 1.0], "c2": [2.0, 1.0]}
+
+
+def test_score_records_and_scaler(spark):
+    b = Binding(spark, SF_SMALL)
+    f = features.training_features(b.silver)
+    m = dropout.train_dropout(f, params={"maxIter": 2, "minInstancesPerNode": 2}, scale=True)
+    out = dropout.score_records(m, spark, [{"total_events": 9, "modules_touched": 3, "avg_score": None,
+                                            "active_days": 4, "span_days": 10}]).first()
+    assert 0.0 <= out["dropout_risk"] <= 1.0 and out["avg_score"] is None
+
+
+def test_stream_rejects(spark, tmp_path):
+    import shutil
+    from coursemetrics import streaming
+    from coursemetrics.streaming.events import read_event_stream, rejected_statements
+    src = tmp_path / "in"
+    src.mkdir()
+    shutil.copy(os.path.join(os.path.dirname(__file__), "fixtures", "raw_events.json"), src / "a.json")
+    stream = read_event_stream(spark, str(src), fmt="json")
+    out = streaming.run_to_table(streaming.stream_silver(stream, raw=True), "t-raw",
+                                 reject=rejected_statements(stream))
+    assert spark.read.parquet(out).count() == 6
+    assert spark.read.parquet(out.rsplit("/", 1)[0] + "/rejects").count() == 3
