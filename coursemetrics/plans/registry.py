@@ -817,3 +817,20 @@ def _stream_engagement(b):
     out = streaming.run_to_table(streaming.stream_engagement(streaming.stream_silver(_event_stream(b))),
                                  "engagement")
     return b.spark.read.parquet(out)
+
+
+@register("stream_engagement_counts", """
+WITH eng AS (SELECT * FROM silver WHERE verb IN ('interacted', 'progressed', 'launched')),
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM eng)
+SELECT course_id, module_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+       time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, COUNT(*) AS event_count
+FROM eng GROUP BY course_id, module_id, time_bucket(INTERVAL 1 HOUR, ts)
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT w FROM wm)""")
+def _stream_engagement_counts(b):
+    """The exact columns of the streaming engagement job: windows closed by the watermark
+    (end <= latest event time - 1 hour), shown as UTC wall-clock times."""
+    out = streaming.run_to_table(streaming.stream_engagement(streaming.stream_silver(_event_stream(b))),
+                                 "engagement-counts")
+    return b.spark.read.parquet(out).select(
+        "course_id", "module_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_count")

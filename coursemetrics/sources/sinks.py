@@ -44,3 +44,9 @@ def write_search_docs(docs: DataFrame, name: str | None = "course_search_docs",
                       fmt: str = "parquet") -> None:
     """The whole document table in one overwrite (upload batching is the writer's job)."""
     write_table(docs, name=None if path else name, path=path, fmt=fmt)
+
+
+def write_dropout_risk(scored_pairs: DataFrame, name: str | None = "gold_dropout_risk", path: str | None = None,
+                       fmt: str = "parquet") -> None:
+    """Scored (learner, course) pairs -> the dropout-risk gold table (full overwrite)."""
+    write_table(scored_pairs, name=None if path else name, path=path, fmt=fmt)
