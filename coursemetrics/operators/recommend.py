@@ -89,8 +89,10 @@ def recommender_info(rec: Recommender, interactions: DataFrame) -> DataFrame:
                        .alias("explained_variance_ratio"))
 
 
-def _score_block(v: np.ndarray, ids: np.ndarray, top_n: int):
+def _score_block(bc, top_n: int):
+    """``bc``: broadcast of (course-factor block V, course ids of the block)."""
     def run(batches):
+        v, ids = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -128,7 +130,8 @@ def recommend_courses(rec: Recommender, interactions: DataFrame, top_n: int = 5,
                  .orderBy("idx").toPandas())                        # at most max_broadcast_courses rows
         v = np.stack(block["v"].to_numpy()) if len(block) else np.zeros((0, rec.k))
         ids = block["course_id"].to_numpy(dtype=object)
-        parts.append(base.mapInPandas(_score_block(v, ids, top_n),
+        bc = spark.sparkContext.broadcast((v, ids))
+        parts.append(base.mapInPandas(_score_block(bc, top_n),
                                       "learner_email string, course_id string, score double"))
     out = parts[0]
     for p in parts[1:]:

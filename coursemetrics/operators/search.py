@@ -116,8 +116,10 @@ def _filter_expr(filters, doc_prefix: str = "", req_prefix: str = "") -> Column:
 
 # ── exact vector top-k (G4) ────────────────────────────────────────────────
 
-def _local_vector_topk(q_ids, q_mat, q_filters, filters, k, doc_id, vec):
+def _local_vector_topk(bc, filters, k, doc_id, vec):
+    """``bc``: broadcast of (request ids, unit request matrix, request filter values)."""
     def run(batches):
+        q_ids, q_mat, q_filters = bc.value
         for pdf in batches:
             pdf = pdf[pdf[vec].notna()]
             if pdf.empty:
@@ -175,7 +177,8 @@ def vector_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "do
         q = np.array([r["qv"] for r in rows], dtype=np.float64)
         q = q / np.linalg.norm(q, axis=1, keepdims=True)
         q_filters = [[r[rc] for _, rc, _ in filters or []] for r in rows]
-        fn = _local_vector_topk([r[query_id] for r in rows], q, q_filters, filters, k, doc_id, vec)
+        bc = dsel.sparkSession.sparkContext.broadcast(([r[query_id] for r in rows], q, q_filters))
+        fn = _local_vector_topk(bc, filters, k, doc_id, vec)
         parts.append(dsel.mapInPandas(fn, schema))
     if not parts:
         return dsel.sparkSession.createDataFrame([], schema + ", rank int")
