@@ -171,19 +171,23 @@ def skill_profile(dim_learners: DataFrame, n: int = N_PROFILE_SKILLS) -> DataFra
 
 # ── tool-source extraction from logged responses (H5) ──────────────────────
 
-TOOL_OUTPUT_TYPES = ("mcp_call", "mcp_tool_call", "file_search_call", "tool_call")
+# Tool-output item types and the catalogue tool's server label.
+TOOL_OUTPUT_TYPES = ("mcp_call", "tool_call", "tool_result", "function_call_output")
+CATALOGUE_SERVER_LABEL = "course-catalog-kb"
 _BLOCK = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 _ITEM = T.StructType([T.StructField("type", T.StringType()), T.StructField("server_label", T.StringType()),
-                      T.StructField("output", T.StringType()), T.StructField("content", T.StringType())])
+                      T.StructField("content", T.StringType())])
 RESPONSE_SCHEMA = T.StructType([T.StructField("output", T.ArrayType(_ITEM))])
 
 
-def extract_tool_sources(logs: DataFrame, response_col: str = "response", catalogue_label: str | None = None,
+def extract_tool_sources(logs: DataFrame, response_col: str = "response",
+                         catalogue_label: str | None = CATALOGUE_SERVER_LABEL,
                          item_types=TOOL_OUTPUT_TYPES) -> DataFrame:
     """One row per text returned by a catalogue tool call in a logged JSON response.
 
     Items of the given types whose server label is empty or the catalogue's are kept; their
-    content is either a string or a list of blocks with ``text``. Malformed JSON gives no rows.
+    ``content`` is either a string or a list of blocks with ``text`` (blocks without text are
+    skipped). Malformed JSON gives no rows.
     """
     parsed = logs.withColumn("_r", F.from_json(F.col(response_col), RESPONSE_SCHEMA))
     items = parsed.select("*", F.explode_outer("_r.output").alias("item")).filter(F.col("item").isNotNull())
@@ -192,8 +196,8 @@ def extract_tool_sources(logs: DataFrame, response_col: str = "response", catalo
     if catalogue_label is not None:
         ok_label = ok_label | (label == catalogue_label)
     items = items.filter(F.col("item.type").isin(*item_types) & ok_label)
-    raw = F.coalesce(F.col("item.content"), F.col("item.output"))
-    blocks = F.from_json(raw, T.ArrayType(_BLOCK))
+    raw = F.col("item.content")          # a JSON array is kept as its text by the string field
+    blocks = F.when(F.ltrim(raw).startswith("["), F.from_json(raw, T.ArrayType(_BLOCK)))
     texts = F.when(blocks.isNotNull(), F.transform(blocks, lambda b: b["text"])).otherwise(F.array(raw))
     keep = [c for c in logs.columns if c != response_col]
     return (items.select(*keep, F.col("item.type").alias("item_type"), F.explode(texts).alias("text"))

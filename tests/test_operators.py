@@ -126,14 +126,17 @@ def test_run_named_query(spark):
 
 
 def test_extract_tool_sources(spark):
-    ok = {"output": [{"type": "mcp_call", "server_label": "", "output": "plain text"},
-                     {"type": "mcp_call", "server_label": "catalogue",
-                      "content": json.dumps([{"type": "text", "text": "block one"}, {"type": "text", "text": "two"}])},
-                     {"type": "mcp_call", "server_label": "other", "output": "skip me"},
+    ok = {"output": [{"type": "mcp_call", "server_label": "", "content": "plain text"},
+                     {"type": "tool_result", "server_label": "course-catalog-kb",
+                      "content": [{"type": "text", "text": "block one"}, {"type": "text", "text": "two"},
+                                  {"type": "image"}]},
+                     {"type": "function_call_output", "content": "fn out"},
+                     {"type": "mcp_call", "server_label": "other", "content": "skip me"},
+                     {"type": "mcp_call", "content": ""},
                      {"type": "message", "content": "not a tool"}]}
     logs = spark.createDataFrame([(1, json.dumps(ok)), (2, "{not json")], "log_id long, response string")
-    got = sorted(r["text"] for r in extract_tool_sources(logs, catalogue_label="catalogue").collect())
-    assert got == ["block one", "plain text", "two"]
+    got = sorted(r["text"] for r in extract_tool_sources(logs).collect())
+    assert got == ["block one", "fn out", "plain text", "two"]
 
 
 def test_embed_catalogue(spark):
