@@ -253,11 +253,15 @@ def seed_pattern_checks(silver: DataFrame, dim_courses: DataFrame, dim_learner_s
     prof = (dim_learner_skills.filter(F.col("department") == department)
             .groupBy("skill_name").agg(stable_round(F.avg("proficiency_level"), 4).alias("value"))
             .select(F.lit("dept_skill_proficiency").alias("check"), F.col("skill_name").alias("item"), "value"))
-    done = (silver.filter((F.col("verb") == "completed") & F.col("course_completed"))
+    done = (silver.filter(F.col("verb") == "completed")                 # every completion statement
             .agg(F.count("*").cast("double").alias("value"))
             .select(F.lit("completion_events").alias("check"), F.lit("all").alias("item"), "value"))
-    low = (silver.filter(F.col("verb") == "scored")
-           .agg(stable_round(F.try_divide(F.count(F.when(F.col("score") < low_score, 1)), F.count("*")), 4)
-                .alias("value"))
-           .select(F.lit("low_score_share").alias("check"), F.lit("scored").alias("item"), "value"))
+    scored = silver.filter(F.col("verb") == "scored").agg(
+        F.count(F.when(F.col("score") < low_score, 1)).alias("low"), F.count("*").alias("all"))
+    low = scored.select(F.lit("low_score_events").alias("check"), F.explode(F.array(
+        F.struct(F.lit("low").alias("item"), F.col("low").cast("double").alias("value")),
+        F.struct(F.lit("scored").alias("item"), F.col("all").cast("double").alias("value")),
+        F.struct(F.lit("share").alias("item"),
+                 stable_round(F.try_divide(F.col("low"), F.col("all")), 4).alias("value")))).alias("x")) \
+        .select("check", "x.item", "x.value")
     return fmt.unionByName(prof).unionByName(done).unionByName(low)

@@ -118,9 +118,14 @@ UNION ALL
 SELECT 'dept_skill_proficiency', skill_name, {sr('AVG(proficiency_level)', 4)}
 FROM learner_skills WHERE department = 'Engineering' GROUP BY skill_name
 UNION ALL
-SELECT 'completion_events', 'all', CAST(COUNT(*) AS DOUBLE) FROM silver WHERE verb = 'completed' AND course_completed
+SELECT 'completion_events', 'all', CAST(COUNT(*) AS DOUBLE) FROM silver WHERE verb = 'completed'
 UNION ALL
-SELECT 'low_score_share', 'scored', {sr("COUNT(CASE WHEN score < 0.60 THEN 1 END) / COUNT(*)", 4)}
+SELECT 'low_score_events', 'low', CAST(COUNT(CASE WHEN score < 0.60 THEN 1 END) AS DOUBLE)
+FROM silver WHERE verb = 'scored'
+UNION ALL
+SELECT 'low_score_events', 'scored', CAST(COUNT(*) AS DOUBLE) FROM silver WHERE verb = 'scored'
+UNION ALL
+SELECT 'low_score_events', 'share', {sr("COUNT(CASE WHEN score < 0.60 THEN 1 END) / COUNT(*)", 4)}
 FROM silver WHERE verb = 'scored'""")
 def _seed_checks(b):
     return reports.seed_pattern_checks(b.silver, b.dim_courses, gold.learner_skill_rows(b.dim_learners))
