@@ -241,3 +241,26 @@ def score_records(model: DropoutModel, spark: SparkSession, records: list[dict])
     rows = [tuple(r.get(k) for k, _ in base) for r in records]
     df = spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in base))
     return score_dropout(model, df, median="batch").withColumn("dropout_risk", F.round("dropout_risk", 4))
+
+
+CLASS_NAMES = {0: "Dropout", 1: "Completed"}
+
+
+def classification_report(model: DropoutModel, features: DataFrame) -> DataFrame:
+    """Held-out precision, recall, F1 and support per class (zero division -> 0)."""
+    data = model_frame(stratified_split(features), model.median).filter("NOT is_train")
+    pred = model.model.transform(data).select(F.col("label").cast("int").alias("y"),
+                                              F.col("prediction").cast("int").alias("p"))
+    per = (pred.select("y", "p", F.explode(F.array(*[F.lit(c) for c in CLASS_NAMES])).alias("cls"))
+           .groupBy("cls")
+           .agg(F.sum(((F.col("y") == F.col("cls")) & (F.col("p") == F.col("cls"))).cast("int")).alias("tp"),
+                F.sum((F.col("p") == F.col("cls")).cast("int")).alias("predicted"),
+                F.sum((F.col("y") == F.col("cls")).cast("int")).alias("support")))
+    precision = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
+    names = F.create_map(*[x for c, n in CLASS_NAMES.items() for x in (F.lit(c), F.lit(n))])
+    return (per.select(F.col("cls").alias("class"), names[F.col("cls")].alias("class_name"),
+                       precision.alias("precision"), recall.alias("recall"), "support")
+            .withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
+                                                      F.col("precision") + F.col("recall")), F.lit(0.0)))
+            .orderBy("class"))

@@ -381,6 +381,11 @@ def _confusion(b):
     return dropout.confusion_matrix(fitted_dropout(b), features.training_features(b.silver))
 
 
+@register("classification_report")
+def _class_report(b):
+    return dropout.classification_report(fitted_dropout(b), features.training_features(b.silver))
+
+
 @register("gold_dropout_risk")
 def _gold_risk(b):
     return dropout.gold_dropout_risk(fitted_dropout(b), features.training_features(b.silver))

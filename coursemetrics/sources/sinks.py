@@ -1,28 +1,27 @@
 """Table writers. Every write is a full overwrite of one table.
 
-``partition_by`` writes are preceded by a repartition on the partition column
-plus a hash salt, so one hot value (say a course with a third of all events)
-is written by ``salt`` tasks instead of one, and ``maxRecordsPerFile`` bounds
-file sizes.
+``partition_by`` writes go through the ``rebalance`` hint on the partition
+columns: rows of one partition value meet in one task, and AQE splits a
+partition that is too large (say a course with a third of all events) into
+several tasks by its measured size and merges small ones, so the number of
+writers follows the data. ``maxRecordsPerFile`` bounds file sizes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 MAX_RECORDS_PER_FILE = 5_000_000
 
 
 def write_table(df: DataFrame, name: str | None = None, path: str | None = None, partition_by=None,
-                fmt: str = "parquet", salt: int = 16, salt_col: str | None = None) -> None:
+                fmt: str = "parquet") -> None:
     if (name is None) == (path is None):
         raise ValueError("give exactly one of name or path")
     out = df
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     if parts:
-        salt_expr = F.pmod(F.xxhash64(*[F.col(c) for c in ([salt_col] if salt_col else df.columns[:1])]),
-                           F.lit(salt))
-        out = out.repartition(*[F.col(c) for c in parts], salt_expr)
+        out = out.hint("rebalance", *parts)
     w = (out.write.mode("overwrite").format(fmt).option("maxRecordsPerFile", MAX_RECORDS_PER_FILE))
     if fmt == "delta":
         w = w.option("overwriteSchema", "true")
@@ -36,8 +35,7 @@ def write_table(df: DataFrame, name: str | None = None, path: str | None = None,
 
 def write_silver(silver: DataFrame, name: str | None = "silver_xapi_events", path: str | None = None,
                  fmt: str = "parquet") -> None:
-    write_table(silver, name=None if path else name, path=path, partition_by="course_id", fmt=fmt,
-                salt_col="event_id")
+    write_table(silver, name=None if path else name, path=path, partition_by="course_id", fmt=fmt)
 
 
 def write_search_docs(docs: DataFrame, name: str | None = "course_search_docs", path: str | None = None,

@@ -79,10 +79,20 @@ def stream_engagement(silver_stream: DataFrame, delay: str = WATERMARK, window:
                     F.col("w.end").alias("window_end"), "event_count", "approx_unique_learners"))
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_table(stream: DataFrame, name: str | None = None, mode: str = "append",
                  reject: DataFrame | None = None) -> str:
-    """Run ``stream`` to the end of its input (availableNow) into parquet; returns the output folder."""
+    """Run ``stream`` to the end of its input (availableNow) into parquet; returns the output folder.
+
+    Stream state (dedup keys, open windows) is kept in RocksDB unless the session names another
+    state store: it lives off the JVM heap and is checkpointed with the offsets.
+    """
     spark = stream.sparkSession
+    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or \
+            spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name or 'run'}-{uuid.uuid4().hex[:12]}"
     out = f"{base}/data"
     q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
