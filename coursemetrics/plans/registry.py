@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from coursemetrics.plans.oracle import sr, with_binding
 from coursemetrics.session import configure
 from coursemetrics.sources.binding import Binding
+from coursemetrics.functions.rounding import stable_round
 from coursemetrics.operators import gold, reports, features
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -329,9 +330,9 @@ FROM f""")
 def _dropout_features(b):
     f = features.dropout_features(features.training_features(b.silver))
     return f.select("learner_email", "course_id", "total_events", "modules_touched",
-                    features.stable_round("avg_score", 6).alias("avg_score"), "active_days", "span_days",
+                    stable_round("avg_score", 6).alias("avg_score"), "active_days", "span_days",
                     "completed",
-                    *[features.stable_round(c, 6).alias(c)
+                    *[stable_round(c, 6).alias(c)
                       for c in ("events_per_day", "completion_velocity", "score_x_events")])
 
 
@@ -342,7 +343,7 @@ SELECT learner_email, course_id,
 FROM i""")
 def _weights(b):
     w = features.interaction_weights(features.interaction_matrix(b.silver))
-    return w.select("learner_email", "course_id", features.stable_round("weight", 6).alias("weight"))
+    return w.select("learner_email", "course_id", stable_round("weight", 6).alias("weight"))
 
 
 # ── dropout model (E2-E16, C4, A7, D23): rows-only checks ──────────────────

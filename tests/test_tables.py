@@ -47,3 +47,25 @@ def test_cross_validation_runs(spark):
     f = features.training_features(Binding(spark, SF_SMALL).silver)
     cv = dropout.cross_validate_dropout(f, params={"maxIter": 2, "minInstancesPerNode": 2}, n_folds=3)
     assert len(cv["fold_auc"]) == 3 and cv["std_auc"] >= 0
+
+
+def test_build_tables_from_raw_json(spark, tmp_path):
+    import json
+    import shutil
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    shutil.copy(os.path.join(os.path.dirname(__file__), "fixtures", "raw_events.json"), raw / "xapi_events.json")
+    (raw / "courses.json").write_text(json.dumps([
+        {"course_id": "C1", "title": "Intro", "department": "Sales", "skill_level": "beginner", "format": "blended",
+         "duration_hours": 4, "skills_taught": ["Negotiation"], "description": "d", "num_modules": 5,
+         "module_titles": ["M1"], "prerequisites": [], "_dropoff_prone": True}]))
+    (raw / "learners.json").write_text(json.dumps([
+        {"learner_id": "LRN-0001", "name": "Ada", "email": "ada@example.com", "department": "Sales",
+         "job_title": "Rep", "manager_email": "m@example.com", "hire_date": "2020-01-01",
+         "skills": [{"skill_name": "Negotiation", "proficiency_level": 2.5}], "completed_courses": []}]))
+    paths = build_tables(spark, str(tmp_path / "lake"), raw_dir=str(raw))
+    assert spark.read.parquet(paths["bronze_xapi_events"]).count() == 9
+    assert spark.read.parquet(paths["silver_xapi_events"]).count() == 6
+    g = spark.read.parquet(paths["gold_course_completion"]).collect()
+    assert len(g) == 1 and g[0]["enrolled"] == 2 and g[0]["completed"] == 1
+    assert "_dropoff_prone" not in spark.read.parquet(paths["dim_courses"]).columns
