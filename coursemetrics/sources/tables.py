@@ -6,6 +6,26 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table; Catalyst prunes columns and pushes filters into the scan."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the cluster can run at once.
+
+    A parquet file splits only at row-group boundaries, so one small file is one task and all
+    per-row work before the first shuffle runs on one core. Large inputs already have more
+    partitions than task slots and pass through unchanged (no extra shuffle at scale).
+    Filters and column pruning still reach the scan below the round-robin exchange.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
+# Tables whose rows carry per-row work (JSON, text, string building) right after the scan.
+FACT_TABLES = frozenset({"events", "documents", "conversations", "pages", "lineitem", "orders"})
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
+    """One driver table; Catalyst prunes columns and pushes filters into the scan.
+
+    ``spread`` (default: for fact tables) applies ``ensure_parallelism``.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return ensure_parallelism(df) if (name in FACT_TABLES if spread is None else spread) else df
