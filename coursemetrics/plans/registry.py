@@ -355,7 +355,7 @@ _MODELS: dict = {}
 
 def fitted_dropout(b: Binding) -> "dropout.DropoutModel":
     """The model for this data directory, fitted once per process (a fit is an action)."""
-    key = b.sf_dir.rstrip("/")
+    key = (b.sf_dir.rstrip("/"), b.spark.sparkContext.applicationId)
     if key not in _MODELS:
         _MODELS[key] = dropout.train_dropout(features.training_features(b.silver))
     return _MODELS[key]
@@ -421,7 +421,7 @@ _RECS: dict = {}
 
 
 def fitted_recommender(b: Binding) -> "recommend.Recommender":
-    key = b.sf_dir.rstrip("/")
+    key = (b.sf_dir.rstrip("/"), b.spark.sparkContext.applicationId)
     if key not in _RECS:
         _RECS[key] = recommend.fit_recommender(features.interaction_matrix(b.silver))
     return _RECS[key]

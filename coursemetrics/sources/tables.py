@@ -14,8 +14,12 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     partitions than task slots and pass through unchanged (no extra shuffle at scale).
     Filters and column pruning still reach the scan below the round-robin exchange.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 # Tables whose rows carry per-row work (JSON, text, string building) right after the scan.
