@@ -69,3 +69,21 @@ def test_build_tables_from_raw_json(spark, tmp_path):
     g = spark.read.parquet(paths["gold_course_completion"]).collect()
     assert len(g) == 1 and g[0]["enrolled"] == 2 and g[0]["completed"] == 1
     assert "_dropoff_prone" not in spark.read.parquet(paths["dim_courses"]).columns
+
+
+def test_facade_prunes_course_partitions(spark, tmp_path):
+    import io
+    from contextlib import redirect_stdout
+    from coursemetrics.api import LearningAnalytics
+    from coursemetrics.plans import registry
+    build_tables(spark, str(tmp_path / "lake"), sf_dir=SF_SMALL)
+    la = LearningAnalytics(spark, str(tmp_path / "lake"))
+    one = la.at_risk_learners("COURSE-0004")
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        one.explain("formatted")
+    assert "PartitionFilters: [isnotnull(course_id" in buf.getvalue() and "COURSE-0004" in buf.getvalue()
+    every = registry.QUERIES["at_risk_learners"](spark, SF_SMALL).filter("course_id = 'COURSE-0004'")
+    cols = ["learner_email", "modules_started", "days_inactive", "avg_score"]
+    assert sorted(one.select(cols).collect()) == sorted(every.select(cols).collect())
+    assert la.overview_kpis().count() == 1 and la.course_ranking().count() == 20
