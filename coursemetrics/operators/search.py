@@ -213,32 +213,49 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
     qterms = requests.select(F.col(query_id).alias("query_id"), *[F.col(r).alias("r_" + r) for r in rcols],
                              F.explode(F.array_distinct(tokens(query_text))).alias("term"))
     small = fits(qterms, MAX_BROADCAST_TERMS)
-    # Corpus statistics over every document (scalar subqueries; Spark merges the two into one scan).
-    stats = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens(text))).alias("a"))
-    n_docs, avgdl = stats.select("n").scalar(), stats.select("a").scalar()
+    # Documents are tokenised once. Every token stays in the postings: occurrences of terms no
+    # request uses get the term "" (a broadcast left join flags the request terms; real tokens
+    # are never empty), so the partial aggregate folds them into one row per document while the
+    # exact token total survives for avgdl. explode_outer keeps empty documents and stops the
+    # optimizer from inferring a token filter below the scan's round-robin (which would tokenise
+    # in the single scan task of a one-row-group file). ``term`` is non-nullable, so the joins
+    # on it infer no filter that could be pushed below the shared exchange.
     occ = docs.select(F.col(doc_id).alias("doc_id"), *fcols, tokens(text).alias("toks")) \
-        .select("doc_id", *fcols, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        .select("doc_id", *fcols, F.size("toks").alias("dl"), F.explode_outer("toks").alias("tok"))
     if small:
-        # keep only query-term occurrences before anything is shuffled
-        occ = occ.join(F.broadcast(qterms.select("term").distinct()), "term", "left_semi")
+        hit = qterms.select(F.col("term").alias("tok")).distinct().withColumn("hit", F.lit(True))
+        occ = (occ.join(F.broadcast(hit), "tok", "left")
+               .withColumn("term", F.coalesce(F.when(F.col("hit"), F.col("tok")), F.lit(""))))
+    else:
+        occ = occ.withColumn("term", F.coalesce(F.col("tok"), F.lit("")))
     # Term frequencies: partial aggregation on (document, term) first, so a very large document
     # is spread over tasks by term; the postings (at most one row per document and request
-    # term) are then placed by document. The join with the request terms and the per
-    # (request, document) sums run on that placement without another exchange.
-    # An explicit partition count: AQE would coalesce this (small) exchange, but the join below
-    # multiplies rows and runs on this placement without another exchange.
+    # term, plus one for the other terms) are then placed by document. The join with the
+    # request terms and the per (request, document) sums run on that placement without another
+    # exchange. An explicit partition count: AQE would coalesce this (small) exchange, but the
+    # join below multiplies rows and runs on this placement.
+    # The three consumers below (scores, document frequencies, token total) all read ``tf``,
+    # so their plans below the exchange are identical and Spark computes it once (ReusedExchange).
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    post = (occ.groupBy("doc_id", *fcols, "dl", "term").agg(F.count("*").alias("tf"))
-            .repartition(n_parts, "doc_id"))
-    dfreq = post.groupBy("term").agg(F.count("*").alias("df"))
-    joined = post.join(F.broadcast(qterms) if small else qterms, "term")
+    post_all = (occ.groupBy("doc_id", *fcols, "dl", "term").agg(F.count("tok").alias("tf"))
+                .repartition(n_parts, "doc_id"))
+    # Corpus statistics as scalar subqueries: document counts need no tokens (count(text) skips
+    # NULL texts, which have no length, as AVG does), the token total comes from the postings.
+    counts = docs.agg(F.count("*").alias("n"), F.count(text).alias("n_text"))
+    n_docs = counts.select("n").scalar()
+    avgdl = post_all.agg(F.sum("tf").alias("t")).select("t").scalar() / counts.select("n_text").scalar()
+    # df: documents in which the term occurs (tf > 0); the "" row never meets a request term
+    dfreq = post_all.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
+    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    # BM25 weight of each posting before the request join: computed once per (document, term),
+    # not once per (request, document, term).
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    weighted = (post_all.join(F.broadcast(dfreq) if small else dfreq, "term")
+                .select("doc_id", *fcols, "term", weight.alias("w")))
+    joined = weighted.join(F.broadcast(qterms) if small else qterms, "term")
     if filters:
         joined = joined.filter(_filter_expr(filters, "", "r_"))
-    joined = (joined.join(F.broadcast(dfreq) if small else dfreq, "term")
-              .withColumn("n_docs", n_docs).withColumn("avgdl", avgdl))
-    idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    contrib = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = (joined.groupBy("query_id", "doc_id").agg(F.sum(contrib).alias("score"))
+    scores = (joined.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
               .withColumn("score", F.round("score", 6)))
     return top_k_per_group(scores, "query_id", [F.desc("score"), "doc_id"], k)
 

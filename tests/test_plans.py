@@ -35,3 +35,13 @@ def test_top_k_limits_before_shuffle(spark, name):
 def test_scan_prunes_columns(spark):
     plan = _plan(spark, "gold_course_completion")
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double,props:string>" in plan
+
+
+def test_bm25_tokenises_documents_once(spark):
+    """Scores, document frequencies and the token total share one postings exchange, and no
+    token filter is inferred below the scan (which would tokenise in the scan task)."""
+    df = entry.queries()["keyword_top_k"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ReusedExchange") >= 2
+    assert not re.search(r"Filter \(size\(filter\(split", plan)
