@@ -8,7 +8,8 @@ Dimensions cover the whole source tables.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -119,22 +120,30 @@ def dim_learners_from_customer(customer: DataFrame) -> DataFrame:
 
 @dataclass
 class Binding:
-    """Lazily bound frames for one scale-factor directory."""
+    """Lazily bound frames for one scale-factor directory.
+
+    Each frame is built once per binding (one query build): a query that uses the catalogue in
+    several branches gets one DataFrame, so the driver plans it once and Spark can reuse its
+    exchanges. DataFrames are immutable, so sharing them is safe.
+    """
 
     spark: SparkSession
     sf_dir: str
+    _tables: dict = field(default_factory=dict, repr=False)
 
     def table(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.sf_dir, name)
+        if name not in self._tables:
+            self._tables[name] = read_table(self.spark, self.sf_dir, name)
+        return self._tables[name]
 
-    @property
+    @cached_property
     def silver(self) -> DataFrame:
         return silver_from_events(self.table("events"))
 
-    @property
+    @cached_property
     def dim_courses(self) -> DataFrame:
         return dim_courses_from_part(self.table("part"))
 
-    @property
+    @cached_property
     def dim_learners(self) -> DataFrame:
         return dim_learners_from_customer(self.table("customer"))
