@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemetrics.functions.topk import fits, top_k_per_group
+from coursemetrics.sources.tables import ensure_parallelism
 
 # Fixed values (our ranking choices; the hosted ranker's formula is not public).
 BM25_K1 = 1.2
@@ -220,7 +221,9 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
     # optimizer from inferring a token filter below the scan's round-robin (which would tokenise
     # in the single scan task of a one-row-group file). ``term`` is non-nullable, so the joins
     # on it infer no filter that could be pushed below the shared exchange.
-    occ = docs.select(F.col(doc_id).alias("doc_id"), *fcols, tokens(text).alias("toks")) \
+    # tokenising is the per-row cost: a document input with fewer partitions than task slots
+    # (a small catalogue in one file) is spread first; large inputs pass unchanged
+    occ = ensure_parallelism(docs).select(F.col(doc_id).alias("doc_id"), *fcols, tokens(text).alias("toks")) \
         .select("doc_id", *fcols, F.size("toks").alias("dl"), F.explode_outer("toks").alias("tok"))
     if small:
         hit = qterms.select(F.col("term").alias("tok")).distinct().withColumn("hit", F.lit(True))
