@@ -10,12 +10,13 @@ Scale notes
   ``mapInPandas`` (numpy on Arrow batches) and emits only each partition's
   top k per request; the final top k is a window with a partial group limit
   before its shuffle. No request x document pairs are shuffled.
-* Keyword search tokenises documents in the scan and keeps only occurrences
-  of request terms (broadcast semi-join); term frequencies are aggregated on
-  (document, term) with map-side combining, and the postings are placed by
-  document (a huge document moves at most one row per request term). The
-  join with the request terms and the per (request, document) sums run on
-  that placement; only per-partition top-k rows reach the final shuffle.
+* Keyword search tokenises each document once; tokens of terms no request
+  uses are folded into one row per document by the map-side combine on
+  (document, term), and the postings are placed by document (a huge document
+  moves at most one row per request term). Scores, document frequencies and
+  the token total share that one exchange. The join with the request terms
+  and the per (request, document) sums run on that placement; only
+  per-partition top-k rows reach the final shuffle.
 """
 
 from __future__ import annotations
