@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemetrics.llm import packing, simhash, token_counts
+from coursemetrics.llm import langid, packing, quality, simhash, token_counts, toxicity
 from coursemetrics.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -18,10 +18,35 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.assess(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), MAX_TOKENS)
 
 
+def remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs, remainder(5) != 0))
+    return found.withColumn("held_out", F.coalesce(remainder(5) == 0, F.lit(False)))
+
+
+def civil_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.Lexicon:
+    return toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder(4) != 2)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, civil_lexicon(spark, sf_dir, docs), threshold=0.3)
+    return found.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return found.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -29,7 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_simhash": op3_simhash,
+    "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_language_id": op6_language_id,
+    "op8_toxicity": op8_toxicity,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
