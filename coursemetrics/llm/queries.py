@@ -6,11 +6,18 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemetrics.llm import langid, packing, quality, simhash, token_counts, toxicity
+from coursemetrics.llm import langid, packing, pii, quality, simhash, token_counts, toxicity
 from coursemetrics.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
 MAX_TOKENS = 1024
+#: Whoever runs this on real data names a secret of their own.
+SURROGATE_KEY = "example surrogate key"
+
+
+def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace_pii(read(spark, sf_dir, "documents"), SURROGATE_KEY, count_col="n_replaced")
+    return found.select("doc_id", "n_replaced", "text")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op3_simhash": op3_simhash,
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
