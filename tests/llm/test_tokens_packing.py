@@ -4,9 +4,11 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from coursemetrics.llm import packing, token_counts
+from coursemetrics.llm import packing, token_counts, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", "   ", "a  b\tc \n d", " lead and trail ", "x<|endoftext|> y <|endoftext|>", "don't  we'll", "日本 語　テキスト a b c᠎ d",
@@ -34,6 +36,34 @@ def test_counts_on_given_documents(spark, tool):
         assert got[d.doc_id] == (len((d.text or "").encode()), len(e.ids), len(e.ids) > 1024)
 
 
+LETTERS = st.text(st.sampled_from("ab AB'\n\t 12é ñ.,!|$\x00\x1c\x85\xa0\xad\u0301\u0416\u180e\u200b\u2003中🙂'sst"), max_size=60)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(LETTERS, max_size=8))
+def test_any_text_equals_the_library(texts):
+    lib = tokens.load(PATH)[0]
+    got = list(tokens.Encoder(PATH, True).stream(texts, 100))
+    assert got == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tokens.Encoder(PATH, False).stream(texts)) == [len(x) // 4 for x in got]
+
+
+@settings(max_examples=200, deadline=None)
+@given(LETTERS, st.integers(1, 20))
+def test_blocks_cut_at_safe_boundaries(text, limit):
+    lib, cut = tokens.load(PATH)[0], list(tokens.blocks(text, limit))
+    assert "".join(cut) == text
+    ids = lambda t: lib.encode(t, add_special_tokens=False).ids
+    assert sum(map(ids, cut), []) == ids(text)
+
+
+def test_all_given_documents_equal_the_library(tool):
+    import pyarrow.parquet as pq
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist()[:4000]
+    want = [len(e.ids) for e in tool.encode_batch(texts, add_special_tokens=False)]
+    assert list(tokens.Encoder(PATH, False).stream(texts)) == want
+
+
 def test_sentencepiece_counts(docs_of):
     import sentencepiece
     path = public_tokenizers.path("piece_bpe_32k.model")
