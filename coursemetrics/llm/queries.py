@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemetrics.llm import decontaminate, langid, packing, pii, quality, simhash, token_counts, toxicity
+from coursemetrics.llm import decontaminate, langid, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from coursemetrics.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -58,6 +58,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"), length=200).drop("kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return found.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
@@ -71,6 +75,7 @@ QUERIES = {
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
 }
 ORACLE: dict[str, str] = {}
