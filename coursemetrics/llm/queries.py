@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemetrics.llm import decontaminate, langid, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from coursemetrics.llm import decontaminate, langid, lm, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
 from coursemetrics.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,11 @@ def civil_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity
     return toxicity.fit(docs, read(spark, sf_dir, "labels"), remainder(4) != 2)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = toxicity.score(docs, civil_lexicon(spark, sf_dir, docs), threshold=0.3)
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_language_id": op6_language_id,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
