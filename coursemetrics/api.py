@@ -31,7 +31,7 @@ class LearningAnalytics:
         return self.spark.read.format(self.fmt).load(f"{self.root.rstrip('/')}/{name}")
 
     # dashboard
-    def overview_kpis(self, as_of=reports.AS_OF_KPI) -> DataFrame:
+    def overview_kpis(self, as_of=None) -> DataFrame:
         return reports.overview_kpis(self.table("silver_xapi_events"), self.table("gold_course_completion"),
                                      self.table("dim_courses"), as_of=as_of)
 
@@ -47,7 +47,7 @@ class LearningAnalytics:
     def course_ranking(self, min_enrolled: int = 3) -> DataFrame:
         return reports.course_ranking(self.table("gold_course_completion"), min_enrolled)
 
-    def at_risk_learners(self, course_id=None, as_of=reports.AS_OF_AT_RISK, min_days: int = 7) -> DataFrame:
+    def at_risk_learners(self, course_id=None, as_of=None, min_days: int = 7) -> DataFrame:
         return reports.at_risk_learners(self.table("silver_xapi_events"), course_id, as_of, min_days)
 
     def completion_by_format(self, min_enrolled: int = 5) -> DataFrame:

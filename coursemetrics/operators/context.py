@@ -171,17 +171,15 @@ def skill_profile(dim_learners: DataFrame, n: int = N_PROFILE_SKILLS) -> DataFra
 
 # ── tool-source extraction from logged responses (H5) ──────────────────────
 
-# Tool-output item types and the catalogue tool's server label.
+# Tool-output item types.
 TOOL_OUTPUT_TYPES = ("mcp_call", "tool_call", "tool_result", "function_call_output")
-CATALOGUE_SERVER_LABEL = "course-catalog-kb"
 _BLOCK = T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())])
 _ITEM = T.StructType([T.StructField("type", T.StringType()), T.StructField("server_label", T.StringType()),
                       T.StructField("content", T.StringType())])
 RESPONSE_SCHEMA = T.StructType([T.StructField("output", T.ArrayType(_ITEM))])
 
 
-def extract_tool_sources(logs: DataFrame, response_col: str = "response",
-                         catalogue_label: str | None = CATALOGUE_SERVER_LABEL,
+def extract_tool_sources(logs: DataFrame, catalogue_label: str | None, response_col: str = "response",
                          item_types=TOOL_OUTPUT_TYPES) -> DataFrame:
     """One row per text returned by a catalogue tool call in a logged JSON response.
 

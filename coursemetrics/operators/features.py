@@ -1,9 +1,9 @@
 """Per (learner, course) feature tables for the dropout model and the recommender.
 
-Distinct counts over small bounded domains (modules of a course, calendar days
-of activity) use ``size(collect_set(...))``: one aggregate with partial
-aggregation, instead of the ``Expand`` rewrite that would copy every input row
-once per distinct column.
+Distinct counts (modules of a course, calendar days of activity) are row counts
+after a reduction to one row per (pair, module) and per (pair, day): plain hash
+aggregates with map-side combine, no set per pair and no copy of the input rows
+per distinct column.
 """
 
 from __future__ import annotations
@@ -11,24 +11,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from coursemetrics.functions.rounding import stable_round
-from coursemetrics.operators.reports import _eq_or_all, completions
+from coursemetrics.operators.reports import _eq_or_all
 
 FEATURE_COLS = ["total_events", "modules_touched", "avg_score", "active_days", "span_days",
                 "events_per_day", "completion_velocity", "score_x_events"]
 BASE_COLS = FEATURE_COLS[:5]
+COMPLETION_WEIGHT = 3.0
 
 
-def _scored_avg(n: int):
-    return stable_round(F.avg(F.when(F.col("verb") == "scored", F.col("score"))), n)
-
-
-def _activity_aggs():
-    return [F.count("*").alias("total_events"),
-            F.size(F.collect_set("module_id")).cast("bigint").alias("modules_touched"),
-            _scored_avg(4).alias("avg_score"),
-            F.size(F.collect_set(F.to_date("ts"))).cast("bigint").alias("active_days"),
-            # calendar-day boundaries between first and last event (two-argument datediff)
-            F.datediff(F.max("ts"), F.min("ts")).cast("bigint").alias("span_days")]
+def _activity(events: DataFrame, keys: list[str], min_events: int) -> DataFrame:
+    """One row per ``keys`` with the activity columns and ``completed``, for groups of ``min_events`` or more."""
+    scored = F.when(F.col("verb") == "scored", F.col("score"))
+    done = (F.col("verb") == "completed") & F.col("course_completed")
+    per_module = events.groupBy(*keys, "module_id").agg(
+        F.count("*").alias("n"), F.sum(scored).alias("s_sum"), F.count(scored).alias("s_cnt"), F.min("ts").alias("first"),
+        F.max("ts").alias("last"), F.max(F.when(done, 1).otherwise(0)).alias("done"))
+    out = (per_module.groupBy(*keys)
+           .agg(F.sum("n").cast("bigint").alias("total_events"), F.count("module_id").alias("modules_touched"),
+                stable_round(F.try_divide(F.sum("s_sum"), F.sum("s_cnt")), 4).alias("avg_score"),
+                # calendar-day boundaries between first and last event (two-argument datediff)
+                F.datediff(F.max("last"), F.min("first")).cast("bigint").alias("span_days"),
+                F.max("done").cast("bigint").alias("completed"))
+           .filter(F.col("total_events") >= min_events))
+    days = (events.filter(F.col("ts").isNotNull()).select(*keys, F.to_date("ts").alias("day")).distinct()
+            .groupBy(*keys).agg(F.count("*").alias("active_days")))
+    return out.join(days, keys, "left").select(
+        *keys, "total_events", "modules_touched", "avg_score", F.coalesce("active_days", F.lit(0)).alias("active_days"),
+        "span_days", "completed")
 
 
 def interaction_matrix(silver: DataFrame, min_events: int = 2) -> DataFrame:
@@ -36,25 +45,18 @@ def interaction_matrix(silver: DataFrame, min_events: int = 2) -> DataFrame:
             .groupBy("learner_email", "course_id")
             .agg(F.count("*").alias("event_count"),
                  F.max(F.when(F.col("course_completed"), 1).otherwise(0)).cast("bigint").alias("completed"),
-                 _scored_avg(4).alias("avg_score"))
+                 stable_round(F.avg(F.when(F.col("verb") == "scored", F.col("score"))), 4).alias("avg_score"))
             .filter(F.col("event_count") >= min_events))
 
 
 def training_features(silver: DataFrame, min_events: int = 5) -> DataFrame:
-    done = (F.col("verb") == "completed") & F.col("course_completed")
-    return (silver.filter(F.col("learner_email").isNotNull())
-            .groupBy("learner_email", "course_id")
-            .agg(*_activity_aggs(), F.max(F.when(done, 1).otherwise(0)).cast("bigint").alias("completed"))
-            .filter(F.col("total_events") >= min_events))
+    return _activity(silver.filter(F.col("learner_email").isNotNull()), ["learner_email", "course_id"], min_events)
 
 
 def course_learner_features(silver: DataFrame, course_id=None, min_events: int = 3) -> DataFrame:
     """Features of learners who have not completed the course (no label)."""
     s = _eq_or_all(silver, "course_id", course_id).filter(F.col("learner_email").isNotNull())
-    per_pair = (s.groupBy("course_id", "learner_email").agg(*_activity_aggs())
-                .filter(F.col("total_events") >= min_events))
-    # aggregate first, then the anti join sees one row per (course, learner)
-    return per_pair.join(completions(s), ["course_id", "learner_email"], "left_anti")
+    return _activity(s, ["course_id", "learner_email"], min_events).filter(F.col("completed") == 0).drop("completed")
 
 
 def median_avg_score(features: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ def dropout_features(features: DataFrame, median=None) -> DataFrame:
 
 def interaction_weights(interactions: DataFrame) -> DataFrame:
     """log1p(events) + 3*completed + avg_score/100 (score is 0-1, so the last term is <= 0.01)."""
-    w = (F.log1p(F.col("event_count").cast("double")) * 1.0
-         + F.coalesce(F.col("completed").cast("double"), F.lit(0.0)) * 3.0
-         + (F.coalesce(F.col("avg_score"), F.lit(0.0)) / 100.0) * 1.0)
-    return interactions.withColumn("weight", w)
+    activity = F.log1p(F.col("event_count").cast("double"))
+    finished = F.coalesce(F.col("completed").cast("double"), F.lit(0.0))
+    score = F.coalesce(F.col("avg_score"), F.lit(0.0)) / 100.0
+    return interactions.withColumn("weight", activity + COMPLETION_WEIGHT * finished + score)

@@ -12,10 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemetrics.functions.rounding import stable_round
 
-AS_OF_KPI = "2024-02-29 23:00:00"
-AS_OF_AT_RISK = "2024-01-31 00:00:00"
-
-
 def _eq_or_all(df: DataFrame, col: str, value) -> DataFrame:
     return df if value is None else df.filter(F.col(col) == F.lit(value))
 
@@ -40,11 +36,12 @@ def verb_counts(silver: DataFrame) -> DataFrame:
             .orderBy(F.desc("cnt"), "verb"))
 
 
-def dept_verb_summary(silver: DataFrame, n: int = 30) -> DataFrame:
-    return (silver.groupBy("department", "verb")
+def dept_verb_summary(silver: DataFrame, n: int | None = None) -> DataFrame:
+    """Every (department, verb) group; ``n`` limits the rows for display."""
+    out = (silver.groupBy("department", "verb")
             .agg(F.count("*").alias("cnt"), stable_round(F.avg("score"), 3).alias("avg_score"))
-            .orderBy("department", F.desc("cnt"), "verb")
-            .limit(n))
+            .orderBy("department", F.desc("cnt"), "verb"))
+    return out if n is None else out.limit(n)
 
 
 def module_completion_pattern(gold_module_dropoff: DataFrame) -> DataFrame:
@@ -81,7 +78,7 @@ def format_comparison(by_format: DataFrame) -> DataFrame:
 # ── dashboard queries ──────────────────────────────────────────────────────
 
 def overview_kpis(silver: DataFrame, gold_course_completion: DataFrame, dim_courses: DataFrame,
-                  as_of=AS_OF_KPI, min_enrolled: int = 5) -> DataFrame:
+                  as_of=None, min_enrolled: int = 5) -> DataFrame:
     cutoff = as_of_literal(as_of, silver) + F.expr("INTERVAL -1 MONTH")
     # One row per learner first: both distinct counts become plain counts.
     last_seen = (silver.filter(F.col("learner_email").isNotNull())
@@ -142,16 +139,19 @@ def completions(silver: DataFrame) -> DataFrame:
             .select("course_id", "learner_email").distinct())
 
 
-def at_risk_learners(silver: DataFrame, course_id=None, as_of=AS_OF_AT_RISK, min_days: int = 7) -> DataFrame:
+def at_risk_learners(silver: DataFrame, course_id=None, as_of=None, min_days: int = 7) -> DataFrame:
     s = _eq_or_all(silver, "course_id", course_id).filter(F.col("learner_email").isNotNull())
     now = as_of_literal(as_of, silver)
     # Aggregate first (partial aggregation absorbs a hot learner or course), then drop the
     # (course, learner) pairs with a completion: the anti join sees one row per pair.
     # The keys are non-null, so the anti join equals NOT IN.
-    per_learner = (s.groupBy("course_id", "learner_email", "learner_name", "department")
-                   .agg(F.size(F.collect_set("module_id")).cast("bigint").alias("modules_started"),
-                        F.max("ts").alias("last_activity"),
-                        stable_round(F.avg("score"), 3).alias("avg_score")))
+    # One row per module first: the distinct count is then a plain count.
+    keys = ["course_id", "learner_email", "learner_name", "department"]
+    per_module = s.groupBy(*keys, "module_id").agg(F.max("ts").alias("last"), F.sum("score").alias("s_sum"),
+                                                   F.count("score").alias("s_cnt"))
+    per_learner = (per_module.groupBy(*keys)
+                   .agg(F.count("module_id").alias("modules_started"), F.max("last").alias("last_activity"),
+                        stable_round(F.try_divide(F.sum("s_sum"), F.sum("s_cnt")), 3).alias("avg_score")))
     return (per_learner.join(completions(s), ["course_id", "learner_email"], "left_anti")
             .withColumn("days_inactive", F.datediff(now, F.col("last_activity")).cast("bigint"))
             .filter(F.col("days_inactive") > min_days)

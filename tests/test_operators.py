@@ -135,7 +135,7 @@ def test_extract_tool_sources(spark):
                      {"type": "mcp_call", "content": ""},
                      {"type": "message", "content": "not a tool"}]}
     logs = spark.createDataFrame([(1, json.dumps(ok)), (2, "{not json")], "log_id long, response string")
-    got = sorted(r["text"] for r in extract_tool_sources(logs).collect())
+    got = sorted(r["text"] for r in extract_tool_sources(logs, "course-catalog-kb").collect())
     assert got == ["block one", "fn out", "plain text", "two"]
 
 

@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 
 import pytest
 
-import __spark_entry__ as entry
+from coursemetrics.plans import registry
 from conftest import SF_SMALL
 
 TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "search_by_skills",
@@ -16,11 +16,11 @@ TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_searc
 def _plan(spark, name):
     buf = io.StringIO()
     with redirect_stdout(buf):
-        entry.queries()[name](spark, SF_SMALL).explain("formatted")
+        registry.QUERIES[name](spark, SF_SMALL).explain("formatted")
     return buf.getvalue()
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("stream_")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.QUERIES if not n.startswith("stream_")))
 def test_no_cross_joins_or_expand(spark, name):
     plan = _plan(spark, name)
     assert not re.search(r"BroadcastNestedLoopJoin|CartesianProduct", plan), name
@@ -40,8 +40,13 @@ def test_scan_prunes_columns(spark):
 def test_bm25_tokenises_documents_once(spark):
     """Scores, document frequencies and the token total share one postings exchange, and no
     token filter is inferred below the scan (which would tokenise in the scan task)."""
-    df = entry.queries()["keyword_top_k"](spark, SF_SMALL)
+    df = registry.QUERIES["keyword_top_k"](spark, SF_SMALL)
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ReusedExchange") >= 2
     assert not re.search(r"Filter \(size\(filter\(split", plan)
+
+
+@pytest.mark.parametrize("name", ["at_risk_learners", "training_features", "course_learner_features", "dropout_features"])
+def test_distinct_counts_collect_no_sets(spark, name):
+    assert "ObjectHashAggregate" not in _plan(spark, name)

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from coursemetrics.plans import registry
 from conftest import SF_SMALL
 from coursemetrics.sources.tables import DRIVER_TABLES
 
@@ -40,7 +41,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_matches_oracle(spark, duck, name):
     sdf = entry.queries()[name](spark, SF_SMALL)
     cur = duck.execute(entry.oracle_sql()[name])
@@ -51,6 +52,6 @@ def test_matches_oracle(spark, duck, name):
     assert _rows([r.asDict() for r in sdf.collect()], cols) == _rows(orows, cols)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE) - SLOW))
 def test_rows_only_queries_run(spark, name):
     assert entry.queries()[name](spark, SF_SMALL).count() >= 0

@@ -87,3 +87,16 @@ def test_facade_prunes_course_partitions(spark, tmp_path):
     cols = ["learner_email", "modules_started", "days_inactive", "avg_score"]
     assert sorted(one.select(cols).collect()) == sorted(every.select(cols).collect())
     assert la.overview_kpis().count() == 1 and la.course_ranking().count() == 20
+
+
+def test_time_defaults_to_now(spark):
+    """Without as_of, activity is measured against the current time: the events of today count, old ones are inactive."""
+    silver = spark.sql("""SELECT 'C' AS course_id, 'a@x' AS learner_email, 'A' AS learner_name, 'HR' AS department, 'M1' AS module_id,
+                          'launched' AS verb, false AS course_completed, 1.0D AS score, current_timestamp() AS ts
+                          UNION ALL SELECT 'C', 'b@x', 'B', 'HR', 'M1', 'launched', false, 1.0D, current_timestamp() - INTERVAL 30 DAYS
+                          UNION ALL SELECT 'C', 'c@x', 'C', 'HR', 'M2', 'launched', false, 1.0D, current_timestamp() - INTERVAL 90 DAYS""")
+    gold_cc = spark.createDataFrame([(9, 50.0)], "enrolled int, completion_rate_pct double")
+    kpis = reports.overview_kpis(silver, gold_cc, spark.range(2)).first()
+    assert kpis.total_learners == 3 and kpis.active_this_month in (1, 2)
+    late = {r.learner_email: r.days_inactive for r in reports.at_risk_learners(silver).collect()}
+    assert late.keys() == {"b@x", "c@x"} and late["b@x"] in (30, 31) and late["c@x"] in (90, 91)
