@@ -44,17 +44,18 @@ TITLES = "|".join(sorted((*FEMALE_TITLES, *MALE_TITLES, *PLAIN_TITLES), key=len,
 GIVEN = "|".join((*FEMALE, *MALE))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)*\.\p{{L}}{{2,}}"
-SECRET = rf"(?<!{WORD})(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?!{WORD})"
-IBAN = rf"(?<!{WORD})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})"
-CARD = rf"(?<!{WORD})(?<!\d[.-])(?:\d{{4}}([ -]?)\d{{4}}\1\d{{4}}\1\d{{4}}|\d{{4}}([ -]?)\d{{6}}\2\d{{5}})(?![.-]?\d)(?!{WORD})"
-SSN = rf"(?<!{WORD})(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})(?!-)"
-PHONE = rf"(?<!{WORD})(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,4}}(?:[ .-]?\d{{2,4}}){{1,5}}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{WORD})"
-IP = rf"(?<!{WORD})(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD})(?!\.\d)"
+SECRET = rf"(?=[A-Za-z_-]{{0,128}}\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?!{WORD})"
+IBAN = rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})"
+CARD = rf"(?<!\d[.-])(?:\d{{4}}([ -]?)\d{{4}}\1\d{{4}}\1\d{{4}}|\d{{4}}([ -]?)\d{{6}}\2\d{{5}})(?![.-]?\d)(?!{WORD})"
+SSN = rf"(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})(?!-)"
+PHONE = rf"(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,4}}(?:[ .-]?\d{{2,4}}){{1,5}}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{WORD})"
+IP = rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD})(?!\.\d)"
 PERSON = rf"(?<!\p{{L}})(?:(?:{TITLES})\.? (?:{NAME} )?{NAME}|(?:{GIVEN}) {NAME})(?!\p{{L}})"
-# The card pattern's two groups are the first ones of the whole.
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, CARD, IP, SSN, PHONE, PERSON))
-#: A quick look that every entity passes: a sign or a run that its pattern needs.
-HINT = rf"@|[0-9a-f]{{32}}|[0-9A-F]{{32}}|AKIA|gh[pousr]_|sk-|[A-Z]{{2}}\d\d|\d{{4}}|\d{{3}}[-)]|\+\d|\d\.\d+\.\d|(?:{TITLES}|{GIVEN})[. ]"
+# The card pattern's two groups are the first ones of the whole. Only a sign that can begin a numbered entity is looked at closely.
+NUMBERED = rf"(?=[0-9A-Za-z+(])(?<!{WORD})(?:{SECRET}|{IBAN}|{CARD}|{IP}|{SSN}|{PHONE})"
+ANY = f"{EMAIL}|{NUMBERED}|{PERSON}"
+#: A quick look that every entity passes: each has an @, a digit, or the beginning of a name.
+HINT = rf"[0-9@]|(?=[\p{{Lu}}])(?:{TITLES}|{GIVEN})[. ]"
 
 
 def _lit(x) -> Column:
