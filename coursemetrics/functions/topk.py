@@ -12,7 +12,3 @@ def top_k_per_group(df: DataFrame, group: str, order: list, k: int, rank_col: st
     ranked = df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k)
     return ranked.withColumn(rank_col, F.col(rank_col).cast("bigint"))
 
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; reads at most max_rows + 1 of them."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -3,41 +3,36 @@ BM25 keyword scoring, rank fusion, facets.
 
 Scale notes
 -----------
-* Requests (queries) are the small side. They are broadcast only after a
-  checked row bound; larger request sets are processed in bounded chunks
-  whose results are unioned, so the answer stays exact.
-* Vector search scores document partitions against the request matrix in
-  ``mapInPandas`` (numpy on Arrow batches) and emits only each partition's
-  top k per request; the final top k is a window with a partial group limit
-  before its shuffle. No request x document pairs are shuffled.
-* Keyword search tokenises each document once; tokens of terms no request
-  uses are folded into one row per document by the map-side combine on
-  (document, term), and the postings are placed by document (a huge document
-  moves at most one row per request term). Scores, document frequencies and
-  the token total share that one exchange. The join with the request terms
-  and the per (request, document) sums run on that placement; only
-  per-partition top-k rows reach the final shuffle.
+* Every function returns a lazy frame; nothing runs while a plan is built, and there is one
+  plan for all sizes.
+* Requests (queries) are the small side: packed into one row, broadcast once, read by each task
+  with the first row of its partition. The plan checks the size of that row itself;
+  larger request sets are given as ``request_blocks``, whose results are unioned exactly.
+* Documents are scored where they are scanned, in blocks of documents by requests (numpy on
+  Arrow batches), and each task emits its k best rows per request. No document and no
+  (request, document) pair is shuffled; the final top k is a window with a partial group
+  limit before its shuffle.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from coursemetrics.functions.topk import fits, top_k_per_group
-from coursemetrics.sources.tables import ensure_parallelism
+from coursemetrics.functions.topk import top_k_per_group
 
 # Fixed values (our ranking choices; the hosted ranker's formula is not public).
 BM25_K1 = 1.2
 BM25_B = 0.75
 RRF_K = 60
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-MAX_BROADCAST_REQUESTS = 5_000
-MAX_BROADCAST_TERMS = 200_000
+MAX_REQUEST_BYTES = 64 << 20
+CELLS = 1 << 21     # documents x requests scored at once
 
 # filter spec: (document column, request column, "eq" | "le")
 COURSE_FILTERS = [("department", "department", "eq"), ("skill_level", "skill_level", "eq"),
@@ -46,14 +41,15 @@ COURSE_FILTERS = [("department", "department", "eq"), ("skill_level", "skill_lev
 
 # ── documents (G1, G2, G8, G9) ─────────────────────────────────────────────
 
-def course_embed_text(dim_courses: DataFrame) -> DataFrame:
+def course_embed_text(dim_courses: DataFrame, *keep: str) -> DataFrame:
+    """``embed_text`` of every course; ``keep`` names further catalogue columns to carry along."""
     skills = F.array_join(F.coalesce(F.col("skills_taught"), F.array().cast("array<string>")), ", ")
     text = F.concat(
         F.lit("Title: "), F.col("title"), F.lit("\nDepartment: "), F.col("department"),
         F.lit("\nLevel: "), F.col("skill_level"), F.lit("\nFormat: "), F.col("format"),
         F.lit("\nDuration: "), F.col("duration_hours").cast("string"), F.lit(" hours"),
         F.lit("\nSkills: "), skills, F.lit("\nDescription: "), F.col("description"))
-    return dim_courses.select("course_id", text.alias("embed_text"))
+    return dim_courses.select("course_id", text.alias("embed_text"), *keep)
 
 
 def course_vectors_from_embeddings(embeddings: DataFrame) -> DataFrame:
@@ -108,84 +104,178 @@ def search_filter(department=None, skill_level=None, format_filter=None, max_dur
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
 
-def _filter_expr(filters, doc_prefix: str = "", req_prefix: str = "") -> Column:
-    preds = []
-    for dcol, rcol, op in filters or []:
-        d, r = F.col(doc_prefix + dcol), F.col(req_prefix + rcol)
-        preds.append(r.isNull() | ((d == r) if op == "eq" else (d <= r)))
-    return reduce(lambda a, b: a & b, preds, F.lit(True))
+# ── requests beside document batches ───────────────────────────────────────
+
+REQUESTS, STATS = "__requests", "__stats"
+
+
+def _packed(requests: DataFrame, fields: list[Column], size: Column) -> DataFrame:
+    """All requests in one row for one broadcast. The plan itself proves the bound: beyond
+    MAX_REQUEST_BYTES the job stops and asks for more ``request_blocks``."""
+    all_in_one = requests.agg(F.collect_list(F.struct(*fields)).alias(REQUESTS), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
+                              F.min(F.lit(0)).alias("__key"))
+    too_many = F.raise_error(F.lit(f"one block of requests is larger than {MAX_REQUEST_BYTES} bytes: give more request_blocks"))
+    return all_in_one.select("__key", F.when(F.col("bytes") <= MAX_REQUEST_BYTES, F.col(REQUESTS)).otherwise(too_many).alias(REQUESTS))
+
+
+def _blocks(requests: DataFrame, query_id: str, blocks: int) -> list[DataFrame]:
+    bucket = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    return [requests.filter(bucket == i) for i in range(blocks)] if blocks > 1 else [requests]
+
+
+def _beside(docs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``docs`` with the packed requests in the first row of every partition: a task reads them once,
+    documents are neither shuffled nor copied, and nothing runs before the plan does."""
+    first = F.when(F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0, F.lit(0))
+    return (docs.withColumn("__first", first)
+            .join(F.broadcast(packed), F.col("__first") == F.col("__key"), "left").drop("__first", "__key"))
+
+
+def _sortable(ids: pa.Array) -> np.ndarray:
+    values = ids.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values
+
+
+class _Filters:
+    """The filter values of all requests: codes for equality, bounds for "le"; null means no condition."""
+
+    def __init__(self, rows: list[dict], filters):
+        self.specs = list(filters or [])
+        self.wanted = []
+        for _, r, op in self.specs:
+            values = [row[r] for row in rows]
+            if op == "eq":
+                codes = {v: i for i, v in enumerate(dict.fromkeys(v for v in values if v is not None))}
+                self.wanted.append((codes, np.array([-1 if v is None else codes[v] for v in values], np.int64)))
+            else:
+                self.wanted.append((None, np.array([np.nan if v is None else float(v) for v in values])))
+
+    def document_values(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for (d, _, op), (codes, _) in zip(self.specs, self.wanted):
+            values = batch.column(d).to_pylist()
+            out.append(np.array([codes.get(v, -2) for v in values], np.int64) if op == "eq"
+                       else np.array([np.inf if v is None else float(v) for v in values]))
+        return out
+
+    def refuse(self, scores: np.ndarray, documents: list[np.ndarray], rows: np.ndarray, requests: np.ndarray | slice, value) -> None:
+        """Set the cells (document of ``rows``, request) that a filter excludes to ``value``."""
+        for (_, _, op), (_, wanted), own in zip(self.specs, self.wanted, documents):
+            w, o = wanted[requests][None, :], own[rows][:, None]
+            scores[(w >= 0) & (o != w) if op == "eq" else ~(np.isnan(w) | (o <= w))] = value
+
+
+class _TopK:
+    """Best k documents of every request over the batches of a task: score (as an integer) descending, id ascending.
+
+    A key holds the score and the place of the document in the sorted ids of its batch, so one partition of a
+    key matrix finds the k best of all requests at once; a request whose best new key does not reach its k-th
+    score is left out.
+    """
+
+    PLACES = 1 << 20
+
+    def __init__(self, k: int, requests: int):
+        self.k, self.scores, self.ids = k, np.full((k, requests), -1, np.int64), None
+
+    def offer(self, scores: np.ndarray, ids: np.ndarray, requests: np.ndarray | None = None) -> None:
+        """scores: documents in id order by requests; negative ones are no match."""
+        columns = np.arange(self.scores.shape[1]) if requests is None else requests
+        keep = scores.max(0) >= np.maximum(self.scores[-1, columns], 0)
+        if not keep.any():
+            return
+        columns, scores = columns[keep], scores[:, keep]
+        keys = np.where(scores >= 0, scores * self.PLACES + (self.PLACES - 1 - np.arange(len(ids)))[:, None], -1)
+        if len(ids) > self.k:
+            keys = np.partition(keys, len(ids) - self.k, axis=0)[-self.k:]
+        best, place = keys // self.PLACES, self.PLACES - 1 - keys % self.PLACES
+        best[keys < 0], place[keys < 0] = -1, 0
+        if self.ids is None:
+            self.ids = np.full(self.scores.shape, ids[0])
+        if self.ids.dtype.kind == "U":  # numpy strings have a width
+            self.ids = self.ids.astype(np.promote_types(self.ids.dtype, ids.dtype))
+        all_scores = np.concatenate([self.scores[:, columns], best])
+        all_ids = np.concatenate([self.ids[:, columns], ids[place]])
+        order = np.argsort(all_ids, axis=0, kind="stable")
+        order = np.take_along_axis(order, np.argsort(-np.take_along_axis(all_scores, order, 0), axis=0, kind="stable"), 0)[:self.k]
+        self.scores[:, columns] = np.take_along_axis(all_scores, order, 0)
+        self.ids[:, columns] = np.take_along_axis(all_ids, order, 0)
+
+    def rows(self, query_ids: list, schema: pa.Schema, offset: int = 0) -> pa.RecordBatch | None:
+        if self.ids is None:
+            return None
+        at, request = np.nonzero(self.scores >= 0)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([query_ids[r] for r in request.tolist()], schema.field(0).type), pa.array(self.ids[at, request].tolist(), schema.field(1).type),
+             pa.array((self.scores[at, request] - offset) / 1e6, pa.float64())], schema=schema)
+
+
+def _result_schema(requests: DataFrame, query_id: str, docs: DataFrame, doc_id: str, value: str) -> T.StructType:
+    return T.StructType([T.StructField("query_id", requests.schema[query_id].dataType), T.StructField("doc_id", docs.schema[doc_id].dataType),
+                         T.StructField(value, T.DoubleType())])
 
 
 # ── exact vector top-k (G4) ────────────────────────────────────────────────
 
-def _local_vector_topk(bc, filters, k, doc_id, vec):
-    """``bc``: broadcast of (request ids, unit request matrix, request filter values)."""
+ONE = 2_000_000  # a cosine of -1 is stored as 1,000,000: stored values are never negative
+
+
+def _local_vector_topk(k: int, filters, arrow: pa.Schema):
     def run(batches):
-        q_ids, q_mat, q_filters = bc.value
-        for pdf in batches:
-            pdf = pdf[pdf[vec].notna()]
-            if pdf.empty:
+        top = rows = None
+        for batch in batches:
+            if rows is None:
+                rows = [r for r in batch.column(REQUESTS)[0].as_py() or [] if r["qv"]]
+                q = np.array([r["qv"] for r in rows], np.float64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    q = q / np.linalg.norm(q, axis=1, keepdims=True) if rows else q
+                told, top = _Filters(rows, filters), _TopK(k, len(rows))
+                # Requests with the same equality values are scored together, against the documents that have them.
+                groups: dict[tuple, list[int]] = {}
+                for j in range(len(rows)):
+                    groups.setdefault(tuple(int(w[j]) for (_, _, op), (_, w) in zip(told.specs, told.wanted) if op == "eq"), []).append(j)
+            vectors = batch.column("vec")
+            dims = np.array(pc.list_value_length(vectors).fill_null(-1))
+            valid = np.flatnonzero(dims == (q.shape[1] if rows else -2))
+            if not len(valid):
                 continue
-            d = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            dn = np.linalg.norm(d, axis=1)
+            d = vectors.take(pa.array(valid)).flatten().to_numpy(zero_copy_only=False).reshape(len(valid), -1)
+            ids = _sortable(batch.column("doc_id"))[valid]
+            order = np.argsort(ids, kind="stable")
+            valid, d, ids = valid[order], d[order], ids[order]
             with np.errstate(invalid="ignore", divide="ignore"):
-                sims = np.round((d @ q_mat.T) / dn[:, None], 6)          # docs x requests
-            ids = pdf[doc_id].to_numpy()
-            out_q, out_d, out_s = [], [], []
-            for j, qid in enumerate(q_ids):
-                s = sims[:, j]
-                ok = ~np.isnan(s)
-                for (dcol, rcol, op), fv in zip(filters or [], q_filters[j]):
-                    if fv is None or (isinstance(fv, float) and math.isnan(fv)):
-                        continue
-                    col = pdf[dcol].to_numpy()
-                    ok &= (col == fv) if op == "eq" else (col <= fv)
-                cand = np.nonzero(ok)[0]
-                if cand.size == 0:
-                    continue
-                top = cand[np.lexsort((ids[cand], -s[cand]))][:k]
-                out_q.extend([qid] * len(top))
-                out_d.extend(ids[top].tolist())
-                out_s.extend(s[top].tolist())
-            yield pd.DataFrame({"query_id": out_q, "doc_id": out_d, "similarity": out_s})
+                d = d / np.linalg.norm(d, axis=1, keepdims=True)
+            own = told.document_values(batch)
+            equal = [o for (_, _, op), o in zip(told.specs, own) if op == "eq"]
+            for key, members in groups.items():
+                mask = np.ones(len(valid), bool)
+                for o, w in zip(equal, key):
+                    mask &= (w < 0) | (o[valid] == w)
+                here = np.flatnonzero(mask)
+                for a in range(0, len(here), max(1, CELLS // len(members))):
+                    some, columns = here[a:a + max(1, CELLS // len(members))], np.array(members)
+                    sims = np.round(d[some] @ q[columns].T, 6)
+                    scores = np.where(np.isnan(sims), -1, np.rint(np.nan_to_num(sims) * 1e6).astype(np.int64) + ONE)
+                    told.refuse(scores, own, valid[some], columns, -1)
+                    top.offer(scores, ids[some], columns)
+        if top is not None and (out := top.rows([r["query_id"] for r in rows], arrow, ONE)) is not None:
+            yield out
     return run
 
 
-def _request_chunks(requests: DataFrame, query_id: str, max_rows: int) -> list[DataFrame]:
-    if fits(requests, max_rows):
-        return [requests]
-    n = requests.count()
-    chunks = -(-n // max_rows)
-    bucket = F.pmod(F.xxhash64(F.col(query_id)), F.lit(chunks))
-    return [requests.filter(bucket == i) for i in range(chunks)]
-
-
 def vector_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "doc_id", vec: str = "vector",
-                 query_id: str = "query_id", query_vec: str = "query_vector", filters=None,
-                 max_broadcast_requests: int = MAX_BROADCAST_REQUESTS) -> DataFrame:
-    """Exact cosine nearest neighbours: (query_id, doc_id, similarity rounded to 6, rank)."""
-    fcols = [d for d, _, _ in filters or []]
-    dsel = docs.select(F.col(doc_id).alias(doc_id), F.col(vec).cast("array<double>").alias(vec), *fcols)
-    id_type = dict(docs.select(doc_id).dtypes)[doc_id]
-    qid_type = dict(requests.select(query_id).dtypes)[query_id]
-    schema = f"query_id {qid_type}, doc_id {id_type}, similarity double"
-    parts = []
-    for chunk in _request_chunks(requests, query_id, max_broadcast_requests):
-        rows = chunk.select(query_id, F.col(query_vec).cast("array<double>").alias("qv"),
-                            *[r for _, r, _ in filters or []]).collect()     # bounded by the chunk size
-        rows = [r for r in rows if r["qv"] is not None]
-        if not rows:
-            continue
-        q = np.array([r["qv"] for r in rows], dtype=np.float64)
-        q = q / np.linalg.norm(q, axis=1, keepdims=True)
-        q_filters = [[r[rc] for _, rc, _ in filters or []] for r in rows]
-        bc = dsel.sparkSession.sparkContext.broadcast(([r[query_id] for r in rows], q, q_filters))
-        fn = _local_vector_topk(bc, filters, k, doc_id, vec)
-        parts.append(dsel.mapInPandas(fn, schema))
-    if not parts:
-        return dsel.sparkSession.createDataFrame([], schema + ", rank int")
-    allp = reduce(DataFrame.unionByName, parts)
-    return top_k_per_group(allp, "query_id", [F.desc("similarity"), "doc_id"], k)
+                 query_id: str = "query_id", query_vec: str = "query_vector", filters=None, request_blocks: int = 1) -> DataFrame:
+    """Exact cosine nearest neighbours: (query_id, doc_id, similarity rounded to 6, rank).
+
+    Lazy. Documents are scanned once for each of ``request_blocks``, against all requests of a block.
+    """
+    schema = _result_schema(requests, query_id, docs, doc_id, "similarity")
+    dsel = docs.select(F.col(doc_id).alias("doc_id"), F.col(vec).cast("array<double>").alias("vec"), *[d for d, _, _ in filters or []])
+    fields = [F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qv"), *[F.col(r) for _, r, _ in filters or []]]
+    run = _local_vector_topk(k, filters, to_arrow_schema(schema))
+    parts = [_beside(dsel, _packed(block, fields, 8 * F.size(query_vec) + 32)).mapInArrow(run, schema)
+             for block in _blocks(requests, query_id, request_blocks)]
+    return top_k_per_group(reduce(DataFrame.unionByName, parts), "query_id", [F.desc("similarity"), "doc_id"], k)
 
 
 def label_centroids(embeddings: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -203,65 +293,128 @@ def tokens(col) -> Column:
     return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != "")
 
 
+def _terms_of(rows: list[dict]) -> tuple[pa.Array, list[list[int]]]:
+    """All distinct request terms, and the term numbers of each request."""
+    number = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"] or []}))}
+    return pa.array(list(number), pa.string()), [[number[t] for t in r["terms"] or []] for r in rows]
+
+
+def _hits(tokens_: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) of the request terms in a batch of token lists, ordered by document."""
+    lengths = np.array(pc.list_value_length(tokens_).fill_null(0))
+    found = pc.index_in(tokens_.flatten(), value_set=terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    at = found >= 0
+    keys, tf = np.unique(doc[at] * max(1, len(terms)) + found[at], return_counts=True)
+    return keys // max(1, len(terms)), keys % max(1, len(terms)), tf
+
+
+def _local_statistics(batches):
+    """Documents, texts, tokens, and the document frequency of every request term in a task."""
+    rows, df, told = None, None, np.zeros(3, np.int64)
+    for batch in batches:
+        if rows is None:
+            terms, _ = _terms_of(batch.column(REQUESTS)[0].as_py() or [])
+            rows, df = True, np.zeros(len(terms), np.int64)
+        toks = batch.column("toks")
+        _, term, _ = _hits(toks, terms)
+        df += np.bincount(term, minlength=len(df))
+        told += [batch.num_rows, batch.num_rows - toks.null_count, len(toks.flatten())]
+    if rows:
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([*NAMES, *["term"] * len(some)]), pa.concat_arrays([pa.nulls(3, pa.string()), terms.take(pa.array(some))]),
+                                          pa.array([*told.tolist(), *df[some].tolist()], pa.int64())], names=["kind", "term", "n"])
+
+
+NAMES = ("documents", "texts", "tokens")
+
+
+def _local_bm25(k: int, filters, k1: float, b: float, arrow: pa.Schema):
+    def run(batches):
+        rows = top = None
+        for batch in batches:
+            if rows is None:
+                rows = batch.column(REQUESTS)[0].as_py() or []
+                stats = {(x["kind"], x["term"]): x["n"] for x in batch.column(STATS)[0].as_py() or []}
+                terms, of = _terms_of(rows)
+                n, average = stats.get(("documents", None), 0), stats.get(("tokens", None), 0) / max(1, stats.get(("texts", None), 0))
+                df = np.array([stats.get(("term", t), 0) for t in terms.to_pylist()], np.float64)
+                idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+                # Requests of each term, one after the other.
+                pairs = sorted((t, r) for r, ts in enumerate(of) for t in ts)
+                asking = np.array([r for _, r in pairs], np.int64)
+                begin = np.searchsorted([t for t, _ in pairs], np.arange(len(terms) + 1)) if pairs else np.zeros(len(terms) + 1, np.int64)
+                told, top = _Filters(rows, filters), _TopK(k, len(rows))
+            if not len(asking):
+                continue
+            ids, own = _sortable(batch.column("doc_id")), told.document_values(batch)
+            doc, term, tf = _hits(batch.column("toks"), terms)
+            dl = np.array(pc.list_value_length(batch.column("toks")).fill_null(0))
+            weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[doc] / max(average, 1e-12)))
+            by_id = np.argsort(ids, kind="stable")
+            place = np.empty(len(ids), np.int64)
+            place[by_id] = np.arange(len(ids))
+            doc = place[doc]
+            order = np.argsort(doc, kind="stable")
+            doc, term, weight = doc[order], term[order], weight[order]
+            step = max(1, CELLS // len(rows))
+            for first in range(0, len(ids), step):
+                x, y = np.searchsorted(doc, [first, first + step])
+                here = by_id[first:first + step]
+                scores = _dense_scores(doc[x:y] - first, term[x:y], weight[x:y], len(here), len(rows), asking, begin)
+                whole = np.where(scores > 0, np.rint(scores * 1e6).astype(np.int64), -1)
+                told.refuse(whole, own, here, slice(None), -1)
+                top.offer(whole, ids[here])
+        if top is not None and (out := top.rows([r["query_id"] for r in rows], arrow)) is not None:
+            yield out
+    return run
+
+
+def _dense_scores(doc, term, weight, n_docs: int, n_requests: int, asking: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Summed weights, documents by requests. Terms in many documents of the block are a matrix product, so a word that
+    nearly every text has costs no (request, document) pairs; the others are added up pair by pair."""
+    out = np.zeros(n_docs * n_requests)
+    used, of = np.unique(term, return_inverse=True)
+    often = np.bincount(of, minlength=len(used)) * 8 > n_docs
+    rare = ~often[of] if len(used) else np.zeros(0, bool)
+    size = (begin[1:] - begin[:-1])[term[rare]]
+    at = np.repeat(begin[term[rare]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    out += np.bincount(np.repeat(doc[rare], size) * n_requests + asking[at], np.repeat(weight[rare], size), len(out))
+    out = out.reshape(n_docs, n_requests)
+    if often.any():
+        common = np.flatnonzero(often)
+        column = np.full(len(used), -1)
+        column[common] = np.arange(len(common))
+        left, right = np.zeros((n_docs, len(common))), np.zeros((len(common), n_requests))
+        left[doc[~rare], column[of[~rare]]] = weight[~rare]
+        for c, t in enumerate(used[common]):
+            right[c, asking[begin[t]:begin[t + 1]]] = 1
+        out += left @ right
+    return out
+
+
 def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text",
                   query_id: str = "query_id", query_text: str = "query_text", filters=None,
-                  k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+                  k1: float = BM25_K1, b: float = BM25_B, request_blocks: int = 1) -> DataFrame:
     """BM25 over whole texts: (query_id, doc_id, score rounded to 6, rank).
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once.
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once. Lazy: one pass over the
+    documents counts (a row for each request term and task), a second one scores in their own partitions and
+    leaves k rows for each request and task; texts are not shuffled. Both passes are repeated for each of
+    ``request_blocks``.
     """
-    fcols = [d for d, _, _ in filters or []]
-    rcols = [r for _, r, _ in filters or []]
-    qterms = requests.select(F.col(query_id).alias("query_id"), *[F.col(r).alias("r_" + r) for r in rcols],
-                             F.explode(F.array_distinct(tokens(query_text))).alias("term"))
-    small = fits(qterms, MAX_BROADCAST_TERMS)
-    # Documents are tokenised once. Every token stays in the postings: occurrences of terms no
-    # request uses get the term "" (a broadcast left join flags the request terms; real tokens
-    # are never empty), so the partial aggregate folds them into one row per document while the
-    # exact token total survives for avgdl. explode_outer keeps empty documents and stops the
-    # optimizer from inferring a token filter below the scan's round-robin (which would tokenise
-    # in the single scan task of a one-row-group file). ``term`` is non-nullable, so the joins
-    # on it infer no filter that could be pushed below the shared exchange.
-    # tokenising is the per-row cost: a document input with fewer partitions than task slots
-    # (a small catalogue in one file) is spread first; large inputs pass unchanged
-    occ = ensure_parallelism(docs).select(F.col(doc_id).alias("doc_id"), *fcols, tokens(text).alias("toks")) \
-        .select("doc_id", *fcols, F.size("toks").alias("dl"), F.explode_outer("toks").alias("tok"))
-    if small:
-        hit = qterms.select(F.col("term").alias("tok")).distinct().withColumn("hit", F.lit(True))
-        occ = (occ.join(F.broadcast(hit), "tok", "left")
-               .withColumn("term", F.coalesce(F.when(F.col("hit"), F.col("tok")), F.lit(""))))
-    else:
-        occ = occ.withColumn("term", F.coalesce(F.col("tok"), F.lit("")))
-    # Term frequencies: partial aggregation on (document, term) first, so a very large document
-    # is spread over tasks by term; the postings (at most one row per document and request
-    # term, plus one for the other terms) are then placed by document. The join with the
-    # request terms and the per (request, document) sums run on that placement without another
-    # exchange. An explicit partition count: AQE would coalesce this (small) exchange, but the
-    # join below multiplies rows and runs on this placement.
-    # The three consumers below (scores, document frequencies, token total) all read ``tf``,
-    # so their plans below the exchange are identical and Spark computes it once (ReusedExchange).
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    post_all = (occ.groupBy("doc_id", *fcols, "dl", "term").agg(F.count("tok").alias("tf"))
-                .repartition(n_parts, "doc_id"))
-    # Corpus statistics as scalar subqueries: document counts need no tokens (count(text) skips
-    # NULL texts, which have no length, as AVG does), the token total comes from the postings.
-    counts = docs.agg(F.count("*").alias("n"), F.count(text).alias("n_text"))
-    n_docs = counts.select("n").scalar()
-    avgdl = post_all.agg(F.sum("tf").alias("t")).select("t").scalar() / counts.select("n_text").scalar()
-    # df: documents in which the term occurs (tf > 0); the "" row never meets a request term
-    dfreq = post_all.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, 1)).alias("df"))
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # BM25 weight of each posting before the request join: computed once per (document, term),
-    # not once per (request, document, term).
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    weighted = (post_all.join(F.broadcast(dfreq) if small else dfreq, "term")
-                .select("doc_id", *fcols, "term", weight.alias("w")))
-    joined = weighted.join(F.broadcast(qterms) if small else qterms, "term")
-    if filters:
-        joined = joined.filter(_filter_expr(filters, "", "r_"))
-    scores = (joined.groupBy("query_id", "doc_id").agg(F.sum("w").alias("score"))
-              .withColumn("score", F.round("score", 6)))
-    return top_k_per_group(scores, "query_id", [F.desc("score"), "doc_id"], k)
+    schema = _result_schema(requests, query_id, docs, doc_id, "score")
+    dsel = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"), *[d for d, _, _ in filters or []])
+    fields = [F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("terms"), *[F.col(r) for _, r, _ in filters or []]]
+    run, parts = _local_bm25(k, filters, k1, b, to_arrow_schema(schema)), []
+    for block in _blocks(requests, query_id, request_blocks):
+        packed = _packed(block, fields, F.coalesce(F.octet_length(query_text), F.lit(0)) + 32)
+        counted = _beside(dsel.select("toks"), packed).mapInArrow(_local_statistics, "kind string, term string, n long")
+        # At most one row for each request term, which the packed requests bound.
+        statistics = (counted.groupBy("kind", "term").agg(F.sum("n").alias("n"))
+                      .agg(F.collect_list(F.struct("kind", "term", "n")).alias("s")).select("s").scalar())
+        parts.append(_beside(dsel, packed.withColumn(STATS, statistics)).mapInArrow(run, schema))
+    return top_k_per_group(reduce(DataFrame.unionByName, parts), "query_id", [F.desc("score"), "doc_id"], k)
 
 
 # ── hybrid search (G6) and skill search (G7) ───────────────────────────────
@@ -273,11 +426,11 @@ def reciprocal_rank_fusion(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def hybrid_search(docs: DataFrame, requests: DataFrame, top: int = 5, doc_id: str = "doc_id",
-                  text: str = "text", vec: str = "vector", filters=None) -> DataFrame:
+                  text: str = "text", vec: str = "vector", filters=None, request_blocks: int = 1) -> DataFrame:
     """Vector (2*top over-fetch) and keyword (2*top) lists fused by RRF; top per request."""
     vreq = requests.filter(F.col("query_vector").isNotNull())
-    v = vector_top_k(docs, vreq, 2 * top, doc_id, vec, filters=filters)
-    kw = keyword_top_k(docs, requests, 2 * top, doc_id, text, filters=filters)
+    v = vector_top_k(docs, vreq, 2 * top, doc_id, vec, filters=filters, request_blocks=request_blocks)
+    kw = keyword_top_k(docs, requests, 2 * top, doc_id, text, filters=filters, request_blocks=request_blocks)
     fused = reciprocal_rank_fusion(v, kw).withColumn("rrf", F.round("rrf", 8))
     return top_k_per_group(fused, "query_id", [F.desc("rrf"), "doc_id"], top)
 
@@ -296,6 +449,10 @@ def gap_skill_requests(gold_department_skills: DataFrame, n_skills: int = 3) ->
 
 
 def search_by_skills(docs: DataFrame, requests: DataFrame, top: int = 5) -> DataFrame:
-    """Keyword search of the catalogue text with each request's department filter."""
-    return keyword_top_k(docs, requests, top, doc_id="course_id", text="embed_text",
+    """Hybrid search of the catalogue with each request's department filter.
+
+    docs: course_id, embed_text, content_vector, department; requests: query_id, query_text, query_vector, department
+    (a null department or vector: no filter, keyword search alone).
+    """
+    return hybrid_search(docs, requests, top, doc_id="course_id", text="embed_text", vec="content_vector",
                          filters=[("department", "department", "eq")])

@@ -10,9 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemetrics.plans.oracle import sr, with_binding
+from coursemetrics.functions.lookup import pick
+from coursemetrics.plans.oracle import DEPTS, FMTS, LEVELS, sr, with_binding
 from coursemetrics.session import configure
-from coursemetrics.sources.binding import Binding
+from coursemetrics.sources.binding import DEPARTMENTS, FORMATS, SKILL_LEVELS, Binding
 from coursemetrics.functions.rounding import stable_round
 from coursemetrics.operators import gold, reports, features
 
@@ -463,6 +464,33 @@ SEARCH_TOP = 5
 VECTOR_TOP = 10
 
 
+def _searchable(b: Binding, *keep: str) -> DataFrame:
+    """Catalogue text and vector, with the columns that requests filter on."""
+    return search.course_embed_text(b.dim_courses, *keep).join(
+        search.course_vectors_from_embeddings(b.table("embeddings")), "course_id", "left")
+
+
+def _with_vector(b: Binding, requests: DataFrame, vec_id) -> DataFrame:
+    """Requests with the vector that the binding gives them (none beyond the last vector)."""
+    vectors = b.table("embeddings").select(F.col("vec_id").alias("_vec"), F.col("embedding").alias("query_vector"))
+    return requests.withColumn("_vec", vec_id).join(vectors, "_vec", "left").drop("_vec")
+
+
+def _hybrid_ctes(p: str, docs_sql: str, req_sql: str, filters: str = "TRUE") -> str:
+    """CTEs ending in ``{p}_top`` (query_id, doc_id, rrf, rank). docs_sql: doc_id, text, v, filter columns; req_sql: query_id,
+    query_text, qv, filter columns. ``filters`` uses d.* and q.*."""
+    def columns(sql: str, drop: str) -> str:
+        return f"SELECT * EXCLUDE ({drop}) FROM ({sql}) s{drop[0]}"
+    return (vector_ctes(p + "v", docs_sql, req_sql, 2 * SEARCH_TOP, filters).strip() + ","
+            + bm25_ctes(p + "k", columns(docs_sql, "v"), columns(req_sql, "qv"), 2 * SEARCH_TOP,
+                        filters.replace("d.", "post.").replace("q.", "qt.")).rstrip() + f""",
+{p}_fused AS (SELECT query_id, doc_id, round(SUM(1.0 / (60 + rank)), 8) AS rrf
+          FROM (SELECT query_id, doc_id, rank FROM {p}v_top UNION ALL SELECT query_id, doc_id, rank FROM {p}k_top) u
+          GROUP BY query_id, doc_id),
+{p}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank
+                           FROM {p}_fused) x WHERE rank <= {SEARCH_TOP})""")
+
+
 def _catalogue_docs(b: Binding) -> DataFrame:
     return search.search_docs(b.dim_courses, _gcc(b), search.course_vectors_from_embeddings(b.table("embeddings")))
 
@@ -546,14 +574,8 @@ _HYB_REQ = ("SELECT b.item_id AS query_id, b.text AS query_text, CAST(e.embeddin
             "FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id")
 
 
-@register("hybrid_search", "WITH " + vector_ctes("hv", _HYB_DOCS, _HYB_REQ, 2 * SEARCH_TOP).strip() + ","
-          + bm25_ctes("hk", "SELECT doc_id, text FROM documents", "SELECT query_id, query_text FROM (" + _HYB_REQ
-                      + ") r", 2 * SEARCH_TOP).rstrip() + f""",
-fused AS (SELECT query_id, doc_id, round(SUM(1.0 / (60 + rank)), 8) AS rrf
-          FROM (SELECT query_id, doc_id, rank FROM hv_top UNION ALL SELECT query_id, doc_id, rank FROM hk_top) u
-          GROUP BY query_id, doc_id)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, doc_id) AS rank FROM fused) x
-WHERE rank <= {SEARCH_TOP}""", bind=False)
+@register("hybrid_search", "WITH " + _hybrid_ctes("hy", _HYB_DOCS, _HYB_REQ)
+          + "\nSELECT query_id, doc_id, rrf, rank FROM hy_top", bind=False)
 def _hybrid(b):
     emb = b.table("embeddings")
     docs = (b.table("documents").select("doc_id", "text")
@@ -564,20 +586,55 @@ def _hybrid(b):
     return search.hybrid_search(docs, reqs, SEARCH_TOP)
 
 
-_GAP_REQ = """
-SELECT department AS query_id, department,
+# One request per learner: the learner's department, a level, a format and a longest duration by learner number.
+_LEARNER_REQ = f"""
+SELECT c_custkey AS query_id, 'Courses about ' || job_title || ' in ' || department AS query_text, CAST(e.embedding AS DOUBLE[]) AS qv,
+       department AS r_department, ({LEVELS})[c_custkey % 3 + 1] AS r_level,
+       CASE WHEN c_custkey % 2 = 0 THEN ({FMTS})[c_custkey % 4 + 1] END AS r_format,
+       CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey % 50 AS DOUBLE) END AS r_hours
+FROM dim_learners LEFT JOIN embeddings e ON e.vec_id = c_custkey"""
+_CATALOGUE_DOCS = f"""
+SELECT c.course_id AS doc_id, {EMBED_TEXT_SQL} AS text, CAST(e.embedding AS DOUBLE[]) AS v, department, skill_level, format,
+       CAST(duration_hours AS DOUBLE) AS duration_hours
+FROM dim_courses c LEFT JOIN embeddings e ON c.course_id = printf('COURSE-%04d', e.vec_id + 1)"""
+_ALL_FILTERS = ("(q.r_department IS NULL OR d.department = q.r_department) AND (q.r_level IS NULL OR d.skill_level = q.r_level) "
+                "AND (q.r_format IS NULL OR d.format = q.r_format) AND (q.r_hours IS NULL OR d.duration_hours <= q.r_hours)")
+
+
+@register("filtered_hybrid_search", "WITH " + _hybrid_ctes("fh", _CATALOGUE_DOCS, _LEARNER_REQ, _ALL_FILTERS)
+          + "\nSELECT query_id, doc_id AS course_id, rrf, rank FROM fh_top")
+def _filtered_hybrid(b):
+    """Department, level, format and duration filters on one hybrid request per learner."""
+    key = F.regexp_extract("learner_id", r"(\d+)$", 1).cast("bigint")
+    reqs = b.dim_learners.select(
+        key.alias("query_id"), F.concat(F.lit("Courses about "), "job_title", F.lit(" in "), "department").alias("query_text"),
+        F.col("department").alias("r_department"), pick(key, SKILL_LEVELS).alias("r_level"),
+        F.when(key % 2 == 0, pick(key, FORMATS)).alias("r_format"), F.when(key % 5 > 0, (key % 50).cast("double")).alias("r_hours"))
+    docs = _searchable(b, "department", "skill_level", "format", F.col("duration_hours").cast("double").alias("duration_hours"))
+    hits = search.hybrid_search(docs, _with_vector(b, reqs, F.col("query_id")), SEARCH_TOP, doc_id="course_id", text="embed_text", vec="content_vector",
+                                filters=[("department", "r_department", "eq"), ("skill_level", "r_level", "eq"), ("format", "r_format", "eq"),
+                                         ("duration_hours", "r_hours", "le")])
+    return hits.withColumnRenamed("doc_id", "course_id")
+
+
+# A department's request takes the vector of its place in the department list.
+_GAP_REQ = f"""
+SELECT g.department AS query_id, g.department AS r_department, CAST(any_value(e.embedding) AS DOUBLE[]) AS qv,
        'Courses teaching: ' || string_agg(skill_name, ', ' ORDER BY rank) AS query_text
 FROM (SELECT *, row_number() OVER (PARTITION BY department ORDER BY skill_gap DESC, skill_name) AS rank
-      FROM gold_department_skills) g WHERE rank <= 3 GROUP BY department"""
-_COURSE_TEXT_DOCS = f"SELECT course_id AS doc_id, department, {EMBED_TEXT_SQL} AS text FROM dim_courses"
+      FROM gold_department_skills) g LEFT JOIN embeddings e ON e.vec_id = list_position({DEPTS}, g.department) - 1
+WHERE rank <= 3 GROUP BY g.department"""
+_SKILL_HITS = _hybrid_ctes("sk", _CATALOGUE_DOCS, _GAP_REQ, "d.department = q.r_department")
+
+
+def _gap_requests(b: Binding) -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, DEPARTMENTS)), F.col("department")) - 1
+    return _with_vector(b, search.gap_skill_requests(_gds(b)), place)
 
 
-@register("search_by_skills", "WITH " + bm25_ctes("sk", _COURSE_TEXT_DOCS, _GAP_REQ, SEARCH_TOP,
-                                                  "post.department = qt.department").strip()
-          + "\nSELECT query_id, doc_id AS course_id, score, rank FROM sk_top")
+@register("search_by_skills", "WITH " + _SKILL_HITS + "\nSELECT query_id, doc_id AS course_id, rrf, rank FROM sk_top")
 def _search_by_skills(b):
-    docs = search.course_embed_text(b.dim_courses).join(b.dim_courses.select("course_id", "department"), "course_id")
-    hits = search.search_by_skills(docs, search.gap_skill_requests(_gds(b)), SEARCH_TOP)
+    hits = search.search_by_skills(_searchable(b, "department"), _gap_requests(b), SEARCH_TOP)
     return hits.withColumnRenamed("doc_id", "course_id")
 
 
@@ -627,11 +684,9 @@ def _learner_context(b):
 
 
 def _skill_hits(b: Binding) -> tuple[DataFrame, DataFrame]:
-    docs = search.course_embed_text(b.dim_courses).join(b.dim_courses.select("course_id", "department"), "course_id")
-    reqs = search.gap_skill_requests(_gds(b))
-    hits = search.search_by_skills(docs, reqs, SEARCH_TOP).withColumnRenamed("doc_id", "course_id")
-    cat = _catalogue_docs(b).drop("content_vector")
-    return hits.join(cat, "course_id"), reqs
+    reqs = _gap_requests(b)
+    hits = search.search_by_skills(_searchable(b, "department"), reqs, SEARCH_TOP).withColumnRenamed("doc_id", "course_id")
+    return hits.join(_catalogue_docs(b).drop("content_vector"), "course_id"), reqs
 
 
 _NA = "CASE WHEN {c} IS NULL OR {c} = 0 THEN 'N/A' ELSE CAST({c} AS VARCHAR) END"
@@ -665,8 +720,7 @@ def _block_ctes(p: str, top_cte: str, req_sql: str) -> str:
   FROM (SELECT DISTINCT query_id FROM ({req_sql}) q) r LEFT JOIN {p}_blk b ON b.query_id = r.query_id)"""
 
 
-@register("search_results_block", "WITH " + bm25_ctes("sk", _COURSE_TEXT_DOCS, _GAP_REQ, SEARCH_TOP,
-                                                      "post.department = qt.department").strip() + ","
+@register("search_results_block", "WITH " + _SKILL_HITS + ","
           + _block_ctes("sb", "sk_top", _GAP_REQ).rstrip() + "\nSELECT query_id, search_block FROM sb_blocks")
 def _results_block(b):
     hits, reqs = _skill_hits(b)
@@ -696,11 +750,13 @@ SELECT c.conv_id, c.turn, c.text AS message
 FROM conversations c
 JOIN (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY conv_id) m
   ON m.conv_id = c.conv_id AND m.turn = c.turn"""
-_COURSE_TEXT_ONLY = f"SELECT course_id AS doc_id, {EMBED_TEXT_SQL} AS text FROM dim_courses"
+# A conversation belongs to the learner of its number: the search is kept to that learner's department, where there is one.
+_RAG_HITS_REQ = """SELECT rq.conv_id AS query_id, rq.message AS query_text, CAST(e.embedding AS DOUBLE[]) AS qv, l.department AS r_department
+FROM rq LEFT JOIN embeddings e ON e.vec_id = rq.conv_id LEFT JOIN dim_learners l ON l.c_custkey = rq.conv_id"""
 
 
-@register("rag_prompts", "WITH rq AS (" + _RAG_REQ + ")," + bm25_ctes(
-    "rg", _COURSE_TEXT_ONLY, "SELECT conv_id AS query_id, message AS query_text FROM rq", SEARCH_TOP).rstrip()
+@register("rag_prompts", "WITH rq AS (" + _RAG_REQ + ")," + _hybrid_ctes(
+    "rg", _CATALOGUE_DOCS, _RAG_HITS_REQ, "(q.r_department IS NULL OR d.department = q.r_department)").rstrip()
     + "," + _block_ctes("rb", "rg_top", "SELECT conv_id AS query_id FROM rq").rstrip() + ","
     + _LEARNER_CONTEXT_CTES.strip() + ",\n" + f"""
 lcc AS (SELECT CAST(regexp_extract(email, '^user(\\d+)@', 1) AS BIGINT) AS conv_id, context FROM lc)
@@ -716,10 +772,9 @@ SELECT conv_id, turn + 1, 'user', message FROM rq""")
 def _rag_prompts(b):
     conv = b.table("conversations")
     reqs = context.last_user_messages(conv)
-    docs = (search.course_embed_text(b.dim_courses))
-    hits = (search.keyword_top_k(docs, reqs.select(F.col("conv_id").alias("query_id"),
-                                                   F.col("message").alias("query_text")),
-                                 SEARCH_TOP, doc_id="course_id", text="embed_text")
+    learners = b.dim_learners.select(F.regexp_extract("learner_id", r"(\d+)$", 1).cast("bigint").alias("conv_id"), "department")
+    asked = reqs.join(learners, "conv_id", "left").select(F.col("conv_id").alias("query_id"), F.col("message").alias("query_text"), "department")
+    hits = (search.search_by_skills(_searchable(b, "department"), _with_vector(b, asked, F.col("query_id")), SEARCH_TOP)
             .withColumnRenamed("doc_id", "course_id")
             .join(_catalogue_docs(b).drop("content_vector"), "course_id"))
     blocks = context.search_results_block(hits, reqs.select(F.col("conv_id").alias("query_id"))) \

@@ -5,31 +5,15 @@ from pyspark.sql import DataFrame, SparkSession
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                  "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the cluster can run at once.
-
-    A parquet file splits only at row-group boundaries, so one small file is one task and all
-    per-row work before the first shuffle runs on one core. Large inputs already have more
-    partitions than task slots and pass through unchanged (no extra shuffle at scale).
-    Filters and column pruning still reach the scan below the round-robin exchange.
-    """
-    try:
-        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the scan as it is
-        return df
-    return df.repartition(want) if have < want else df
-
-
 # Tables whose rows carry per-row work (JSON, text, string building) right after the scan.
 FACT_TABLES = frozenset({"events", "documents", "conversations", "pages", "lineitem", "orders"})
+# Session setting, off by default: deal the rows of fact tables over so many partitions after the scan.
+# Only for local runs over files of one row group each, which a scan cannot split.
+SCAN_PARTITIONS = "coursemetrics.scan.partitions"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool | None = None) -> DataFrame:
-    """One driver table; Catalyst prunes columns and pushes filters into the scan.
-
-    ``spread`` (default: for fact tables) applies ``ensure_parallelism``.
-    """
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One driver table; Catalyst prunes columns and pushes filters into the scan."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return ensure_parallelism(df) if (name in FACT_TABLES if spread is None else spread) else df
+    dealt = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(dealt)) if dealt and name in FACT_TABLES else df

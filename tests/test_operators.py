@@ -18,7 +18,7 @@ def test_vector_top1_is_itself(spark):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").limit(40)
     docs = emb.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     reqs = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
-    top = search.vector_top_k(docs, reqs, 1, max_broadcast_requests=7).collect()   # forces 6 request chunks
+    top = search.vector_top_k(docs, reqs, 1, request_blocks=6).collect()
     assert len(top) == 40 and all(r["query_id"] == r["doc_id"] for r in top)
 
 

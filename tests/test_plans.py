@@ -7,9 +7,10 @@ from contextlib import redirect_stdout
 import pytest
 
 from coursemetrics.plans import registry
+from coursemetrics.sources.binding import Binding
 from conftest import SF_SMALL
 
-TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "search_by_skills",
+TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "filtered_hybrid_search", "search_by_skills",
          "recommend_courses"}
 
 
@@ -37,16 +38,31 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double,props:string>" in plan
 
 
-def test_bm25_tokenises_documents_once(spark):
-    """Scores, document frequencies and the token total share one postings exchange, and no
-    token filter is inferred below the scan (which would tokenise in the scan task)."""
-    df = registry.QUERIES["keyword_top_k"](spark, SF_SMALL)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ReusedExchange") >= 2
-    assert not re.search(r"Filter \(size\(filter\(split", plan)
+TABLES_READ = {"vector_top_k": 1, "filtered_vector_top_k": 1, "keyword_top_k": 2, "hybrid_search": 3, "filtered_hybrid_search": 3,
+               "search_by_skills": 3, "search_results_block": 4, "rag_prompts": 5}
 
 
-@pytest.mark.parametrize("name", ["at_risk_learners", "training_features", "course_learner_features", "dropout_features"])
+@pytest.mark.parametrize("name", sorted(TABLES_READ))
+def test_search_plans_run_nothing_when_built(spark, name):
+    """Opening a table reads its schema in one job; no other job may run before the frame is used."""
+    def jobs():
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    opened = Binding(spark, SF_SMALL)
+    before = jobs()
+    opened.table("embeddings")
+    for_one_table = jobs() - before
+    before = jobs()
+    registry.QUERIES[name](spark, SF_SMALL)
+    assert jobs() - before <= TABLES_READ[name] * for_one_table
+
+
+def test_search_moves_no_documents(spark):
+    """The shuffles of keyword search carry counts and top rows only, never texts or tokens."""
+    plan = _plan(spark, "keyword_top_k")
+    for part in re.findall(r"\) Exchange\n.*\nArguments", plan):
+        assert "text" not in part and "toks" not in part
+
+
+@pytest.mark.parametrize("name", ["at_risk_learners", "training_features", "course_learner_features"])
 def test_distinct_counts_collect_no_sets(spark, name):
     assert "ObjectHashAggregate" not in _plan(spark, name)

@@ -78,7 +78,7 @@ def test_facade_prunes_course_partitions(spark, tmp_path):
     from coursemetrics.plans import registry
     build_tables(spark, str(tmp_path / "lake"), sf_dir=SF_SMALL)
     la = LearningAnalytics(spark, str(tmp_path / "lake"))
-    one = la.at_risk_learners("COURSE-0004")
+    one = la.at_risk_learners("COURSE-0004", as_of=registry.AS_OF_AT_RISK)
     buf = io.StringIO()
     with redirect_stdout(buf):
         one.explain("formatted")
