@@ -1,8 +1,8 @@
 """Dropout-risk model: stratified split, gradient-boosted trees, metrics, scoring.
 
 Everything runs on Spark ML. The split and CV folds come from a seeded hash of
-(learner, course) cut at per-label quantiles (``percentile_approx``), which
-gives stratified proportions without sorting a label's rows in one task.
+(learner, course), cut by the counts of its buckets for each label: stratified
+proportions without sorting a label's rows, by a rule that SQL can state too.
 The fill-in median for ``avg_score`` is taken at training time and kept with
 the model; ``median="batch"`` reproduces scoring with the batch's own median.
 """
@@ -17,7 +17,8 @@ from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from coursemetrics.functions.labels import risk_label, risk_tier_cut, suggested_intervention
 from coursemetrics.operators.features import FEATURE_COLS, dropout_features, median_avg_score
@@ -29,34 +30,40 @@ GBT_DEFAULTS = dict(maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.8,
 SEED = 42
 TEST_FRACTION = 0.20
 N_FOLDS = 5
-_HASH_MOD = 1_000_000_007
+HASH_BUCKETS = 4096
 
 
-def unit_hash(seed: int = SEED, keys=("learner_email", "course_id")):
-    """Deterministic pseudo-uniform value in [0, 1) per row."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(_HASH_MOD)) / float(_HASH_MOD)
+def hash_bucket(seed: int = SEED, keys=("learner_email", "course_id"), buckets: int = HASH_BUCKETS):
+    """Bucket of a row by the md5 of seed and keys (any engine gives the same)."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k) for k in keys]))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % buckets
 
 
-def _with_label_quantiles(df: DataFrame, probs: list[float], label: str, seed: int) -> DataFrame:
-    u = df.withColumn("_u", unit_hash(seed))
-    cuts = u.groupBy(label).agg(F.percentile_approx("_u", probs, 100000).alias("_cuts"))
-    # one row per label value: a proven size bound for the broadcast
-    return u.join(F.broadcast(cuts), label)
+def _with_place(df: DataFrame, label: str, seed: int) -> DataFrame:
+    """Adds ``_before`` (rows of the label in lower buckets) and ``_of`` (rows of the label).
+
+    Only counts per label and bucket are ordered, HASH_BUCKETS rows for a label, never the rows themselves.
+    """
+    b = df.withColumn("_bucket", hash_bucket(seed))
+    counts = b.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
+    label_rows = Window.partitionBy(label)
+    places = counts.select(label, "_bucket", (F.sum("_n").over(label_rows.orderBy("_bucket")) - F.col("_n")).alias("_before"),
+                           F.sum("_n").over(label_rows).alias("_of"))
+    # a row for each label and bucket: a proven size bound for the broadcast
+    return b.join(F.broadcast(places), [label, "_bucket"])
 
 
 def stratified_split(features: DataFrame, label: str = LABEL, test_fraction: float = TEST_FRACTION,
                      seed: int = SEED) -> DataFrame:
-    """Adds ``is_train``; within each label value a ``test_fraction`` share is held out."""
-    q = _with_label_quantiles(features, [test_fraction], label, seed)
-    return q.withColumn("is_train", F.col("_u") > F.col("_cuts")[0]).drop("_u", "_cuts")
+    """Adds ``is_train``; of each label value the lowest buckets that make up ``test_fraction`` are held out."""
+    return (_with_place(features, label, seed).withColumn("is_train", F.col("_before") >= test_fraction * F.col("_of"))
+            .drop("_bucket", "_before", "_of"))
 
 
 def assign_folds(features: DataFrame, n_folds: int = N_FOLDS, label: str = LABEL, seed: int = SEED) -> DataFrame:
     """Adds ``fold`` in 0..n_folds-1, stratified on the label."""
-    probs = [i / n_folds for i in range(1, n_folds)]
-    q = _with_label_quantiles(features, probs, label, seed)
-    fold = F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_u")))
-    return q.withColumn("fold", fold.cast("int")).drop("_u", "_cuts")
+    fold = F.least(F.floor(F.col("_before") * n_folds / F.col("_of")), F.lit(n_folds - 1)).cast("int")
+    return _with_place(features, label, seed).withColumn("fold", fold).drop("_bucket", "_before", "_of")
 
 
 def model_frame(features: DataFrame, median) -> DataFrame:
@@ -101,37 +108,47 @@ class DropoutModel:
 
 
 def classification_metrics(predictions: DataFrame) -> dict:
-    """Accuracy, precision/recall/F1 of class 1 (zero division -> 0), ROC-AUC, counts."""
-    c = predictions.agg(
-        F.count("*").alias("n"),
-        F.sum(((F.col("label") == 1) & (F.col("prediction") == 1)).cast("int")).alias("tp"),
-        F.sum(((F.col("label") == 0) & (F.col("prediction") == 1)).cast("int")).alias("fp"),
-        F.sum(((F.col("label") == 1) & (F.col("prediction") == 0)).cast("int")).alias("fn"),
-        F.sum(((F.col("label") == 0) & (F.col("prediction") == 0)).cast("int")).alias("tn"),
-        F.countDistinct("label").alias("n_labels")).first()
-    n, tp, fp, fn, tn = (int(c[k] or 0) for k in ("n", "tp", "fp", "fn", "tn"))
+    """Accuracy, precision/recall/F1 of class 1 (zero division -> 0), ROC-AUC, counts. Predictions are computed once."""
+    kept = predictions.select("label", "prediction", "probability").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        cells = {(int(r["label"]), int(r["prediction"])): r["count"] for r in kept.groupBy("label", "prediction").count().collect()}
+        both = len({label for label, _ in cells}) == 2
+        auc = (BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC").evaluate(kept)
+               if both else float("nan"))
+    finally:
+        kept.unpersist()
+    tp, fp, fn, tn = (cells.get(x, 0) for x in ((1, 1), (0, 1), (1, 0), (0, 0)))
+    n = tp + fp + fn + tn
     precision = tp / (tp + fp) if tp + fp else 0.0
     recall = tp / (tp + fn) if tp + fn else 0.0
     f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
-    auc = (BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability",
-                                         metricName="areaUnderROC").evaluate(predictions)
-           if c["n_labels"] == 2 else float("nan"))
     return {"n_test": n, "accuracy": (tp + tn) / n if n else 0.0, "precision": precision, "recall": recall,
             "f1": f1, "roc_auc": auc, "tp": tp, "fp": fp, "fn": fn, "tn": tn}
 
 
 def train_dropout(features: DataFrame, params: dict | None = None, seed: int = SEED,
-                  test_fraction: float = TEST_FRACTION, scale: bool = False) -> DropoutModel:
-    """Fit on a stratified 80% split, evaluate on the rest."""
+                  test_fraction: float = TEST_FRACTION, scale: bool = False, cv_folds: int = 0) -> DropoutModel:
+    """Fit on a stratified 80% split, evaluate on the rest; ``cv_folds`` adds the cross-validated AUC to the metrics.
+
+    The feature table is computed once and kept for the fit: median, split, trees and evaluation read it.
+    """
     spark = features.sparkSession
     checkpoint_dir(spark)  # GBT checkpoints its running predictions every 10 trees
-    median = median_avg_score(features).first()["median_avg_score"]
-    data = model_frame(stratified_split(features, test_fraction=test_fraction, seed=seed), median)
-    train = data.filter("is_train")
-    test = data.filter("NOT is_train")
-    model = build_pipeline(params, seed, scale).fit(train)
-    metrics = classification_metrics(model.transform(test))
-    metrics["n_samples"] = features.count()
+    base = features.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        median = median_avg_score(base).first()["median_avg_score"]
+        data = model_frame(stratified_split(base, test_fraction=test_fraction, seed=seed), median).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            model = build_pipeline(params, seed, scale).fit(data.filter("is_train"))
+            metrics = classification_metrics(model.transform(data.filter("NOT is_train")))
+            metrics["n_samples"] = data.count()
+        finally:
+            data.unpersist()
+        if cv_folds:
+            folds = cross_validate_dropout(base, params, cv_folds, seed)
+            metrics |= {"cv_mean_auc": folds["mean_auc"], "cv_std_auc": folds["std_auc"]}
+    finally:
+        base.unpersist()
     metrics["n_train"] = metrics["n_samples"] - metrics["n_test"]
     gbt = model.stages[-1]
     importances = list(zip(FEATURE_COLS, [float(v) for v in gbt.featureImportances.toArray()]))
@@ -188,9 +205,10 @@ def model_info(model: DropoutModel, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
         [(True, float(round(m.get("roc_auc", 0.0), 4)), int(m.get("n_samples", 0)), int(m.get("n_train", 0)),
           int(m.get("n_test", 0)), float(m.get("accuracy", 0.0)), float(m.get("precision", 0.0)),
-          float(m.get("recall", 0.0)), float(m.get("f1", 0.0)), float(model.median or 0.0))],
+          float(m.get("recall", 0.0)), float(m.get("f1", 0.0)), float(model.median or 0.0),
+          m.get("cv_mean_auc"), m.get("cv_std_auc"))],
         "trained boolean, roc_auc double, n_samples long, n_train long, n_test long, accuracy double, "
-        "precision double, recall double, f1 double, fill_median double")
+        "precision double, recall double, f1 double, fill_median double, cv_mean_auc double, cv_std_auc double")
 
 
 def gold_dropout_risk(model: DropoutModel, features: DataFrame) -> DataFrame:
@@ -225,9 +243,20 @@ def at_risk_with_risk(at_risk: DataFrame, scored_course: DataFrame) -> DataFrame
 
 
 def feature_summary(features: DataFrame) -> DataFrame:
-    """describe() of the model features (count, mean, stddev, min, quartiles, max)."""
-    return features.select(*[c for c in FEATURE_COLS if c in features.columns], LABEL).summary(
-        "count", "mean", "stddev", "min", "25%", "50%", "75%", "max")
+    """describe() of the model features and the label: one row per column with count, mean, sample deviation, min,
+    quartiles (interpolated) and max."""
+    columns = [c for c in FEATURE_COLS if c in features.columns] + [LABEL]
+    long = features.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
+                                               for c in columns])).alias("f")).select("f.feature", "f.x")
+    return long.groupBy("feature").agg(
+        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev("x").alias("std"), F.min("x").alias("min"),
+        *[F.percentile("x", q).alias(name) for q, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.max("x").alias("max"))
+
+
+def label_summary(features: DataFrame) -> DataFrame:
+    """Pairs of each label, their share, and so the completion rate."""
+    total = features.agg(F.count("*").alias("n")).select("n").scalar()
+    return features.groupBy(LABEL).agg(F.count("*").alias("pairs")).withColumn("share", F.round(F.col("pairs") / total, 4))
 
 
 def score_records(model: DropoutModel, spark: SparkSession, records: list[dict]) -> DataFrame:
@@ -247,7 +276,7 @@ CLASS_NAMES = {0: "Dropout", 1: "Completed"}
 
 
 def classification_report(model: DropoutModel, features: DataFrame) -> DataFrame:
-    """Held-out precision, recall, F1 and support per class (zero division -> 0)."""
+    """Held-out precision, recall, F1 and support of each class (zero division -> 0), then accuracy, macro and weighted averages."""
     data = model_frame(stratified_split(features), model.median).filter("NOT is_train")
     pred = model.model.transform(data).select(F.col("label").cast("int").alias("y"),
                                               F.col("prediction").cast("int").alias("p"))
@@ -259,8 +288,16 @@ def classification_report(model: DropoutModel, features: DataFrame) -> DataFrame
     precision = F.coalesce(F.try_divide(F.col("tp"), F.col("predicted")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("tp"), F.col("support")), F.lit(0.0))
     names = F.create_map(*[x for c, n in CLASS_NAMES.items() for x in (F.lit(c), F.lit(n))])
-    return (per.select(F.col("cls").alias("class"), names[F.col("cls")].alias("class_name"),
-                       precision.alias("precision"), recall.alias("recall"), "support")
-            .withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
-                                                      F.col("precision") + F.col("recall")), F.lit(0.0)))
-            .orderBy("class"))
+    classes = (per.select(F.col("cls").alias("class"), names[F.col("cls")].alias("class_name"),
+                          precision.alias("precision"), recall.alias("recall"), "support", "tp")
+               .withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"),
+                                                         F.col("precision") + F.col("recall")), F.lit(0.0))))
+    scores, support = ("precision", "recall", "f1"), F.sum("support").alias("support")
+    accuracy = F.try_divide(F.sum("tp"), F.sum("support"))
+    rows = classes.agg(F.array(
+        F.struct(F.lit("accuracy").alias("class_name"), *[accuracy.alias(c) for c in scores], support),
+        F.struct(F.lit("macro avg").alias("class_name"), *[F.avg(c).alias(c) for c in scores], support),
+        F.struct(F.lit("weighted avg").alias("class_name"), *[F.try_divide(F.sum(F.col(c) * F.col("support")), F.sum("support")).alias(c) for c in scores],
+                 support)).alias("rows")).select(F.inline("rows"))
+    out = classes.drop("tp").unionByName(rows, allowMissingColumns=True)
+    return out.orderBy(F.col("class").asc_nulls_last(), "class_name")

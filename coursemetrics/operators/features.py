@@ -59,6 +59,11 @@ def course_learner_features(silver: DataFrame, course_id=None, min_events: int =
     return _activity(s, ["course_id", "learner_email"], min_events).filter(F.col("completed") == 0).drop("completed")
 
 
+def course_activity(silver: DataFrame) -> DataFrame:
+    """Activity of every (course, learner) pair, with ``completed``."""
+    return _activity(silver.filter(F.col("learner_email").isNotNull()), ["course_id", "learner_email"], 1)
+
+
 def median_avg_score(features: DataFrame) -> DataFrame:
     """Single-row frame with the exact (interpolated) median of ``avg_score``."""
     return features.agg(F.median("avg_score").alias("median_avg_score"))

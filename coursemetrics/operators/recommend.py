@@ -1,14 +1,13 @@
 """Course recommender: truncated SVD of the learner x course weight matrix.
 
-* The Gramian (courses x courses) is accumulated across partitions by
-  ``RowMatrix.computeSVD``; only k x courses numbers reach the driver.
-* Learner factors U*S = A*V are a DataFrame aggregate (interactions joined
-  with V), never a driver-side matrix.
-* Recommending for every learner scores the catalogue per learner inside
-  ``mapInPandas`` (numpy on Arrow batches) with V broadcast, keeping only the
-  top n per learner; no learner x course pairs are shuffled. V is broadcast
-  only up to ``max_broadcast_courses`` rows; a larger catalogue is scored in
-  blocks of that size and the per-block top n are merged exactly.
+* The weights of a learner are one sparse vector, assembled on the JVM and kept for the fit, so an
+  iteration of the solver reads vectors, not events. ``RowMatrix.computeSVD`` multiplies them
+  in the cluster.
+* V (courses x components) is the only matrix on the driver. Its size is checked against
+  MAX_FACTOR_BYTES; it is broadcast once for the learner factors U*S = A*V (one row per learner) and once
+  for scoring.
+* Scoring runs in Arrow batches: a block of learners times V, started courses masked by their index,
+  the best n by one partial sort. A learner is one row, so nothing is shuffled or merged.
 """
 
 from __future__ import annotations
@@ -16,25 +15,32 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.mllib.linalg import Vectors
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window, functions as F
 
 from coursemetrics.operators.features import interaction_weights
 
 N_COMPONENTS = 50
-MAX_BROADCAST_COURSES = 20_000
+MAX_FACTOR_BYTES = 256 << 20
+CELLS = 1 << 21     # learners x courses scored at once
 
 
 @dataclass
 class Recommender:
-    course_index: DataFrame      # course_id, idx
+    course_index: DataFrame      # course_id, idx (in the order of course_id)
     course_factors: DataFrame    # course_id, idx, v (array<double>, length k)
     learner_factors: DataFrame   # learner_email, u (array<double>) = row of U*S
     k: int
     n_courses: int
     singular_values: list
+    v: np.ndarray                # courses x k
+    courses: list
 
 
 def course_index(weights: DataFrame) -> DataFrame:
@@ -43,30 +49,54 @@ def course_index(weights: DataFrame) -> DataFrame:
     return courses.withColumn("idx", (F.row_number().over(Window.orderBy("course_id")) - 1).cast("int"))
 
 
+def learner_cells(weights: DataFrame, index: DataFrame) -> DataFrame:
+    """(learner_email, cells): the learner's (idx, weight) pairs in index order; as many as its courses."""
+    return (weights.join(index, "course_id").groupBy("learner_email")
+            .agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells")))
+
+
+def _dense(cells, n: int):
+    """The cells with the zeros between them, as one array of length n."""
+    idx = F.transform(cells, lambda c: c["idx"])
+    ends = F.concat(F.slice(idx, 2, F.lit(n)), F.array(F.lit(n)))
+    runs = F.zip_with(cells, ends, lambda c, e: F.concat(F.array(c["weight"]), F.array_repeat(F.lit(0.0), e - c["idx"] - 1)))
+    return F.concat(F.array_repeat(F.lit(0.0), idx[0]), F.flatten(runs))
+
+
 def fit_recommender(interactions: DataFrame, k: int = N_COMPONENTS) -> Recommender:
+    spark = interactions.sparkSession
     w = interaction_weights(interactions).select("learner_email", "course_id", "weight")
     cidx = course_index(w).cache()
-    n = cidx.count()
+    courses = [r["course_id"] for r in cidx.orderBy("idx").collect()]     # the catalogue's ids
+    n = len(courses)
+    if n == 0:
+        raise ValueError("no interactions to learn from")
     k_eff = max(1, min(k, n - 1))
-    triples = w.join(F.broadcast(cidx), "course_id") if n <= MAX_BROADCAST_COURSES else w.join(cidx, "course_id")
-    rows = (triples.groupBy("learner_email")
-            .agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells"))  # <= courses per learner
-            .rdd.map(lambda r: Vectors.sparse(n, [c["idx"] for c in r["cells"]], [c["weight"] for c in r["cells"]])))
-    svd = RowMatrix(rows).computeSVD(k_eff, computeU=False)
-    v = svd.V.toArray()                                  # n x k (driver-side, bounded by the catalogue)
+    if n * k_eff * 8 > MAX_FACTOR_BYTES:
+        raise ValueError(f"{n} courses x {k_eff} components exceed MAX_FACTOR_BYTES")
+    cells = learner_cells(w, cidx)
+    # The assembler stores a vector sparse where that is smaller.
+    rows = VectorAssembler(inputCols=["dense"], outputCol="row").transform(cells.select(array_to_vector(_dense(F.col("cells"), n)).alias("dense")))
+    rows = MLUtils.convertVectorColumnsFromML(rows.select("row"), "row").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        svd = RowMatrix(rows).computeSVD(k_eff, computeU=False)
+        v, values = svd.V.toArray(), [float(x) for x in svd.s.toArray()]
+    finally:
+        rows.unpersist()
     k_got = v.shape[1]
-    spark = interactions.sparkSession
-    vdf = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n, dtype="int32"), "v": list(v.astype(float))}),
-                                "idx int, v array<double>")
-    cf = cidx.join(vdf, "idx").select("course_id", "idx", "v")
-    # U*S = A*V: each (learner, course, weight) cell adds weight * V[course] to the learner's factor.
-    cells = triples.join(F.broadcast(vdf) if n <= MAX_BROADCAST_COURSES else vdf, "idx")
-    contrib = cells.select("learner_email", F.posexplode(F.transform("v", lambda x: x * F.col("weight"))))
-    lf = (contrib.groupBy("learner_email", "pos").agg(F.sum("col").alias("val"))
-          .groupBy("learner_email")
-          .agg(F.array_sort(F.collect_list(F.struct("pos", "val"))).alias("pv"))     # k entries per learner
-          .select("learner_email", F.transform("pv", lambda x: x["val"]).alias("u")))
-    return Recommender(cidx, cf, lf, k_got, n, [float(x) for x in svd.s.toArray()])
+    factors = spark.createDataFrame([(c, i, v[i].tolist()) for i, c in enumerate(courses)], "course_id string, idx int, v array<double>")
+    shared = spark.sparkContext.broadcast(v)
+
+    def project(batches):
+        for batch in batches:
+            own = batch.column("cells")
+            flat, of = own.flatten(), np.repeat(np.arange(len(own)), np.array(pc.list_value_length(own)))
+            parts = shared.value[pc.struct_field(flat, "idx").to_numpy()] * pc.struct_field(flat, "weight").to_numpy()[:, None]
+            heads = np.searchsorted(of, np.arange(len(own)))
+            u = np.add.reduceat(parts, heads, axis=0) if len(own) else parts
+            yield pa.RecordBatch.from_arrays([batch.column("learner_email"), pa.array(u.tolist(), pa.list_(pa.float64()))], names=["learner_email", "u"])
+
+    return Recommender(cidx, factors, cells.mapInArrow(project, "learner_email string, u array<double>"), k_got, n, values, v, courses)
 
 
 def recommender_info(rec: Recommender, interactions: DataFrame) -> DataFrame:
@@ -76,69 +106,53 @@ def recommender_info(rec: Recommender, interactions: DataFrame) -> DataFrame:
     weight matrix (population variances over all learners, zeros included).
     """
     w = interaction_weights(interactions)
-    n_learners = w.select("learner_email").distinct().count()
+    learners = w.select("learner_email").distinct().agg(F.count("*").alias("n")).select("n").scalar()
+    n = F.col("n_learners")
     tot = (w.groupBy("course_id").agg(F.sum("weight").alias("s1"), F.sum(F.col("weight") ** 2).alias("s2"))
-           .agg(F.sum(F.col("s2") / n_learners - (F.col("s1") / n_learners) ** 2).alias("total_var")))
+           .withColumn("n_learners", learners)
+           .agg(F.sum(F.col("s2") / n - (F.col("s1") / n) ** 2).alias("total_var"), F.max("n_learners").alias("n_learners")))
     fac = (rec.learner_factors.select(F.posexplode("u"))
            .groupBy("pos").agg(F.sum("col").alias("s1"), F.sum(F.col("col") ** 2).alias("s2"))
-           .agg(F.sum(F.col("s2") / n_learners - (F.col("s1") / n_learners) ** 2).alias("factor_var")))
-    return tot.select(F.lit(n_learners).cast("bigint").alias("n_learners"),
-                       F.lit(rec.n_courses).cast("bigint").alias("n_courses"),
-                       F.lit(rec.k).cast("bigint").alias("n_components"),
-                       F.round(fac.select("factor_var").scalar() / F.col("total_var"), 4)
-                       .alias("explained_variance_ratio"))
-
-
-def _score_block(bc, top_n: int):
-    """``bc``: broadcast of (course-factor block V, course ids of the block)."""
-    def run(batches):
-        v, ids = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            u = np.stack(pdf["u"].to_numpy())                       # learners x k
-            scores = np.round(u @ v.T, 4)                            # learners x courses in this block
-            out_l, out_c, out_s = [], [], []
-            for i, started in enumerate(pdf["started"].to_numpy()):
-                row = scores[i]
-                mask = ~np.isin(ids, np.asarray(started if started is not None else [], dtype=object))
-                cand = np.nonzero(mask)[0]
-                if cand.size == 0:
-                    continue
-                # score desc, then course id asc
-                order = cand[np.lexsort((ids[cand], -row[cand]))][:top_n]
-                out_l.extend([pdf["learner_email"].iat[i]] * len(order))
-                out_c.extend(ids[order].tolist())
-                out_s.extend(row[order].tolist())
-            yield pd.DataFrame({"learner_email": out_l, "course_id": out_c, "score": out_s})
-    return run
+           .withColumn("n_learners", learners)
+           .agg(F.sum(F.col("s2") / n - (F.col("s1") / n) ** 2).alias("factor_var")))
+    return tot.select(n.cast("bigint").alias("n_learners"),
+                      F.lit(rec.n_courses).cast("bigint").alias("n_courses"),
+                      F.lit(rec.k).cast("bigint").alias("n_components"),
+                      F.round(fac.select("factor_var").scalar() / F.col("total_var"), 4)
+                      .alias("explained_variance_ratio"))
 
 
 def recommend_courses(rec: Recommender, interactions: DataFrame, top_n: int = 5,
-                      learners: DataFrame | None = None,
-                      max_broadcast_courses: int = MAX_BROADCAST_COURSES) -> DataFrame:
-    """Top-n unstarted courses per learner by U*S . V (rounded to 4). Unknown learners get no rows."""
-    spark = interactions.sparkSession
-    started = interactions.groupBy("learner_email").agg(F.collect_set("course_id").alias("started"))
+                      learners: DataFrame | None = None) -> DataFrame:
+    """Top-n unstarted courses per learner by U*S . V (rounded to 4), ties by course id. Unknown learners get no rows."""
+    started = (interactions.join(rec.course_index, "course_id").groupBy("learner_email")
+               .agg(F.collect_list("idx").alias("started")))      # a learner's courses
     lf = rec.learner_factors
     if learners is not None:
         lf = lf.join(learners.select("learner_email").distinct(), "learner_email", "left_semi")
-    base = lf.join(started, "learner_email", "left")
-    parts = []
-    for lo in range(0, rec.n_courses, max_broadcast_courses):
-        block = (rec.course_factors.filter((F.col("idx") >= lo) & (F.col("idx") < lo + max_broadcast_courses))
-                 .orderBy("idx").toPandas())                        # at most max_broadcast_courses rows
-        v = np.stack(block["v"].to_numpy()) if len(block) else np.zeros((0, rec.k))
-        ids = block["course_id"].to_numpy(dtype=object)
-        bc = spark.sparkContext.broadcast((v, ids))
-        parts.append(base.mapInPandas(_score_block(bc, top_n),
-                                      "learner_email string, course_id string, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy("learner_email").orderBy(F.desc("score"), "course_id")
-    return (out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_n)
-            .select("learner_email", "rank", "course_id", "score"))
+    shared = interactions.sparkSession.sparkContext.broadcast((rec.v, np.array(rec.courses, dtype=object)))
+    n, places, offset = rec.n_courses, 1 << 24, 1 << 37
+
+    def score(batches):
+        v, ids = shared.value
+        for batch in batches:
+            step = max(1, CELLS // n)
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                u = some.column("u").flatten().to_numpy().reshape(some.num_rows, -1)
+                keys = (np.rint(np.round(u @ v.T, 4) * 1e4).astype(np.int64) + offset) * places + (places - 1 - np.arange(n))
+                own = some.column("started")
+                of = np.repeat(np.arange(len(own)), np.array(pc.list_value_length(own).fill_null(0)))
+                keys[of, own.flatten().to_numpy()] = -1
+                best = np.sort(np.partition(keys, n - top_n, axis=1)[:, -top_n:] if n > top_n else keys, axis=1)[:, ::-1]
+                row, rank = np.nonzero(best >= 0)
+                found = best[row, rank]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column("learner_email").take(pa.array(row)), pa.array(rank + 1, pa.int32()),
+                     pa.array(ids[places - 1 - found % places].tolist(), pa.string()), pa.array((found // places - offset) / 1e4)],
+                    names=["learner_email", "rank", "course_id", "score"])
+
+    return lf.join(started, "learner_email", "left").mapInArrow(score, "learner_email string, rank int, course_id string, score double")
 
 
 def recommendations_with_title(recs: DataFrame, dim_courses: DataFrame) -> DataFrame:

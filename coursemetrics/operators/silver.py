@@ -14,6 +14,23 @@ def extension(key: str) -> Column:
     return F.get(hits, 0)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def valid_statement() -> Column:
+    """Mailbox, verb and course id are there."""
+    ok = F.col("actor.mbox").isNotNull() & F.col("verb.display").getItem(LANG).isNotNull() & extension("course_id").isNotNull()
+    return F.coalesce(ok, F.lit(False))
+
+
+def rejected_statements(bronze: DataFrame) -> DataFrame:
+    """What ``silver_events`` leaves out, as text with the reason: unreadable records, statements without a required part."""
+    told = F.to_json(F.struct(*[c for c in bronze.columns if c != CORRUPT]))
+    corrupt = F.col(CORRUPT) if CORRUPT in bronze.columns else F.lit(None).cast("string")
+    return bronze.filter(~valid_statement()).select(
+        F.coalesce(corrupt, told).alias("statement"), F.when(corrupt.isNotNull(), "unreadable").otherwise("incomplete").alias("reason"))
+
+
 def silver_events(bronze: DataFrame) -> DataFrame:
     """Flatten statements to 17 typed columns; keep rows with mailbox, verb and course id.
 
@@ -24,7 +41,7 @@ def silver_events(bronze: DataFrame) -> DataFrame:
     verb = F.col("verb.display").getItem(LANG)
     course = extension("course_id")
     return (bronze
-            .filter(mbox.isNotNull() & verb.isNotNull() & course.isNotNull())
+            .filter(valid_statement())
             .select(F.col("id").alias("event_id"),
                     mbox.alias("learner_mbox"),
                     F.regexp_replace(mbox, "^mailto:", "").alias("learner_email"),

@@ -10,28 +10,32 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from coursemetrics.operators import gold
-from coursemetrics.operators.silver import silver_events
+from coursemetrics.operators.silver import rejected_statements, silver_events
 from coursemetrics.sources.binding import Binding
 from coursemetrics.sources.raw import read_courses, read_learners, read_raw_events
 from coursemetrics.sources.sinks import write_silver, write_table
 
 
 def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_dir: str | None = None,
-                 fmt: str = "parquet") -> dict[str, str]:
+                 fmt: str = "parquet", lines: bool = False) -> dict[str, str]:
     """From the driver tables (``sf_dir``) or raw JSON files (``raw_dir``: xapi_events.json,
-    courses.json, learners.json). Returns table name -> folder."""
+    courses.json, learners.json; ``lines``: xapi_events.json has a record per line). Statements that silver leaves
+    out go to the table of rejects. Returns table name -> folder."""
     root = out_root.rstrip("/")
-    paths = {n: f"{root}/{n}" for n in ("bronze_xapi_events", "silver_xapi_events", "dim_courses", "dim_learners",
+    paths = {n: f"{root}/{n}" for n in ("bronze_xapi_events", "rejected_xapi_events", "silver_xapi_events", "dim_courses", "dim_learners",
                                         "gold_course_completion", "gold_module_dropoff",
                                         "gold_department_skills", "gold_engagement_hourly")}
     if raw_dir:
         raw = raw_dir.rstrip("/")
-        write_table(read_raw_events(spark, f"{raw}/xapi_events.json"), path=paths["bronze_xapi_events"], fmt=fmt)
-        silver = silver_events(spark.read.format(fmt).load(paths["bronze_xapi_events"]))
+        write_table(read_raw_events(spark, f"{raw}/xapi_events.json", multiline=not lines), path=paths["bronze_xapi_events"], fmt=fmt)
+        bronze = spark.read.format(fmt).load(paths["bronze_xapi_events"])
+        write_table(rejected_statements(bronze), path=paths["rejected_xapi_events"], fmt=fmt)
+        silver = silver_events(bronze)
         courses, learners = read_courses(spark, f"{raw}/courses.json"), read_learners(spark, f"{raw}/learners.json")
     else:
         b = Binding(spark, sf_dir)
         paths.pop("bronze_xapi_events")
+        paths.pop("rejected_xapi_events")
         silver, courses, learners = b.silver, b.dim_courses, b.dim_learners
     write_silver(silver, path=paths["silver_xapi_events"], fmt=fmt)
     write_table(courses, path=paths["dim_courses"], fmt=fmt)

@@ -6,13 +6,14 @@ lookups are registered in their all-keys form.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from coursemetrics.functions.lookup import pick
 from coursemetrics.plans.oracle import DEPTS, FMTS, LEVELS, sr, with_binding
-from coursemetrics.session import configure
+from coursemetrics.session import checkpoint_dir, configure
 from coursemetrics.sources.binding import DEPARTMENTS, FORMATS, SKILL_LEVELS, Binding
 from coursemetrics.functions.rounding import stable_round
 from coursemetrics.operators import gold, reports, features
@@ -221,17 +222,14 @@ def _quadrants(b):
     return reports.effectiveness_quadrants(reports.course_ranking(_gcc(b)))
 
 
-@register("at_risk_learners", f"""
-SELECT s.course_id, s.learner_email, s.learner_name, s.department,
-       COUNT(DISTINCT s.module_id) AS modules_started, MAX(s.ts) AS last_activity,
-       date_diff('day', MAX(s.ts), TIMESTAMP '{AS_OF_AT_RISK}') AS days_inactive,
-       {sr('AVG(s.score)', 3)} AS avg_score
-FROM silver s
-WHERE NOT EXISTS (SELECT 1 FROM silver d WHERE d.course_id = s.course_id AND d.learner_email = s.learner_email
-                  AND d.verb = 'completed' AND d.course_completed)
-GROUP BY s.course_id, s.learner_email, s.learner_name, s.department
-HAVING date_diff('day', MAX(s.ts), TIMESTAMP '{AS_OF_AT_RISK}') > 7
-ORDER BY days_inactive DESC, s.course_id, s.learner_email""")
+_AT_RISK = f"""
+SELECT p.course_id, p.learner_email, l.learner_name, l.department, p.modules AS modules_started, p.last_ts AS last_activity,
+       date_diff('day', p.last_ts, TIMESTAMP '{AS_OF_AT_RISK}') AS days_inactive, {sr('p.every_avg', 3)} AS avg_score
+FROM per_pair p JOIN (SELECT DISTINCT learner_email, learner_name, department FROM silver) l USING (learner_email)
+WHERE NOT p.course_done AND date_diff('day', p.last_ts, TIMESTAMP '{AS_OF_AT_RISK}') > 7"""
+
+
+@register("at_risk_learners", _AT_RISK + " ORDER BY days_inactive DESC, course_id, learner_email")
 def _at_risk(b):
     return reports.at_risk_learners(b.silver, as_of=AS_OF_AT_RISK)
 
@@ -276,21 +274,10 @@ def _course_detail(b):
 
 # ── feature tables (D16-D18, D21, E1, F1) ──────────────────────────────────
 
-_INTERACTIONS = f"""
-SELECT learner_email, course_id, COUNT(*) AS event_count,
-       CAST(MAX(CASE WHEN course_completed THEN 1 ELSE 0 END) AS BIGINT) AS completed,
-       {sr("AVG(CASE WHEN verb = 'scored' THEN score END)", 4)} AS avg_score
-FROM silver GROUP BY learner_email, course_id HAVING COUNT(*) >= 2"""
-
-_ACTIVITY = f"""COUNT(*) AS total_events, COUNT(DISTINCT module_id) AS modules_touched,
-       {sr("AVG(CASE WHEN verb = 'scored' THEN score END)", 4)} AS avg_score,
-       COUNT(DISTINCT CAST(ts AS DATE)) AS active_days,
-       date_diff('day', MIN(ts), MAX(ts)) AS span_days"""
-
-_TRAINING = f"""
-SELECT learner_email, course_id, {_ACTIVITY},
-       CAST(MAX(CASE WHEN verb = 'completed' AND course_completed THEN 1 ELSE 0 END) AS BIGINT) AS completed
-FROM silver GROUP BY learner_email, course_id HAVING COUNT(*) >= 5"""
+_INTERACTIONS = """
+SELECT learner_email, course_id, total_events AS event_count, CAST(any_completed AS BIGINT) AS completed, avg_score
+FROM activity WHERE total_events >= 2"""
+_TRAINING = "SELECT * EXCLUDE (any_completed) FROM activity WHERE total_events >= 5"
 
 
 @register("interaction_matrix", _INTERACTIONS)
@@ -303,12 +290,10 @@ def _training(b):
     return features.training_features(b.silver)
 
 
-@register("course_learner_features", f"""
-SELECT s.course_id, s.learner_email, {_ACTIVITY.replace('module_id', 's.module_id')}
-FROM silver s
-WHERE NOT EXISTS (SELECT 1 FROM silver d WHERE d.course_id = s.course_id AND d.learner_email = s.learner_email
-                  AND d.verb = 'completed' AND d.course_completed)
-GROUP BY s.course_id, s.learner_email HAVING COUNT(*) >= 3""")
+_COURSE_LEARNERS = "SELECT * EXCLUDE (any_completed, completed) FROM activity WHERE total_events >= 3 AND completed = 0"
+
+
+@register("course_learner_features", _COURSE_LEARNERS)
 def _course_learner_features(b):
     return features.course_learner_features(b.silver)
 
@@ -351,8 +336,10 @@ def _weights(b):
     return w.select("learner_email", "course_id", stable_round("weight", 6).alias("weight"))
 
 
-# ── dropout model (E2-E16, C4, A7, D23): rows-only checks ──────────────────
+# ── dropout model (E2-E16, C4, A7, D23) ────────────────────────────────────
+# Values that depend on the fitted trees have rows-only checks; what a scored table holds beside them is compared.
 
+from coursemetrics.functions.labels import INTERVENTION_TEXTS, risk_label, risk_tier_cut, suggested_intervention  # noqa: E402
 from coursemetrics.operators import dropout  # noqa: E402
 
 _MODELS: dict = {}
@@ -366,17 +353,54 @@ def fitted_dropout(b: Binding) -> "dropout.DropoutModel":
     return _MODELS[key]
 
 
-@register("stratified_split")
+# The split rule in SQL: md5 buckets, counted for each label.
+_PLACED = f"""
+t AS ({_TRAINING}),
+bucketed AS (SELECT *, ('0x' || substr(md5('{dropout.SEED}|' || learner_email || '|' || course_id), 1, 8))::BIGINT % {dropout.HASH_BUCKETS} AS bucket FROM t),
+counted AS (SELECT completed, bucket, COUNT(*) AS n FROM bucketed GROUP BY ALL),
+cut AS (SELECT completed, bucket, SUM(n) OVER (PARTITION BY completed ORDER BY bucket) - n AS before, SUM(n) OVER (PARTITION BY completed) AS of_label FROM counted),
+placed AS (SELECT bucketed.*, cut.before, cut.of_label, cut.before >= {dropout.TEST_FRACTION} * cut.of_label AS is_train
+           FROM bucketed JOIN cut USING (completed, bucket))"""
+_FEATURES = f"""
+m AS (SELECT median(avg_score) AS med FROM t),
+f AS (SELECT t.* REPLACE (coalesce(t.avg_score, m.med) AS avg_score) FROM t, m),
+derived AS (SELECT *, total_events / greatest(active_days, 1) AS events_per_day, modules_touched / greatest(span_days, 1) AS completion_velocity,
+                   avg_score * total_events AS score_x_events FROM f)"""
+
+
+@register("stratified_split", f"WITH {_PLACED} SELECT completed, is_train, COUNT(*) AS pairs FROM placed GROUP BY ALL")
 def _split(b):
     s = dropout.stratified_split(features.training_features(b.silver))
     return s.groupBy("completed", "is_train").agg(F.count("*").alias("pairs"))
 
 
+@register("cross_validation_folds", f"""WITH {_PLACED}
+SELECT completed, CAST(least(floor(before * {dropout.N_FOLDS} / of_label), {dropout.N_FOLDS - 1}) AS INTEGER) AS fold, COUNT(*) AS pairs
+FROM placed GROUP BY ALL""")
+def _folds(b):
+    return dropout.assign_folds(features.training_features(b.silver)).groupBy("completed", "fold").agg(F.count("*").alias("pairs"))
+
+
+@register("dropout_cross_validation")
+def _cross_validation(b):
+    """Mean and deviation of the AUC over five folds, with 10 trees a fold."""
+    got = dropout.cross_validate_dropout(features.training_features(b.silver), params={"maxIter": 10})
+    return b.spark.createDataFrame([(got["mean_auc"], got["std_auc"], len(got["fold_auc"]))], "mean_auc double, std_auc double, folds int")
+
+
 @register("dropout_model_info")
 def _model_info(b):
     return dropout.model_info(fitted_dropout(b), b.spark)
 
 
+@register("dropout_model_sizes", f"""WITH {_PLACED}
+SELECT COUNT(*) AS n_samples, COUNT(*) FILTER (is_train) AS n_train, COUNT(*) FILTER (NOT is_train) AS n_test,
+       {sr('median(avg_score)', 6)} AS fill_median FROM placed""")
+def _model_sizes(b):
+    info = dropout.model_info(fitted_dropout(b), b.spark)
+    return info.select("n_samples", "n_train", "n_test", stable_round("fill_median", 6).alias("fill_median"))
+
+
 @register("feature_importances")
 def _importances(b):
     return dropout.feature_importances(fitted_dropout(b), b.spark)
@@ -387,16 +411,42 @@ def _confusion(b):
     return dropout.confusion_matrix(fitted_dropout(b), features.training_features(b.silver))
 
 
+@register("confusion_totals", f"WITH {_PLACED} SELECT CAST(completed AS INTEGER) AS actual, COUNT(*) AS pairs FROM placed WHERE NOT is_train GROUP BY ALL")
+def _confusion_totals(b):
+    """What the cells of the confusion matrix must add up to."""
+    m = dropout.confusion_matrix(fitted_dropout(b), features.training_features(b.silver))
+    return m.select("actual", (F.col("predicted_0") + F.col("predicted_1")).alias("pairs"))
+
+
 @register("classification_report")
 def _class_report(b):
     return dropout.classification_report(fitted_dropout(b), features.training_features(b.silver))
 
 
+@register("classification_support", f"""WITH {_PLACED}
+SELECT CASE completed WHEN 1 THEN 'Completed' ELSE 'Dropout' END AS class_name, COUNT(*) AS support FROM placed WHERE NOT is_train GROUP BY ALL
+UNION ALL SELECT name, COUNT(*) FROM placed, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) v(name) WHERE NOT is_train GROUP BY name""")
+def _class_support(b):
+    return dropout.classification_report(fitted_dropout(b), features.training_features(b.silver)).select("class_name", "support")
+
+
 @register("gold_dropout_risk")
 def _gold_risk(b):
     return dropout.gold_dropout_risk(fitted_dropout(b), features.training_features(b.silver))
 
 
+@register("gold_dropout_risk_inputs", f"""WITH {_PLACED},{_FEATURES}
+SELECT d.learner_email, d.course_id, d.total_events, d.modules_touched, d.active_days, d.span_days, {sr('d.events_per_day', 6)} AS events_per_day,
+       {sr('d.completion_velocity', 6)} AS completion_velocity, {sr('d.score_x_events', 6)} AS score_x_events, p.is_train, true AS has_risk
+FROM derived d JOIN placed p USING (learner_email, course_id)""")
+def _gold_risk_inputs(b):
+    """Everything of the scored table but the score itself, which must be a probability."""
+    g = dropout.gold_dropout_risk(fitted_dropout(b), features.training_features(b.silver))
+    return g.select("learner_email", "course_id", "total_events", "modules_touched", "active_days", "span_days",
+                    *[stable_round(c, 6).alias(c) for c in ("events_per_day", "completion_velocity", "score_x_events")],
+                    "is_train", F.col("dropout_risk_score").between(0, 1).alias("has_risk"))
+
+
 @register("high_risk_pairs")
 def _high_risk(b):
     return dropout.high_risk_pairs(dropout.gold_dropout_risk(fitted_dropout(b), features.training_features(b.silver)))
@@ -407,15 +457,64 @@ def _score_course(b):
     return dropout.score_course(fitted_dropout(b), features.course_learner_features(b.silver))
 
 
+@register("score_course_inputs", f"SELECT *, true AS has_risk FROM ({_COURSE_LEARNERS}) s")
+def _score_course_inputs(b):
+    s = dropout.score_course(fitted_dropout(b), features.course_learner_features(b.silver))
+    return s.withColumn("has_risk", F.col("dropout_risk").between(0, 1)).drop("dropout_risk", "risk_tier", "risk_label")
+
+
 @register("at_risk_with_risk")
 def _at_risk_with_risk(b):
     scored = dropout.score_course(fitted_dropout(b), features.course_learner_features(b.silver))
     return dropout.at_risk_with_risk(reports.at_risk_learners(b.silver, as_of=AS_OF_AT_RISK), scored)
 
 
-@register("feature_summary")
+@register("at_risk_scored", f"""
+SELECT a.*, s.course_id IS NOT NULL AS has_risk FROM ({_AT_RISK}) a LEFT JOIN ({_COURSE_LEARNERS}) s USING (course_id, learner_email)""")
+def _at_risk_scored(b):
+    """The at-risk rows of the joined table, and which of them have a score."""
+    j = _at_risk_with_risk(b)
+    return j.withColumn("has_risk", F.col("dropout_risk").isNotNull()).drop("dropout_risk", "risk_tier", "intervention")
+
+
+_PSEUDO_RISK = "('0x' || substr(md5('risk|' || learner_email || '|' || course_id), 1, 8))::BIGINT % 1001 / 1000.0::DOUBLE"
+
+
+@register("risk_tiers_and_actions", f"""
+WITH r AS (SELECT course_id, learner_email, span_days, CASE WHEN total_events > 5 THEN {_PSEUDO_RISK} END AS risk FROM activity)
+SELECT course_id, learner_email, risk,
+       CASE WHEN risk > 0.65 AND risk <= 1 THEN 'High' WHEN risk > 0.40 AND risk <= 0.65 THEN 'Medium' WHEN risk > 0 AND risk <= 0.40 THEN 'Low' END AS risk_tier,
+       CASE WHEN risk >= 0.65 THEN 'High' WHEN risk >= 0.40 THEN 'Medium' WHEN risk >= 0 THEN 'Low' ELSE '—' END AS risk_label,
+       CASE WHEN risk >= 0.65 THEN CASE WHEN span_days > 14 THEN '{INTERVENTION_TEXTS["high_long_inactive"]}' ELSE '{INTERVENTION_TEXTS["high"]}' END
+            WHEN risk >= 0.40 THEN CASE WHEN span_days > 7 THEN '{INTERVENTION_TEXTS["medium_inactive"]}' ELSE '{INTERVENTION_TEXTS["medium"]}' END
+            ELSE '{INTERVENTION_TEXTS["on_track"]}' END AS intervention
+FROM r""")
+def _risk_tiers(b):
+    """Tier, label and intervention over a made-up risk that any engine can compute from the pair's key."""
+    a = features.course_activity(b.silver)
+    digest = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("risk"), "learner_email", "course_id")), 1, 8), 16, 10).cast("bigint")
+    risk = F.when(F.col("total_events") > 5, (digest % 1001) / 1000.0)
+    r = a.select("course_id", "learner_email", "span_days", risk.alias("risk"))
+    return r.select("course_id", "learner_email", "risk", risk_tier_cut("risk").alias("risk_tier"), risk_label("risk", missing="—").alias("risk_label"),
+                    suggested_intervention("risk", "span_days").alias("intervention"))
+
+
+_SUMMARY_COLUMNS = [*features.FEATURE_COLS, dropout.LABEL]
+
+
+@register("feature_summary", f"WITH t AS ({_TRAINING}),{_FEATURES},\nlong AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM derived" for c in _SUMMARY_COLUMNS) + f""")
+SELECT feature, COUNT(x) AS n, {sr('AVG(x)', 4)} AS mean, {sr('stddev_samp(x)', 4)} AS std, {sr('MIN(x)', 4)} AS min, {sr('quantile_cont(x, 0.25)', 4)} AS q25,
+       {sr('quantile_cont(x, 0.5)', 4)} AS q50, {sr('quantile_cont(x, 0.75)', 4)} AS q75, {sr('MAX(x)', 4)} AS max FROM long GROUP BY feature""")
 def _feature_summary(b):
-    return dropout.feature_summary(features.dropout_features(features.training_features(b.silver)))
+    s = dropout.feature_summary(features.dropout_features(features.training_features(b.silver)))
+    return s.select("feature", "n", *[stable_round(c, 4).alias(c) for c in ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@register("label_summary", f"""
+WITH t AS ({_TRAINING}) SELECT completed, COUNT(*) AS pairs, round(COUNT(*) / (SELECT COUNT(*) FROM t), 4) AS share FROM t GROUP BY completed""")
+def _label_summary(b):
+    return dropout.label_summary(features.training_features(b.silver))
 
 
 # ── recommender (F2-F5, C5, C8): rows-only checks ──────────────────────────
@@ -439,6 +538,23 @@ def _course_factors(b):
                                      F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("norm_sq"))
 
 
+@register("recommender_sizes", f"""
+WITH i AS ({_INTERACTIONS}) SELECT COUNT(DISTINCT learner_email) AS n_learners, COUNT(DISTINCT course_id) AS n_courses,
+       least({recommend.N_COMPONENTS}, COUNT(DISTINCT course_id) - 1) AS n_components FROM i""")
+def _rec_sizes(b):
+    return recommend.recommender_info(fitted_recommender(b), features.interaction_matrix(b.silver)).drop("explained_variance_ratio")
+
+
+@register("recommendation_counts", f"""
+WITH i AS ({_INTERACTIONS}), n AS (SELECT COUNT(DISTINCT course_id) AS n FROM i)
+SELECT learner_email, least(5, any_value(n.n) - COUNT(*)) AS courses, CAST(0 AS BIGINT) AS started FROM i, n GROUP BY learner_email""")
+def _recommendation_counts(b):
+    """Courses recommended to each learner, and how many of them it has started (none)."""
+    i = features.interaction_matrix(b.silver)
+    r = recommend.recommend_courses(fitted_recommender(b), i).join(i.select("learner_email", "course_id", F.lit(1).alias("old")), ["learner_email", "course_id"], "left")
+    return r.groupBy("learner_email").agg(F.count("*").alias("courses"), F.count("old").alias("started"))
+
+
 @register("recommender_info")
 def _rec_info(b):
     return recommend.recommender_info(fitted_recommender(b), features.interaction_matrix(b.silver))
@@ -859,48 +975,49 @@ def _silver_from_bronze(b):
     return flat.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
-# ── streaming (S1-S3): rows-only checks ────────────────────────────────────
+# ── streaming (S1-S3) ────────────────────────────────────
 
 from coursemetrics import streaming  # noqa: E402
 
 
 def _event_stream(b: Binding) -> DataFrame:
-    return streaming.events.read_event_stream(b.spark, f"{b.sf_dir.rstrip('/')}/events.parquet")
+    """The events as a file stream: the table's folder, or the driver's folder where the table is one file in it."""
+    folder = f"{b.sf_dir.rstrip('/')}/events.parquet"
+    one_file = b.spark.read.parquet(folder).inputFiles()[0].endswith("/events.parquet")
+    stream = streaming.events.read_event_stream(b.spark, b.sf_dir if one_file else folder, file_filter="events.parquet" if one_file else None)
+    return streaming.stream_silver(stream, b.table("part").count())
+
+
+def _stream_folders(b: Binding, name: str) -> tuple[str, str]:
+    """Output and checkpoint of a stream over one data folder; a second call in the session resumes."""
+    root = f"{checkpoint_dir(b.spark).rstrip('/')}/streams/{hashlib.md5(b.sf_dir.encode()).hexdigest()}/{name}"
+    return f"{root}/data", f"{root}/checkpoint"
 
 
 @register("stream_silver", "SELECT * FROM silver")
 def _stream_silver(b):
-    out = streaming.run_to_table(streaming.stream_silver(_event_stream(b)), "silver")
-    return b.spark.read.parquet(out)
+    return b.spark.read.parquet(streaming.run_to_table(_event_stream(b), *_stream_folders(b, "silver")))
 
 
 @register("stream_dedup", "SELECT * FROM silver")
 def _stream_dedup(b):
     """Event ids are unique in the driver data, so the deduplicated stream equals silver
     (event time shown as UTC wall-clock time again)."""
-    out = streaming.run_to_table(streaming.stream_dedup(streaming.stream_silver(_event_stream(b))), "dedup")
+    out = streaming.run_to_table(streaming.stream_dedup(_event_stream(b)), *_stream_folders(b, "dedup"))
     return b.spark.read.parquet(out).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @register("stream_engagement")
 def _stream_engagement(b):
-    out = streaming.run_to_table(streaming.stream_engagement(streaming.stream_silver(_event_stream(b))),
-                                 "engagement")
-    return b.spark.read.parquet(out)
+    return streaming.engagement_table(b.spark, streaming.run_engagement(_event_stream(b), *_stream_folders(b, "engagement")))
 
 
 @register("stream_engagement_counts", """
-WITH eng AS (SELECT * FROM silver WHERE verb IN ('interacted', 'progressed', 'launched')),
-wm AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM eng)
 SELECT course_id, module_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
        time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end, COUNT(*) AS event_count
-FROM eng GROUP BY course_id, module_id, time_bucket(INTERVAL 1 HOUR, ts)
-HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT w FROM wm)""")
+FROM silver WHERE verb IN ('interacted', 'progressed', 'launched') GROUP BY ALL""")
 def _stream_engagement_counts(b):
-    """The exact columns of the streaming engagement job: windows closed by the watermark
-    (end <= latest event time - 1 hour), shown as UTC wall-clock times."""
-    out = streaming.run_to_table(streaming.stream_engagement(streaming.stream_silver(_event_stream(b))),
-                                 "engagement-counts")
-    return b.spark.read.parquet(out).select(
+    """The exact columns of the streaming engagement job, shown as UTC wall-clock times."""
+    return _stream_engagement(b).select(
         "course_id", "module_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_count")

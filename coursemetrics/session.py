@@ -1,6 +1,6 @@
 """Session settings the library relies on.
 
-Only runtime SQL settings are touched on a session someone else built;
+On a session someone else built only settings that it leaves open are set;
 ``build_session`` is for tests, benchmarks and scripts.
 """
 
@@ -22,8 +22,11 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set what the session leaves open; a caller's own settings stay. Event times in other zones than UTC are theirs to want."""
+    mine = spark.conf.getAll
+    mine = mine() if callable(mine) else mine
     for key, value in RUNTIME_CONF.items():
-        if spark.conf.get(key, None) != value:
+        if key not in mine:
             spark.conf.set(key, value)
     return spark
 
@@ -51,7 +54,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session names none (local tests) is a scratch folder set.
+    A scratch folder is made only where none is named and all work runs in this process (local tests); on a
+    cluster a missing folder is an error, since a local one is out of the executors' reach.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +63,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         named = tempfile.mkdtemp(prefix="coursemetrics-ckpt-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from coursemetrics.operators.silver import CORRUPT
 from coursemetrics.sources.schemas import COURSE_SCHEMA, EVENT_SCHEMA, LEARNER_SCHEMA
 
 # Statement vocabulary.
@@ -13,13 +14,18 @@ EXT_BASE = "https://lms.example.com/ext/"
 EXT_KEYS = ("course_id", "module_id", "department", "format")
 
 
-def read_raw(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True) -> DataFrame:
-    """JSON files (a top-level array per file when ``multiline``) with a declared schema."""
-    return spark.read.schema(schema).option("multiLine", multiline).option("mode", "PERMISSIVE").json(path)
+def read_raw(spark: SparkSession, path: str, schema: T.StructType, multiline: bool = True, corrupt: str | None = None) -> DataFrame:
+    """JSON files with a declared schema: an array per file (``multiline``; one task reads a file) or a record per line
+    (files are split). ``corrupt`` names a column for the text of records that don't parse."""
+    reader = spark.read.option("multiLine", multiline).option("mode", "PERMISSIVE")
+    if corrupt:
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        reader = reader.option("columnNameOfCorruptRecord", corrupt)
+    return reader.schema(schema).json(path)
 
 
-def read_raw_events(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw(spark, path, EVENT_SCHEMA)
+def read_raw_events(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_raw(spark, path, EVENT_SCHEMA, multiline, CORRUPT)
 
 
 def read_courses(spark: SparkSession, path: str) -> DataFrame:

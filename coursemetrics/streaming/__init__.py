@@ -1,3 +1,4 @@
-from coursemetrics.streaming.events import (stream_silver, stream_dedup, stream_engagement, run_to_table)
+from coursemetrics.streaming.events import (engagement_table, run_engagement, run_statements, run_to_table, stream_dedup,
+                                            stream_silver)
 
-__all__ = ["stream_silver", "stream_dedup", "stream_engagement", "run_to_table"]
+__all__ = ["stream_silver", "stream_dedup", "run_to_table", "run_statements", "run_engagement", "engagement_table"]

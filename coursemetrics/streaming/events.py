@@ -1,26 +1,24 @@
 """Structured Streaming forms of the silver and engagement jobs.
 
-* ``stream_silver``: the same flattening as the batch job over a file stream;
-  statements that fail validation go to a reject sink in the same micro-batch.
-* ``stream_dedup``: repeated ``event_id`` dropped within a watermark, so the
-  dedup state is bounded by the watermark delay.
-* ``stream_engagement``: tumbling one-hour windows per course and module,
-  appended once the watermark closes them; distinct learners use
-  ``approx_count_distinct`` (exact distinct is not allowed on streams).
-
-``run_to_table`` drives a stream with ``availableNow`` into a parquet folder
-under the session's shared checkpoint folder, which also holds its offsets
-and state, so a restarted job resumes where it stopped.
+Every runner takes the caller's output folder and checkpoint folder (both on shared storage) and drives the
+stream to the end of its input (``availableNow``). A job that is run again with the same folders reads only
+files it has not seen.
+
+* ``run_to_table``: rows of a stream appended to a Parquet table; with ``stream_dedup``, repeated ``event_id`` are dropped
+  within a watermark, so the state is bounded by its delay, and rows that come later than that are not taken.
+* ``run_statements``: raw statements to silver and to a reject table, both from one pass over each micro-batch.
+* ``run_engagement``: hourly windows per course and module. Each micro-batch leaves its partial counts and learner
+  sketches; ``engagement_table`` adds them up. No window waits for a watermark, so the last hours are there as soon as
+  they are read, late rows count in their own window, and there is no state to keep.
+
+Tables of partial results have a folder for each micro-batch, which a repeated batch overwrites.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from coursemetrics.operators.silver import extension, silver_events
-from coursemetrics.session import checkpoint_dir
+from coursemetrics.operators.silver import rejected_statements, silver_events
 from coursemetrics.sources.binding import silver_from_events
 from coursemetrics.sources.schemas import EVENT_SCHEMA
 
@@ -28,33 +26,22 @@ WATERMARK = "1 hour"
 WINDOW = "1 hour"
 
 
-def read_event_stream(spark: SparkSession, path: str, fmt: str = "parquet", schema=None,
-                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """File stream over ``path`` (a folder, or one file, which is read through a glob on its name)."""
-    reader = spark.readStream.format(fmt)
-    if path.endswith(f".{fmt}") and "*" not in path:
-        head, _, tail = path.rpartition("/")
-        path = f"{head}/{tail[0]}*{tail[1:]}" if tail else path   # a glob keeps the source folder-based
+def read_event_stream(spark: SparkSession, folder: str, fmt: str = "parquet", schema=None, file_filter: str | None = None,
+                      max_files_per_trigger: int | None = None, multiline: bool = True) -> DataFrame:
+    """File stream over the files of ``folder`` (``file_filter``: only names that match this glob)."""
+    options = {"pathGlobFilter": file_filter} if file_filter else {}
     if schema is None:
-        schema = spark.read.format(fmt).load(path).schema if fmt == "parquet" else EVENT_SCHEMA
-    reader = reader.schema(schema)
+        schema = spark.read.options(**options).format(fmt).load(folder).schema if fmt == "parquet" else EVENT_SCHEMA
     if fmt == "json":
-        reader = reader.option("multiLine", True)
+        options["multiLine"] = multiline
     if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.load(path)
-
-
-def stream_silver(stream: DataFrame, raw: bool = False) -> DataFrame:
-    """Flat silver rows from a stream of driver events (``raw=False``) or of raw statements."""
-    return silver_events(stream) if raw else silver_from_events(stream)
+        options["maxFilesPerTrigger"] = max_files_per_trigger
+    return spark.readStream.format(fmt).schema(schema).options(**options).load(folder)
 
 
-def rejected_statements(stream: DataFrame) -> DataFrame:
-    """Raw statements that the silver filter drops (missing mailbox, verb or course id)."""
-    ok = (F.col("actor.mbox").isNotNull() & F.col("verb.display").getItem("en-US").isNotNull()
-          & extension("course_id").isNotNull())
-    return stream.filter(~F.coalesce(ok, F.lit(False))).select(F.to_json(F.struct("*")).alias("statement"))
+def stream_silver(stream: DataFrame, n_courses: int | None = None) -> DataFrame:
+    """Flat silver rows from a stream of raw statements, or of driver events bound to ``n_courses`` courses."""
+    return silver_events(stream) if n_courses is None else silver_from_events(stream, F.lit(n_courses))
 
 
 def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
@@ -69,41 +56,55 @@ def stream_dedup(silver_stream: DataFrame, delay: str = WATERMARK) -> DataFrame:
     return event_time(silver_stream).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def stream_engagement(silver_stream: DataFrame, delay: str = WATERMARK, window: str = WINDOW,
-                      verbs=("interacted", "progressed", "launched")) -> DataFrame:
-    e = event_time(silver_stream.filter(F.col("verb").isin(*verbs))).withWatermark("ts", delay)
+def _run(query) -> None:
+    query = query.trigger(availableNow=True).start()
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
+
+
+def run_to_table(stream: DataFrame, out: str, checkpoint: str) -> str:
+    """Append ``stream`` to the Parquet table ``out``."""
+    _run(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint))
+    return out
+
+
+def _batch_folder(root: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/batch={batch_id}"
+
+
+def run_statements(stream: DataFrame, out: str, rejects: str, checkpoint: str) -> None:
+    """Raw statements: valid ones flattened into ``out``, the others as text into ``rejects``, in the same micro-batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist()
+        try:
+            silver_events(kept).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+            rejected_statements(kept).write.mode("overwrite").parquet(_batch_folder(rejects, batch_id))
+        finally:
+            kept.unpersist()
+
+    _run(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+def engagement_partials(silver: DataFrame, window: str = WINDOW, verbs=("interacted", "progressed", "launched")) -> DataFrame:
+    e = event_time(silver.filter(F.col("verb").isin(*verbs)))
     return (e.groupBy("course_id", "module_id", F.window("ts", window).alias("w"))
-            .agg(F.count("*").alias("event_count"),
-                 F.approx_count_distinct("learner_email").alias("approx_unique_learners"))
-            .select("course_id", "module_id", F.col("w.start").alias("window_start"),
-                    F.col("w.end").alias("window_end"), "event_count", "approx_unique_learners"))
-
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-def run_to_table(stream: DataFrame, name: str | None = None, mode: str = "append",
-                 reject: DataFrame | None = None) -> str:
-    """Run ``stream`` to the end of its input (availableNow) into parquet; returns the output folder.
-
-    Stream state (dedup keys, open windows) is kept in RocksDB unless the session names another
-    state store: it lives off the JVM heap and is checkpointed with the offsets.
-    """
-    spark = stream.sparkSession
-    if not spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or \
-            spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider"):
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    base = f"{checkpoint_dir(spark).rstrip('/')}/streams/{name or 'run'}-{uuid.uuid4().hex[:12]}"
-    out = f"{base}/data"
-    q = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
-         .option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).start())
-    queries = [q]
-    if reject is not None:
-        queries.append(reject.writeStream.format("parquet").option("path", f"{base}/rejects")
-                       .option("checkpointLocation", f"{base}/_checkpoint_rejects")
-                       .trigger(availableNow=True).start())
-    for query in queries:
-        query.awaitTermination()
-        if query.exception() is not None:
-            raise RuntimeError(str(query.exception()))
+            .agg(F.count("*").alias("event_count"), F.hll_sketch_agg("learner_email").alias("learners"))
+            .select("course_id", "module_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                    "event_count", "learners"))
+
+
+def run_engagement(silver_stream: DataFrame, out: str, checkpoint: str, window: str = WINDOW) -> str:
+    """Partial counts of every window touched by a micro-batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        engagement_partials(batch, window).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+
+    _run(silver_stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
     return out
+
+
+def engagement_table(spark: SparkSession, out: str) -> DataFrame:
+    """Windows with exact event counts and approximate distinct learners."""
+    return (spark.read.parquet(out).groupBy("course_id", "module_id", "window_start", "window_end")
+            .agg(F.sum("event_count").cast("bigint").alias("event_count"),
+                 F.hll_sketch_estimate(F.hll_union_agg("learners")).alias("approx_unique_learners")))

@@ -10,8 +10,7 @@ from coursemetrics.plans import registry
 from coursemetrics.sources.binding import Binding
 from conftest import SF_SMALL
 
-TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "filtered_hybrid_search", "search_by_skills",
-         "recommend_courses"}
+TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "filtered_hybrid_search", "search_by_skills"}
 
 
 def _plan(spark, name):
