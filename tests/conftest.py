@@ -12,8 +12,9 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from coursemetrics.session import build_session, checkpoint_dir
+    import tempfile
+    from coursemetrics.session import build_session
     s = build_session("local[4]", shuffle_partitions=4, app="coursemetrics-tests")
-    checkpoint_dir(s)  # tests only: the session names no shared folder
+    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="coursemetrics-tests-"))  # tests only
     yield s
     s.stop()
