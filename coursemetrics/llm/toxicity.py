@@ -20,7 +20,8 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,7 @@ NO_LETTER = re.compile(r"[\W\d_]+")
 PREFIXES = range(4, 9)
 MIN_ROWS = 4
 MIN_WEIGHT = 2.5
+CHANCE_ENTRIES = 8  # so many of the terms tried may look toxic by chance
 MAX_CANDIDATES = 20_000
 MAX_LEXICON = 2_000
 
@@ -110,12 +112,27 @@ def probability(x: tuple[float, float], curve: tuple[float, float, float]) -> fl
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
+def copy_mark(text: str | None, size: int = 5) -> int:
+    """The smallest hash of five words in a row: the same for copies with few changes, hardly for other texts."""
+    words = (text or "").encode().lower().split()
+    runs = (b" ".join(words[i:i + size]) for i in range(max(1, len(words) - size + 1)))
+    return min(xxhash.xxh64_intdigest(r, 7) for r in runs) - (1 << 63)
+
+
 def terms(folded: str) -> set[str]:
     """Words (with a space after) and word beginnings of a folded text."""
     words = set(folded.split())
     return {f"{w} " for w in words} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
 
+def _evidence(toxic: int, clean: int, toxic_rows: int, clean_rows: int) -> float:
+    """Log-likelihood gained by letting a term's share among its rows differ from the toxic share of all rows; 0 if it is lower."""
+    n, share = toxic + clean, toxic_rows / (toxic_rows + clean_rows)
+    if toxic <= n * share:
+        return 0.0
+    return toxic * math.log(toxic / (n * share)) + (clean * math.log(clean / (n * (1 - share))) if clean else 0.0)
+
+
 def _longest(term: str, rows: dict[str, int], share: float = 0.9) -> str:
     """The longest beginning that stands for nearly all rows of ``term``, so that fewer other words begin with it."""
     while term[-1] != " ":
@@ -137,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
         id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Learn lexicon, exceptions and curve from labelled rows for which ``training`` holds.
 
-    ``sample_rows`` bounds the training rows of each label; that is the only bounded part. Rows with a null id,
+    ``sample_rows`` bounds the training rows of each label; that is the only bounded part. Of copies one teaches. Rows with a null id,
     null label or no text teach nothing; without rows of both labels the lexicon is empty.
     """
     known = labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col)
@@ -146,8 +163,15 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
         return Lexicon()
     ids = _sample(known, label_col, id_col, sample_rows)
     # The ids are bounded by twice sample_rows.
-    picked = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-                    .join(F.broadcast(ids), "_id").select("_label", "_text"), "toxic-sample")
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_id").select("_label", "_text")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([copy_mark(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["_label", "_text", "_mark"])
+
+    # Copies of a text, changed ones too, teach once: else the words of a text with many copies would look toxic.
+    first = F.row_number().over(Window.partitionBy("_label", "_mark").orderBy(F.xxhash64("_text"), "_text"))
+    picked = stored(sample.mapInArrow(marked, "_label int, _text string, _mark long").withColumn("_n", first).where("_n = 1").select("_label", "_text"), "toxic-sample")
     rows = {int(r[0]): r[1] for r in picked.groupBy("_label").count().collect()}
     if len(rows) < 2:
         return Lexicon()
@@ -164,9 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
         return (picked.where(F.col("_label") == label).select("_text").mapInArrow(run, "term string, n long")
                 .groupBy("term").agg(F.sum("n").alias("n")))
 
-    often = counted(None, 1).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
+    # Written before it is read: the tasks' candidates meet in an executor, MAX_CANDIDATES of them reach the driver.
+    often = stored(counted(None, 1).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES), "toxic-terms").collect()
     toxic = {r.term: r.n for r in often}
     clean = {r.term: r.n for r in counted(frozenset(toxic), 0).collect()}
+    evidence = {t: _evidence(n, clean.get(t, 0), rows[1], rows[0]) for t, n in toxic.items()}
+    # The more terms are tried, the more evidence one needs not to be there by chance.
+    toxic = {t: n for t, n in toxic.items() if evidence[t] >= math.log(len(evidence) / CHANCE_ENTRIES)}
     weights = {t: math.log((n + 0.5) / (rows[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (rows[0] + 1)) for t, n in toxic.items()}
     chosen: dict[str, float] = {}
     for t in sorted(weights, key=lambda t: (len(t), t)):
@@ -216,7 +244,7 @@ def _exceptions(picked: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str
             .agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
                  F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
             .where((F.col("clean") >= least) & (F.col("clean") > 3 * F.col("toxic"))))
-    return sorted(r.phrase for r in told.orderBy(F.desc("clean"), "phrase").limit(MAX_LEXICON).collect())
+    return sorted(r.phrase for r in stored(told.orderBy(F.desc("clean"), "phrase").limit(MAX_LEXICON), "toxic-exceptions").collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float, float]:

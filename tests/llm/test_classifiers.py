@@ -52,6 +52,18 @@ def test_toxicity_edge_rows(docs_of, spark):
     assert empty == toxicity.Lexicon() and toxicity.score(docs_of([(1, "x")]), empty).count() == 1
 
 
+def test_copies_teach_once(docs_of, spark):
+    """A toxic text with many slightly changed copies does not make its own words toxic."""
+    odd = "plain quirkle about gardens and rivers with many kind words in it for everyone to read"
+    rows = [(i, f"{odd} grumblo end{i}") for i in range(40)] + [(100 + i, f"text{i} of its own grumblo word{i} there{i}") for i in range(40)]
+    rows += [(200 + i, f"text{i} of its own fine word{i} there{i}") for i in range(80)]
+    labels = spark.createDataFrame([(i, int("grumblo" in t)) for i, t in rows], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs_of(rows), labels, F.lit(True))
+    assert any(x.startswith("grum") for x in lexicon.stems) and not any("quir" in x or "gard" in x for x in [*lexicon.stems, *lexicon.words])
+    assert toxicity.copy_mark(rows[0][1]) == toxicity.copy_mark(rows[1][1]) != toxicity.copy_mark(rows[50][1])
+    assert toxicity.copy_mark(None) == toxicity.copy_mark("")
+
+
 def test_toxicity_learns_from_training_rows_only(docs_of, spark):
     rows = [(i, "such a grumblo thing" if i % 2 else "such a fine thing") for i in range(60)] + [(100 + i, "quixle") for i in range(9)]
     labels = spark.createDataFrame([(i, int("fine" not in t)) for i, t in rows], "doc_id long, toxic int")
