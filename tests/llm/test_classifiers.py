@@ -65,7 +65,8 @@ def test_copies_teach_once(docs_of, spark):
 
 
 def test_toxicity_learns_from_training_rows_only(docs_of, spark):
-    rows = [(i, "such a grumblo thing" if i % 2 else "such a fine thing") for i in range(60)] + [(100 + i, "quixle") for i in range(9)]
+    # Texts differ: copies would teach once.
+    rows = [(i, f"such{i} a{i} grumblo thing{i}" if i % 2 else f"such{i} a{i} fine thing{i}") for i in range(60)] + [(100 + i, f"quixle{i} x") for i in range(9)]
     labels = spark.createDataFrame([(i, int("fine" not in t)) for i, t in rows], "doc_id long, toxic int")
     lexicon = toxicity.fit(docs_of(rows), labels, F.col("doc_id") < 100)
     assert any(x.startswith("grum") for x in lexicon.stems) and not any("quix" in x for x in [*lexicon.stems, *lexicon.words])
