@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from coursemetrics.functions.rounding import stable_round
+from coursemetrics.functions.topk import top_k_per_group
 
 def _eq_or_all(df: DataFrame, col: str, value) -> DataFrame:
     return df if value is None else df.filter(F.col(col) == F.lit(value))
@@ -109,6 +110,14 @@ def engagement_heatmap(gold_engagement_hourly: DataFrame, course_id=None) -> Dat
             .orderBy("course_id", "module_id", "hour_of_day"))
 
 
+def engagement_heatmap_exact(silver: DataFrame, verbs=("interacted", "progressed", "launched")) -> DataFrame:
+    """Module x hour cells straight from silver, with each learner counted once in ``unique_learners_exact``."""
+    e = silver.filter(F.col("verb").isin(*verbs)).withColumn("hour_of_day", F.hour("ts").cast("bigint"))
+    keys = ["course_id", "module_id", "hour_of_day"]
+    return (e.groupBy(*keys, "learner_email").agg(F.count("*").alias("n")).groupBy(*keys)
+            .agg(F.sum("n").cast("bigint").alias("event_count"), F.count("learner_email").alias("unique_learners_exact")))
+
+
 def heatmap_matrix(engagement_heatmap_rows: DataFrame) -> DataFrame:
     """Dense module x 24-hour matrix, zero-filled. Pivot values are given, so no extra job runs."""
     wide = (engagement_heatmap_rows.groupBy("course_id", "module_id")
@@ -126,6 +135,12 @@ def department_skill_gaps(gold_department_skills: DataFrame, department=None) ->
             .orderBy("department", F.desc("skill_gap"), "skill_name"))
 
 
+def top_skill_gaps(gold_department_skills: DataFrame, n: int = 10) -> DataFrame:
+    """The n largest skill gaps of every department."""
+    return top_k_per_group(gold_department_skills, "department", [F.desc("skill_gap"), "skill_name"], n) \
+        .select("department", "rank", "skill_name", "avg_proficiency", "skill_gap")
+
+
 def course_ranking(gold_course_completion: DataFrame, min_enrolled: int = 3) -> DataFrame:
     return (gold_course_completion.filter(F.col("enrolled") >= min_enrolled)
             .select("course_id", "title", "department", "course_format", "skill_level", "enrolled",

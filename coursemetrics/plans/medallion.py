@@ -7,13 +7,16 @@ executor only recomputes work from that table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
-from coursemetrics.operators import gold
+from coursemetrics.operators import dropout, features, gold, search
+from coursemetrics.operators.embed import embed_catalogue
 from coursemetrics.operators.silver import rejected_statements, silver_events
 from coursemetrics.sources.binding import Binding
 from coursemetrics.sources.raw import read_courses, read_learners, read_raw_events
-from coursemetrics.sources.sinks import write_silver, write_table
+from coursemetrics.sources.sinks import write_dropout_risk, write_search_docs, write_silver, write_table
 
 
 def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_dir: str | None = None,
@@ -48,3 +51,23 @@ def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None,
     write_table(gold.gold_department_skills(lr), path=paths["gold_department_skills"], fmt=fmt)
     write_table(gold.gold_engagement_hourly(s), path=paths["gold_engagement_hourly"], fmt=fmt)
     return paths
+
+
+def build_search_docs(spark: SparkSession, root: str, embed_fn: Callable[[list[str]], list[list[float]]], fmt: str = "parquet") -> str:
+    """From the written catalogue and completion table: embed text, vectors by ``embed_fn`` (a batch of texts to vectors, run in
+    the tasks), index documents, one overwrite of ``course_search_docs``."""
+    root = root.rstrip("/")
+    courses, stats = (spark.read.format(fmt).load(f"{root}/{n}") for n in ("dim_courses", "gold_course_completion"))
+    vectors = embed_catalogue(search.course_embed_text(courses), embed_fn).select("course_id", "content_vector")
+    write_search_docs(search.search_docs(courses, stats, vectors), path=f"{root}/course_search_docs", fmt=fmt)
+    return f"{root}/course_search_docs"
+
+
+def build_dropout_risk(spark: SparkSession, root: str, fmt: str = "parquet", params: dict | None = None) -> dropout.DropoutModel:
+    """From the written silver table: the feature table once, a model fitted on it, and ``gold_dropout_risk`` scored from it."""
+    root = root.rstrip("/")
+    write_table(features.training_features(spark.read.format(fmt).load(f"{root}/silver_xapi_events")), path=f"{root}/dropout_training_features", fmt=fmt)
+    table = spark.read.format(fmt).load(f"{root}/dropout_training_features")
+    model = dropout.train_dropout(table, params)
+    write_dropout_risk(dropout.gold_dropout_risk(model, table), path=f"{root}/gold_dropout_risk", fmt=fmt)
+    return model

@@ -100,3 +100,15 @@ def test_time_defaults_to_now(spark):
     assert kpis.total_learners == 3 and kpis.active_this_month in (1, 2)
     late = {r.learner_email: r.days_inactive for r in reports.at_risk_learners(silver).collect()}
     assert late.keys() == {"b@x", "c@x"} and late["b@x"] in (30, 31) and late["c@x"] in (90, 91)
+
+
+def test_search_docs_and_dropout_risk_jobs(spark, tmp_path):
+    from coursemetrics.plans.medallion import build_dropout_risk, build_search_docs
+    root = str(tmp_path / "lake")
+    build_tables(spark, root, sf_dir=SF_SMALL)
+    docs = spark.read.parquet(build_search_docs(spark, root, lambda texts: [[float(len(t)), 1.0] for t in texts]))
+    assert docs.count() == 200 and docs.where("size(content_vector) = 2").count() == 200 and docs.where("completion_rate is not null").count() > 0
+    model = build_dropout_risk(spark, root, params={"maxIter": 2})
+    risk = spark.read.parquet(f"{root}/gold_dropout_risk")
+    assert risk.count() == model.metrics["n_samples"] == spark.read.parquet(f"{root}/dropout_training_features").count()
+    assert risk.where("dropout_risk_score not between 0 and 1").count() == 0
