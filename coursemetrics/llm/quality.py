@@ -24,7 +24,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 # Feature groups of a line and their number of values; the id of a feature is its group's start plus the value.
-GROUPS = {"words": 6, "symbols": 6, "upper": 5, "digits": 4, "end": 3, "marks": 4, "seen": 2, "unique": 5, "letters": 5, "place": 3, "length": 5}
+GROUPS = {"words": 5, "symbols": 6, "upper": 5, "digits": 4, "end": 3, "marks": 4, "seen": 2, "unique": 5, "letters": 5, "length": 5}
 START = dict(zip(GROUPS, np.cumsum([0, *GROUPS.values()])))
 N_FEATURES = sum(GROUPS.values())
 
@@ -76,7 +76,7 @@ def line_features(text: str | None) -> tuple[list[list[int]], list[int]]:
     lines = [x for x in (text or "").split("\n") if x.encode().split()]
     seen: set[str] = set()
     out, sizes = [], []
-    for i, line in enumerate(lines):
+    for line in lines:
         words = line.split()
         n, size = max(1, len(words)), len(line)
         letters = sum(map(str.isalpha, line)) if size < 32 else size - sum(map(line.count, " .,!?;:|#*$%&<>-_=+/()[]\"'0123456789"))
@@ -85,10 +85,10 @@ def line_features(text: str | None) -> tuple[list[list[int]], list[int]]:
         symbols = sum(map(line.count, SYMBOLS))
         digits = sum(map(line.count, "0123456789"))
         last = line.rstrip()[-1:]
-        values = (_step(n, (1, 3, 7, 15, 40)), _step(symbols / n, (0, 0.05, 0.2, 0.5, 1.5)), _step(upper / n, (0, 0.2, 0.5, 0.8)),
+        values = (_step(n, (1, 3, 7, 15)), _step(symbols / n, (0, 0.05, 0.2, 0.5, 1.5)), _step(upper / n, (0, 0.2, 0.5, 0.8)),
                   _step(digits / size, (0, 0.03, 0.2)), 0 if last in ".!?…。" else 1 if last.isalnum() else 2, _step(marks / n, (0, 0.1, 0.5)),
                   int(line in seen), _step(_distinct_share(words), (0.3, 0.5, 0.7, 0.9)), _step(letters / size, (0.4, 0.6, 0.75, 0.85)),
-                  0 if i == 0 else 2 if i == len(lines) - 1 else 1, _step(size / n, (3, 6, 9, 14)))
+                  _step(size / n, (3, 6, 9, 14)))
         seen.add(line)
         out.append([s + v for s, v in zip(START.values(), values)])
         sizes.append(len(line.encode().split()))
@@ -126,7 +126,8 @@ class Chain:
         return (sum(s for s, x in zip(sizes, labels) if x) / total if total else 0.0), sum(labels), len(labels)
 
 
-def train_chain(documents: list[list[list[int]]], good: list[int], rounds: int = 200, ridge: float = 2.0, rate: float = 0.15) -> Chain:
+def train_chain(documents: list[list[list[int]]], good: list[int], rounds: int = 200, ridge: float = 2.0, rate: float = 0.15,
+                move_ridge: float = 0.05) -> Chain:
     """Maximum likelihood in numpy from documents' lines and labels.
 
     Lines start with the label of their document. A chain without moves is fitted first; lines that it is sure
@@ -171,7 +172,8 @@ def train_chain(documents: list[list[list[int]]], good: list[int], rounds: int =
         for k in range(flat.shape[1]):
             for c in (0, 1):
                 by[:, c] += np.bincount(flat[:, k], error[:, c], N_FEATURES)
-        return by - ridge * emit, pairs - ridge * move, p
+        # Lines start with their document's label, which never moves; a heavy prior keeps moves possible.
+        return by - ridge * emit, pairs - move_ridge * len(label) * move, p
 
     def climb(chained: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         x, m, v = np.zeros((N_FEATURES + 2, 2)), 0.0, 0.0
