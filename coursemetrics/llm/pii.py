@@ -48,7 +48,8 @@ SECRET = rf"(?=[A-Za-z_-]{{0,128}}\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AK
 IBAN = rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})"
 CARD = rf"(?<!\d[.-])(?:\d{{4}}([ -]?)\d{{4}}\1\d{{4}}\1\d{{4}}|\d{{4}}([ -]?)\d{{6}}\2\d{{5}})(?![.-]?\d)(?!{WORD})"
 SSN = rf"(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})(?!-)"
-PHONE = rf"(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{1,4}}(?:[ .-]?\d{{2,4}}){{1,5}}|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{WORD})"
+PHONE = (r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}(?!\d)){1,4}|\+\d{8,15}"
+         rf"|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{WORD})")
 IP = rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD})(?!\.\d)"
 PERSON = rf"(?<!\p{{L}})(?:(?:{TITLES})\.? (?:{NAME} )?{NAME}|(?:{GIVEN}) {NAME})(?!\p{{L}})"
 # The card pattern's two groups are the first ones of the whole. Only a sign that can begin a numbered entity is looked at closely.

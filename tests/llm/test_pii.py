@@ -46,6 +46,13 @@ def test_names_keep_gender_script_and_coreference(docs_of):
     assert (d, m) == ("the Maria is here. Mr is", 0)
 
 
+def test_neighbours_are_entities_of_their_own(docs_of):
+    texts = ["+1 (269) 555-3296 4111111111111111", "x 4111111111111111 y +1 (269) 555-3296", "+1 (608) 555-2280 37.92.11.12 +33 1 23 45 67 89", "+12695553296 4111111111111111."]
+    got = run(docs_of, texts)
+    assert [n for _, n in got] == [2, 2, 3, 2]
+    assert got[0][0].split()[-1] == got[1][0].split()[1] == got[3][0].split()[-1].rstrip(".") and got[0][0][:17] == got[1][0][-17:]
+
+
 def test_lookalikes_stay(docs_of):
     texts = ["9807915762804490 and 4845168114407328", "1.2.3 and 1.2.3.4.5 and 300.1.1.1", "a@b, @home, x@y", "2024-01-02 12:30 1,000,000", "DEADBEEF", None, "", " "]
     assert run(docs_of, texts) == [(t, 0) for t in texts]
