@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,14 +108,14 @@ def front_code(rows: list[tuple[bytes, bytes, int, int]]) -> bytes:
     head = np.array([shared, [len(r[0]) for r in rows], [len(r[1]) for r in rows]], "<u2").tobytes()
     source = np.array([[r[2] for r in rows], [r[3] for r in rows]], "<i8").tobytes()
     body = b"".join([*(r[0][k:] for r, k in zip(rows, shared)), *(r[1] for r in rows)])
-    return struct.pack("<I", n) + zlib.compress(head + source + body, 1)
+    return struct.pack("<I", n) + zstandard.compress(head + source + body, 5)
 
 
 class Run:
     """Reads a front-coded run, one suffix at a time."""
 
     def __init__(self, blob: bytes):
-        n, data = struct.unpack_from("<I", blob)[0], zlib.decompress(blob[4:])
+        n, data = struct.unpack_from("<I", blob)[0], zstandard.decompress(blob[4:])
         self.shared, self.sizes, before = (np.frombuffer(data, "<u2", n, 2 * n * i).tolist() for i in range(3))
         self.low, self.high = (np.frombuffer(data, "<i8", n, 6 * n + 8 * n * i).tolist() for i in range(2))
         self.data, self.at = data, 22 * n
@@ -249,50 +249,59 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
     return texts.where(F.octet_length("text") >= length).select("tid", "text").mapInArrow(run, "hash long, tid long, place int")
 
 
+PLACES = T.ArrayType(T.StructType([T.StructField("text", T.BinaryType()), T.StructField("place", T.IntegerType())]))
+ARROW_PLACES = pa.list_(pa.struct([("text", pa.binary()), ("place", pa.int32())]))
+
+
 def _runs(candidates: DataFrame, length: int, parts: int) -> DataFrame:
-    """Two kinds of rows: (part, blob) front-coded runs; (sha, place, around) where an anchor of a single text stands."""
+    """Two kinds of rows: (part, blob) front-coded runs; (around, places) where anchors with equal surroundings stand in texts
+    that only one row holds, a row for each surroundings and flush, so a hot passage is one row of a task."""
     back = length - KGRAM
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("blob", T.BinaryType()), T.StructField("around", T.BinaryType()),
+                           T.StructField("places", PLACES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[bytes, bytes], list[int]] = {}
+        held: dict[tuple[bytes, bytes], list] = {}
+        size = 0
 
-        def flush() -> pa.RecordBatch:
-            by_part = defaultdict(list)
-            for (suffix, before), (low, high) in held.items():
+        def flush() -> Iterator[pa.RecordBatch]:
+            by_part, around, places = defaultdict(list), [], []
+            for (suffix, before), (low, high, own) in held.items():
                 by_part[xxhash.xxh64_intdigest(suffix[:KGRAM]) % parts].append((suffix, before, low, high))
+                if own:
+                    around.append(surroundings_id(suffix, before))
+                    places.append(own)
             held.clear()
             got = [(p, front_code(sorted(rows))) for p, rows in by_part.items()]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary()),
-                                               *(pa.nulls(len(got), t) for t in (pa.string(), pa.int32(), pa.binary()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary()),
+                                              pa.nulls(len(got), pa.binary()), pa.nulls(len(got), ARROW_PLACES)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(around), pa.int32()), pa.nulls(len(around), pa.binary()), pa.array(around, pa.binary()),
+                                              pa.array(places, ARROW_PLACES)], names=schema.names)
 
-        names = ["part", "blob", "sha", "place", "around"]
         for batch in batches:
-            shas, places, around = [], [], []
             for sha, copies, text, cold in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                data = text.encode()
+                data, name = text.encode(), bytes.fromhex(sha[:32])
                 for p in cold:
                     suffix, before = data[p:p + length], data[max(0, p - back):p][::-1]
                     if len(suffix) < KGRAM:
                         continue  # a place of another text with the same short id
                     source = xxhash.xxh64_intdigest(f"{sha}{p}") - (1 << 63)
-                    old = held.get((suffix, before))
-                    held[suffix, before] = [min(old[0], source), max(old[1], source)] if old else [source, source]
+                    old = held.setdefault((suffix, before), [source, source, []])
+                    old[0], old[1] = min(old[0], source), max(old[1], source)
                     if copies == 1:
-                        shas.append(sha)
-                        places.append(p)
-                        around.append(surroundings_id(suffix, before))
-                if len(held) >= RUN_ROWS:
-                    yield flush()
-            if shas:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(shas), pa.int32()), pa.nulls(len(shas), pa.binary()), pa.array(shas), pa.array(places, pa.int32()), pa.array(around, pa.binary())], names=names)
+                        old[2].append({"text": name, "place": p})
+                size += len(cold)
+                if len(held) >= RUN_ROWS or size >= 8 * RUN_ROWS:
+                    yield from flush()
+                    size = 0
         if held:
-            yield flush()
+            yield from flush()
 
-    return candidates.select("sha", "copies", "text", "cold").mapInArrow(run, "part int, blob binary, sha string, place int, around binary")
+    return candidates.select("sha", "copies", "text", "cold").mapInArrow(run, schema)
 
 
 def _hot_intervals(candidates: DataFrame, length: int) -> DataFrame:
-    """``sha, a, b`` of repeated windows around hot anchors, an exact way without a meeting of all their places:
+    """``name, a, b`` of repeated windows around hot anchors, an exact way without a meeting of all their places:
     every window becomes a digest of 128 bits, whose places are compared by an aggregate with map-side combine."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,12 +312,12 @@ def _hot_intervals(candidates: DataFrame, length: int) -> DataFrame:
                     starts = np.unique(hot[k:k + 64, None] - np.arange(length - KGRAM + 1))
                     starts = starts[(starts >= 0) & (starts <= len(data) - length)]
                     digests = [xxhash.xxh3_128_digest(data[s:s + length]) for s in starts.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([sha] * len(digests), pa.string()), pa.array(starts)], names=["window", "sha", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([bytes.fromhex(sha[:32])] * len(digests), pa.binary()), pa.array(starts)], names=["window", "name", "a"])
 
-    windows = stored(candidates.where(F.size("hot") > 0).select("sha", "text", "hot").mapInArrow(run, "window binary, sha string, a long").distinct(), "suffix-hot")
-    place = F.xxhash64("sha", "a")
+    windows = stored(candidates.where(F.size("hot") > 0).select("sha", "text", "hot").mapInArrow(run, "window binary, name binary, a long").distinct(), "suffix-hot")
+    place = F.xxhash64("name", "a")
     often = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("window")
-    return windows.join(often, "window").select("sha", "a", (F.col("a") + length).alias("b"))
+    return windows.join(often, "window").select("name", "a", (F.col("a") + length).alias("b"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -324,7 +333,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         raise ValueError(f"length must be {2 * KGRAM} or more")
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     base = stored(texts.select("id", "tid", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "suffix-base")
-    found = stored(_anchor_table(texts, length), "suffix-anchors")
+    found = _anchor_table(texts, length)  # computed for the counts and again for the join: cheaper than a place on disk
     place = F.xxhash64("tid", "place")
     often = (found.groupBy("hash").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n"))
              .where("low <> high").select("hash", (F.col("n") > HOT_PLACES).alias("is_hot")))
@@ -344,10 +353,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         return pa.table({"around": pa.array([x for x, _ in got], pa.binary()), "spans": pa.array([[{"a": a, "b": b} for a, b in s] for _, s in got], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
     ranges = runs.where("part is not null").select("part", "blob").groupBy("part").applyInArrow(merged, "around binary, spans array<struct<a: int, b: int>>")
-    spans = (runs.where("place is not null").select("sha", "place", "around").join(ranges, "around")
-             .select("sha", F.col("place").cast("long").alias("place"), F.explode("spans").alias("s")).select("sha", (F.col("place") + F.col("s.a")).alias("a"), (F.col("place") + F.col("s.b")).alias("b")))
-    by_text = (spans.unionByName(_hot_intervals(candidates, length)).groupBy("sha")
-               .agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")).withColumnRenamed("sha", "span_sha"))
+    # A text's name is half of its SHA-256.
+    spans = (runs.where("around is not null").select("around", "places").join(ranges, "around")
+             .select(F.explode("places").alias("p"), "spans").select("p", F.explode("spans").alias("s"))
+             .select(F.col("p.text").alias("name"), (F.col("p.place").cast("long") + F.col("s.a")).alias("a"), (F.col("p.place").cast("long") + F.col("s.b")).alias("b")))
+    by_text = (spans.unionByName(_hot_intervals(candidates, length)).groupBy("name")
+               .agg(F.sort_array(F.collect_set(F.struct("a", "b"))).alias("spans")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,7 +376,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
                                               pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.string())], names=["sha", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    parts = candidates.where("copies = 1").join(by_text, F.col("sha") == F.col("span_sha")).select("sha", "text", "spans").mapInArrow(
+    single = candidates.where("copies = 1").select("sha", "text", F.unhex(F.substring("sha", 1, 32)).alias("name"))
+    parts = single.join(by_text, "name").select("sha", "text", "spans").mapInArrow(
         cut, "sha string, n_removed long, n_spans long, kept binary, kept_sha256 string")
     whole = copies.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select(
         "sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(None).cast("binary").alias("kept"), F.lit(EMPTY_SHA).alias("kept_sha256"))
