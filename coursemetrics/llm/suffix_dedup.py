@@ -301,23 +301,40 @@ def _runs(candidates: DataFrame, length: int, parts: int) -> DataFrame:
 
 
 def _hot_intervals(candidates: DataFrame, length: int) -> DataFrame:
-    """``name, a, b`` of repeated windows around hot anchors, an exact way without a meeting of all their places:
-    every window becomes a digest of 128 bits, whose places are compared by an aggregate with map-side combine."""
+    """``name, a, b`` of repeated windows around hot anchors, an exact way without a meeting of all their places.
+
+    Every window becomes a digest of 128 bits, whose places are compared by an aggregate with map-side combine. A window
+    that a text itself repeats is told at once, as ranges, and stands for all its places there in one row.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for sha, text, hot in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                data = text.encode()
-                hot = np.array(hot, np.int64)
-                for k in range(0, len(hot), 64):
-                    starts = np.unique(hot[k:k + 64, None] - np.arange(length - KGRAM + 1))
-                    starts = starts[(starts >= 0) & (starts <= len(data) - length)]
-                    digests = [xxhash.xxh3_128_digest(data[s:s + length]) for s in starts.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([bytes.fromhex(sha[:32])] * len(digests), pa.binary()), pa.array(starts)], names=["window", "name", "a"])
-
-    windows = stored(candidates.where(F.size("hot") > 0).select("sha", "text", "hot").mapInArrow(run, "window binary, name binary, a long").distinct(), "suffix-hot")
-    place = F.xxhash64("name", "a")
-    often = windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low <> high").select("window")
-    return windows.join(often, "window").select("name", "a", (F.col("a") + length).alias("b"))
+                data, name, ends = text.encode(), bytes.fromhex(sha[:32]), np.array(hot, np.int64) + 1
+                marks = np.zeros(len(data) + 2, np.int64)
+                np.add.at(marks, np.maximum(0, ends - (length - KGRAM + 1)), 1)
+                np.add.at(marks, np.minimum(ends, len(data) + 1), -1)
+                starts = np.flatnonzero(np.cumsum(marks)[:max(0, len(data) - length + 1)])
+                for k in range(0, len(starts), BLOCK):
+                    own = starts[k:k + BLOCK]
+                    digests = [xxhash.xxh3_128_digest(data[s:s + length]) for s in own.tolist()]
+                    first: dict[bytes, int] = {}
+                    again = {d for i, d in enumerate(digests) if first.setdefault(d, i) != i}
+                    local = own[[d in again for d in digests]]
+                    cuts = np.flatnonzero(np.diff(local) > length)
+                    begin, end = local[np.append(0, cuts + 1)] if len(local) else local, local[np.append(cuts, -1)] + length if len(local) else local
+                    windows = list(first)
+                    at = own[[first[d] for d in windows]] if windows else own
+                    n = len(windows) + len(begin)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([*windows, *[None] * len(begin)], pa.binary()), pa.array([name] * n, pa.binary()), pa.array(np.concatenate([at, begin])),
+                         pa.array(np.concatenate([at + length, end])), pa.array([*(d in again for d in windows), *[True] * len(begin)], pa.bool_())],
+                        names=["window", "name", "a", "b", "local"])
+
+    found = stored(candidates.where(F.size("hot") > 0).select("sha", "text", "hot").mapInArrow(run, "window binary, name binary, a long, b long, local boolean"), "suffix-hot")
+    place, windows = F.xxhash64("name", "a"), found.where("window is not null")
+    often = (windows.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.max("local").alias("twice"))
+             .where("low <> high or twice").select("window"))
+    return found.where("window is null").select("name", "a", "b").unionByName(windows.join(often, "window").select("name", "a", "b"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
