@@ -2,7 +2,8 @@
 
 Passages (windows of words) and benchmark items are TF-IDF vectors over the items' words, with document
 frequencies counted over all documents. A randomised SVD, whose products are summed over Spark's partitions,
-gives a latent space; every passage of every document is compared with every item by cosine there.
+gives a latent space; every passage of every document is compared with every item by cosine there. Items are
+searched in blocks that the space can carry, and it is widened until every item keeps nearly all of its length.
 Candidates are checked on the words themselves: the longest common subsequence of the item's content words
 with the region around the passage, and the item's answer (its last sentence) where the match is not near
 complete. So a passage with changed, dropped or inserted words is found as well as a copy.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,9 @@ from coursemetrics.llm.common import stored
 STRIDE = 16  # words; a passage is two strides long
 RANK = 256
 EXTRA = 10
-ITEMS = 2000
+KEPT = 0.9  # of an item's length, that the latent space holds at least
+ITEMS = 2000  # share a vocabulary, its document frequencies and the sample
+TOGETHER = 10  # indexes that one pass over the documents searches
 SAMPLE_DOCS = 2000
 MIN_COSINE = 0.35
 HELD = 0.4
@@ -75,7 +79,7 @@ def item_of(item_id, text: str | None) -> Item:
 
 @dataclass
 class Index:
-    """Everything the search needs of one block of items: bounded by ITEMS, their words and RANK."""
+    """Everything the search needs of one block of items: bounded by RANK and the items' words."""
 
     item_ids: list
     vocabulary: dict[bytes, int]
@@ -105,9 +109,8 @@ class Index:
             near = sums if self.latent is None else sums @ self.latent.T
             yield first, near / np.sqrt(np.maximum(energy[:, None], self.least))
 
-    def search(self, text: str | None) -> list[tuple[object, float, float, bool, int]]:
+    def search(self, words: list[bytes]) -> list[tuple[object, float, float, bool, int]]:
         """(item_id, cosine, share of its content words found in order, answer found, first word) of contained items."""
-        words = words_of(text)
         if not words or not self.item_ids:
             return []
         terms = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int32, len(words))
@@ -179,13 +182,8 @@ def _rows_times(at: list[np.ndarray], w: list[np.ndarray], matrix: np.ndarray) -
     return np.add.reduceat(matrix[flat] * weights[:, None], heads, axis=0)
 
 
-def _fit_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, vocabulary: dict[bytes, int], id_col: str, text_col: str, seed: int) -> np.ndarray:
-    """Leading right singular vectors of the passages' matrix: items, and the passages of at most SAMPLE_DOCS documents.
-
-    Randomised: A'A times a random matrix is summed over the partitions (a sum for each block of terms), its range
-    is made orthogonal, and the small matrix of A'A in that range, summed the same way, is diagonalised.
-    """
-    terms, width = len(idf), min(RANK + EXTRA, len(idf))
+def _sample_passages(docs: DataFrame, idf: np.ndarray, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+    """Passages of at most SAMPLE_DOCS documents: term ids and weights of length 1."""
     ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,20 +197,36 @@ def _fit_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, vocabu
                                               pa.array([w.astype("<f4").tobytes() for _, w in rows], pa.binary())], names=["at", "w"])
 
     # SAMPLE_DOCS ids at most.
-    sample = stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id")
-                    .select("_text").mapInArrow(passages, "at binary, w binary"), "decontaminate-passages")
-    own = [r for r in (_row(x, idf) for x in items) if r]
-    weight = np.sqrt(max(1, sample.count()) / max(1, len(own)))  # items weigh as much as passages in all
-    own_at, own_w = [a for a, _ in own], [w * weight for _, w in own]
+    return stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id")
+                  .select("_text").mapInArrow(passages, "at binary, w binary"), "decontaminate-passages")
+
+
+def _fit_basis(sample: DataFrame, passages: int, own_at: list[np.ndarray], own_w: list[np.ndarray], own: np.ndarray, seed: int) -> np.ndarray:
+    """Leading right singular vectors of the passages' matrix: items (``own_at``, ``own_w``), and the ``passages`` of the sample.
+
+    Randomised: A'A times a random matrix is summed over the partitions (a sum for each block of terms), its range
+    is made orthogonal, and the small matrix of A'A in that range, summed the same way, is diagonalised. ``own`` has
+    the block's term for each term of the sample, -1 where no item of the block has the word.
+    """
+    terms = int(own.max()) + 1
+    width = min(RANK + EXTRA, terms)
+    weight = np.sqrt(max(1, passages) / max(1, len(own_at)))  # items weigh as much as passages in all
+    own_w = [w * weight for w in own_w]
+
+    def within(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        at, w = [own[np.frombuffer(x, "<i4")] for x in batch.column(0).to_pylist()], [np.frombuffer(x, "<f4") for x in batch.column(1).to_pylist()]
+        some = [(a[a >= 0], x[a >= 0]) for a, x in zip(at, w) if a.max(initial=-1) >= 0]
+        return [a for a, _ in some], [x for _, x in some]
 
     def summed(product, rows_of_result: int, columns: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
                 for k in range(0, batch.num_rows, 512):
-                    some = batch.slice(k, 512)
-                    part = product([np.frombuffer(x, "<i4") for x in some.column(0).to_pylist()], [np.frombuffer(x, "<f4") for x in some.column(1).to_pylist()])
-                    total = part if total is None else total + part
+                    at, w = within(batch.slice(k, 512))
+                    if at:
+                        part = product(at, w)
+                        total = part if total is None else total + part
             if total is not None:
                 blocks = range(0, rows_of_result, TERM_BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[b:b + TERM_BLOCK].astype("<f4").tobytes() for b in blocks], pa.binary())], names=["block", "x"])
@@ -220,7 +234,7 @@ def _fit_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, vocabu
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "x": [sum(np.frombuffer(x, "<f4").astype(np.float64) for x in sorted(pdf["x"])).astype("<f4").tobytes()]})
 
-        out = product(own_at, own_w) if own else np.zeros((rows_of_result, columns))
+        out = product(own_at, own_w)
         # One matrix, as large as the result: items' words by RANK.
         for r in sample.mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(add, "block long, x binary").collect():
             out[r.block:r.block + TERM_BLOCK] += np.frombuffer(r.x, "<f4").reshape(-1, columns)
@@ -232,7 +246,7 @@ def _fit_basis(docs: DataFrame, items: list[np.ndarray], idf: np.ndarray, vocabu
 
     q, _ = np.linalg.qr(summed(by_random, terms, width))
     q = q.astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(q)
+    shared = sample.sparkSession.sparkContext.broadcast(q)
 
     def in_range(at, w) -> np.ndarray:
         y = _rows_times(at, w, shared.value)
@@ -254,34 +268,61 @@ def _transposed_times(at: list[np.ndarray], w: list[np.ndarray], y: np.ndarray,
     return out
 
 
-def build_index(docs: DataFrame, items: list[Item], id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Index:
+def _widened(basis: np.ndarray, at: list[np.ndarray], w: list[np.ndarray]) -> np.ndarray:
+    """The basis, and directions in which rows lie that it holds less than KEPT of; with them it holds those rows whole."""
+    latent = _rows_times(at, w, basis)
+    short = np.flatnonzero((latent ** 2).sum(1) < KEPT ** 2)
+    if not len(short):
+        return basis
+    rest = np.zeros((len(basis), len(short)))
+    for k, i in enumerate(short):
+        rest[at[i], k] = w[i]
+    rest -= basis @ latent[short].T
+    more, size, _ = np.linalg.svd(rest, full_matrices=False)
+    return np.concatenate([basis, more[:, size > 1e-3].astype(basis.dtype)], axis=1)
+
+
+def build_indexes(docs: DataFrame, items: list[Item], id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Iterator[Index]:
+    """Indexes of blocks of items, each with as many vectors as RANK can carry."""
     items = [x for x in items if x.words]
-    vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
     if not items:
-        return Index([], {}, np.zeros(0), np.zeros((0, 0)), None, np.zeros(0), [], [], [])
-    seen, n = _document_frequency(docs, vocabulary, text_col)
+        return
+    everything = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
+    seen, n = _document_frequency(docs, everything, text_col)
     # Smoothed, never 0: a passage that many documents hold must not lose its words.
     idf = (np.log((2 + n) / (1 + seen)) + 0.05).astype(np.float32)
+    sample = _sample_passages(docs, idf, everything, id_col, text_col)
+    passages = sample.count()
+    for block in batched(items, max(1, RANK * 4 // 5)):
+        vocabulary = {w: i for i, w in enumerate(sorted({w for x in block for w in x.words}))}
+        own = np.full(len(everything), -1, np.int32)
+        own[[everything[w] for w in vocabulary]] = np.arange(len(vocabulary))
+        yield _index_of(list(block), vocabulary, idf[own >= 0], sample, passages, own, seed)
+
+
+def _index_of(items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray, sample: DataFrame, passages: int, own: np.ndarray, seed: int) -> Index:
     as_terms = [np.array([vocabulary[w] for w in x.words], np.int32) for x in items]
-    basis = _fit_basis(docs, as_terms, idf, vocabulary, id_col, text_col, seed)
     rows = [_row(x, idf) for x in as_terms]
-    latent = _rows_times([a for a, _ in rows], [w for _, w in rows], basis)
+    at, w = [a for a, _ in rows], [x for _, x in rows]
+    basis = _widened(_fit_basis(sample, passages, at, w, own, seed), at, w)
+    latent = _rows_times(at, w, basis)
+    latent /= np.sqrt((latent ** 2).sum(1, keepdims=True))
     content = [x[idf[x] >= 0.5 * idf[x].mean()].tolist() for x in as_terms]
     answers = [[t for t in (vocabulary[w] for w in x.answer) if t in set(c)] for x, c in zip(items, content)]
-    basis, latent = basis * idf[:, None], latent.astype(np.float32)
-    if len(items) <= RANK:  # the product of both is no larger
+    basis, latent = (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32)
+    if len(latent) <= basis.shape[1]:  # the product of both is no larger
         basis, latent = np.ascontiguousarray(basis @ latent.T), None
     least = np.array([HELD * float((idf[x] ** 2).sum()) * min(1, 2 * STRIDE / len(x)) for x in as_terms], np.float32)
     return Index([x.item_id for x in items], vocabulary, idf, basis, latent, least, content, answers, [len(x) for x in as_terms])
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Index]:
-    """An index for each block of about ITEMS items, so that what one search holds does not grow with the benchmark."""
+    """Indexes of the benchmark, collected by about ITEMS items, so that what one search holds does not grow with the benchmark."""
     asked = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("text is not null")
     blocks = -(-asked.count() // ITEMS)
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        yield build_index(docs, [item_of(r.item_id, r.text) for r in sorted(part, key=lambda r: (str(r.item_id), r.text))], id_col, text_col)
+        yield from build_indexes(docs, [item_of(r.item_id, r.text) for r in sorted(part, key=lambda r: (str(r.item_id), r.text))], id_col, text_col)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -295,13 +336,14 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                            T.StructField("cosine", T.DoubleType()), T.StructField("lcs_share", T.DoubleType()), T.StructField("answer_found", T.BooleanType()), T.StructField("first_word", T.LongType())])
     item_type = pa.int64() if schema["item_id"].dataType == T.LongType() else None
     out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(docs, benchmark, id_col, text_col, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for some in batched(indexes(docs, benchmark, id_col, text_col, item_col, item_text_col), TOGETHER):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                hits = [(row, *hit) for row, text in enumerate(batch.column(1).to_pylist()) for hit in own.search(text)]
+                texts = map(words_of, batch.column(1).to_pylist())
+                hits = [(row, *hit) for row, words in enumerate(texts) for index in own for hit in index.search(words)]
                 if hits:
                     rows, items, cosine, share, answer, first = zip(*hits)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, item_type), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()),
@@ -314,13 +356,14 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Rows of ``docs``, with all their columns, that hold no item; the search runs in the scan's tasks."""
     at, out = docs.columns.index(text_col), docs
-    for index in indexes(docs, benchmark, id_col, text_col, item_col, item_text_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for some in batched(indexes(docs, benchmark, id_col, text_col, item_col, item_text_col), TOGETHER):
+        shared = docs.sparkSession.sparkContext.broadcast(some)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for batch in batches:
-                yield batch.filter(pa.array([not own.search(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                texts = map(words_of, batch.column(at).to_pylist())
+                yield batch.filter(pa.array([not any(index.search(words) for index in own) for words in texts], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

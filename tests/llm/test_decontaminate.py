@@ -119,3 +119,27 @@ def test_blocks_of_items(docs_of, bench, monkeypatch):
     monkeypatch.setattr(dc, "ITEMS", 15)
     item = bench.first()
     assert {r.item_id for r in dc.find_contaminated(docs_of([(1, item.text), (2, "nothing")]), bench).collect()} == {item.item_id}
+
+
+def test_copies_among_many_items_are_found(docs_of, spark):
+    """More items than ranks: each keeps its length in the latent space, so its copy stays a candidate."""
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 6000, 37))) for i in range(1000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"the start of it {t} the end") for i, t in items] + [(5000 + i, " ".join(f"w{x}" for x in rng.integers(0, 6000, 80))) for i in range(50)]
+    docs = docs_of(rows)
+    assert {(r.doc_id, r.item_id) for r in dc.find_contaminated(docs, bench).collect()} == {(i, i) for i, _ in items}
+    texts, off, seen = dict(items), 0.0, 0
+    for index in dc.indexes(docs, bench):
+        for k, i in enumerate(index.item_ids):
+            terms = np.array([index.vocabulary[w] for w in dc.words_of(texts[i])], np.int32)
+            x = terms[:2 * dc.STRIDE]
+            exact = (dc._row(x, index.idf)[1] * dict_of(dc._row(terms, index.idf), dc._row(x, index.idf)[0])).sum()
+            (_, near), seen = next(index.cosines(terms)), seen + 1
+            off = max(off, abs(near[0, k] - exact))
+    assert seen == 1000 and off < 0.15
+
+
+def dict_of(row, at):
+    weights = dict(zip(row[0].tolist(), row[1].tolist()))
+    return np.array([weights[a] for a in at.tolist()])
