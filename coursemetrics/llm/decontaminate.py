@@ -2,7 +2,8 @@
 
 Passages (windows of words) and benchmark items are TF-IDF vectors over the items' words, with document
 frequencies counted over all documents. A randomised SVD, whose products are summed over Spark's partitions,
-gives a latent space; every passage of every document is compared with every item by cosine there. Items are
+gives a latent space; every passage of every document is compared with every item by cosine there. A long item has
+a vector for each part of it, so that a passage is compared with about as many words; the best of them counts. Items are
 searched in blocks that the space can carry, and it is widened until every item keeps nearly all of its length.
 Candidates are checked on the words themselves: the longest common subsequence of the item's content words
 with the region around the passage, and the item's answer (its last sentence) where the match is not near
@@ -26,6 +27,7 @@ from pyspark.sql import types as T
 from coursemetrics.llm.common import stored
 
 STRIDE = 16  # words; a passage is two strides long
+PART = 4 * STRIDE  # words of an item in one vector; parts overlap by half, so each passage of a copy is within one
 RANK = 256
 EXTRA = 10
 KEPT = 0.9  # of an item's length, that the latent space holds at least
@@ -84,9 +86,10 @@ class Index:
     item_ids: list
     vocabulary: dict[bytes, int]
     idf: np.ndarray
-    basis: np.ndarray  # term by rank, times idf; term by item where there are fewer items than ranks
-    latent: np.ndarray | None  # item by rank; None where it is already in the basis
-    least: np.ndarray  # of each item: the energy that a passage has at least if it holds (a passage of) the item
+    basis: np.ndarray  # term by rank, times idf; term by part where there are fewer parts than ranks
+    latent: np.ndarray | None  # part by rank; None where it is already in the basis
+    least: np.ndarray  # of each part: the energy that a passage has at least if it holds (a passage of) the part
+    heads: np.ndarray  # first part of each item
     content: list[list[int]]
     answers: list[list[int]]
     lengths: list[int]
@@ -107,7 +110,8 @@ class Index:
             if n > 1:
                 sums, energy = sums[:-1] + sums[1:], energy[:-1] + energy[1:]
             near = sums if self.latent is None else sums @ self.latent.T
-            yield first, near / np.sqrt(np.maximum(energy[:, None], self.least))
+            near = near / np.sqrt(np.maximum(energy[:, None], self.least))
+            yield first, near if len(self.heads) == near.shape[1] else np.maximum.reduceat(near, self.heads, axis=1)
 
     def search(self, words: list[bytes]) -> list[tuple[object, float, float, bool, int]]:
         """(item_id, cosine, share of its content words found in order, answer found, first word) of contained items."""
@@ -293,16 +297,36 @@ def build_indexes(docs: DataFrame, items: list[Item], id_col: str = "doc_id", te
     idf = (np.log((2 + n) / (1 + seen)) + 0.05).astype(np.float32)
     sample = _sample_passages(docs, idf, everything, id_col, text_col)
     passages = sample.count()
-    for block in batched(items, max(1, RANK * 4 // 5)):
+    for block in _blocks(items, max(1, RANK * 4 // 5)):
         vocabulary = {w: i for i, w in enumerate(sorted({w for x in block for w in x.words}))}
         own = np.full(len(everything), -1, np.int32)
         own[[everything[w] for w in vocabulary]] = np.arange(len(vocabulary))
-        yield _index_of(list(block), vocabulary, idf[own >= 0], sample, passages, own, seed)
+        yield _index_of(block, vocabulary, idf[own >= 0], sample, passages, own, seed)
+
+
+def _parts(words: list | np.ndarray) -> list:
+    last = max(0, len(words) - PART)
+    return [words[a:a + PART] for a in [*range(0, last, PART // 2), last]]
+
+
+def _blocks(items: list[Item], parts: int) -> Iterator[list[Item]]:
+    """Runs of items of at most ``parts`` parts; an item that has more is alone."""
+    block, size = [], 0
+    for x in items:
+        n = len(_parts(x.words))
+        if block and size + n > parts:
+            yield block
+            block, size = [], 0
+        block.append(x)
+        size += n
+    if block:
+        yield block
 
 
 def _index_of(items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray, sample: DataFrame, passages: int, own: np.ndarray, seed: int) -> Index:
     as_terms = [np.array([vocabulary[w] for w in x.words], np.int32) for x in items]
-    rows = [_row(x, idf) for x in as_terms]
+    parts = [_parts(x) for x in as_terms]
+    rows = [_row(x, idf) for some in parts for x in some]
     at, w = [a for a, _ in rows], [x for _, x in rows]
     basis = _widened(_fit_basis(sample, passages, at, w, own, seed), at, w)
     latent = _rows_times(at, w, basis)
@@ -312,8 +336,9 @@ def _index_of(items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray,
     basis, latent = (basis * idf[:, None]).astype(np.float32), latent.astype(np.float32)
     if len(latent) <= basis.shape[1]:  # the product of both is no larger
         basis, latent = np.ascontiguousarray(basis @ latent.T), None
-    least = np.array([HELD * float((idf[x] ** 2).sum()) * min(1, 2 * STRIDE / len(x)) for x in as_terms], np.float32)
-    return Index([x.item_id for x in items], vocabulary, idf, basis, latent, least, content, answers, [len(x) for x in as_terms])
+    least = np.array([HELD * float((idf[x] ** 2).sum()) * min(1, 2 * STRIDE / len(x)) for some in parts for x in some], np.float32)
+    heads = np.cumsum([0, *map(len, parts)])[:-1]
+    return Index([x.item_id for x in items], vocabulary, idf, basis, latent, least, heads, content, answers, [len(x) for x in as_terms])
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> Iterator[Index]:

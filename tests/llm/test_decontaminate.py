@@ -143,3 +143,15 @@ def test_copies_among_many_items_are_found(docs_of, spark):
 def dict_of(row, at):
     weights = dict(zip(row[0].tolist(), row[1].tolist()))
     return np.array([weights[a] for a in at.tolist()])
+
+
+@pytest.mark.parametrize("length", [65, 300, 1000, 8000])
+def test_long_items_are_found(docs_of, spark, length):
+    """Also where one item has more parts than a block has ranks."""
+    rng = np.random.default_rng(length)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 6000, length))) for i in range(8 if length < 2000 else 2)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, f"the start of it {t} the end") for i, t in items] + [(100 + i, " ".join(f"w{x}" for x in rng.integers(0, 6000, 80))) for i in range(50)]
+    docs = docs_of(rows)
+    assert {(r.doc_id, r.item_id) for r in dc.find_contaminated(docs, bench).collect()} == {(i, i) for i, _ in items}
+    assert {r.doc_id for r in dc.keep_uncontaminated(docs, bench).collect()} == set(range(100, 150))
