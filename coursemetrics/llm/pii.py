@@ -5,7 +5,9 @@ number, so the same entity is replaced alike everywhere (coreference) without an
 the format: digits stay digits, letters letters of the same case, separators stay, octets keep their number
 of digits, card numbers their issuer digit and check digit; names keep gender and script. The collision check
 gathers the distinct entities, finds surrogates that two entities share or that are themselves an entity
-of the input, and gives all but one of them the next attempt until none is left (distinctness). Only
+of the input, and gives all but one of them the next attempt until none is left (distinctness). A format can
+have less room than entities (one-letter mailboxes of one domain); from attempt WIDE_FROM on a surrogate is
+longer than its format: more letters, syllables or digits from the digest, octets of any width. Only
 entities with a later attempt are joined to the texts that hold them.
 """
 
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from coursemetrics.llm.common import stored
 
 MAX_ATTEMPTS = 40
+WIDE_FROM = 24
 
 # Given names by gender, and titles.
 FEMALE = ("Mary", "Maria", "Anna", "Emma", "Laura", "Julia", "Sophie", "Claire", "Camille", "Sarah", "Elena", "Carmen", "Lucía", "Petra", "Sabine",
@@ -116,12 +119,13 @@ def _hex(value: Column, digest: Column) -> Column:
     return F.when(value == F.upper(value), F.upper(lower)).otherwise(lower)
 
 
-def _email(value: Column, digest: Column) -> Column:
+def _email(value: Column, digest: Column, wide: Column) -> Column:
     """Local part and the host's first label are replaced; a domain of two labels stays."""
     local, host = F.split_part(value, _lit("@"), _lit(1)), F.split_part(value, _lit("@"), _lit(2))
     labels = F.split(host, r"\.")
     label = F.when(F.size(labels) > 2, _scrambled(labels[0], F.reverse(digest))).otherwise(labels[0])
-    return F.concat(_scrambled(local, digest), _lit("@"), F.array_join(F.concat(F.array(label), F.slice(labels, _lit(2), F.size(labels))), "."))
+    more = F.when(wide, F.substring(digest, 101, 12)).otherwise("")
+    return F.concat(_scrambled(local, digest), more, _lit("@"), F.array_join(F.concat(F.array(label), F.slice(labels, _lit(2), F.size(labels))), "."))
 
 
 def _in_format(value: Column, characters: Column) -> Column:
@@ -146,10 +150,16 @@ def _phone(value: Column, digest: Column) -> Column:
     return F.concat(code, _in_format(rest, F.concat(first, _scrambled(F.substr(plain, _lit(2), F.length(plain)), digest))))
 
 
-def _octets(value: Column, digest: Column) -> Column:
+def _more_digits(digest: Column, wide: Column) -> Column:
+    """Two groups of four digits for a number whose format is full."""
+    digits = F.translate(F.substring(digest, 101, 8), "abcdef", "135792")
+    return F.when(wide, F.concat(_lit("-"), F.substring(digits, 1, 4), _lit("-"), F.substring(digits, 5, 4))).otherwise("")
+
+
+def _octets(value: Column, digest: Column, wide: Column) -> Column:
     def one(x: Column, i: Column) -> Column:
         n = _nibble(digest, i * 4) * 256 + _nibble(digest, i * 4 + 2)
-        return (F.when(F.length(x) == 3, n % 156 + 100).when(F.length(x) == 2, n % 90 + 10).otherwise(n % 9 + 1)).cast("string")
+        return (F.when(wide, n % 255 + 1).when(F.length(x) == 3, n % 156 + 100).when(F.length(x) == 2, n % 90 + 10).otherwise(n % 9 + 1)).cast("string")
     return F.array_join(F.transform(F.split(value, r"\."), one), ".")
 
 
@@ -167,11 +177,12 @@ def script_of(value: Column) -> Column:
     return F.when(value.rlike(r"\p{IsCyrillic}"), "cyrillic").when(value.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(kind: Column, value: Column, digest: Column) -> Column:
+def _name(kind: Column, value: Column, digest: Column, wide: Column) -> Column:
     """A made-up name in the script of ``value``; the ending follows the gender in ``kind`` (given_f, given_m, given_x, surname)."""
     def made(script: str) -> Column:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
-        body = F.concat(*(F.element_at(syllables, _nibble(digest, 6 * i) % 16 + 1) for i in range(3)))
+        some = lambda places: F.concat(*(F.element_at(syllables, _nibble(digest, 6 * i) % 16 + 1) for i in places))
+        body = F.concat(some(range(3)), F.when(wide, some(range(7, 12))).otherwise(""))
         ends = {g: F.element_at(F.array(*map(F.lit, ENDINGS[script][g])), _nibble(digest, 40) % 4 + 1) for g in "fmx"}
         return F.concat(body, F.when(kind == "given_f", ends["f"]).when(kind == "given_m", ends["m"]).otherwise(ends["x"]))
     script = script_of(value)
@@ -181,11 +192,14 @@ def _name(kind: Column, value: Column, digest: Column) -> Column:
 
 
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
-    """Replacement of one entity (names one by one) in the format of ``value``."""
-    digest = _digest(key, kind, norm_of(kind, value), attempt)
-    return (F.when(kind == "email", _email(value, digest)).when(kind == "secret", _secret(value, digest)).when(kind == "iban", _iban(value, digest))
-            .when(kind == "card", _card(value, digest)).when(kind == "ip", _octets(value, digest)).when(kind == "ssn", _in_format(value, _scrambled(F.regexp_replace(value, "-", ""), digest)))
-            .when(kind == "phone", _phone(value, digest)).otherwise(_name(kind, value, digest)))
+    """Replacement of one entity (names one by one) in the format of ``value``, or longer from attempt WIDE_FROM on.
+
+    Cards, IBANs and secrets have 10^12 surrogates or more in any format and are never longer.
+    """
+    digest, wide = _digest(key, kind, norm_of(kind, value), attempt), attempt >= WIDE_FROM
+    return (F.when(kind == "email", _email(value, digest, wide)).when(kind == "secret", _secret(value, digest)).when(kind == "iban", _iban(value, digest))
+            .when(kind == "card", _card(value, digest)).when(kind == "ip", _octets(value, digest, wide)).when(kind == "ssn", F.concat(_in_format(value, _scrambled(F.regexp_replace(value, "-", ""), digest)), _more_digits(digest, wide)))
+            .when(kind == "phone", F.concat(_phone(value, digest), _more_digits(digest, wide))).otherwise(_name(kind, value, digest, wide)))
 
 
 def parts_of(match: Column) -> Column:

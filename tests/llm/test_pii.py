@@ -122,3 +122,25 @@ def test_hint_is_passed_by_every_entity(spark):
              "1.2.3.4", "123-45-6789", "+33 1 23 45 67", "(212) 555-0100", "212-555-0100", "Mr. Smith", "Dr Who", "Maria Lopez"]
     df = spark.createDataFrame([(x,) for x in shown], "t string")
     assert df.where(F.col("t").rlike(f"^(?:{pii.ANY})$")).count() == len(shown) == df.where(F.col("t").rlike(pii.HINT)).count()
+
+
+def test_full_formats_get_longer_surrogates(docs_of, monkeypatch):
+    """Every name of a format is taken by a real entity, so no surrogate of that format is left."""
+    monkeypatch.setattr(pii, "WIDE_FROM", 3)
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ba"] * 8 + ["ko"] * 8)  # 32 surnames in place of 16,384
+    mails = [f"{c}@gmail.com" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"{d}@mail.example" for d in range(10)]
+    names = [f"{a}{b}" for a in "BCDFGHKL" for b in ("ach", "eld", "ink", "old", "und", "yth")]
+    texts = [*mails, *(f"Mr. {x}" for x in names)]
+    got = run(docs_of, texts)
+    assert [n for _, n in got] == [1] * len(texts)
+    new = [t for t, _ in got]
+    assert len(set(new)) == len(texts) and not set(new) & set(texts)
+    assert all(re.fullmatch(r"[a-z0-9]+@(?:gmail\.com|mail\.example)", t) for t in new[:len(mails)])
+
+
+def test_late_surrogates_have_room(spark):
+    """The room of a short host or number is 6,561 and 800 in its own format."""
+    for kind, value in (("ip", "1.2.3.4"), ("phone", "+7 2 34"), ("surname", "Smith"), ("email", "a@gmail.com")):
+        late = spark.range(900).select(pii.surrogate(KEY, F.lit(kind), F.lit(value), F.col("id") + pii.WIDE_FROM).alias("x")).distinct().collect()
+        assert len(late) > 895
+        assert kind != "ip" or all(0 < int(n) < 256 for r in late for n in r.x.split("."))
