@@ -44,7 +44,6 @@ PREFIXES = range(4, 9)
 MIN_ROWS = 4
 MIN_WEIGHT = 2.5
 CHANCE_ENTRIES = 8  # so many of the terms tried may look toxic by chance
-MAX_CANDIDATES = 20_000
 MAX_LEXICON = 2_000
 
 
@@ -176,25 +175,26 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
     if len(rows) < 2:
         return Lexicon()
 
-    def counted(wanted: frozenset[str] | None, label: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found: Counter[str] = Counter()
-                for text in batch.column(0).to_pylist():
-                    own = terms(fold(text))
-                    found.update(own if wanted is None else own & wanted)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
-        return (picked.where(F.col("_label") == label).select("_text").mapInArrow(run, "term string, n long")
-                .groupBy("term").agg(F.sum("n").alias("n")))
-
-    # Written before it is read: the tasks' candidates meet in an executor, MAX_CANDIDATES of them reach the driver.
-    often = stored(counted(None, 1).where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES), "toxic-terms").collect()
-    toxic = {r.term: r.n for r in often}
-    clean = {r.term: r.n for r in counted(frozenset(toxic), 0).collect()}
-    evidence = {t: _evidence(n, clean.get(t, 0), rows[1], rows[0]) for t, n in toxic.items()}
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found[label].update(terms(fold(text)))
+            for label, own in enumerate(found):
+                if own:
+                    n, none = pa.array(list(own.values()), pa.int64()), pa.array([0] * len(own), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(list(own)), n if label else none, none if label else n], names=["term", "toxic", "clean"])
+
+    tried = stored(picked.mapInArrow(counted, "term string, toxic long, clean long").groupBy("term")
+                   .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= MIN_ROWS), "toxic-terms")
     # The more terms are tried, the more evidence one needs not to be there by chance.
-    toxic = {t: n for t, n in toxic.items() if evidence[t] >= math.log(len(evidence) / CHANCE_ENTRIES)}
+    least = math.log(max(1, tried.count()) / CHANCE_ENTRIES)
+    n, share = F.col("toxic") + F.col("clean"), rows[1] / (rows[1] + rows[0])
+    gained = F.col("toxic") * F.log(F.col("toxic") / (n * share)) + F.when(F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / (n * (1 - share)))).otherwise(0.0)
+    gained = F.when(F.col("toxic") <= n * share, 0.0).otherwise(gained)
+    # Only terms with evidence reach the driver; they are tested again there, as the two logarithms differ in the last place.
+    passed = [r for r in tried.where(gained >= least - 1e-6).collect() if _evidence(r.toxic, r.clean, rows[1], rows[0]) >= least]
+    toxic, clean = {r.term: r.toxic for r in passed}, {r.term: r.clean for r in passed}
     weights = {t: math.log((n + 0.5) / (rows[1] + 1)) - math.log((clean.get(t, 0) + 0.5) / (rows[0] + 1)) for t, n in toxic.items()}
     chosen: dict[str, float] = {}
     for t in sorted(weights, key=lambda t: (len(t), t)):

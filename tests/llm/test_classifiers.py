@@ -64,6 +64,16 @@ def test_copies_teach_once(docs_of, spark):
     assert toxicity.copy_mark(None) == toxicity.copy_mark("")
 
 
+def test_rare_toxic_word_among_many_frequent_terms(docs_of, spark):
+    """More than 20,000 terms are found in more toxic rows than the word, which a third of them hold."""
+    rng = np.random.default_rng(2)
+    common = ["".join(w) for w in rng.choice(list("abcdefghijklmnopqrstuvwxyz"), (4500, 8))]
+    rows = [(i, " ".join([*rng.permutation(common), *(["vilewort"] if i < 20 else [])])) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs_of(rows), labels, F.lit(True))
+    assert any("vilewort".startswith(k) for k in [*lexicon.stems, *lexicon.words]) and len(lexicon.stems) + len(lexicon.words) == 1
+
+
 def test_toxicity_learns_from_training_rows_only(docs_of, spark):
     # Texts differ: copies would teach once.
     rows = [(i, f"such{i} a{i} grumblo thing{i}" if i % 2 else f"such{i} a{i} fine thing{i}") for i in range(60)] + [(100 + i, f"quixle{i} x") for i in range(9)]
