@@ -12,7 +12,7 @@ from coursemetrics.operators.context import extract_tool_sources
 from coursemetrics.operators.embed import embed_catalogue
 from coursemetrics.sources.binding import Binding
 from coursemetrics.sources.inventory import raw_file_inventory, run_named_query
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_vector_top1_is_itself(spark):

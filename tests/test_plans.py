@@ -2,13 +2,14 @@
 
 import io
 import re
+import uuid
 from contextlib import redirect_stdout
 
 import pytest
 
 from coursemetrics.plans import registry
 from coursemetrics.sources.binding import Binding
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "filtered_hybrid_search", "search_by_skills"}
 
@@ -44,15 +45,16 @@ TABLES_READ = {"vector_top_k": 1, "filtered_vector_top_k": 1, "keyword_top_k": 2
 @pytest.mark.parametrize("name", sorted(TABLES_READ))
 def test_search_plans_run_nothing_when_built(spark, name):
     """Opening a table reads its schema in one job; no other job may run before the frame is used."""
-    def jobs():
-        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
-    opened = Binding(spark, SF_SMALL)
-    before = jobs()
-    opened.table("embeddings")
-    for_one_table = jobs() - before
-    before = jobs()
-    registry.QUERIES[name](spark, SF_SMALL)
-    assert jobs() - before <= TABLES_READ[name] * for_one_table
+    def jobs(run):
+        group = f"plan-{uuid.uuid4().hex}"
+        spark.sparkContext.setJobGroup(group, "building a plan")
+        try:
+            run()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for_one_table = jobs(lambda: Binding(spark, SF_SMALL).table("embeddings"))
+    assert jobs(lambda: registry.QUERIES[name](spark, SF_SMALL)) <= TABLES_READ[name] * for_one_table
 
 
 def test_search_moves_no_documents(spark):

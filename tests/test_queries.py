@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from coursemetrics.plans import registry
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from coursemetrics.sources.tables import DRIVER_TABLES
 
 def _norm(v):

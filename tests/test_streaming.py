@@ -9,7 +9,7 @@ from coursemetrics.operators.silver import silver_events
 from coursemetrics.sources.binding import Binding
 from coursemetrics.sources.raw import read_raw_events, statements_from_silver
 from coursemetrics.streaming.events import read_event_stream
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 @pytest.fixture

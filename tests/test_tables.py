@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from coursemetrics.operators import dropout, features, reports, search
 from coursemetrics.plans.medallion import build_tables
 from coursemetrics.sources.binding import Binding
-from conftest import SF_SMALL
+from paths import SF_SMALL
 
 
 def test_build_tables_from_driver_tables(spark, tmp_path):
