@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +39,23 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def translate_table(keeps: Callable[[int], bool]) -> bytes:
+    """A ``bytes.translate`` table: kept bytes stay, A-Z lowered, every other byte becomes a space."""
+    return bytes((b + 32 if 65 <= b <= 90 else b) if keeps(b) else 32 for b in range(256))
+
+
+def blocks_of(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """A translated text in order, cut at the first space after every ``limit`` bytes."""
+    at = 0
+    while len(text) - at > limit:
+        end = text.find(b" ", at + limit)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
+
+
 def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
     """``(u, v)`` long edges -> ``(node, root)``: the smallest node reachable from every node with an edge.
 

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemetrics.llm import decontaminate, langid, lm, packing, pii, quality, simhash, suffix_dedup, token_counts, toxicity
+from coursemetrics.llm import (decontaminate, divergence, langid, lm, mixture, packing, pii, quality, ranked_search, simhash, suffix_dedup,
+                               token_counts, toxicity)
 from coursemetrics.llm.common import read
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,6 +73,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > MAX_TOKENS)
 
 
+def op11_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read(spark, sf_dir, "documents"), weights=(5, 2, 1), share=(3, 2), most=2, seed=42)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"), min_docs=3, top=200)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), top=20)
+
+
 QUERIES = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_decontamination": op2_decontamination,
@@ -83,5 +96,12 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_mixture": op11_mixture,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_ranked_search": op13_ranked_search,
+}
+ORACLE: dict[str, str] = {
+    "op11_mixture": mixture.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_ranked_search": ranked_search.SQL,
 }
-ORACLE: dict[str, str] = {}
