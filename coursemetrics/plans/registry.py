@@ -7,6 +7,7 @@ lookups are registered in their all-keys form.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -1036,3 +1037,75 @@ def _stream_engagement_counts(b):
     return _stream_engagement(b).select(
         "course_id", "module_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_count")
+
+
+# ── search indexes and factors (G4, G5, F3/F4 beyond one driver) ───────────
+
+from coursemetrics.operators import ann, factors, postings  # noqa: E402
+
+_INDEXES: dict = {}
+
+
+def _written(b: Binding, name: str, build):
+    """An index or fit that is written once for a data folder and session, in a folder of its own on shared storage."""
+    key = (name, b.sf_dir.rstrip("/"), b.spark.sparkContext.applicationId)
+    if key not in _INDEXES:
+        _INDEXES[key] = build(f"{checkpoint_dir(b.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
+def _vectors(b: Binding) -> DataFrame:
+    return b.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+
+
+def _vector_requests(b: Binding) -> DataFrame:
+    """The stated query set of a similarity search: every vector whose id is divisible by 20, against all vectors."""
+    return _vectors(b).where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query_vector"))
+
+
+def _approximate(b: Binding) -> DataFrame:
+    index = _written(b, "vector-buckets", lambda path: ann.build_index(_vectors(b), path, VECTOR_TOP))
+    return ann.approximate_top_k(index, _vector_requests(b), VECTOR_TOP)
+
+
+@register("approximate_vector_top_k")
+def _approximate_vector_top_k(b):
+    return _approximate(b)
+
+
+@register("approximate_vector_recall", f"""
+SELECT COUNT(*) AS requests, COUNT(*) * least({VECTOR_TOP}, (SELECT COUNT(*) FROM embeddings)) AS exact_hits, true AS recall_reached, true AS exact_scores
+FROM embeddings WHERE vec_id % 20 = 0""", bind=False)
+def _approximate_vector_recall(b):
+    """At least 0.9 of the exact neighbours are found, each with its exact similarity."""
+    exact = search.vector_top_k(_vectors(b), _vector_requests(b), VECTOR_TOP)
+    told = ann.recall(_approximate(b), exact)
+    return told.select("requests", "exact_hits", (F.col("recall") >= 0.9).alias("recall_reached"), "exact_scores")
+
+
+@register("postings_top_k", ORACLE["keyword_top_k"], bind=False)
+def _postings_top_k(b):
+    docs = b.table("documents").select("doc_id", "text")
+    index = _written(b, "postings", lambda path: postings.build_postings(docs, path))
+    reqs = b.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return postings.postings_top_k(index, reqs, VECTOR_TOP)
+
+
+def _factor_recommendations(b: Binding) -> DataFrame:
+    fit = _written(b, "factors", lambda path: factors.fit_factors(features.interaction_matrix(b.silver), path))
+    return factors.recommend_by_factors(fit, 5)
+
+
+@register("factor_recommendations")
+def _recommend_by_factors(b):
+    return _factor_recommendations(b)
+
+
+@register("factor_recommendation_counts", f"""
+WITH i AS ({_INTERACTIONS}), n AS (SELECT COUNT(DISTINCT course_id) AS n FROM i)
+SELECT learner_email, least(5, any_value(n.n) - COUNT(*)) AS courses, CAST(0 AS BIGINT) AS started FROM i, n GROUP BY learner_email""")
+def _factor_recommendation_counts(b):
+    """Courses recommended to each learner by the factors, and how many of them it has started (none)."""
+    old = features.interaction_matrix(b.silver).select("learner_email", "course_id", F.lit(1).alias("old"))
+    r = _factor_recommendations(b).join(old, ["learner_email", "course_id"], "left")
+    return r.groupBy("learner_email").agg(F.count("*").alias("courses"), F.count("old").alias("started"))
