@@ -6,7 +6,6 @@ lookups are registered in their all-keys form.
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -1005,8 +1004,8 @@ def _event_stream(b: Binding) -> DataFrame:
 
 
 def _stream_folders(b: Binding, name: str) -> tuple[str, str]:
-    """Output and checkpoint of a stream over one data folder; a second call in the session resumes."""
-    root = f"{checkpoint_dir(b.spark).rstrip('/')}/streams/{hashlib.md5(b.sf_dir.encode()).hexdigest()}/{name}"
+    """Output and checkpoint of a stream, new for every call: each reads all of its input."""
+    root = f"{checkpoint_dir(b.spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
     return f"{root}/data", f"{root}/checkpoint"
 
 
@@ -1039,6 +1038,25 @@ def _stream_engagement_counts(b):
         F.col("window_end").cast("timestamp_ntz").alias("window_end"), "event_count")
 
 
+@register("stream_exact_learners", """
+SELECT course_id, module_id, time_bucket(INTERVAL 1 HOUR, ts) AS window_start, COUNT(*) AS event_count, COUNT(DISTINCT learner_email) AS unique_learners
+FROM silver WHERE verb IN ('interacted', 'progressed', 'launched') GROUP BY ALL""")
+def _stream_exact_learners(b):
+    """Distinct learners of every window by keyed state, exactly."""
+    out = streaming.run_exact_engagement(_event_stream(b), *_stream_folders(b, "exact-learners"), delay="1 hour")
+    return streaming.exact_engagement_table(b.spark, out).select(
+        "course_id", "module_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_count", "unique_learners")
+
+
+@register("stream_merge", "SELECT * FROM silver")
+def _stream_merge(b):
+    """All events merged into a table, then all of them again, as a source that delivers twice: each is stored once."""
+    out, checkpoint = _stream_folders(b, "merge")
+    for name in ("first", "again"):
+        streaming.run_merge(_event_stream(b), out, f"{checkpoint}-{name}", name)
+    return streaming.merged_table(b.spark, out, b.silver.schema)
+
+
 # ── search indexes and factors (G4, G5, F3/F4 beyond one driver) ───────────
 
 from coursemetrics.operators import ann, factors, postings  # noqa: E402
@@ -1109,3 +1127,20 @@ def _factor_recommendation_counts(b):
     old = features.interaction_matrix(b.silver).select("learner_email", "course_id", F.lit(1).alias("old"))
     r = _factor_recommendations(b).join(old, ["learner_email", "course_id"], "left")
     return r.groupBy("learner_email").agg(F.count("*").alias("courses"), F.count("old").alias("started"))
+
+
+# ── uploads (A10) ──────────────────────────────────────────────────────────
+
+from coursemetrics.sources import upload  # noqa: E402
+
+
+@register("upload_totals", "SELECT COUNT(*) AS succeeded, CAST(0 AS BIGINT) AS failed FROM dim_courses")
+def _upload_totals(b):
+    """The catalogue's search documents sent in batches to a service that refuses some of them the first time."""
+    def send(documents: list[dict]) -> list[bool]:
+        known = send.__dict__.setdefault("known", set())
+        told = [int(d["course_id"].rpartition("-")[2]) % 97 != 0 or d["course_id"] in known for d in documents]
+        known.update(d["course_id"] for d in documents)
+        return told
+    ledger = f"{checkpoint_dir(b.spark).rstrip('/')}/uploads-{uuid.uuid4().hex}"
+    return upload.upload_totals(upload.upload_documents(_catalogue_docs(b).drop("content_vector"), send, ledger)).drop("batches")
