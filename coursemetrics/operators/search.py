@@ -3,11 +3,10 @@ BM25 keyword scoring, rank fusion, facets.
 
 Scale notes
 -----------
-* Every function returns a lazy frame; nothing runs while a plan is built, and there is one
-  plan for all sizes.
-* Requests (queries) are the small side: packed into one row, broadcast once, read by each task
-  with the first row of its partition. The plan checks the size of that row itself;
-  larger request sets are given as ``request_blocks``, whose results are unioned exactly.
+* Requests (queries) are packed into rows of at most MAX_REQUEST_BYTES, broadcast once each, read by each task
+  with the first row of its partition. Their bytes are counted first (``request_blocks`` skips that); what needs
+  more than one row is searched block by block, each block's hits written before the next, so neither a driver nor
+  a task ever holds more than one and any number of requests is answered. Apart from that the result is a lazy frame.
 * Documents are scored where they are scanned, in blocks of documents by requests (numpy on
   Arrow batches), and each task emits its k best rows per request. No document and no
   (request, document) pair is shuffled; the final top k is a window with a partial group
@@ -16,6 +15,7 @@ Scale notes
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from coursemetrics.functions.topk import top_k_per_group
+from coursemetrics.session import checkpoint_dir
 
 # Fixed values (our ranking choices; the hosted ranker's formula is not public).
 BM25_K1 = 1.2
@@ -109,18 +110,34 @@ def search_filter(department=None, skill_level=None, format_filter=None, max_dur
 REQUESTS, STATS = "__requests", "__stats"
 
 
-def _packed(requests: DataFrame, fields: list[Column], size: Column) -> DataFrame:
-    """All requests in one row for one broadcast. The plan itself proves the bound: beyond
-    MAX_REQUEST_BYTES the job stops and asks for more ``request_blocks``."""
-    all_in_one = requests.agg(F.collect_list(F.struct(*fields)).alias(REQUESTS), F.coalesce(F.sum(size), F.lit(0)).alias("bytes"),
-                              F.min(F.lit(0)).alias("__key"))
-    too_many = F.raise_error(F.lit(f"one block of requests is larger than {MAX_REQUEST_BYTES} bytes: give more request_blocks"))
-    return all_in_one.select("__key", F.when(F.col("bytes") <= MAX_REQUEST_BYTES, F.col(REQUESTS)).otherwise(too_many).alias(REQUESTS))
+def _packed(requests: DataFrame, fields: list[Column]) -> DataFrame:
+    """The requests of a block in one row for one broadcast."""
+    return requests.agg(F.collect_list(F.struct(*fields)).alias(REQUESTS), F.min(F.lit(0)).alias("__key"))
 
 
-def _blocks(requests: DataFrame, query_id: str, blocks: int) -> list[DataFrame]:
+def _block_count(requests: DataFrame, size: Column) -> int:
+    total = requests.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return -(-2 * total // MAX_REQUEST_BYTES) if total > MAX_REQUEST_BYTES else 1
+
+
+def _blocks(requests: DataFrame, query_id: str, blocks: int | None, size: Column) -> list[DataFrame]:
+    """Requests cut by the hash of their id. Counted by bytes, a block is half as large as allowed on average."""
+    blocks = blocks or _block_count(requests, size)
+    if blocks == 1:
+        return [requests]
     bucket = F.pmod(F.xxhash64(query_id), F.lit(blocks))
-    return [requests.filter(bucket == i) for i in range(blocks)] if blocks > 1 else [requests]
+    return [requests.filter(bucket == i) for i in range(blocks)]
+
+
+def _in_turn(parts: list[DataFrame]) -> DataFrame:
+    """One block stays lazy; several are written one after the other, so that one is in memory at a time."""
+    if len(parts) == 1:
+        return parts[0]
+    spark = parts[0].sparkSession
+    root = f"{checkpoint_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{root}/block={i}")
+    return spark.read.schema(parts[0].schema).parquet(root).select(*parts[0].columns)
 
 
 def _beside(docs: DataFrame, packed: DataFrame) -> DataFrame:
@@ -158,6 +175,20 @@ class _Filters:
                        else np.array([np.inf if v is None else float(v) for v in values]))
         return out
 
+    def groups(self, requests: int) -> dict[tuple, list[int]]:
+        """Requests with the same equality values, which are scored together against the documents that have them."""
+        out: dict[tuple, list[int]] = {}
+        for j in range(requests):
+            out.setdefault(tuple(int(w[j]) for (_, _, op), (_, w) in zip(self.specs, self.wanted) if op == "eq"), []).append(j)
+        return out
+
+    def equal(self, documents: list[np.ndarray], key: tuple, rows: np.ndarray) -> np.ndarray:
+        """Which documents of ``rows`` have the equality values of a group."""
+        mask = np.ones(len(rows), bool)
+        for own, wanted in zip([o for (_, _, op), o in zip(self.specs, documents) if op == "eq"], key):
+            mask &= (wanted < 0) | (own[rows] == wanted)
+        return mask
+
     def refuse(self, scores: np.ndarray, documents: list[np.ndarray], rows: np.ndarray, requests: np.ndarray | slice, value) -> None:
         """Set the cells (document of ``rows``, request) that a filter excludes to ``value``."""
         for (_, _, op), (_, wanted), own in zip(self.specs, self.wanted, documents):
@@ -230,10 +261,7 @@ def _local_vector_topk(k: int, filters, arrow: pa.Schema):
                 with np.errstate(invalid="ignore", divide="ignore"):
                     q = q / np.linalg.norm(q, axis=1, keepdims=True) if rows else q
                 told, top = _Filters(rows, filters), _TopK(k, len(rows))
-                # Requests with the same equality values are scored together, against the documents that have them.
-                groups: dict[tuple, list[int]] = {}
-                for j in range(len(rows)):
-                    groups.setdefault(tuple(int(w[j]) for (_, _, op), (_, w) in zip(told.specs, told.wanted) if op == "eq"), []).append(j)
+                groups = told.groups(len(rows))
             vectors = batch.column("vec")
             dims = np.array(pc.list_value_length(vectors).fill_null(-1))
             valid = np.flatnonzero(dims == (q.shape[1] if rows else -2))
@@ -246,12 +274,8 @@ def _local_vector_topk(k: int, filters, arrow: pa.Schema):
             with np.errstate(invalid="ignore", divide="ignore"):
                 d = d / np.linalg.norm(d, axis=1, keepdims=True)
             own = told.document_values(batch)
-            equal = [o for (_, _, op), o in zip(told.specs, own) if op == "eq"]
             for key, members in groups.items():
-                mask = np.ones(len(valid), bool)
-                for o, w in zip(equal, key):
-                    mask &= (w < 0) | (o[valid] == w)
-                here = np.flatnonzero(mask)
+                here = np.flatnonzero(told.equal(own, key, valid))
                 for a in range(0, len(here), max(1, CELLS // len(members))):
                     some, columns = here[a:a + max(1, CELLS // len(members))], np.array(members)
                     sims = np.round(d[some] @ q[columns].T, 6)
@@ -264,18 +288,18 @@ def _local_vector_topk(k: int, filters, arrow: pa.Schema):
 
 
 def vector_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "doc_id", vec: str = "vector",
-                 query_id: str = "query_id", query_vec: str = "query_vector", filters=None, request_blocks: int = 1) -> DataFrame:
+                 query_id: str = "query_id", query_vec: str = "query_vector", filters=None, request_blocks: int | None = None) -> DataFrame:
     """Exact cosine nearest neighbours: (query_id, doc_id, similarity rounded to 6, rank).
 
-    Lazy. Documents are scanned once for each of ``request_blocks``, against all requests of a block.
+    Documents are scanned once for each block of requests, against all of its requests.
     """
     schema = _result_schema(requests, query_id, docs, doc_id, "similarity")
     dsel = docs.select(F.col(doc_id).alias("doc_id"), F.col(vec).cast("array<double>").alias("vec"), *[d for d, _, _ in filters or []])
     fields = [F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("qv"), *[F.col(r) for _, r, _ in filters or []]]
     run = _local_vector_topk(k, filters, to_arrow_schema(schema))
-    parts = [_beside(dsel, _packed(block, fields, 8 * F.size(query_vec) + 32)).mapInArrow(run, schema)
-             for block in _blocks(requests, query_id, request_blocks)]
-    return top_k_per_group(reduce(DataFrame.unionByName, parts), "query_id", [F.desc("similarity"), "doc_id"], k)
+    size = 8 * F.greatest(F.size(query_vec), F.lit(0)) + 32
+    parts = [_beside(dsel, _packed(block, fields)).mapInArrow(run, schema) for block in _blocks(requests, query_id, request_blocks, size)]
+    return top_k_per_group(_in_turn(parts), "query_id", [F.desc("similarity"), "doc_id"], k)
 
 
 def label_centroids(embeddings: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -340,12 +364,15 @@ def _local_bm25(k: int, filters, k1: float, b: float, arrow: pa.Schema):
                 n, average = stats.get(("documents", None), 0), stats.get(("tokens", None), 0) / max(1, stats.get(("texts", None), 0))
                 df = np.array([stats.get(("term", t), 0) for t in terms.to_pylist()], np.float64)
                 idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-                # Requests of each term, one after the other.
-                pairs = sorted((t, r) for r, ts in enumerate(of) for t in ts)
-                asking = np.array([r for _, r in pairs], np.int64)
-                begin = np.searchsorted([t for t, _ in pairs], np.arange(len(terms) + 1)) if pairs else np.zeros(len(terms) + 1, np.int64)
                 told, top = _Filters(rows, filters), _TopK(k, len(rows))
-            if not len(asking):
+                groups = []
+                for key, members in told.groups(len(rows)).items():
+                    # The group's terms, and its requests (by their place in the group) of each, one after the other.
+                    pairs = sorted((t, j) for j, r in enumerate(members) for t in of[r])
+                    if pairs:
+                        own_terms, begin = np.unique([t for t, _ in pairs], return_index=True)
+                        groups.append((key, np.array(members), own_terms, np.array([j for _, j in pairs], np.int64), np.append(begin, len(pairs))))
+            if not groups:
                 continue
             ids, own = _sortable(batch.column("doc_id")), told.document_values(batch)
             doc, term, tf = _hits(batch.column("toks"), terms)
@@ -357,14 +384,20 @@ def _local_bm25(k: int, filters, k1: float, b: float, arrow: pa.Schema):
             doc = place[doc]
             order = np.argsort(doc, kind="stable")
             doc, term, weight = doc[order], term[order], weight[order]
-            step = max(1, CELLS // len(rows))
-            for first in range(0, len(ids), step):
-                x, y = np.searchsorted(doc, [first, first + step])
-                here = by_id[first:first + step]
-                scores = _dense_scores(doc[x:y] - first, term[x:y], weight[x:y], len(here), len(rows), asking, begin)
-                whole = np.where(scores > 0, np.rint(scores * 1e6).astype(np.int64), -1)
-                told.refuse(whole, own, here, slice(None), -1)
-                top.offer(whole, ids[here])
+            for key, members, own_terms, asking, begin in groups:
+                mask = told.equal(own, key, by_id)
+                at = np.minimum(np.searchsorted(own_terms, term), len(own_terms) - 1)
+                kept = mask[doc] & (own_terms[at] == term)
+                place = np.cumsum(mask) - 1
+                g_doc, g_term, g_weight, g_rows = place[doc[kept]], at[kept], weight[kept], by_id[mask]
+                step = max(1, CELLS // len(members))
+                for first in range(0, len(g_rows), step):
+                    x, y = np.searchsorted(g_doc, [first, first + step])
+                    here = g_rows[first:first + step]
+                    scores = _dense_scores(g_doc[x:y] - first, g_term[x:y], g_weight[x:y], len(here), len(members), asking, begin)
+                    whole = np.where(scores > 0, np.rint(scores * 1e6).astype(np.int64), -1)
+                    told.refuse(whole, own, here, members, -1)
+                    top.offer(whole, ids[here], members)
         if top is not None and (out := top.rows([r["query_id"] for r in rows], arrow)) is not None:
             yield out
     return run
@@ -395,26 +428,25 @@ def _dense_scores(doc, term, weight, n_docs: int, n_requests: int, asking: np.nd
 
 def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "doc_id", text: str = "text",
                   query_id: str = "query_id", query_text: str = "query_text", filters=None,
-                  k1: float = BM25_K1, b: float = BM25_B, request_blocks: int = 1) -> DataFrame:
+                  k1: float = BM25_K1, b: float = BM25_B, request_blocks: int | None = None) -> DataFrame:
     """BM25 over whole texts: (query_id, doc_id, score rounded to 6, rank).
 
-    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once. Lazy: one pass over the
+    idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once. One pass over the
     documents counts (a row for each request term and task), a second one scores in their own partitions and
-    leaves k rows for each request and task; texts are not shuffled. Both passes are repeated for each of
-    ``request_blocks``.
+    leaves k rows for each request and task; texts are not shuffled. Both passes are repeated for each block of requests.
     """
     schema = _result_schema(requests, query_id, docs, doc_id, "score")
     dsel = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"), *[d for d, _, _ in filters or []])
     fields = [F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("terms"), *[F.col(r) for _, r, _ in filters or []]]
     run, parts = _local_bm25(k, filters, k1, b, to_arrow_schema(schema)), []
-    for block in _blocks(requests, query_id, request_blocks):
-        packed = _packed(block, fields, F.coalesce(F.octet_length(query_text), F.lit(0)) + 32)
+    for block in _blocks(requests, query_id, request_blocks, F.coalesce(F.octet_length(query_text), F.lit(0)) + 32):
+        packed = _packed(block, fields)
         counted = _beside(dsel.select("toks"), packed).mapInArrow(_local_statistics, "kind string, term string, n long")
         # At most one row for each request term, which the packed requests bound.
         statistics = (counted.groupBy("kind", "term").agg(F.sum("n").alias("n"))
                       .agg(F.collect_list(F.struct("kind", "term", "n")).alias("s")).select("s").scalar())
         parts.append(_beside(dsel, packed.withColumn(STATS, statistics)).mapInArrow(run, schema))
-    return top_k_per_group(reduce(DataFrame.unionByName, parts), "query_id", [F.desc("score"), "doc_id"], k)
+    return top_k_per_group(_in_turn(parts), "query_id", [F.desc("score"), "doc_id"], k)
 
 
 # ── hybrid search (G6) and skill search (G7) ───────────────────────────────
@@ -426,8 +458,9 @@ def reciprocal_rank_fusion(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def hybrid_search(docs: DataFrame, requests: DataFrame, top: int = 5, doc_id: str = "doc_id",
-                  text: str = "text", vec: str = "vector", filters=None, request_blocks: int = 1) -> DataFrame:
+                  text: str = "text", vec: str = "vector", filters=None, request_blocks: int | None = None) -> DataFrame:
     """Vector (2*top over-fetch) and keyword (2*top) lists fused by RRF; top per request."""
+    request_blocks = request_blocks or _block_count(requests, F.coalesce(F.octet_length("query_text"), F.lit(0)) + 8 * F.greatest(F.size("query_vector"), F.lit(0)) + 32)
     vreq = requests.filter(F.col("query_vector").isNotNull())
     v = vector_top_k(docs, vreq, 2 * top, doc_id, vec, filters=filters, request_blocks=request_blocks)
     kw = keyword_top_k(docs, requests, 2 * top, doc_id, text, filters=filters, request_blocks=request_blocks)
@@ -448,11 +481,11 @@ def gap_skill_requests(gold_department_skills: DataFrame, n_skills: int = 3) ->
                     skill_query_text(F.transform("rs", lambda x: x["skill_name"])).alias("query_text")))
 
 
-def search_by_skills(docs: DataFrame, requests: DataFrame, top: int = 5) -> DataFrame:
+def search_by_skills(docs: DataFrame, requests: DataFrame, top: int = 5, request_blocks: int | None = None) -> DataFrame:
     """Hybrid search of the catalogue with each request's department filter.
 
     docs: course_id, embed_text, content_vector, department; requests: query_id, query_text, query_vector, department
     (a null department or vector: no filter, keyword search alone).
     """
     return hybrid_search(docs, requests, top, doc_id="course_id", text="embed_text", vec="content_vector",
-                         filters=[("department", "department", "eq")])
+                         filters=[("department", "department", "eq")], request_blocks=request_blocks)

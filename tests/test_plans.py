@@ -7,8 +7,8 @@ from contextlib import redirect_stdout
 
 import pytest
 
+from coursemetrics.operators import search
 from coursemetrics.plans import registry
-from coursemetrics.sources.binding import Binding
 from paths import SF_SMALL
 
 TOP_K = {"vector_top_k", "filtered_vector_top_k", "keyword_top_k", "hybrid_search", "filtered_hybrid_search", "search_by_skills"}
@@ -38,13 +38,8 @@ def test_scan_prunes_columns(spark):
     assert "ReadSchema: struct<user_id:bigint,event_type:string,value:double,props:string>" in plan
 
 
-TABLES_READ = {"vector_top_k": 1, "filtered_vector_top_k": 1, "keyword_top_k": 2, "hybrid_search": 3, "filtered_hybrid_search": 3,
-               "search_by_skills": 3, "search_results_block": 4, "rag_prompts": 5}
-
-
-@pytest.mark.parametrize("name", sorted(TABLES_READ))
-def test_search_plans_run_nothing_when_built(spark, name):
-    """Opening a table reads its schema in one job; no other job may run before the frame is used."""
+def test_searches_of_one_block_run_nothing_when_built(spark):
+    """With the number of request blocks given, no job runs before the frame is used; otherwise one count of the requests does."""
     def jobs(run):
         group = f"plan-{uuid.uuid4().hex}"
         spark.sparkContext.setJobGroup(group, "building a plan")
@@ -53,8 +48,11 @@ def test_search_plans_run_nothing_when_built(spark, name):
             return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
         finally:
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-    for_one_table = jobs(lambda: Binding(spark, SF_SMALL).table("embeddings"))
-    assert jobs(lambda: registry.QUERIES[name](spark, SF_SMALL)) <= TABLES_READ[name] * for_one_table
+    docs = spark.createDataFrame([(1, "a b", [1.0, 0.0])], "doc_id long, text string, vector array<double>")
+    asked = spark.createDataFrame([(1, "a", [1.0, 0.0])], "query_id long, query_text string, query_vector array<double>")
+    for find in (search.vector_top_k, search.keyword_top_k, search.hybrid_search):
+        assert jobs(lambda: find(docs, asked, 2, request_blocks=1)) == 0
+        assert jobs(lambda: find(docs, asked, 2)) > 0
 
 
 def test_search_moves_no_documents(spark):

@@ -72,12 +72,24 @@ def test_empty_sides(spark):
         assert search.hybrid_search(docs, reqs, 3).count() == 0
 
 
-def test_the_plan_refuses_too_many_requests(spark, monkeypatch):
-    monkeypatch.setattr(search, "MAX_REQUEST_BYTES", 100)
+@pytest.mark.parametrize("limit", [100, 600])
+def test_any_number_of_requests_is_answered_in_blocks(spark, monkeypatch, limit):
     _, _, d, r = tables(spark, 4)
-    with pytest.raises(Exception, match="request_blocks"):
-        search.keyword_top_k(d, r, 3).count()
-    assert search.vector_top_k(d, r.where("query_id = 0"), 3).count() == 3
+    key = lambda df: sorted(map(tuple, df.collect()))
+    searches = [lambda: search.vector_top_k(d, r, 5, filters=FILTERS), lambda: search.keyword_top_k(d, r, 5, filters=FILTERS),
+                lambda: search.hybrid_search(d, r, 3)]
+    whole = [key(s()) for s in searches]
+    monkeypatch.setattr(search, "MAX_REQUEST_BYTES", limit)
+    size = F.octet_length("query_text") + 32
+    assert len(search._blocks(r, "query_id", None, size)) > 1
+    assert [key(s()) for s in searches] == whole
+
+
+def test_requests_beyond_one_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 7} of w{i % 11}") for i in range(80)], "doc_id long, text string")
+    asked = spark.range(50_000).select(F.col("id").alias("query_id"), F.concat(F.lit("w7 of w9 "), F.repeat(F.lit("unseen "), 200)).alias("query_text"))
+    assert 50_000 * 1400 > search.MAX_REQUEST_BYTES
+    assert search.keyword_top_k(docs, asked, 2).count() == 100_000
 
 
 def test_hybrid_by_skills_without_vectors_is_the_keyword_order(spark):
