@@ -9,13 +9,13 @@ rows of that centroid's language are is rejected: it keeps the nearest language
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from coursemetrics.llm.common import stored
 
 BITS = 13
-LETTER = re.compile(r"[^\W\d_]")
+#: A character of a letter category; digits, fractions and number signs are none.
+LETTER = regex.compile(r"\p{L}")
 SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SHARPNESS = 25.0
 BLOCK = 1 << 18

@@ -164,3 +164,8 @@ def test_training_gradient_finds_a_mixed_document():
     documents = [[good] * int(rng.integers(2, 8)) for _ in range(50)] + [[bad] * int(rng.integers(2, 8)) for _ in range(50)]
     chain = quality.train_chain(documents, [1] * 50 + [0] * 50)
     assert chain.decode([good] * 6 + [bad] * 6) == [1] * 6 + [0] * 6
+
+
+def test_numbers_of_any_kind_are_no_letters():
+    assert [langid.has_letter(t) for t in ("½", "²", "Ⅷ", "①", "٣", "_", "1", " ", None, "")] == [False] * 10
+    assert all(langid.has_letter(t) for t in ("½ a", "é", "中", "ª", "ж²"))
