@@ -14,15 +14,16 @@ from pyspark.sql import SparkSession
 from coursemetrics.operators import dropout, features, gold, search
 from coursemetrics.operators.embed import embed_catalogue
 from coursemetrics.operators.silver import rejected_statements, silver_events
+from coursemetrics.sources import versions
 from coursemetrics.sources.binding import Binding
 from coursemetrics.sources.raw import read_courses, read_learners, read_raw_events
 from coursemetrics.sources.sinks import write_dropout_risk, write_search_docs, write_silver, write_table
 
 
 def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_dir: str | None = None,
-                 fmt: str = "parquet", lines: bool = False) -> dict[str, str]:
+                 fmt: str = "parquet", lines: bool = False, lines_of_dimensions: bool = False) -> dict[str, str]:
     """From the driver tables (``sf_dir``) or raw JSON files (``raw_dir``: xapi_events.json,
-    courses.json, learners.json; ``lines``: xapi_events.json has a record per line). Statements that silver leaves
+    courses.json, learners.json; ``lines``: xapi_events.json has a record per line, ``lines_of_dimensions``: so have the others). Statements that silver leaves
     out go to the table of rejects. Returns table name -> folder."""
     root = out_root.rstrip("/")
     paths = {n: f"{root}/{n}" for n in ("bronze_xapi_events", "rejected_xapi_events", "silver_xapi_events", "dim_courses", "dim_learners",
@@ -34,7 +35,7 @@ def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None,
         bronze = spark.read.format(fmt).load(paths["bronze_xapi_events"])
         write_table(rejected_statements(bronze), path=paths["rejected_xapi_events"], fmt=fmt)
         silver = silver_events(bronze)
-        courses, learners = read_courses(spark, f"{raw}/courses.json"), read_learners(spark, f"{raw}/learners.json")
+        courses, learners = (read(spark, f"{raw}/{name}.json", not lines_of_dimensions) for read, name in ((read_courses, "courses"), (read_learners, "learners")))
     else:
         b = Binding(spark, sf_dir)
         paths.pop("bronze_xapi_events")
@@ -53,6 +54,12 @@ def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None,
     return paths
 
 
+def publish_tables(spark: SparkSession, root: str, **source) -> str:
+    """All tables built anew in a folder of their own, which then becomes the current version under ``root`` at once;
+    ``versions.current`` names it for readers. ``source`` as in ``build_tables``."""
+    return versions.publish(spark, root, lambda folder: build_tables(spark, folder, **source))
+
+
 def build_search_docs(spark: SparkSession, root: str, embed_fn: Callable[[list[str]], list[list[float]]], fmt: str = "parquet") -> str:
     """From the written catalogue and completion table: embed text, vectors by ``embed_fn`` (a batch of texts to vectors, run in
     the tasks), index documents, one overwrite of ``course_search_docs``."""

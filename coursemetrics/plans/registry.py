@@ -396,10 +396,21 @@ def _folds(b):
     return dropout.assign_folds(features.training_features(b.silver)).groupBy("completed", "fold").agg(F.count("*").alias("pairs"))
 
 
+_FOLDS: dict = {}
+
+
+def fitted_folds(b: Binding) -> dict:
+    """The cross-validation of this data directory, run once per process (five fits)."""
+    key = (b.sf_dir.rstrip("/"), b.spark.sparkContext.applicationId)
+    if key not in _FOLDS:
+        _FOLDS[key] = dropout.cross_validate_dropout(features.training_features(b.silver))
+    return _FOLDS[key]
+
+
 @register("dropout_cross_validation")
 def _cross_validation(b):
-    """Mean and deviation of the AUC over five folds, with 5 trees a fold."""
-    got = dropout.cross_validate_dropout(features.training_features(b.silver), params={"maxIter": 5})
+    """Mean and deviation of the AUC over five folds, each with the model's own settings (200 trees)."""
+    got = fitted_folds(b)
     return b.spark.createDataFrame([(got["mean_auc"], got["std_auc"], len(got["fold_auc"]))], "mean_auc double, std_auc double, folds int")
 
 
@@ -1144,3 +1155,38 @@ def _upload_totals(b):
         return told
     ledger = f"{checkpoint_dir(b.spark).rstrip('/')}/uploads-{uuid.uuid4().hex}"
     return upload.upload_totals(upload.upload_documents(_catalogue_docs(b).drop("content_vector"), send, ledger)).drop("batches")
+
+
+# ── sketches (D4 -> D12) and statements as VARIANT (A1) ────────────────────
+
+from coursemetrics.operators import sketches  # noqa: E402
+from coursemetrics.sources import variant  # noqa: E402
+
+
+@register("engagement_heatmap_unions", """
+SELECT course_id, module_id, CAST(hour(ts) AS BIGINT) AS hour_of_day, COUNT(*) AS event_count, COUNT(DISTINCT learner_email) AS unique_learners
+FROM silver WHERE verb IN ('interacted', 'progressed', 'launched') GROUP BY ALL""")
+def _heatmap_unions(b):
+    """Weekday cells united: a learner of two days counts once (exact below 4,096 learners a cell)."""
+    return sketches.union_over(sketches.engagement_sketches(b.silver), "course_id", "module_id", "hour_of_day")
+
+
+@register("active_without_completion", """
+WITH s AS (SELECT course_id, learner_email, bool_or(verb IN ('interacted', 'progressed', 'launched')) AS active, bool_or(coalesce(course_completed, false)) AS done
+           FROM silver GROUP BY ALL)
+SELECT course_id, COUNT(*) FILTER (active) AS active, COUNT(*) FILTER (active AND NOT done) AS active_not_completed FROM s GROUP BY course_id""")
+def _active_without_completion(b):
+    return sketches.active_without_completion(b.silver)
+
+
+@register("undeclared_statement_fields", """
+SELECT event_id, course_format AS client_format, CAST(hour(ts) AS BIGINT) AS client_hour, module_id FROM silver""")
+def _undeclared_fields(b):
+    """Statements with a field that no schema names, kept whole as VARIANT: the field and a declared one read from it."""
+    statements = raw.statements_from_silver(b.silver)
+    extensions, hour = F.col("context.extensions"), F.hour(F.to_timestamp("timestamp"))
+    client = F.struct(extensions.getItem(f"{raw.EXT_BASE}format").alias("format"), hour.alias("hour")).alias("client")
+    bronze = variant.parsed(statements.select(F.to_json(F.struct(*statements.columns, client)).alias("json")), "json")
+    return bronze.select(variant.field("$.id", "string").alias("event_id"), variant.field("$.client.format", "string").alias("client_format"),
+                         variant.field("$.client.hour", "bigint").alias("client_hour"),
+                         variant.field(f"$.context.extensions['{raw.EXT_BASE}module_id']", "string").alias("module_id"))

@@ -28,12 +28,12 @@ def read_raw_events(spark: SparkSession, path: str, multiline: bool = True) -> D
     return read_raw(spark, path, EVENT_SCHEMA, multiline, CORRUPT)
 
 
-def read_courses(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw(spark, path, COURSE_SCHEMA)
+def read_courses(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_raw(spark, path, COURSE_SCHEMA, multiline)
 
 
-def read_learners(spark: SparkSession, path: str) -> DataFrame:
-    return read_raw(spark, path, LEARNER_SCHEMA)
+def read_learners(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_raw(spark, path, LEARNER_SCHEMA, multiline)
 
 
 def statements_from_silver(silver: DataFrame, ext_base: str = EXT_BASE) -> DataFrame:
