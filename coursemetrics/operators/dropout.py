@@ -26,6 +26,7 @@ from coursemetrics.operators.features import FEATURE_COLS, dropout_features, med
 from coursemetrics.session import checkpoint_dir
 
 LABEL = "completed"
+ROWS_PER_TASK = 25_000
 # Model settings of the reference model.
 GBT_DEFAULTS = dict(maxIter=200, maxDepth=4, stepSize=0.05, subsamplingRate=0.8, minInstancesPerNode=20)
 SEED = 42
@@ -127,6 +128,12 @@ def classification_metrics(predictions: DataFrame) -> dict:
             "f1": f1, "roc_auc": auc, "tp": tp, "fp": fp, "fn": fn, "tn": tn}
 
 
+def for_fit(kept: DataFrame) -> DataFrame:
+    """A kept table in one task for every ROWS_PER_TASK rows, without a shuffle: a fit runs a short job for each level of each tree,
+    whose cost is the number of its tasks unless they have enough to do. A large table keeps its partitions."""
+    return kept.coalesce(max(1, -(-kept.count() // ROWS_PER_TASK)))
+
+
 def train_dropout(features: DataFrame, params: dict | None = None, seed: int = SEED,
                   test_fraction: float = TEST_FRACTION, scale: bool = False, cv_folds: int = 0) -> DropoutModel:
     """Fit on a stratified 80% split, evaluate on the rest; ``cv_folds`` adds the cross-validated AUC to the metrics.
@@ -140,7 +147,7 @@ def train_dropout(features: DataFrame, params: dict | None = None, seed: int = S
         median = median_avg_score(base).first()["median_avg_score"]
         data = model_frame(stratified_split(base, test_fraction=test_fraction, seed=seed), median).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            model = build_pipeline(params, seed, scale).fit(data.filter("is_train"))
+            model = build_pipeline(params, seed, scale).fit(for_fit(data).filter("is_train"))
             metrics = classification_metrics(model.transform(data.filter("NOT is_train")))
             metrics["n_samples"] = data.count()
         finally:
@@ -168,11 +175,11 @@ def cross_validate_dropout(features: DataFrame, params: dict | None = None, n_fo
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="probability", metricName="areaUnderROC")
 
     def fold(k: int) -> float:
-        m = build_pipeline(params, seed).fit(data.filter(F.col("fold") != k))
-        return ev.evaluate(m.transform(data.filter(F.col("fold") == k)))
+        m = build_pipeline(params, seed).fit(rows.filter(F.col("fold") != k))
+        return ev.evaluate(m.transform(rows.filter(F.col("fold") == k)))
 
     try:
-        data.count()
+        rows = for_fit(data)
         with ThreadPoolExecutor(n_folds) as pool:
             aucs = list(pool.map(inheritable_thread_target(fold), range(n_folds)))
     finally:
