@@ -64,6 +64,9 @@ HOLDS = {
     "recommender_info": lambda rows: len(rows) == 1 and 0 < rows[0]["explained_variance_ratio"] <= 1,
     "recommend_courses": lambda rows: rows and len({(r["learner_email"], r["rank"]) for r in rows}) == len(rows) and max(r["rank"] for r in rows) <= 5,
     "recommendations_with_title": lambda rows: rows and all(r["title"] for r in rows),
+    "approximate_vector_top_k": lambda rows: rows and len({(r["query_id"], r["rank"]) for r in rows}) == len(rows)
+    and all(r["doc_id"] == r["query_id"] and r["similarity"] == 1 for r in rows if r["rank"] == 1),
+    "factor_recommendations": lambda rows: rows and len({(r["learner_email"], r["rank"]) for r in rows}) == len(rows) and max(r["rank"] for r in rows) <= 5,
     "stream_engagement": lambda rows: rows and all(1 <= r["approx_unique_learners"] <= r["event_count"] for r in rows),
 }
 
