@@ -1,8 +1,8 @@
 """Exact streaming forms: distinct learners per window by keyed state, and late repeats by a merge on write.
 
-* ``run_exact_engagement``: a state processor keeps, for each course, module and share of learners, the learners of every open
-  window in map state. Learners are dealt over shares by hash, so a course with a third of all events is many keys,
-  and the shares of a window add up exactly. A window's state goes when the watermark passes its end.
+* ``run_exact_engagement``: a state processor keeps the learners of every open window in map state. Its keys are shares: a learner of a
+  course and module belongs to one share by hash, so a course with a third of all events is dealt over all of them, the shares of
+  a window add up exactly, and their number does not grow with the courses. A window's state goes when the watermark passes its end.
 * ``run_merge``: rows whose id is stored already are left out by an anti join with the stored ids of the same days, so a
   repeat is dropped however late it comes, and no state is kept between batches.
 """
@@ -16,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from coursemetrics.streaming.events import WINDOW, _batch_folder, _run, event_time
 
-SHARES = 16
+SHARES = 256
 ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 COUNTED = ("interacted", "progressed", "launched")
@@ -24,43 +24,47 @@ UPDATES = "course_id string, module_id string, share int, window_start long, win
 
 
 class WindowLearners(StatefulProcessor):
-    """Key: (course, module, share). Map state ``seen`` holds a row for each window and learner, ``counts`` one for each window."""
+    """Key: a share. Map state ``seen`` holds a row for each course, module, window and learner, ``counts`` one for each window."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "window_start long, learner string", "n long")
-        self.counts = handle.getMapState("counts", "window_start long", "window_end long, events long, learners long")
+        self.seen = handle.getMapState("seen", "course_id string, module_id string, window_start long, learner string", "n long")
+        self.counts = handle.getMapState("counts", "course_id string, module_id string, window_start long", "window_end long, events long, learners long")
 
     def handleInputRows(self, key, rows, timerValues):
         found, ends = Counter(), {}
         for r in rows:
-            found[r.window_start, r.learner_email] += 1
-            ends[r.window_start] = r.window_end
+            window = (r.course_id, r.module_id, r.window_start)
+            found[window, r.learner_email] += 1
+            ends[window] = r.window_end
         per: dict = {}
-        for (start, learner), n in found.items():
-            who = (start, learner)
+        for (window, learner), n in found.items():
+            who = (*window, learner)
             new = not self.seen.containsKey(who)
             if new:
                 self.seen.updateValue(who, (1,))
-            events, learners = per.get(start, (0, 0))
-            per[start] = (events + n, learners + (new and learner is not None))
-        for start, (events, learners) in per.items():
-            if self.counts.containsKey((start,)):
-                _, old_events, old_learners = self.counts.getValue((start,))
+            events, learners = per.get(window, (0, 0))
+            per[window] = (events + n, learners + (new and learner is not None))
+        timers = set()
+        for window, (events, learners) in per.items():
+            if self.counts.containsKey(window):
+                _, old_events, old_learners = self.counts.getValue(window)
                 events, learners = events + old_events, learners + old_learners
-            else:
-                self.handle.registerTimer(ends[start] // 1000)
-            self.counts.updateValue((start,), (ends[start], events, learners))
-            yield Row(course_id=key[0], module_id=key[1], share=key[2], window_start=start, window_end=ends[start], event_count=events, unique_learners=learners)
+            elif ends[window] not in timers:
+                timers.add(ends[window])
+                self.handle.registerTimer(ends[window] // 1000)
+            self.counts.updateValue(window, (ends[window], events, learners))
+            yield Row(course_id=window[0], module_id=window[1], share=key[0], window_start=window[2], window_end=ends[window],
+                      event_count=events, unique_learners=learners)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        over = [k for k, v in self.counts.iterator() if v[0] <= passed]
-        for start in over:
-            self.counts.removeKey(start)
-        gone = {s[0] for s in over}
-        for who in [k for k in self.seen.keys() if k[0] in gone]:
-            self.seen.removeKey(who)
+        over = {k for k, v in self.counts.iterator() if v[0] <= passed}
+        for window in over:
+            self.counts.removeKey(window)
+        if gone := {tuple(w) for w in over}:
+            for who in [k for k in self.seen.keys() if tuple(k)[:3] in gone]:
+                self.seen.removeKey(who)
         return iter(())
 
     def close(self) -> None:
@@ -74,9 +78,9 @@ def run_exact_engagement(silver_stream: DataFrame, out: str, checkpoint: str, de
     spark = silver_stream.sparkSession
     e = event_time(silver_stream.filter(F.col("verb").isin(*verbs) & F.col("ts").isNotNull()))
     w = F.window("ts", window)
-    keyed = (e.withWatermark("ts", delay).withColumn("share", F.pmod(F.xxhash64("learner_email"), F.lit(shares)).cast("int"))
+    keyed = (e.withWatermark("ts", delay).withColumn("share", F.pmod(F.xxhash64("course_id", "module_id", "learner_email"), F.lit(shares)).cast("int"))
              .select("course_id", "module_id", "share", "learner_email", "ts", F.unix_micros(w.start).alias("window_start"), F.unix_micros(w.end).alias("window_end")))
-    updates = keyed.groupBy("course_id", "module_id", "share").transformWithState(
+    updates = keyed.groupBy("share").transformWithState(
         statefulProcessor=WindowLearners(), outputStructType=UPDATES, outputMode="Update", timeMode="EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
