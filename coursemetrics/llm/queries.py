@@ -54,8 +54,7 @@ def civil_lexicon(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return lm.score(docs, lm.fit(docs))
+    return lm.fit_and_score(read(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
