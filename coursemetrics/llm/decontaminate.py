@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from coursemetrics.llm.common import stored
 
@@ -95,22 +96,31 @@ class Index:
     lengths: list[int]
 
     def cosines(self, terms: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(first stride, cosine of each passage with each item) of a text given as term ids (-1: no item has the word)."""
+        """(first stride, cosine of each passage with each item) of a text given as term ids (-1: no item has the word).
+
+        The cosine is 0 where the passage is no candidate: below MIN_COSINE, also when its length is taken for at least ``least``
+        (a passage with one word of an item would come close to it otherwise).
+        """
         strides = max(1, -(-len(terms) // STRIDE))
         for first in range(0, max(1, strides - 1), CHUNK):
             some = terms[first * STRIDE:(first + CHUNK + 1) * STRIDE]
             at = np.flatnonzero(some >= 0)
             n = -(-len(some) // STRIDE)
-            sums, energy = np.zeros((n, self.basis.shape[1]), np.float32), np.zeros(n, np.float32)
+            sums, energy = np.zeros((n, self.basis.shape[1]), np.float32), np.zeros(max(1, n - 1))
             if len(at):
                 own, of = some[at], at // STRIDE
                 heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
                 sums[of[heads]] = np.add.reduceat(self.basis[own], heads, axis=0)
-                energy[of[heads]] = np.add.reduceat(self.idf[own] ** 2, heads)
+                # A stride is in the passage that it begins and in the one before; each term of a passage counts once, by its weight there.
+                passage = np.concatenate([of, of - 1]).astype(np.int64)
+                keys, tf = np.unique((passage * len(self.idf) + np.concatenate([own, own]))[(passage >= 0) & (passage < len(energy))], return_counts=True)
+                passage, term = np.divmod(keys, len(self.idf))
+                energy = np.bincount(passage, (tf * self.idf[term]) ** 2, len(energy))
             if n > 1:
-                sums, energy = sums[:-1] + sums[1:], energy[:-1] + energy[1:]
+                sums = sums[:-1] + sums[1:]
             near = sums if self.latent is None else sums @ self.latent.T
-            near = near / np.sqrt(np.maximum(energy[:, None], self.least))
+            candidate = near >= MIN_COSINE * np.sqrt(np.maximum(energy[:, None], self.least))
+            near = np.where(candidate, np.minimum(near / np.sqrt(np.maximum(energy[:, None], 1e-12)), 1), 0)
             yield first, near if len(self.heads) == near.shape[1] else np.maximum.reduceat(near, self.heads, axis=1)
 
     def search(self, words: list[bytes]) -> list[tuple[object, float, float, bool, int]]:
@@ -353,13 +363,14 @@ def indexes(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for every document row and benchmark item that it holds.
 
-    Returns the id, item_id, ``cosine``, ``lcs_share``, ``answer_found`` and ``first_word`` (of the passage). Null and
+    Returns the id, item_id, ``cosine``, ``lcs_share``, ``answer_found`` and ``first_word`` (of the passage). The cosine is of the TF-IDF vectors over the items'
+    words, in the latent space, at most 1. Item ids are of any type that Arrow has, null too. Null and
     empty texts and items hold nothing; repeated rows and items are reported each; a null id stays null; an
     empty benchmark or table gives no rows; other columns are not read. Documents are searched whole.
     """
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("item_id", benchmark.schema[item_col].dataType),
                            T.StructField("cosine", T.DoubleType()), T.StructField("lcs_share", T.DoubleType()), T.StructField("answer_found", T.BooleanType()), T.StructField("first_word", T.LongType())])
-    item_type = pa.int64() if schema["item_id"].dataType == T.LongType() else None
+    item_type = to_arrow_type(schema["item_id"].dataType)
     out = docs.sparkSession.createDataFrame([], schema)
     for some in batched(indexes(docs, benchmark, id_col, text_col, item_col, item_text_col), TOGETHER):
         shared = docs.sparkSession.sparkContext.broadcast(some)

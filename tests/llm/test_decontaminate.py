@@ -71,16 +71,24 @@ def test_cosines_agree_with_exact_vectors(spark, bench):
     for i, (at, w) in enumerate(rows):
         exact[at, i] = w
     lost = both = 0
+    off = []
     for r in docs.collect():
         terms = np.array([index.vocabulary.get(w, -1) for w in dc.words_of(r.text)], np.int32)
         for first, near in index.cosines(terms):
             for p in range(len(near)):
                 x = terms[(first + p) * dc.STRIDE:(first + p + 2) * dc.STRIDE]
                 x = x[x >= 0]
-                true = (exact[x] * index.idf[x][:, None]).sum(0) / np.sqrt(np.maximum((index.idf[x] ** 2).sum(), index.least))
-                hit = true >= 0.5
+                row = dc._row(x, index.idf)
+                if row is None:
+                    assert not near[p].any()
+                    continue
+                true, energy = row[1] @ exact[row[0]], ((np.unique(x, return_counts=True)[1] * index.idf[row[0]]) ** 2).sum()
+                hit = (true >= 0.5) & (energy >= index.least)
+                off += (near[p] - true)[near[p] > 0].tolist()
+                assert near[p].max() <= 1
                 both, lost = both + hit.sum(), lost + (hit & (near[p] < dc.MIN_COSINE)).sum()
     assert both >= 40 and lost <= 0.05 * both
+    assert len(off) >= 40 and max(map(abs, off)) < 0.15 and np.mean(np.abs(off)) < 0.05
 
 
 def test_edge_rows(docs_of, spark, bench):
@@ -155,3 +163,26 @@ def test_long_items_are_found(docs_of, spark, length):
     docs = docs_of(rows)
     assert {(r.doc_id, r.item_id) for r in dc.find_contaminated(docs, bench).collect()} == {(i, i) for i, _ in items}
     assert {r.doc_id for r in dc.keep_uncontaminated(docs, bench).collect()} == set(range(100, 150))
+
+
+def test_repeated_words_have_true_lengths(docs_of, spark):
+    """An item written twice, and one repeated word of it, have the cosines of their TF-IDF vectors."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    bench = spark.createDataFrame([(1, item), (2, "lambda mu nu xi omicron pi rho sigma tau upsilon")], "item_id int, text string")
+    docs = docs_of([(1, f"{item} {item}"), (2, "alpha " * 30), (3, f"{item} " + "alpha " * 20), (4, "nothing of it")])
+    got = {r.doc_id: r for r in dc.find_contaminated(docs, bench).collect()}
+    assert got.keys() == {1, 3} and got[1].cosine == pytest.approx(1, abs=0.01) and got[1].item_id == 1
+    index = next(dc.indexes(docs, bench))
+    w = np.array([index.idf[index.vocabulary[x]] for x in dc.words_of(item)])
+    tf = np.array([21] + [1] * 9)
+    assert got[3].cosine == pytest.approx((w * w * tf).sum() / np.sqrt((w * w).sum() * ((w * tf) ** 2).sum()), abs=0.02)
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long", "date"])
+def test_item_ids_of_any_type(docs_of, spark, kind):
+    text = "one item of a benchmark with words enough to be found again"
+    bench = spark.createDataFrame([("7", text), (None, text)], "k string, text string").selectExpr(
+        f"cast({'date_add(date\'2024-01-01\', cast(k as int))' if kind == 'date' else 'k'} as {kind}) as item_id", "text")
+    got = dc.find_contaminated(docs_of([(1, f"so {text} it is")]), bench)
+    assert got.schema["item_id"].dataType.simpleString() == bench.schema["item_id"].dataType.simpleString()
+    assert {r.item_id for r in got.collect()} == {r.item_id for r in bench.collect()} and got.count() == 2
