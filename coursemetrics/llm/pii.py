@@ -86,10 +86,24 @@ def is_card(value: Column) -> Column:
     return digits.rlike("^(4|5[1-5]|2[2-7]|3[47]|6)") & (_luhn_sum(digits, 1) % 10 == 0)
 
 
+def _rest_97(plain: Column) -> Column:
+    """Remainder by 97 of an account number with its first four characters moved to the end, letters as 10 to 35."""
+    moved = F.split(F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4)), "")
+
+    def add(rest: Column, c: Column) -> Column:
+        code = F.ascii(c)
+        return F.when(c == "", rest).when(code >= 65, (rest * 100 + code - 55) % 97).otherwise((rest * 10 + code - 48) % 97)
+    return F.aggregate(moved, F.lit(0), add)
+
+
+def is_iban(value: Column) -> Column:
+    return _rest_97(F.regexp_replace(value, " ", "")) == 1
+
+
 def kind_of(value: Column) -> Column:
     """Type of a match; null for what only looks like an entity (a number with a wrong check digit)."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
-    return (F.when(value.contains("@"), "email").when(whole(SECRET), "secret").when(whole(IBAN), "iban")
+    return (F.when(value.contains("@"), "email").when(whole(SECRET), "secret").when(whole(IBAN), F.when(is_iban(value), "iban"))
             .when(whole(CARD), F.when(is_card(value), "card")).when(whole(IP), "ip").when(whole(SSN), "ssn")
             .when(value.rlike(r"^[+(\d]"), "phone").otherwise("person"))
 
@@ -164,8 +178,11 @@ def _octets(value: Column, digest: Column, wide: Column) -> Column:
 
 
 def _iban(value: Column, digest: Column) -> Column:
+    """Country stays, the account is made up, and the check digits are right for it."""
     plain = F.regexp_replace(value, " ", "")
-    return _in_format(value, F.concat(F.substring(plain, 1, 2), _scrambled(F.substr(plain, _lit(3), F.length(plain)), digest)))
+    country, account = F.substring(plain, 1, 2), _scrambled(F.substr(plain, _lit(5), F.length(plain)), digest)
+    check = F.lpad((98 - _rest_97(F.concat(country, _lit("00"), account))).cast("string"), 2, "0")
+    return _in_format(value, F.concat(country, check, account))
 
 
 def _secret(value: Column, digest: Column) -> Column:
@@ -265,7 +282,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
 
     ``count_col`` names an optional extra column with the number of replaced parts. Null and empty texts and texts
     without an entity stay as they are; repeated rows are replaced alike; an empty table gives no rows. Types:
-    e-mail, phone, IP, card (with issuer and check digit), IBAN, social security number, secrets, person names
+    e-mail, phone, IP, card (with issuer and check digit), IBAN (with check digits), social security number, secrets, person names
     (title or known given name).
     """
     mine, text = "__pii", F.col(text_col)

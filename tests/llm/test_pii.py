@@ -144,3 +144,19 @@ def test_late_surrogates_have_room(spark):
         late = spark.range(900).select(pii.surrogate(KEY, F.lit(kind), F.lit(value), F.col("id") + pii.WIDE_FROM).alias("x")).distinct().collect()
         assert len(late) > 895
         assert kind != "ip" or all(0 < int(n) < 256 for r in late for n in r.x.split("."))
+
+
+def rest_97(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_account_numbers_have_check_digits(docs_of):
+    real = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NL91 ABNA 0417 1643 00", "FR14 2004 1010 0505 0001 3M02 606"]
+    wrong = ["DE88 3704 0044 0532 0130 00", "GB82WEST12345698765431"]
+    assert all(rest_97(x) == 1 for x in real) and not any(rest_97(x) == 1 for x in wrong)
+    got = run(docs_of, [f"pay {x} now" for x in real] + [f"pay {x} now" for x in wrong])
+    for old, (new, n) in zip(real, got):
+        made = new[4:-4]
+        assert n == 1 and made != old and rest_97(made) == 1 and shape(made) == shape(old) and made[:2] == old[:2]
+    assert [t for t, _ in got[len(real):]] == [f"pay {x} now" for x in wrong]
