@@ -17,14 +17,17 @@ from coursemetrics.operators.silver import rejected_statements, silver_events
 from coursemetrics.sources import versions
 from coursemetrics.sources.binding import Binding
 from coursemetrics.sources.raw import read_courses, read_learners, read_raw_events
-from coursemetrics.sources.sinks import write_dropout_risk, write_search_docs, write_silver, write_table
+from coursemetrics.sources.sinks import write_clustered, write_dropout_risk, write_search_docs, write_silver, write_table
 
 
 def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_dir: str | None = None,
-                 fmt: str = "parquet", lines: bool = False, lines_of_dimensions: bool = False) -> dict[str, str]:
+                 fmt: str = "parquet", lines: bool = False, lines_of_dimensions: bool = False, clustered: bool = False) -> dict[str, str]:
     """From the driver tables (``sf_dir``) or raw JSON files (``raw_dir``: xapi_events.json,
     courses.json, learners.json; ``lines``: xapi_events.json has a record per line, ``lines_of_dimensions``: so have the others). Statements that silver leaves
-    out go to the table of rejects. Returns table name -> folder."""
+    out go to the table of rejects. ``clustered``: silver as range-clustered Parquet files instead of a folder per course. Returns
+    table name -> folder."""
+    if clustered and fmt != "parquet":
+        raise ValueError("clustered silver is written as Parquet")
     root = out_root.rstrip("/")
     paths = {n: f"{root}/{n}" for n in ("bronze_xapi_events", "rejected_xapi_events", "silver_xapi_events", "dim_courses", "dim_learners",
                                         "gold_course_completion", "gold_module_dropoff",
@@ -41,7 +44,10 @@ def build_tables(spark: SparkSession, out_root: str, sf_dir: str | None = None,
         paths.pop("bronze_xapi_events")
         paths.pop("rejected_xapi_events")
         silver, courses, learners = b.silver, b.dim_courses, b.dim_learners
-    write_silver(silver, path=paths["silver_xapi_events"], fmt=fmt)
+    if clustered:
+        write_clustered(silver, paths["silver_xapi_events"])
+    else:
+        write_silver(silver, path=paths["silver_xapi_events"], fmt=fmt)
     write_table(courses, path=paths["dim_courses"], fmt=fmt)
     write_table(learners, path=paths["dim_learners"], fmt=fmt)
     s = spark.read.format(fmt).load(paths["silver_xapi_events"])

@@ -743,19 +743,25 @@ _ALL_FILTERS = ("(q.r_department IS NULL OR d.department = q.r_department) AND (
                 "AND (q.r_format IS NULL OR d.format = q.r_format) AND (q.r_hours IS NULL OR d.duration_hours <= q.r_hours)")
 
 
-@register("filtered_hybrid_search", "WITH " + _hybrid_ctes("fh", _CATALOGUE_DOCS, _LEARNER_REQ, _ALL_FILTERS)
-          + "\nSELECT query_id, doc_id AS course_id, rrf, rank FROM fh_top")
-def _filtered_hybrid(b):
-    """Department, level, format and duration filters on one hybrid request per learner."""
+_LEARNER_FILTERS = [("department", "r_department", "eq"), ("skill_level", "r_level", "eq"), ("format", "r_format", "eq"), ("duration_hours", "r_hours", "le")]
+
+
+def _learner_requests(b: Binding) -> DataFrame:
     key = F.regexp_extract("learner_id", r"(\d+)$", 1).cast("bigint")
-    reqs = b.dim_learners.select(
+    return b.dim_learners.select(
         key.alias("query_id"), F.concat(F.lit("Courses about "), "job_title", F.lit(" in "), "department").alias("query_text"),
         F.col("department").alias("r_department"), pick(key, SKILL_LEVELS).alias("r_level"),
         F.when(key % 2 == 0, pick(key, FORMATS)).alias("r_format"), F.when(key % 5 > 0, (key % 50).cast("double")).alias("r_hours"))
+
+
+@register("filtered_hybrid_search", "WITH " + _hybrid_ctes("fh", _CATALOGUE_DOCS, _LEARNER_REQ, _ALL_FILTERS)
+          + "\nSELECT query_id, doc_id AS course_id, rrf, rank FROM fh_top")
+def _filtered_hybrid(b):
+    """Department, level, format and duration filters on one hybrid request per learner."""
+    reqs = _learner_requests(b)
     docs = _searchable(b, "department", "skill_level", "format", F.col("duration_hours").cast("double").alias("duration_hours"))
     hits = search.hybrid_search(docs, _with_vector(b, reqs, F.col("query_id")), SEARCH_TOP, doc_id="course_id", text="embed_text", vec="content_vector",
-                                filters=[("department", "r_department", "eq"), ("skill_level", "r_level", "eq"), ("format", "r_format", "eq"),
-                                         ("duration_hours", "r_hours", "le")])
+                                filters=_LEARNER_FILTERS)
     return hits.withColumnRenamed("doc_id", "course_id")
 
 
@@ -1190,3 +1196,40 @@ def _undeclared_fields(b):
     return bronze.select(variant.field("$.id", "string").alias("event_id"), variant.field("$.client.format", "string").alias("client_format"),
                          variant.field("$.client.hour", "bigint").alias("client_hour"),
                          variant.field(f"$.context.extensions['{raw.EXT_BASE}module_id']", "string").alias("module_id"))
+
+
+# ── facets of hits (G9) and clustered silver (A5) ──────────────────────────
+
+from coursemetrics.operators import facets  # noqa: E402
+from coursemetrics.sources.sinks import write_clustered  # noqa: E402
+
+_FILTER_COLUMNS = "r_department, r_level, r_format, r_hours"
+_HIT_FACETS = "\nUNION ALL ".join(
+    [f"SELECT {_FILTER_COLUMNS}, '{f}' AS facet, {f} AS value, COUNT(*) AS count FROM h GROUP BY ALL" for f in ("department", "skill_level", "format")]
+    + [f"SELECT {_FILTER_COLUMNS}, 'skills_taught', s, COUNT(DISTINCT course_id) FROM (SELECT *, unnest(skills_taught) AS s FROM h) x GROUP BY ALL"])
+
+
+@register("filtered_facet_counts", f"""
+WITH q AS (SELECT DISTINCT {_FILTER_COLUMNS} FROM ({_LEARNER_REQ}) r), h AS (SELECT q.*, d.* FROM q JOIN dim_courses d ON {_ALL_FILTERS})
+{_HIT_FACETS}""")
+def _filtered_facets(b):
+    """Facet counts of the courses that pass each filter of ``filtered_hybrid_search``, from stored bitmaps."""
+    index = _written(b, "facet-bitmaps", lambda path: facets.build_facets(b.dim_courses, path))
+    return facets.facets_of_hits(index, _learner_requests(b), _LEARNER_FILTERS)
+
+
+@register("clustered_silver_courses", """
+SELECT course_id, COUNT(*) AS events, COUNT(DISTINCT learner_email) AS learners, TRUE AS neighbouring_files FROM silver GROUP BY course_id""")
+def _clustered_courses(b):
+    """Silver as range-clustered files: every course from its files, and whether it fills all files between its first and last."""
+    path = _written(b, "silver-clustered", lambda path: (write_clustered(b.silver, path), path)[1])
+    silver = b.spark.read.schema(b.silver.schema).parquet(path)
+    by_file = silver.groupBy("course_id", F.input_file_name().alias("file"), "learner_email").agg(F.count("*").alias("n"))
+    parts = by_file.groupBy("file").agg(F.min("course_id").alias("low"), F.max("course_id").alias("high"))
+    whole = (by_file.groupBy("course_id", "learner_email").agg(F.sum("n").alias("n"))
+             .groupBy("course_id").agg(F.sum("n").alias("events"), F.count("learner_email").alias("learners")))
+    # A file's inner courses lie in that file alone.
+    held = by_file.select("course_id", "file").distinct().join(parts, "file")
+    inner = held.groupBy("course_id").agg(F.count("*").alias("files"), F.max(((F.col("course_id") > F.col("low")) & (F.col("course_id") < F.col("high"))).cast("int")).alias("within"))
+    return (whole.join(inner, "course_id")
+            .select("course_id", "events", "learners", ((F.col("files") == 1) | (F.col("within") == 0)).alias("neighbouring_files")))
