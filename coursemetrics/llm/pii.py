@@ -48,15 +48,20 @@ GIVEN = "|".join((*FEMALE, *MALE))
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}._%+-]*+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)*\.\p{{L}}{{2,}}"
 SECRET = rf"(?=[A-Za-z_-]{{0,128}}\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}}|AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{36}}|sk-[A-Za-z0-9]{{20,64}})(?!{WORD})"
-IBAN = rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})"
+IBAN = rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{WORD})"
 CARD = rf"(?<!\d[.-])(?:\d{{4}}([ -]?)\d{{4}}\1\d{{4}}\1\d{{4}}|\d{{4}}([ -]?)\d{{6}}\2\d{{5}})(?![.-]?\d)(?!{WORD})"
 SSN = rf"(?<!-)\d{{3}}-\d{{2}}-\d{{4}}(?!{WORD})(?!-)"
 PHONE = (r"(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]\d{2,4}(?!\d)){1,4}|\+\d{8,15}"
-         rf"|\(\d{{3}}\) ?\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!{WORD})")
+         r"|\(\d{3}\)[ .-]?\d{3}[.-]\d{4}|\d{3}-\d{3}-\d{4}"
+         # With dots or spaces only numbers of the North American plan that are no part of a longer one.
+         rf"|(?<!\d[ .,-])[2-9]\d{{2}}(?<gap>[ .])[2-9]\d{{2}}\k<gap>\d{{4}}(?![ .,-]?\d))(?!{WORD})")
 IP = rf"(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!{WORD})(?!\.\d)"
+HEXTET = "[0-9A-Fa-f]{1,4}"
+IP6 = (rf"(?<!:)(?={HEXTET}:)(?=[A-Fa-f:]{{0,39}}\d)(?:(?:{HEXTET}:){{7}}{HEXTET}|(?:{HEXTET}:){{2,6}}(?::{HEXTET}){{1,5}}|[Ff][Ee]80:(?::{HEXTET}){{1,4}})"
+       rf"(?!{WORD})(?!:)")
 PERSON = rf"(?<!\p{{L}})(?:(?:{TITLES})\.? (?:{NAME} )?{NAME}|(?:{GIVEN}) {NAME})(?!\p{{L}})"
 # The card pattern's two groups are the first ones of the whole. Only a sign that can begin a numbered entity is looked at closely.
-NUMBERED = rf"(?=[0-9A-Za-z+(])(?<!{WORD})(?:{SECRET}|{IBAN}|{CARD}|{IP}|{SSN}|{PHONE})"
+NUMBERED = rf"(?=[0-9A-Za-z+(])(?<!{WORD})(?:{SECRET}|{IBAN}|{CARD}|{IP}|{IP6}|{SSN}|{PHONE})"
 ANY = f"{EMAIL}|{NUMBERED}|{PERSON}"
 #: A quick look that every entity passes: each has an @, a digit, or the beginning of a name.
 HINT = rf"[0-9@]|(?=[\p{{Lu}}])(?:{TITLES}|{GIVEN})[. ]"
@@ -104,14 +109,14 @@ def kind_of(value: Column) -> Column:
     """Type of a match; null for what only looks like an entity (a number with a wrong check digit)."""
     whole = lambda p: value.rlike(f"^(?:{p})$")
     return (F.when(value.contains("@"), "email").when(whole(SECRET), "secret").when(whole(IBAN), F.when(is_iban(value), "iban"))
-            .when(whole(CARD), F.when(is_card(value), "card")).when(whole(IP), "ip").when(whole(SSN), "ssn")
+            .when(whole(CARD), F.when(is_card(value), "card")).when(whole(f"{IP}|{IP6}"), "ip").when(whole(SSN), "ssn")
             .when(value.rlike(r"^[+(\d]"), "phone").otherwise("person"))
 
 
 def norm_of(kind: Column, value: Column) -> Column:
     """Normal form: spellings of one entity have one."""
     return (F.when(kind.isin("email"), F.lower(value)).when(kind.isin("card", "iban", "ssn", "phone"), F.regexp_replace(value, r"[^\p{L}\p{N}]", ""))
-            .when(kind.isin("secret", "ip"), value).otherwise(F.lower(value)))
+            .when(kind == "secret", value).otherwise(F.lower(value)))
 
 
 def _scrambled(value: Column, digest: Column, pattern: str = r"\p{L}|\d") -> Column:
@@ -177,6 +182,17 @@ def _octets(value: Column, digest: Column, wide: Column) -> Column:
     return F.array_join(F.transform(F.split(value, r"\."), one), ".")
 
 
+def _hextets(value: Column, digest: Column, wide: Column) -> Column:
+    """The first group stays, all others keep their length; two more groups follow in a shortened address whose format is full."""
+    def one(x: Column, i: Column) -> Column:
+        first = F.translate(F.substr(digest, i * 5 + 1, _lit(1)), "0", "f")
+        return F.when((i == 0) | (x == ""), x).otherwise(F.substr(F.concat(first, F.substr(digest, i * 5 + 2, _lit(3))), _lit(1), F.length(x)))
+    groups = F.array_join(F.transform(F.split(value, ":"), one), ":")
+    more = F.concat(_lit(":"), F.substring(digest, 101, 4), _lit(":"), F.substring(digest, 111, 4))
+    made = F.when(wide & value.contains("::"), F.concat(groups, more)).otherwise(groups)
+    return F.when(value == F.upper(value), F.upper(made)).otherwise(made)
+
+
 def _iban(value: Column, digest: Column) -> Column:
     """Country stays, the account is made up, and the check digits are right for it."""
     plain = F.regexp_replace(value, " ", "")
@@ -215,7 +231,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """
     digest, wide = _digest(key, kind, norm_of(kind, value), attempt), attempt >= WIDE_FROM
     return (F.when(kind == "email", _email(value, digest, wide)).when(kind == "secret", _secret(value, digest)).when(kind == "iban", _iban(value, digest))
-            .when(kind == "card", _card(value, digest)).when(kind == "ip", _octets(value, digest, wide)).when(kind == "ssn", F.concat(_in_format(value, _scrambled(F.regexp_replace(value, "-", ""), digest)), _more_digits(digest, wide)))
+            .when(kind == "card", _card(value, digest)).when(kind == "ip", F.when(value.contains(":"), _hextets(value, digest, wide)).otherwise(_octets(value, digest, wide))).when(kind == "ssn", F.concat(_in_format(value, _scrambled(F.regexp_replace(value, "-", ""), digest)), _more_digits(digest, wide)))
             .when(kind == "phone", F.concat(_phone(value, digest), _more_digits(digest, wide))).otherwise(_name(kind, value, digest, wide)))
 
 
@@ -282,7 +298,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
 
     ``count_col`` names an optional extra column with the number of replaced parts. Null and empty texts and texts
     without an entity stay as they are; repeated rows are replaced alike; an empty table gives no rows. Types:
-    e-mail, phone, IP, card (with issuer and check digit), IBAN (with check digits), social security number, secrets, person names
+    e-mail, phone, IP (both versions), card (with issuer and check digit), IBAN (with check digits), social security number, secrets, person names
     (title or known given name).
     """
     mine, text = "__pii", F.col(text_col)

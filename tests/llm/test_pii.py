@@ -160,3 +160,28 @@ def test_account_numbers_have_check_digits(docs_of):
         made = new[4:-4]
         assert n == 1 and made != old and rest_97(made) == 1 and shape(made) == shape(old) and made[:2] == old[:2]
     assert [t for t, _ in got[len(real):]] == [f"pay {x} now" for x in wrong]
+
+
+def test_more_spellings(docs_of):
+    """National numbers with dots or spaces, both kinds of IP address, the shortest account numbers."""
+    texts = ["a 212.555.0100 b", "a 212 555 0100 b", "a (212)555.0100 b", "a (212).555-0100 b", "a 2001:0db8:85a3:0000:0000:8a2e:0370:7334 b", "a 2001:DB8::8A2E:370 b", "a fe80::1 b",
+             "a NO93 8601 1117 947 b", "a NO9386011117947 b"]
+    got = run(docs_of, texts)
+    for old, (new, n) in zip(texts, got):
+        assert n == 1 and new != old and len(new) == len(old) and new[:2] == "a " and new[-2:] == " b"
+        assert ":" in old or shape(new) == shape(old)
+    assert [re.sub("[0-9a-fA-F]", "h", t) for t, _ in got[4:7]] == [re.sub("[0-9a-fA-F]", "h", t) for t in texts[4:7]]
+    assert got[4][0][2:7] == "2001:" and got[5][0][2:7] == "2001:" and got[6][0][2:7] == "fe80:" and got[5][0][2:-2] == got[5][0][2:-2].upper()
+    assert got[0][0] != got[1][0] and re.sub(r"\D", "", got[0][0]) == re.sub(r"\D", "", got[1][0])  # one number in two spellings
+    assert rest_97(got[7][0][2:-2]) == 1 and got[7][0].replace(" ", "") == got[8][0].replace(" ", "")
+
+
+def test_more_lookalikes_stay(docs_of):
+    texts = ["1.212.555.0100 and 212.555.0100.7", "100.200.3000 and 212 155 0100", "of 212 555 0100 2 rows", "at 12:30:45 std::vector a::b", "00:1A:2B:3C:4D:5E and 1:2:3:4:5:6:7:8:9",
+             "NO92 8601 1117 947"]
+    assert run(docs_of, texts) == [(t, 0) for t in texts]
+
+
+def test_late_addresses_have_room(spark):
+    late = spark.range(900).select(pii.surrogate(KEY, F.lit("ip"), F.lit("fe80::1"), F.col("id") + pii.WIDE_FROM).alias("x")).distinct().collect()
+    assert len(late) > 895 and all(re.fullmatch(r"fe80::[0-9a-f](?::[0-9a-f]{4}){2}", r.x) for r in late)
