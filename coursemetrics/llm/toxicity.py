@@ -44,7 +44,6 @@ PREFIXES = range(4, 9)
 MIN_ROWS = 4
 MIN_WEIGHT = 2.5
 CHANCE_ENTRIES = 8  # so many of the terms tried may look toxic by chance
-MAX_LEXICON = 2_000
 
 
 def _decode(match: re.Match) -> str:
@@ -153,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
         id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Learn lexicon, exceptions and curve from labelled rows for which ``training`` holds.
 
-    ``sample_rows`` bounds the training rows of each label; that is the only bounded part. Of copies one teaches. Rows with a null id,
+    ``sample_rows`` bounds the training rows of each label; that is the only bounded part (every entry and exception
+    that has the evidence is kept, so the lexicon grows with the training rows). Of copies one teaches. Rows with a null id,
     null label or no text teach nothing; without rows of both labels the lexicon is empty.
     """
     known = labels.where(training & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(id_col, label_col)
@@ -202,7 +202,6 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, label_col: str = "
         if weights[t] >= MIN_WEIGHT and weights[t] > shorter + 0.7:
             chosen[t] = weights[t]
     chosen = {_longest(t, toxic): w for t, w in chosen.items()}
-    chosen = dict(sorted(chosen.items(), key=lambda x: (-x[1] * toxic[x[0]], x[0]))[:MAX_LEXICON])
     lexicon = Lexicon({t: round(w, 6) for t, w in chosen.items() if t[-1] != " "}, {t[:-1]: round(w, 6) for t, w in chosen.items() if t[-1] == " "})
     lexicon.exceptions = _exceptions(picked, lexicon)
     machine_of = lexicon.machine
@@ -244,7 +243,7 @@ def _exceptions(picked: DataFrame, lexicon: Lexicon, least: int = 3) -> list[str
             .agg(F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"),
                  F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"))
             .where((F.col("clean") >= least) & (F.col("clean") > 3 * F.col("toxic"))))
-    return sorted(r.phrase for r in stored(told.orderBy(F.desc("clean"), "phrase").limit(MAX_LEXICON), "toxic-exceptions").collect())
+    return sorted(r.phrase for r in stored(told.select("phrase"), "toxic-exceptions").collect())
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> tuple[float, float, float]:
