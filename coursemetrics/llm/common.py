@@ -17,11 +17,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a scratch folder only where none is named (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where none is named, a scratch folder in local mode only (tests); on a cluster that is
+    an error, since the executors would not reach it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         named = tempfile.mkdtemp(prefix="corpus-shared-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -56,17 +60,17 @@ def blocks_of(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     yield text[at:] if at else text
 
 
-def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """``(u, v)`` long edges -> ``(node, root)``: the smallest node reachable from every node with an edge.
 
     Alternating large-star and small-star steps; neighbour minima are plain aggregates with map-side
     combine, so a hub with a third of all edges is never gathered in one task, and the joins that carry
     a minimum back to the edges are inner joins that adaptive execution can split. Every round is a
-    written table; edges shrink to one star per component. Nulls and self-loops are ignored.
+    written table; rounds go on until nothing changes (their number grows with the logarithm of a component's size); edges shrink to one star per component. Nulls and self-loops are ignored.
     """
     now = stored(edges.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), tag)
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -80,4 +84,3 @@ def connected_components(edges: DataFrame, tag: str = "cc", max_rounds: int = 60
             return now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         seen = mark
-    raise RuntimeError("connected components did not settle")

@@ -149,6 +149,7 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     """Links ``(u, v)`` that connect exactly the distinct ``fp`` joined by steps of at most ``max_bits`` bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        held_rows, full = 0, ROWS
 
         def flush(rows: np.ndarray) -> pa.RecordBatch | None:
             change = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
@@ -163,14 +164,16 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
 
         for batch in batches:
             held.append(np.stack([batch.column(i).cast(pa.int64()).to_numpy() for i in range(3)]))
-            if sum(x.shape[1] for x in held) >= ROWS:
+            held_rows += len(batch)
+            if held_rows >= full:
                 rows = np.concatenate(held, axis=1)
                 cut = np.flatnonzero((rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]))
                 if len(cut):  # whole groups go, the open one stays
                     if (out := flush(rows[:, :cut[-1] + 1])) is not None:
                         yield out
                     rows = rows[:, cut[-1] + 1:]
-                held = [rows]
+                held, held_rows = [rows], rows.shape[1]
+                full = max(ROWS, 2 * held_rows)  # an open group is put together again only when it has doubled
         if held and (out := flush(np.concatenate(held, axis=1))) is not None:
             yield out
 
