@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 import re
 import xxhash
+from types import SimpleNamespace
 
 from coursemetrics.llm import simhash
-from coursemetrics.llm.common import connected_components
+from coursemetrics.llm.common import connected_components, shared_dir
 
 
 def brute_print(text):
@@ -99,3 +100,35 @@ def test_long_chains_are_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(101)} | {500: 500, 501: 500}
+
+
+def test_a_group_larger_than_a_batch(spark, monkeypatch):
+    """One block's group comes in many batches; its links join exactly what brute force joins."""
+    rng = np.random.default_rng(5)
+    prints = sorted({int(x) << 22 for x in rng.integers(0, 1 << 11, 400)})
+    near = {i: {j for j in range(len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 2} for i in range(len(prints))}
+    monkeypatch.setattr(simhash, "ROWS", 16)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        edges = simhash.links(spark.createDataFrame([(x,) for x in prints], "fp long"), 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def joined(links):
+        root = list(range(len(prints)))
+        def top(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for a, b in links:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(x) for x in range(len(prints))]
+    place = {x: i for i, x in enumerate(prints)}
+    assert joined((place[e.u], place[e.v]) for e in edges) == joined((i, j) for i, js in near.items() for j in js)
+
+
+def test_a_cluster_without_a_shared_folder_is_told():
+    conf = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(master="spark://host:7077", getConf=lambda: conf, getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=context))
