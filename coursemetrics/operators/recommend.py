@@ -1,6 +1,6 @@
 """Course recommender: truncated SVD of the learner x course weight matrix.
 
-* The weights of a learner are one sparse vector, assembled on the JVM and kept for the fit, so an
+* The weights of a learner are one sparse vector, as long as its courses, checkpointed and kept for the fit, so an
   iteration of the solver reads vectors, not events. ``RowMatrix.computeSVD`` multiplies them
   in the cluster.
 * V (courses x components) is the only matrix on the driver. Its size is checked against
@@ -18,17 +18,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window, functions as F
 
 from coursemetrics.operators.features import interaction_weights
+from coursemetrics.session import checkpoint_dir
 
 N_COMPONENTS = 50
 MAX_FACTOR_BYTES = 256 << 20
 CELLS = 1 << 21     # learners x courses scored at once
+ROWS_PER_TASK = 5_000
+MOST_ROWS_PER_TASK = 1_000_000
 
 
 @dataclass
@@ -55,12 +57,15 @@ def learner_cells(weights: DataFrame, index: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("cells")))
 
 
-def _dense(cells, n: int):
-    """The cells with the zeros between them, as one array of length n."""
-    idx = F.transform(cells, lambda c: c["idx"])
-    ends = F.concat(F.slice(idx, 2, F.lit(n)), F.array(F.lit(n)))
-    runs = F.zip_with(cells, ends, lambda c, e: F.concat(F.array(c["weight"]), F.array_repeat(F.lit(0.0), e - c["idx"] - 1)))
-    return F.concat(F.array_repeat(F.lit(0.0), idx[0]), F.flatten(runs))
+def _sparse(n: int):
+    """The cells as one sparse vector of length n."""
+    return F.udf(lambda cells: Vectors.sparse(n, [c["idx"] for c in cells], [c["weight"] for c in cells]), VectorUDT())
+
+
+def vector_tasks(rows: int, cores: int) -> int:
+    """Tasks of the solver's jobs: one for every ROWS_PER_TASK vectors, no more than the cluster runs at once unless they would
+    hold more than MOST_ROWS_PER_TASK."""
+    return max(1, min(-(-rows // ROWS_PER_TASK), cores), -(-rows // MOST_ROWS_PER_TASK))
 
 
 def fit_recommender(interactions: DataFrame, k: int = N_COMPONENTS) -> Recommender:
@@ -74,10 +79,12 @@ def fit_recommender(interactions: DataFrame, k: int = N_COMPONENTS) -> Recommend
     k_eff = max(1, min(k, n - 1))
     if n * k_eff * 8 > MAX_FACTOR_BYTES:
         raise ValueError(f"{n} courses x {k_eff} components exceed MAX_FACTOR_BYTES")
-    cells = learner_cells(w, cidx)
-    # The assembler stores a vector sparse where that is smaller.
-    rows = VectorAssembler(inputCols=["dense"], outputCol="row").transform(cells.select(array_to_vector(_dense(F.col("cells"), n)).alias("dense")))
-    rows = MLUtils.convertVectorColumnsFromML(rows.select("row"), "row").persist(StorageLevel.MEMORY_AND_DISK)
+    checkpoint_dir(spark)
+    # The solver runs a short job for each product, some hundred in all: few tasks, over a plan that is cut here.
+    cells = learner_cells(w, cidx).checkpoint()
+    tasks = vector_tasks(cells.count(), spark.sparkContext.defaultParallelism)
+    rows = cells.coalesce(tasks).select(_sparse(n)("cells").alias("row")).checkpoint()
+    rows = MLUtils.convertVectorColumnsFromML(rows, "row").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         svd = RowMatrix(rows).computeSVD(k_eff, computeU=False)
         v, values = svd.V.toArray(), [float(x) for x in svd.s.toArray()]
