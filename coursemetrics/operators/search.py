@@ -34,6 +34,7 @@ RRF_K = 60
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 MAX_REQUEST_BYTES = 64 << 20
 CELLS = 1 << 21     # documents x requests scored at once
+BATCH_DOCUMENTS = 2048
 
 # filter spec: (document column, request column, "eq" | "le")
 COURSE_FILTERS = [("department", "department", "eq"), ("skill_level", "skill_level", "eq"),
@@ -333,10 +334,17 @@ def _hits(tokens_: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
     return keys // max(1, len(terms)), keys % max(1, len(terms)), tf
 
 
+def _slices(batches):
+    """Batches of at most BATCH_DOCUMENTS rows: what is computed from a batch's tokens takes several times their memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_DOCUMENTS):
+            yield batch.slice(at, BATCH_DOCUMENTS)
+
+
 def _local_statistics(batches):
     """Documents, texts, tokens, and the document frequency of every request term in a task."""
     rows, df, told = None, None, np.zeros(3, np.int64)
-    for batch in batches:
+    for batch in _slices(batches):
         if rows is None:
             terms, _ = _terms_of(batch.column(REQUESTS)[0].as_py() or [])
             rows, df = True, np.zeros(len(terms), np.int64)
@@ -356,7 +364,7 @@ NAMES = ("documents", "texts", "tokens")
 def _local_bm25(k: int, filters, k1: float, b: float, arrow: pa.Schema):
     def run(batches):
         rows = top = None
-        for batch in batches:
+        for batch in _slices(batches):
             if rows is None:
                 rows = batch.column(REQUESTS)[0].as_py() or []
                 stats = {(x["kind"], x["term"]): x["n"] for x in batch.column(STATS)[0].as_py() or []}
@@ -398,7 +406,7 @@ def _local_bm25(k: int, filters, k1: float, b: float, arrow: pa.Schema):
                     whole = np.where(scores > 0, np.rint(scores * 1e6).astype(np.int64), -1)
                     told.refuse(whole, own, here, members, -1)
                     top.offer(whole, ids[here], members)
-        if top is not None and (out := top.rows([r["query_id"] for r in rows], arrow)) is not None:
+        if top is not None and (out := top.rows(rows, arrow)) is not None:
             yield out
     return run
 
@@ -434,19 +442,24 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
     idf = ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once. One pass over the
     documents counts (a row for each request term and task), a second one scores in their own partitions and
     leaves k rows for each request and task; texts are not shuffled. Both passes are repeated for each block of requests.
+    Requests with the same terms and filter values are answered once, and the answer is joined to each of them.
     """
-    schema = _result_schema(requests, query_id, docs, doc_id, "score")
     dsel = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"), *[d for d, _, _ in filters or []])
-    fields = [F.col(query_id).alias("query_id"), F.array_distinct(tokens(query_text)).alias("terms"), *[F.col(r) for _, r, _ in filters or []]]
+    # What a request asks for is its id here: requests that ask the same are answered once.
+    ask = F.struct(F.array_sort(F.array_distinct(tokens(query_text))).alias("terms"), *[F.col(r) for r in dict.fromkeys(r for _, r, _ in filters or [])])
+    whose = requests.select(F.col(query_id).alias("query_id"), ask.alias("ask"))
+    asks = whose.select("ask").distinct()
+    schema = _result_schema(asks, "ask", docs, doc_id, "score")
     run, parts = _local_bm25(k, filters, k1, b, to_arrow_schema(schema)), []
-    for block in _blocks(requests, query_id, request_blocks, F.coalesce(F.octet_length(query_text), F.lit(0)) + 32):
-        packed = _packed(block, fields)
+    for block in _blocks(asks, "ask", request_blocks, F.coalesce(F.octet_length(F.array_join("ask.terms", " ")), F.lit(0)) + 32):
+        packed = _packed(block, [F.col("ask.*")])
         counted = _beside(dsel.select("toks"), packed).mapInArrow(_local_statistics, "kind string, term string, n long")
         # At most one row for each request term, which the packed requests bound.
         statistics = (counted.groupBy("kind", "term").agg(F.sum("n").alias("n"))
                       .agg(F.collect_list(F.struct("kind", "term", "n")).alias("s")).select("s").scalar())
         parts.append(_beside(dsel, packed.withColumn(STATS, statistics)).mapInArrow(run, schema))
-    return top_k_per_group(_in_turn(parts), "query_id", [F.desc("score"), "doc_id"], k)
+    best = top_k_per_group(_in_turn(parts).withColumnRenamed("query_id", "ask"), "ask", [F.desc("score"), "doc_id"], k).drop("rank")
+    return top_k_per_group(whose.join(best, "ask").select("query_id", "doc_id", "score"), "query_id", [F.desc("score"), "doc_id"], k)
 
 
 # ── hybrid search (G6) and skill search (G7) ───────────────────────────────

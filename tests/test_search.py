@@ -99,3 +99,20 @@ def test_hybrid_by_skills_without_vectors_is_the_keyword_order(spark):
         .withColumn("query_vector", F.lit(None).cast("array<double>"))
     got = {(r.query_id, r.rank): r.doc_id for r in search.search_by_skills(docs, reqs, 5).collect()}
     assert got[1, 1] == "c1" and got[1, 2] == "c2" and (1, 3) not in got and {got[2, i] for i in (1, 2, 3)} == {"c1", "c2", "c3"}
+
+
+def test_equal_requests_are_scored_once(spark, monkeypatch):
+    """Requests that ask the same get the same rows, each under its own id, from one packed request."""
+    docs = spark.createDataFrame([(i, f"alpha {'beta ' * (i % 3)}gamma{i % 5}", i % 2) for i in range(60)], "doc_id long, text string, side int")
+    rows = [(i, "beta alpha" if i % 2 else "Alpha  beta", i % 4 // 2 or None) for i in range(40)] + [(40, None, None), (41, "gamma3", None)]
+    asked = spark.createDataFrame(rows, "query_id long, query_text string, r_side int")
+    packed = []
+    inner = search._packed
+    monkeypatch.setattr(search, "_packed", lambda block, fields: (packed.append(block.count()), inner(block, fields))[1])
+    found = search.keyword_top_k(docs, asked, 4, filters=[("side", "r_side", "eq")]).collect()
+    assert packed == [4]
+    per = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        per.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert set(per) == {*range(40), 41} and all(len(v) == 4 for v in per.values())
+    assert all(per[i] == per[i % 4 // 2 * 2] for i in range(40)) and all(d % 2 == 1 for d, _ in per[2])
