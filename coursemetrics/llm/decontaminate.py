@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages (windows of words) and benchmark items are TF-IDF vectors over the items' words, with document
-frequencies counted over all documents. A randomised SVD, whose products are summed over Spark's partitions,
-gives a latent space; every passage of every document is compared with every item by cosine there. A long item has
+frequencies counted over all documents. A randomised SVD of the passages of all documents, whose products are summed over
+Spark's partitions, gives a latent space; every passage of every document is compared with every item by cosine there. A long item has
 a vector for each part of it, so that a passage is compared with about as many words; the best of them counts. Items are
 searched in blocks that the space can carry, and it is widened until every item keeps nearly all of its length.
 Candidates are checked on the words themselves: the longest common subsequence of the item's content words
@@ -32,9 +32,9 @@ PART = 4 * STRIDE  # words of an item in one vector; parts overlap by half, so e
 RANK = 256
 EXTRA = 10
 KEPT = 0.9  # of an item's length, that the latent space holds at least
-ITEMS = 2000  # share a vocabulary, its document frequencies and the sample
+ITEMS = 2000  # share a vocabulary, its document frequencies and the stored passages
 TOGETHER = 10  # indexes that one pass over the documents searches
-SAMPLE_DOCS = 2000
+PASSAGES = 2000  # in one stored row
 MIN_COSINE = 0.35
 HELD = 0.4
 NEAR_COMPLETE = 0.8
@@ -196,51 +196,56 @@ def _rows_times(at: list[np.ndarray], w: list[np.ndarray], matrix: np.ndarray) -
     return np.add.reduceat(matrix[flat] * weights[:, None], heads, axis=0)
 
 
-def _sample_passages(docs: DataFrame, idf: np.ndarray, vocabulary: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
-    """Passages of at most SAMPLE_DOCS documents: term ids and weights of length 1."""
-    ids = docs.select(F.col(id_col).alias("_id")).where("_id is not null").orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_DOCS)
+def _passages(docs: DataFrame, idf: np.ndarray, vocabulary: dict[bytes, int], text_col: str) -> DataFrame:
+    """Passages of all documents, some thousand in a row, written: how many terms each has, term ids, and weights of length 1."""
+    def told(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (
+            np.array([len(a) for a, _ in rows], "<i4"), np.concatenate([a for a, _ in rows]).astype("<i4"), np.concatenate([w for _, w in rows]).astype("<f4"))] + [pa.array([len(rows)], pa.int64())],
+            names=["sizes", "at", "w", "n"])
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
         for batch in batches:
-            rows = []
             for text in batch.column(0).to_pylist():
                 found = np.fromiter((vocabulary.get(w, -1) for w in words_of(text)), np.int32)
-                rows += [_row(found[a:a + 2 * STRIDE], idf) for a in range(0, len(found), 2 * STRIDE)]
-            rows = [r for r in rows if r]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype("<i4").tobytes() for a, _ in rows], pa.binary()),
-                                              pa.array([w.astype("<f4").tobytes() for _, w in rows], pa.binary())], names=["at", "w"])
+                rows += [r for a in range(0, len(found), 2 * STRIDE) if (r := _row(found[a:a + 2 * STRIDE], idf))]
+                if len(rows) >= PASSAGES:
+                    yield told(rows)
+                    rows = []
+        if rows:
+            yield told(rows)
 
-    # SAMPLE_DOCS ids at most.
-    return stored(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(ids.distinct()), "_id")
-                  .select("_text").mapInArrow(passages, "at binary, w binary"), "decontaminate-passages")
+    return stored(docs.select(text_col).mapInArrow(passages, "sizes binary, at binary, w binary, n long"), "decontaminate-passages")
 
 
-def _fit_basis(sample: DataFrame, passages: int, own_at: list[np.ndarray], own_w: list[np.ndarray], own: np.ndarray, seed: int) -> np.ndarray:
-    """Leading right singular vectors of the passages' matrix: items (``own_at``, ``own_w``), and the ``passages`` of the sample.
+def _fit_basis(stored_passages: DataFrame, passages: int, own_at: list[np.ndarray], own_w: list[np.ndarray], own: np.ndarray, seed: int) -> np.ndarray:
+    """Leading right singular vectors of the passages' matrix: items (``own_at``, ``own_w``), and the ``passages`` of all documents.
 
     Randomised: A'A times a random matrix is summed over the partitions (a sum for each block of terms), its range
     is made orthogonal, and the small matrix of A'A in that range, summed the same way, is diagonalised. ``own`` has
-    the block's term for each term of the sample, -1 where no item of the block has the word.
+    the block's term for each term of the passages, -1 where no item of the block has the word.
     """
     terms = int(own.max()) + 1
     width = min(RANK + EXTRA, terms)
     weight = np.sqrt(max(1, passages) / max(1, len(own_at)))  # items weigh as much as passages in all
     own_w = [w * weight for w in own_w]
 
-    def within(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        at, w = [own[np.frombuffer(x, "<i4")] for x in batch.column(0).to_pylist()], [np.frombuffer(x, "<f4") for x in batch.column(1).to_pylist()]
-        some = [(a[a >= 0], x[a >= 0]) for a, x in zip(at, w) if a.max(initial=-1) >= 0]
-        return [a for a, _ in some], [x for _, x in some]
+    def within(sizes: bytes, at: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms and weights that the block's items have, and the passage of each, numbered without gaps."""
+        term = own[np.frombuffer(at, "<i4")]
+        held, sizes = term >= 0, np.frombuffer(sizes, "<i4")
+        of = np.repeat(np.arange(len(sizes)), sizes)[held]
+        return term[held], np.frombuffer(w, "<f4")[held], of
 
     def summed(product, rows_of_result: int, columns: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for batch in batches:
-                for k in range(0, batch.num_rows, 512):
-                    at, w = within(batch.slice(k, 512))
-                    if at:
-                        part = product(at, w)
-                        total = part if total is None else total + part
+                for row in zip(*(batch.column(c).to_pylist() for c in ("sizes", "at", "w"))):
+                    at, w, of = within(*row)
+                    if len(at):
+                        part = product(at, w, of)
+                        total = part if total is None else np.add(total, part, out=total)
             if total is not None:
                 blocks = range(0, rows_of_result, TERM_BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[b:b + TERM_BLOCK].astype("<f4").tobytes() for b in blocks], pa.binary())], names=["block", "x"])
@@ -248,22 +253,25 @@ def _fit_basis(sample: DataFrame, passages: int, own_at: list[np.ndarray], own_w
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "x": [sum(np.frombuffer(x, "<f4").astype(np.float64) for x in sorted(pdf["x"])).astype("<f4").tobytes()]})
 
-        out = product(own_at, own_w)
+        out = product(np.concatenate(own_at), np.concatenate(own_w), np.repeat(np.arange(len(own_at)), list(map(len, own_at))))
         # One matrix, as large as the result: items' words by RANK.
-        for r in sample.mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(add, "block long, x binary").collect():
+        for r in stored_passages.mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(add, "block long, x binary").collect():
             out[r.block:r.block + TERM_BLOCK] += np.frombuffer(r.x, "<f4").reshape(-1, columns)
         return out
 
-    def by_random(at, w) -> np.ndarray:
-        omega = np.random.default_rng(seed).standard_normal((terms, width)).astype(np.float32)
-        return _transposed_times(at, w, _rows_times(at, w, omega), terms)
+    drawn: list[np.ndarray] = []  # the random matrix, made once in each task
+
+    def by_random(at, w, of) -> np.ndarray:
+        if not drawn:
+            drawn.append(np.random.default_rng(seed).standard_normal((terms, width)).astype(np.float32))
+        return _transposed_times(at, w, of, _sums(at, w, of, drawn[0]), terms)
 
     q, _ = np.linalg.qr(summed(by_random, terms, width))
     q = q.astype(np.float32)
-    shared = sample.sparkSession.sparkContext.broadcast(q)
+    shared = stored_passages.sparkSession.sparkContext.broadcast(q)
 
-    def in_range(at, w) -> np.ndarray:
-        y = _rows_times(at, w, shared.value)
+    def in_range(at, w, of) -> np.ndarray:
+        y = _sums(at, w, of, shared.value)
         return y.T @ y
 
     small = summed(in_range, width, width)
@@ -271,14 +279,22 @@ def _fit_basis(sample: DataFrame, passages: int, own_at: list[np.ndarray], own_w
     return q @ vectors[:, ::-1][:, :RANK].astype(np.float32)
 
 
-def _transposed_times(at: list[np.ndarray], w: list[np.ndarray], y: np.ndarray, terms: int) -> np.ndarray:
-    flat, weights = np.concatenate(at), np.concatenate(w)
-    of = np.repeat(np.arange(len(at)), list(map(len, at)))
-    order = np.argsort(flat, kind="stable")
-    flat = flat[order]
-    heads = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+def _sums(at: np.ndarray, w: np.ndarray, of: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Weighted rows of ``matrix``, summed over the terms of each passage; passages without a term are left out."""
+    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    rows = matrix[at]
+    rows *= w[:, None]
+    return np.add.reduceat(rows, heads, axis=0)
+
+
+def _transposed_times(at: np.ndarray, w: np.ndarray, of: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
+    row = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
+    order = np.argsort(at, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
+    rows = y[row[order]]
+    rows *= w[order][:, None]
     out = np.zeros((terms, y.shape[1]))
-    out[flat[heads]] = np.add.reduceat(y[of[order]] * weights[order][:, None], heads, axis=0)
+    out[at[order][heads]] = np.add.reduceat(rows, heads, axis=0)
     return out
 
 
@@ -305,13 +321,13 @@ def build_indexes(docs: DataFrame, items: list[Item], id_col: str = "doc_id", te
     seen, n = _document_frequency(docs, everything, text_col)
     # Smoothed, never 0: a passage that many documents hold must not lose its words.
     idf = (np.log((2 + n) / (1 + seen)) + 0.05).astype(np.float32)
-    sample = _sample_passages(docs, idf, everything, id_col, text_col)
-    passages = sample.count()
+    whole = _passages(docs, idf, everything, text_col)
+    passages = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     for block in _blocks(items, max(1, RANK * 4 // 5)):
         vocabulary = {w: i for i, w in enumerate(sorted({w for x in block for w in x.words}))}
         own = np.full(len(everything), -1, np.int32)
         own[[everything[w] for w in vocabulary]] = np.arange(len(vocabulary))
-        yield _index_of(block, vocabulary, idf[own >= 0], sample, passages, own, seed)
+        yield _index_of(block, vocabulary, idf[own >= 0], whole, passages, own, seed)
 
 
 def _parts(words: list | np.ndarray) -> list:
@@ -333,12 +349,12 @@ def _blocks(items: list[Item], parts: int) -> Iterator[list[Item]]:
         yield block
 
 
-def _index_of(items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray, sample: DataFrame, passages: int, own: np.ndarray, seed: int) -> Index:
+def _index_of(items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray, whole: DataFrame, passages: int, own: np.ndarray, seed: int) -> Index:
     as_terms = [np.array([vocabulary[w] for w in x.words], np.int32) for x in items]
     parts = [_parts(x) for x in as_terms]
     rows = [_row(x, idf) for some in parts for x in some]
     at, w = [a for a, _ in rows], [x for _, x in rows]
-    basis = _widened(_fit_basis(sample, passages, at, w, own, seed), at, w)
+    basis = _widened(_fit_basis(whole, passages, at, w, own, seed), at, w)
     latent = _rows_times(at, w, basis)
     latent /= np.sqrt((latent ** 2).sum(1, keepdims=True))
     content = [x[idf[x] >= 0.5 * idf[x].mean()].tolist() for x in as_terms]

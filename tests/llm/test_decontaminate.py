@@ -186,3 +186,11 @@ def test_item_ids_of_any_type(docs_of, spark, kind):
     got = dc.find_contaminated(docs_of([(1, f"so {text} it is")]), bench)
     assert got.schema["item_id"].dataType.simpleString() == bench.schema["item_id"].dataType.simpleString()
     assert {r.item_id for r in got.collect()} == {r.item_id for r in bench.collect()} and got.count() == 2
+
+
+def test_the_space_comes_from_the_passages_of_all_documents(spark, monkeypatch):
+    docs = spark.range(2300).selectExpr("id AS doc_id", "concat('alpha beta gamma ', id % 7) AS text")
+    inner, seen = dc._fit_basis, []
+    monkeypatch.setattr(dc, "_fit_basis", lambda stored, passages, *rest: (seen.append(passages), inner(stored, passages, *rest))[1])
+    assert len(list(dc.build_indexes(docs, [dc.item_of(1, "alpha beta gamma delta. Is it so?")]))) == 1
+    assert seen == [2300]
