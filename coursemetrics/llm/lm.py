@@ -9,8 +9,8 @@ All words of all documents are counted into a table, which grows with the corpus
 most frequent ones are predicted as themselves; every other word by the network's probability of its hash class times
 the word's counted share of that class, so each word has a probability of its own. Texts are turned into ids once, into a
 written table that training and scoring read. Training is data-parallel: in every round each task trains a copy of the
-network on a share of the places of every one of its texts, and Spark averages the copies, weighted by their examples,
-before the next round (so the split of the table into tasks has a small effect on the network).
+network on the round's part of the places of every one of its texts, and Spark averages the copies, weighted by their examples,
+before the next round (so the split of the table into tasks has a small effect on the network). Together the rounds take every place.
 """
 
 from __future__ import annotations
@@ -287,8 +287,12 @@ def encode(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col
     return stored(rows.withColumn("row", F.monotonically_increasing_id()), "lm-ids")
 
 
-def train(model: Model, encoded: DataFrame, rounds: int = 2, share: float = 1 / 16, seed: int = 1) -> Model:
-    """Train on all texts: in every round on about ``share`` of the places of every text, drawn by the text's hash."""
+def train(model: Model, encoded: DataFrame, rounds: int = 2, share: float | None = None, seed: int = 1) -> Model:
+    """Train on every place of all texts, once: each round takes the places of its part, drawn by the text's hash.
+
+    ``share`` is a round's part of the places, one in ``rounds`` unless given; parts follow each other, so a larger one is seen again.
+    """
+    share = 1 / rounds if share is None else share
     spark = encoded.sparkSession
     network = Network.fresh(seed)
     for number in range(rounds):
@@ -303,8 +307,8 @@ def train(model: Model, encoded: DataFrame, rounds: int = 2, share: float = 1 /
                     chosen = []
                     for text, a, b in zip(texts[first:end], starts, np.append(starts[1:], len(ids)) - SIDE):
                         if b > a:
-                            rng = np.random.Generator(np.random.PCG64([seed, number, zlib.crc32(text)]))
-                            chosen.append(a + np.flatnonzero(rng.random(b - a) < share))
+                            draw = np.random.Generator(np.random.PCG64([seed, zlib.crc32(text)])).random(b - a)
+                            chosen.append(a + np.flatnonzero((draw - number * share) % 1 < share))
                     at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
                     held_windows.append(ids[at + OFFSETS[:, None]])
                     held_targets.append(ids[at])
@@ -340,7 +344,7 @@ def train(model: Model, encoded: DataFrame, rounds: int = 2, share: float = 1 /
     return replace(model, network=network)
 
 
-def fit(docs: DataFrame, rounds: int = 2, share: float = 1 / 16, text_col: str = "text", seed: int = 1) -> Model:
+def fit(docs: DataFrame, rounds: int = 2, share: float | None = None, text_col: str = "text", seed: int = 1) -> Model:
     """Count the words of all documents and train on them."""
     model = counted(docs, text_col)
     return train(model, encode(docs, model.words, text_col, text_col), rounds, share, seed)

@@ -125,3 +125,22 @@ def test_ids_do_not_clash_with_helper_columns(spark):
     df = spark.createDataFrame([(7, "a b", 1, "x"), (8, None, 2, "y")], "row long, ids string, n int, word string")
     got = {r.row: r for r in lm.fit_and_score(df, "row", "ids").collect()}
     assert got[7].n_tokens == 2 and got[8].n_tokens == 0 and got[8].log_probability == 0
+
+
+def test_every_place_is_learnt_from(spark, docs_of, monkeypatch):
+    """The rounds together take each place of each text once."""
+    docs = docs_of([(i, " ".join(f"w{(i * j) % 50}" for j in range(40))) for i in range(1, 30)])
+    model = lm.counted(docs)
+    encoded = lm.encode(docs, model.words).coalesce(1)
+    told = []
+    merged = lm.Network.with_flat
+    collect = type(encoded).collect
+
+    def spy(df):
+        rows = collect(df)
+        if rows and "slot" in rows[0]:
+            told.append(rows[0].n)
+        return rows
+    monkeypatch.setattr(type(encoded), "collect", spy)
+    lm.train(model, encoded)
+    assert merged and len(told) == 2 and sum(told) == 29 * 40 and min(told) > 0.4 * 29 * 40
