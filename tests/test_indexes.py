@@ -71,6 +71,16 @@ def test_postings_equal_exact_search(spark, tmp_path, block):
     assert postings.scored_pairs(index, asked, 7).first().pairs < 0.5 * len(texts) * 65
 
 
+def test_postings_shuffle_documents_not_entries(spark, tmp_path):
+    """Lists are made within their block: no row for each term of a document, and a search drops the lists of other terms as it reads."""
+    docs = spark.createDataFrame(list(enumerate(words(5, 300))), "doc_id long, text string")
+    index = postings.build_postings(docs, str(tmp_path))
+    assert index.lists.agg(F.max(F.size("docs"))).first()[0] > 1 and not (tmp_path / "df").exists()
+    asked = spark.createDataFrame([(1, "w3 of w9")], "query_id long, query_text string")
+    plan = postings.postings_top_k(index, asked, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
+
+
 def test_postings_take_any_number_of_requests(spark, tmp_path):
     """Requests of more bytes than one packed block may have."""
     docs = spark.createDataFrame(list(enumerate(words(3, 200))), "doc_id long, text string")
