@@ -171,10 +171,12 @@ def approximate_top_k(index: HashIndex, requests: DataFrame, k: int | None = Non
     crowd = probed.groupBy("tbl", "bucket").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("request_parts"))
     # Every part of a bucket's vectors meets every part of its requests, each pair in a group of its own.
     key = ["tbl", "bucket", "part", "request_part"]
-    left = (index.buckets.join(crowd, ["tbl", "bucket"]).join(index.crowds, ["tbl", "bucket"])
+    # A row for each bucket, tables * 2**MAX_BITS at most unless ``bits`` was given: vectors are shuffled once, for the cogroup.
+    few = (lambda df: F.broadcast(df)) if index.planes.shape[2] <= MAX_BITS else (lambda df: df)
+    left = (index.buckets.join(few(crowd), ["tbl", "bucket"]).join(few(index.crowds), ["tbl", "bucket"])
             .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
             .withColumn("request_part", F.explode(F.sequence(F.lit(0), F.col("request_parts") - 1))).select(*key, "doc_id", "same", "vec"))
-    right = (probed.join(crowd, ["tbl", "bucket"]).withColumn("request_part", F.pmod(F.xxhash64("query_id"), F.col("request_parts")).cast("int"))
+    right = (probed.join(few(crowd), ["tbl", "bucket"]).withColumn("request_part", F.pmod(F.xxhash64("query_id"), F.col("request_parts")).cast("int"))
              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(asked, "query_id").select(*key, "query_id", "query_vector"))
     out = T.StructType([T.StructField("query_id", id_type), T.StructField("doc_id", doc_type), T.StructField("similarity", T.DoubleType())])
     arrow = to_arrow_schema(out)
