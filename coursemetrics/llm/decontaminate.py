@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched
+from itertools import batched, repeat
 
 import numpy as np
 import pandas as pd
@@ -40,8 +40,11 @@ HELD = 0.4
 NEAR_COMPLETE = 0.8
 WITH_ANSWER = 0.55
 FEW_WORDS = 6
-CHUNK = 2048  # strides of one text that are compared at once
+CHUNK = 256  # strides that are compared at once, so that their vectors stay in a core's cache
+TEXTS = 256  # whose words are held at once
 TERM_BLOCK = 256
+GRAM = 1 << 22  # products of two terms that are held at once
+TERMS = 1 << 21  # terms of passages that are held at once
 
 SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 SENTENCE = re.compile(r"[.?!\n]+")
@@ -101,38 +104,71 @@ class Index:
         The cosine is 0 where the passage is no candidate: below MIN_COSINE, also when its length is taken for at least ``least``
         (a passage with one word of an item would come close to it otherwise).
         """
-        strides = max(1, -(-len(terms) // STRIDE))
-        for first in range(0, max(1, strides - 1), CHUNK):
-            some = terms[first * STRIDE:(first + CHUNK + 1) * STRIDE]
-            at = np.flatnonzero(some >= 0)
-            n = -(-len(some) // STRIDE)
-            sums, energy = np.zeros((n, self.basis.shape[1]), np.float32), np.zeros(max(1, n - 1))
-            if len(at):
-                own, of = some[at], at // STRIDE
-                heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-                sums[of[heads]] = np.add.reduceat(self.basis[own], heads, axis=0)
-                # A stride is in the passage that it begins and in the one before; each term of a passage counts once, by its weight there.
-                passage = np.concatenate([of, of - 1]).astype(np.int64)
-                keys, tf = np.unique((passage * len(self.idf) + np.concatenate([own, own]))[(passage >= 0) & (passage < len(energy))], return_counts=True)
-                passage, term = np.divmod(keys, len(self.idf))
-                energy = np.bincount(passage, (tf * self.idf[term]) ** 2, len(energy))
-            if n > 1:
-                sums = sums[:-1] + sums[1:]
-            near = sums if self.latent is None else sums @ self.latent.T
-            candidate = near >= MIN_COSINE * np.sqrt(np.maximum(energy[:, None], self.least))
-            near = np.where(candidate, np.minimum(near / np.sqrt(np.maximum(energy[:, None], 1e-12)), 1), 0)
-            yield first, near if len(self.heads) == near.shape[1] else np.maximum.reduceat(near, self.heads, axis=1)
+        for first, some in _pieces(terms):
+            passages, cosine = self._near([some])
+            near = np.zeros((min(len(some), max(1, _strides(some) - 1)), len(self.heads)))
+            near[passages] = cosine
+            yield first, near
+
+    def _near(self, pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(first stride, cosine with each item) of the passages of texts' pieces that are candidates; strides are numbered over all pieces."""
+        sizes, strides = np.array([len(x) for x in pieces]), np.array([_strides(x) for x in pieces])
+        terms, begins = np.concatenate(pieces), np.cumsum(strides) - strides
+        at = np.flatnonzero(terms >= 0)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros((0, len(self.heads)))
+        of = (np.repeat(begins, sizes) + (np.arange(len(terms)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) // STRIDE)[at]
+        own, n = terms[at].astype(np.int64), int(strides.sum())
+        last, alone = np.zeros(n, bool), begins[strides == 1]
+        last[(begins + strides - 1)[strides > 0]] = True
+        begun = ~last
+        begun[alone] = True
+        heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        sums = np.zeros((n, self.basis.shape[1]), np.float32)
+        sums[of[heads]] = np.add.reduceat(self.basis[own], heads, axis=0)
+        # A stride is in the passage that it begins and in the one before; each term of a passage counts once, by its weight there.
+        here, before = begun[of], (of > 0) & ~last[of - 1]
+        keys, tf = np.unique(np.concatenate([of[here] * len(self.idf) + own[here], (of[before] - 1) * len(self.idf) + own[before]]), return_counts=True)
+        passage, term = np.divmod(keys, len(self.idf))
+        energy = np.bincount(passage, (tf * self.idf[term]) ** 2, n)
+        passages = np.flatnonzero(begun)
+        two = np.flatnonzero(~last[passages])
+        near = sums[passages]
+        near[two] += sums[passages[two] + 1]
+        near = near if self.latent is None else near @ self.latent.T
+        # No item is near where the nearest is too far for the least length.
+        some = np.flatnonzero(near.max(1) >= MIN_COSINE * np.sqrt(np.maximum(energy[passages], self.least.min())))
+        passages, near, energy = passages[some], near[some], energy[passages[some]]
+        candidate = near >= MIN_COSINE * np.sqrt(np.maximum(energy[:, None], self.least))
+        near = np.where(candidate, np.minimum(near / np.sqrt(np.maximum(energy[:, None], 1e-12)), 1), 0)
+        return passages, near if len(self.heads) == near.shape[1] or not len(near) else np.maximum.reduceat(near, self.heads, axis=1)
 
     def search(self, words: list[bytes]) -> list[tuple[object, float, float, bool, int]]:
         """(item_id, cosine, share of its content words found in order, answer found, first word) of contained items."""
-        if not words or not self.item_ids:
-            return []
-        terms = np.fromiter((self.vocabulary.get(w, -1) for w in words), np.int32, len(words))
-        found: dict[int, list[tuple[int, float]]] = {}
-        for first, cosine in self.cosines(terms):
+        return [hit for _, *hit in self.search_all([words])]
+
+    def search_all(self, texts: list[list[bytes]]) -> Iterator[tuple]:
+        """What ``search`` tells of each text, after the text's number; short texts are compared together."""
+        if not self.item_ids:
+            return
+        terms = [self.terms_of(words) for words in texts]
+        found: dict[int, dict[int, list[tuple[int, float]]]] = {}
+        for group in _together((text, *piece) for text, own in enumerate(terms) for piece in _pieces(own)):
+            begins = np.cumsum([0] + [_strides(piece) for _, _, piece in group])
+            passages, cosine = self._near([piece for _, _, piece in group])
             for p, i in zip(*(x.tolist() for x in np.nonzero(cosine >= MIN_COSINE))):
-                found.setdefault(i, []).append((first + p, float(cosine[p, i])))
-        out = []
+                k = int(np.searchsorted(begins, passages[p], "right")) - 1
+                text, first, _ = group[k]
+                found.setdefault(text, {}).setdefault(i, []).append((int(first + passages[p] - begins[k]), float(cosine[p, i])))
+        for text, near in found.items():
+            for hit in self._checked(terms[text], near):
+                yield text, *hit
+
+    def terms_of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
+
+    def _checked(self, terms: np.ndarray, found: dict[int, list[tuple[int, float]]]) -> Iterator[tuple[object, float, float, bool, int]]:
+        """The candidates that hold on the words themselves, each item's best."""
         for i, near in sorted(found.items()):
             best = None
             for region, cosine in _regions(near):
@@ -147,8 +183,30 @@ class Index:
                 if hit and (best is None or (share, cosine) > best[1::-1]):
                     best = (cosine, share, told, region[0] * STRIDE)
             if best:
-                out.append((self.item_ids[i], *best))
-        return out
+                yield self.item_ids[i], *best
+
+
+def _strides(terms: np.ndarray) -> int:
+    return -(-len(terms) // STRIDE)
+
+
+def _pieces(terms: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first stride, terms) of pieces of a text that share a stride, so that each passage is in one of them."""
+    for first in range(0, max(1, _strides(terms) - 1), CHUNK):
+        yield first, terms[first * STRIDE:(first + CHUNK + 1) * STRIDE]
+
+
+def _together(pieces: Iterator[tuple[int, int, np.ndarray]]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Runs of pieces of about CHUNK strides."""
+    group, size = [], 0
+    for piece in pieces:
+        group.append(piece)
+        size += _strides(piece[2])
+        if size >= CHUNK:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _regions(near: list[tuple[int, float]]) -> Iterator[tuple[tuple[int, int], float]]:
@@ -162,26 +220,6 @@ def _regions(near: list[tuple[int, float]]) -> Iterator[tuple[tuple[int, int], f
     yield (start, end), best
 
 
-def _document_frequency(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> tuple[np.ndarray, int]:
-    """Documents that hold each word of the vocabulary, over all documents, and the number of documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, np.zeros(len(vocabulary) + 1, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[[vocabulary[w] for w in vocabulary.keys() & set(words_of(text))]] += 1
-                n += 1
-        seen[-1] = n
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
-
-    # At most one row for each word of the items.
-    counts = docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in counts:
-        out[r.term] = r.n
-    return out[:-1], int(out[-1])
-
-
 def _row(terms: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """Term ids and weights of length 1 of one passage."""
     at, tf = np.unique(terms[terms >= 0], return_counts=True)
@@ -196,106 +234,143 @@ def _rows_times(at: list[np.ndarray], w: list[np.ndarray], matrix: np.ndarray) -
     return np.add.reduceat(matrix[flat] * weights[:, None], heads, axis=0)
 
 
-def _passages(docs: DataFrame, idf: np.ndarray, vocabulary: dict[bytes, int], text_col: str) -> DataFrame:
-    """Passages of all documents, some thousand in a row, written: how many terms each has, term ids, and weights of length 1."""
-    def told(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (
-            np.array([len(a) for a, _ in rows], "<i4"), np.concatenate([a for a, _ in rows]).astype("<i4"), np.concatenate([w for _, w in rows]).astype("<f4"))] + [pa.array([len(rows)], pa.int64())],
-            names=["sizes", "at", "w", "n"])
+def _passages(docs: DataFrame, vocabulary: dict[bytes, int], text_col: str) -> tuple[DataFrame, np.ndarray, int, int]:
+    """Passages of all documents, written, the documents that hold each word of the vocabulary, and the numbers of documents and passages.
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = np.fromiter((vocabulary.get(w, -1) for w in words_of(text)), np.int32)
-                rows += [r for a in range(0, len(found), 2 * STRIDE) if (r := _row(found[a:a + 2 * STRIDE], idf))]
-                if len(rows) >= PASSAGES:
-                    yield told(rows)
-                    rows = []
-        if rows:
-            yield told(rows)
-
-    return stored(docs.select(text_col).mapInArrow(passages, "sizes binary, at binary, w binary, n long"), "decontaminate-passages")
+    A row has some thousand passages: how many terms each has, term ids, and how often each occurs there. A task's last row
+    has its counts of documents, with the two numbers behind the last word, so the texts are read and split once.
+    """
+    size = len(vocabulary)
 
+    def told(sizes: list[np.ndarray], at: list[np.ndarray], tf: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
+        held = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays([pa.array([np.concatenate(x or [np.zeros(0)]).astype(kind).tobytes()], pa.binary()) for x, kind in ((sizes, "u1"), (at, "<i4"), (tf, "u1"))]
+                                          + [pa.array([held.tolist()], pa.list_(pa.int64())), pa.array([counts[held].tolist()], pa.list_(pa.int64()))], names=["sizes", "at", "tf", "term", "documents"])
 
-def _fit_basis(stored_passages: DataFrame, passages: int, own_at: list[np.ndarray], own_w: list[np.ndarray], own: np.ndarray, seed: int) -> np.ndarray:
+    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, none = np.zeros(size + 2, np.int64), np.zeros(0, np.int64)
+        kept, held = ([], [], []), 0
+        for batch in _slices(batches):
+            words = [words_of(text) for text in batch.column(0).to_pylist()]
+            counts[size] += len(words)
+            lengths = np.array([len(x) for x in words])
+            terms = np.concatenate([np.fromiter(map(vocabulary.get, x, repeat(-1)), np.int64, len(x)) for x in words])
+            own = -(-lengths // (2 * STRIDE))
+            of = np.repeat(np.cumsum(own) - own, lengths) + (np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // (2 * STRIDE)
+            keys, tf = np.unique((of * size + terms)[terms >= 0], return_counts=True)
+            of, term = np.divmod(keys, size)
+            text = np.repeat(np.arange(len(words)), own)[of]
+            counts[:size] += np.bincount(np.unique(text * size + term) % size, minlength=size)
+            sizes = np.bincount(of)
+            sizes = sizes[sizes > 0]
+            counts[size + 1] += len(sizes)
+            held += len(sizes)
+            for x, more in zip(kept, (sizes, term, tf)):
+                x.append(more)
+            if held >= PASSAGES:
+                yield told(*kept, none)
+                kept, held = ([], [], []), 0
+        yield told(*kept, counts)
+
+    whole = stored(docs.select(text_col).mapInArrow(passages, "sizes binary, at binary, tf binary, term array<long>, documents array<long>"), "decontaminate-passages")
+    # At most one row for each word of the items, and two.
+    counts = np.zeros(size + 2, np.int64)
+    for r in whole.select(F.inline(F.arrays_zip("term", "documents"))).groupBy("term").agg(F.sum("documents").alias("n")).collect():
+        counts[r.term] = r.n
+    return whole, counts[:size], int(counts[size]), int(counts[size + 1])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, TEXTS at a time."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(k, TEXTS)
+
+
+def _fit_basis(stored_passages: DataFrame, passages: int, own_at: list[np.ndarray], own_w: list[np.ndarray], own: np.ndarray, seed: int, idf: np.ndarray) -> np.ndarray:
     """Leading right singular vectors of the passages' matrix: items (``own_at``, ``own_w``), and the ``passages`` of all documents.
 
     Randomised: A'A times a random matrix is summed over the partitions (a sum for each block of terms), its range
-    is made orthogonal, and the small matrix of A'A in that range, summed the same way, is diagonalised. ``own`` has
-    the block's term for each term of the passages, -1 where no item of the block has the word.
+    is made orthogonal, and the small matrix of A'A in that range, summed the same way, is diagonalised. A task makes its
+    part of A'A, a band of terms at a time, and multiplies that, so the wide matrix is read once for thousands of passages. ``own`` has
+    the block's term for each term of the passages, -1 where no item of the block has the word; ``idf`` is of the latter.
     """
     terms = int(own.max()) + 1
     width = min(RANK + EXTRA, terms)
     weight = np.sqrt(max(1, passages) / max(1, len(own_at)))  # items weigh as much as passages in all
-    own_w = [w * weight for w in own_w]
 
-    def within(sizes: bytes, at: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Terms and weights that the block's items have, and the passage of each, numbered without gaps."""
-        term = own[np.frombuffer(at, "<i4")]
-        held, sizes = term >= 0, np.frombuffer(sizes, "<i4")
-        of = np.repeat(np.arange(len(sizes)), sizes)[held]
-        return term[held], np.frombuffer(w, "<f4")[held], of
+    def within(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms that the block's items have, their weights in passages of length 1, and how many each passage has."""
+        sizes, at, tf = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*rows), ("u1", "<i4", "u1")))
+        sizes = sizes.astype(np.int64)
+        of, w = np.repeat(np.arange(len(sizes)), sizes), tf * idf[at].astype(np.float64)
+        w /= np.sqrt(np.bincount(of, w * w, len(sizes)))[of]
+        term = own[at]
+        held = term >= 0
+        return term[held], w[held], np.bincount(of[held], minlength=len(sizes))
 
     def summed(product, rows_of_result: int, columns: int) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
+            total, rows, held = np.zeros((rows_of_result, columns)), [], 0
             for batch in batches:
-                for row in zip(*(batch.column(c).to_pylist() for c in ("sizes", "at", "w"))):
-                    at, w, of = within(*row)
-                    if len(at):
-                        part = product(at, w, of)
-                        total = part if total is None else np.add(total, part, out=total)
-            if total is not None:
+                for row in zip(*(batch.column(c).to_pylist() for c in ("sizes", "at", "tf"))):
+                    rows.append(row)
+                    held += len(row[2])
+                    if held >= TERMS:
+                        product(total, *within(rows))
+                        rows, held = [], 0
+            if held:
+                product(total, *within(rows))
+            if total.any():
                 blocks = range(0, rows_of_result, TERM_BLOCK)
                 yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int64()), pa.array([total[b:b + TERM_BLOCK].astype("<f4").tobytes() for b in blocks], pa.binary())], names=["block", "x"])
 
         def add(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"block": pdf["block"].iloc[:1], "x": [sum(np.frombuffer(x, "<f4").astype(np.float64) for x in sorted(pdf["x"])).astype("<f4").tobytes()]})
 
-        out = product(np.concatenate(own_at), np.concatenate(own_w), np.repeat(np.arange(len(own_at)), list(map(len, own_at))))
+        out = np.zeros((rows_of_result, columns))
+        product(out, np.concatenate(own_at), np.concatenate(own_w) * weight, np.array([len(x) for x in own_at]))
         # One matrix, as large as the result: items' words by RANK.
-        for r in stored_passages.mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(add, "block long, x binary").collect():
+        for r in stored_passages.select("sizes", "at", "tf").mapInArrow(run, "block long, x binary").groupBy("block").applyInPandas(add, "block long, x binary").collect():
             out[r.block:r.block + TERM_BLOCK] += np.frombuffer(r.x, "<f4").reshape(-1, columns)
         return out
 
     drawn: list[np.ndarray] = []  # the random matrix, made once in each task
 
-    def by_random(at, w, of) -> np.ndarray:
+    def by_random(total, at, w, sizes) -> None:
         if not drawn:
             drawn.append(np.random.default_rng(seed).standard_normal((terms, width)).astype(np.float32))
-        return _transposed_times(at, w, of, _sums(at, w, of, drawn[0]), terms)
+        for a, gram in _grams(at, w, sizes, terms):
+            total[a:a + len(gram)] += gram @ drawn[0]
 
     q, _ = np.linalg.qr(summed(by_random, terms, width))
     q = q.astype(np.float32)
     shared = stored_passages.sparkSession.sparkContext.broadcast(q)
 
-    def in_range(at, w, of) -> np.ndarray:
-        y = _sums(at, w, of, shared.value)
-        return y.T @ y
+    def in_range(total, at, w, sizes) -> None:
+        for a, gram in _grams(at, w, sizes, terms):
+            total += shared.value[a:a + len(gram)].T @ (gram @ shared.value)
 
     small = summed(in_range, width, width)
     _, vectors = np.linalg.eigh((small + small.T) / 2)
     return q @ vectors[:, ::-1][:, :RANK].astype(np.float32)
 
 
-def _sums(at: np.ndarray, w: np.ndarray, of: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Weighted rows of ``matrix``, summed over the terms of each passage; passages without a term are left out."""
-    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    rows = matrix[at]
-    rows *= w[:, None]
-    return np.add.reduceat(rows, heads, axis=0)
-
-
-def _transposed_times(at: np.ndarray, w: np.ndarray, of: np.ndarray, y: np.ndarray, terms: int) -> np.ndarray:
-    row = np.cumsum(np.concatenate([[0], of[1:] != of[:-1]]))
-    order = np.argsort(at, kind="stable")
-    heads = np.flatnonzero(np.concatenate([[True], np.diff(at[order]) != 0]))
-    rows = y[row[order]]
-    rows *= w[order][:, None]
-    out = np.zeros((terms, y.shape[1]))
-    out[at[order][heads]] = np.add.reduceat(rows, heads, axis=0)
-    return out
+def _grams(at: np.ndarray, w: np.ndarray, sizes: np.ndarray, terms: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first term, rows of A'A) for bands of terms, of at most about GRAM values; A has a row for each passage."""
+    heads, at = np.cumsum(sizes) - sizes, at.astype(np.int64)
+    size_of, head_of = np.repeat(sizes, sizes), np.repeat(heads, sizes)
+    band = max(1, GRAM // terms)
+    for low in range(0, terms, band):
+        out = np.zeros(min(band, terms - low) * terms)
+        inside = np.flatnonzero((at >= low) & (at < low + band))
+        for k in range(0, len(inside), 1 << 13):
+            one = inside[k:k + (1 << 13)]
+            n = size_of[one]
+            first = np.repeat(one, n)
+            second = np.arange(len(first)) - np.repeat(np.cumsum(n) - n - head_of[one], n)
+            np.add.at(out, (at[first] - low) * terms + at[second], w[first] * w[second])
+        yield low, out.reshape(-1, terms).astype(np.float32)
 
 
 def _widened(basis: np.ndarray, at: list[np.ndarray], w: list[np.ndarray]) -> np.ndarray:
@@ -318,16 +393,14 @@ def build_indexes(docs: DataFrame, items: list[Item], id_col: str = "doc_id", te
     if not items:
         return
     everything = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
-    seen, n = _document_frequency(docs, everything, text_col)
+    whole, seen, n, passages = _passages(docs, everything, text_col)
     # Smoothed, never 0: a passage that many documents hold must not lose its words.
     idf = (np.log((2 + n) / (1 + seen)) + 0.05).astype(np.float32)
-    whole = _passages(docs, idf, everything, text_col)
-    passages = whole.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     for block in _blocks(items, max(1, RANK * 4 // 5)):
         vocabulary = {w: i for i, w in enumerate(sorted({w for x in block for w in x.words}))}
         own = np.full(len(everything), -1, np.int32)
         own[[everything[w] for w in vocabulary]] = np.arange(len(vocabulary))
-        yield _index_of(block, vocabulary, idf[own >= 0], whole, passages, own, seed)
+        yield _index_of(block, vocabulary, idf, whole, passages, own, seed)
 
 
 def _parts(words: list | np.ndarray) -> list:
@@ -350,11 +423,12 @@ def _blocks(items: list[Item], parts: int) -> Iterator[list[Item]]:
 
 
 def _index_of(items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray, whole: DataFrame, passages: int, own: np.ndarray, seed: int) -> Index:
+    everything, idf = idf, idf[own >= 0]
     as_terms = [np.array([vocabulary[w] for w in x.words], np.int32) for x in items]
     parts = [_parts(x) for x in as_terms]
     rows = [_row(x, idf) for some in parts for x in some]
     at, w = [a for a, _ in rows], [x for _, x in rows]
-    basis = _widened(_fit_basis(whole, passages, at, w, own, seed), at, w)
+    basis = _widened(_fit_basis(whole, passages, at, w, own, seed, everything), at, w)
     latent = _rows_times(at, w, basis)
     latent /= np.sqrt((latent ** 2).sum(1, keepdims=True))
     content = [x[idf[x] >= 0.5 * idf[x].mean()].tolist() for x in as_terms]
@@ -393,9 +467,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for batch in batches:
-                texts = map(words_of, batch.column(1).to_pylist())
-                hits = [(row, *hit) for row, words in enumerate(texts) for index in own for hit in index.search(words)]
+            for batch in _slices(batches):
+                texts = [words_of(text) for text in batch.column(1).to_pylist()]
+                hits = [hit for index in own for hit in index.search_all(texts)]
                 if hits:
                     rows, items, cosine, share, answer, first = zip(*hits)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(items, item_type), pa.array(cosine, pa.float64()), pa.array(share, pa.float64()),
@@ -413,9 +487,10 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
-            for batch in batches:
-                texts = map(words_of, batch.column(at).to_pylist())
-                yield batch.filter(pa.array([not any(index.search(words) for index in own) for words in texts], pa.bool_()))
+            for batch in _slices(batches):
+                texts = [words_of(text) for text in batch.column(at).to_pylist()]
+                hit = {text for index in own for text, *_ in index.search_all(texts)}
+                yield batch.filter(pa.array([text not in hit for text in range(len(texts))], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

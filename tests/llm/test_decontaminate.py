@@ -194,3 +194,36 @@ def test_the_space_comes_from_the_passages_of_all_documents(spark, monkeypatch):
     monkeypatch.setattr(dc, "_fit_basis", lambda stored, passages, *rest: (seen.append(passages), inner(stored, passages, *rest))[1])
     assert len(list(dc.build_indexes(docs, [dc.item_of(1, "alpha beta gamma delta. Is it so?")]))) == 1
     assert seen == [2300]
+
+
+@pytest.mark.parametrize("gram", [1 << 22, 40 * 7])
+def test_products_of_terms_equal_the_dense_matrix(monkeypatch, gram):
+    """In one band of terms, and in many."""
+    monkeypatch.setattr(dc, "GRAM", gram)
+    rng = np.random.default_rng(3)
+    dense = np.where(rng.random((300, 40)) < 0.3, rng.random((300, 40)), 0)
+    dense[17] = 0
+    of, at = np.nonzero(dense)
+    bands = list(dc._grams(at.astype(np.int32), dense[of, at], np.bincount(of, minlength=300), 40))
+    assert [a for a, _ in bands] == list(range(0, 40, max(1, min(40, gram // 40)))) and np.allclose(np.concatenate([g for _, g in bands]), dense.T @ dense, atol=1e-4)
+
+
+def test_passages_and_document_frequencies_come_from_one_reading(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(dc, "PASSAGES", 3)
+    monkeypatch.setattr(dc, "TEXTS", 4)
+    texts = ["alpha beta " * 20, "", None, "other", *[f"alpha word{i} gamma gamma" for i in range(9)]]
+    whole, seen, documents, passages = dc._passages(docs_of(list(enumerate(texts))), {b"alpha": 0, b"beta": 1, b"gamma": 2}, "text")
+    assert seen.tolist() == [10, 1, 9] and (documents, passages) == (13, 11)
+    rows = whole.collect()
+    assert sum(len(r.sizes) for r in rows) == 11 and sum(sum(r.sizes) for r in rows) == 22 and sum(sum(r.tf) for r in rows) == 40 + 9 * 3
+
+
+def test_texts_compared_together_have_their_own_hits(spark, docs_of, bench, monkeypatch):
+    """Short texts in a group, long ones in pieces: the same hits as each text alone in one piece."""
+    items = [r.text for r in bench.limit(12).collect()]
+    texts = [[], *([dc.words_of(f"{'some filler ' * (9 * k)} {t} {'more ' * k} {items[0] if k % 3 else ''}") for k, t in enumerate(items)]), [b"x"], dc.words_of(items[1])]
+    index = next(dc.indexes(docs_of([(1, " ".join(items))]), bench))
+    monkeypatch.setattr(dc, "CHUNK", 5)
+    got = sorted(((text, *hit[:1], *hit[2:]) for text, *hit in index.search_all(texts)), key=str)
+    monkeypatch.setattr(dc, "CHUNK", 100_000)
+    assert got and got == sorted(((k, *hit[:1], *hit[2:]) for k, words in enumerate(texts) for hit in index.search(words)), key=str)
