@@ -17,14 +17,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from itertools import compress
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,12 +43,27 @@ SLOTS = 64
 MAX_COUNTED = 400_000
 WORDS = (CLASSES - 1) * MEMBERS
 EDGE = CLASSES * MEMBERS
+TEXTS = 512  # whose tokens are held at once
+SPACE = np.zeros(256, bool)
+SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().split()
 
 
+def token_array(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """``tokens_of`` all texts, one after the other, and how many each text has."""
+    own = [(text or "").lower().encode() for text in texts]
+    data = np.frombuffer(b"\n".join([*own, b""]), np.uint8)
+    space = SPACE[data]
+    edge = np.flatnonzero(np.diff(space, prepend=True))  # a token begins, ends, begins, ends; each text ends with a space
+    starts, ends = edge[::2], edge[1::2]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    tokens = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~space])])
+    return tokens, np.diff(np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in own])))
+
+
 class Vocabulary(dict):
     """Word to id; words outside it get one of MEMBERS ids by hash, kept for a bounded number of them."""
 
@@ -63,18 +77,28 @@ class Vocabulary(dict):
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """``word, n`` of all documents, written."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        found, held = [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(tokens_of(text))
-                if len(found) > MAX_COUNTED:
-                    yield told(found)
-                    found.clear()
-        if found:
-            yield told(found)
-
-    def told(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+            for k in range(0, batch.num_rows, TEXTS):
+                words = token_array(batch.column(0).slice(k, TEXTS).to_pylist())[0].dictionary_encode()
+                found.append(told(words.dictionary, np.bincount(words.indices, minlength=len(words.dictionary))))
+                held += len(words.dictionary)
+                if held > 2 * MAX_COUNTED:
+                    found = added(found)
+                    held = sum(x.num_rows for x in found)
+                    if held > MAX_COUNTED:
+                        yield from found
+                        found, held = [], 0
+        yield from added(found)
+
+    def told(words: pa.Array, n) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([words.cast(pa.binary()), pa.array(n, pa.int64())], names=["word", "n"])
+
+    def added(found: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        if len(found) < 2:
+            return found
+        both = pa.Table.from_batches(found).group_by("word", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+        return [pa.RecordBatch.from_arrays([both["word"].combine_chunks(), both["n_sum"].combine_chunks()], names=["word", "n"])]
 
     counts = docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return stored(counts, "lm-words")
@@ -129,8 +153,11 @@ class Network:
 
     def hidden(self, windows: np.ndarray) -> np.ndarray:
         """windows: ids of the neighbours, a row for each place. The last column is the constant."""
-        h = self.bias + sum(table[ids] for table, ids in zip(self.tables, windows))
-        return np.concatenate([np.tanh(h), np.ones((len(h), 1), np.float32)], axis=1)
+        near = np.take(self.tables.reshape(-1, self.tables.shape[2]), windows + TABLE_OF[:, None], axis=0).sum(0)
+        near += self.bias
+        out = np.ones((len(near), near.shape[1] + 1), near.dtype)
+        np.tanh(near, out=out[:, :-1])
+        return out
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log P(id | both sides) of the places ``at`` of a row of ids with SIDE edges around every text."""
@@ -152,30 +179,50 @@ class Network:
 
     def gradient(self, windows: np.ndarray, target: np.ndarray) -> tuple[list, float]:
         """Gradients of the summed log-probability: (tables by place, bias, classes, members by class), and the sum."""
-        h, (c, m) = self.hidden(windows), np.divmod(target, MEMBERS)
-        z = h @ self.classes
-        log = _log_sum(z)
-        error = -np.exp(z - log[:, None])
-        total = float((z[np.arange(len(c)), c] - log).sum())
-        error[np.arange(len(c)), c] += 1
+        (back, to_bias, to_classes, (touched, to_members)), total = self._gradient(windows, target)
+        return [back, to_bias, to_classes, list(zip(touched.tolist(), to_members))], total
+
+    def _gradient(self, windows: np.ndarray, target: np.ndarray) -> tuple[list, float]:
+        """``gradient``, with the classes that occur and their gradients as two arrays. Examples are sorted by class, so a class is a slice;
+        only the products go class by class, and the softmax is of all members' values at once."""
+        c, m = np.divmod(target, MEMBERS)
+        order = np.argsort(c.astype(np.uint8), kind="stable")
+        c, m = c[order], m[order]
+        cuts = np.searchsorted(c, np.arange(CLASSES + 1))
+        touched = np.flatnonzero(np.diff(cuts))
+        slices = [(j, slice(cuts[j], cuts[j + 1])) for j in touched.tolist()]
+        h = self.hidden(windows[:, order])
+        error, total = _error(h @ self.classes, c)
         to_classes, back = h.T @ error, error @ self.classes[:-1].T
-        to_members = []
-        order = np.argsort(c, kind="stable")
-        cuts = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for j in np.flatnonzero(np.diff(cuts)):
-            rows = order[cuts[j]:cuts[j + 1]]
-            z = h[rows] @ self.members[j]
-            log = _log_sum(z)
-            error = -np.exp(z - log[:, None])
-            total += float((z[np.arange(len(rows)), m[rows]] - log).sum())
-            error[np.arange(len(rows)), m[rows]] += 1
-            to_members.append((j, h[rows].T @ error))
-            back[rows] += error @ self.members[j][:-1].T
+        z, more, to_members = np.empty((len(h), MEMBERS), h.dtype), np.empty_like(h), np.empty((len(slices), h.shape[1], MEMBERS), h.dtype)
+        for j, own in slices:
+            np.dot(h[own], self.members[j], z[own])
+        error, inside = _error(z, m)
+        for k, (j, own) in enumerate(slices):
+            np.dot(h[own].T, error[own], to_members[k])
+            np.dot(error[own], self.members[j].T, more[own])
+        back += more[:, :-1]
         back *= 1 - h[:, :-1] ** 2
-        return [back, back.sum(0), to_classes, to_members], total
+        out = np.empty_like(back)
+        out[order] = back
+        return [out, back.sum(0), to_classes, (touched, to_members)], total + inside
 
 
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
+TABLE_OF = np.arange(2 * SIDE) * (EDGE + 1)  # first row of each place, where the tables are one
+
+
+def _error(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gradient by ``z`` of the summed log-probability of the ``right`` columns, and the sum. Rows are shifted only if a value could overflow."""
+    rows = np.arange(len(z))
+    if z.size and z.max() > 80:
+        z = z - z.max(1)[:, None]
+    e = np.exp(z)
+    sums = e @ np.ones(z.shape[1], z.dtype)
+    total = float((z[rows, right] - np.log(sums)).sum())
+    e *= (-1 / sums)[:, None]
+    e[rows, right] += 1
+    return e, total
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
@@ -194,23 +241,30 @@ class Trainer:
         self.squares = [np.full(x.shape, 1e-2, np.float32) for x in self.net.parts()]
 
     def step(self, windows: np.ndarray, target: np.ndarray) -> float:
-        (back, to_bias, to_classes, to_members), total = self.net.gradient(windows, target)
+        (back, to_bias, to_classes, (touched, to_members)), total = self.net._gradient(windows, target)
         scale, net = np.float32(1 / len(target)), self.net
-        for place, ids in enumerate(windows):
-            order = np.argsort(ids, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
-            self._move(net.tables[place], self.squares[0][place], ids[order[heads]], np.add.reduceat(back[order], heads) * scale)
+        # All places at once; small ids are sorted by their digits.
+        ids = (windows + TABLE_OF[:, None]).ravel().astype(np.uint16)
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        # Two values as one complex number: the same sums in half the steps.
+        sums = np.add.reduceat(np.take(back, order % len(target), axis=0).view(np.complex64), heads).view(np.float32)
+        self._move(net.tables.reshape(-1, HIDDEN), self.squares[0].reshape(-1, HIDDEN), ids[heads], sums * scale)
         self._move(net.bias, self.squares[1], slice(None), to_bias * scale)
         self._move(net.classes, self.squares[2], slice(None), to_classes * scale)
-        for j, g in to_members:
-            self._move(net.members, self.squares[3], j, g * scale)
+        self._move(net.members, self.squares[3], touched if len(touched) < CLASSES else slice(None), to_members * scale)
         self.examples += len(target)
         return total
 
     @staticmethod
     def _move(x: np.ndarray, square: np.ndarray, at, g: np.ndarray) -> None:
-        square[at] += g * g
-        x[at] += RATE * g / np.sqrt(square[at])
+        """One step; no row is twice in ``at``."""
+        now = square[at] + g * g
+        square[at] = now
+        g *= RATE
+        g /= np.sqrt(now)
+        x[at] += g
 
 
 def grouped(rows: list[np.ndarray], limit: int = GROUP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -264,21 +318,26 @@ def counted(docs: DataFrame, text_col: str = "text") -> Model:
 
 def encode(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A written row for every text: ``row``, ``id``, ``ids`` (two bytes a token), and its words outside ``words`` with their occurrences."""
-    shared = docs.sparkSession.sparkContext.broadcast(Model(words, None))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value.vocabulary()
+        known = pa.array(shared.value, pa.large_binary())
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                ids, rare = [], []
-                for text in batch.column(1).to_pylist():
-                    tokens = tokens_of(text)
-                    own = ids_of(tokens, known)
-                    ids.append(own.tobytes())
-                    rare.append(Counter(compress(tokens, (own >= WORDS).tolist())))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([list(x) for x in rare], pa.list_(pa.binary())),
-                                                  pa.array([list(x.values()) for x in rare], pa.list_(pa.int32()))], names=["id", "ids", "rare", "times"])
+            for k in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(k, TEXTS)
+                tokens, sizes = token_array(batch.column(1).to_pylist())
+                ids = pc.fill_null(pc.index_in(tokens, value_set=known), EDGE).to_numpy().astype("<u2")
+                at = np.flatnonzero(ids == EDGE)
+                rare = tokens.take(pa.array(at)).dictionary_encode()
+                own, n = rare.indices.to_numpy().astype(np.int64), max(1, len(rare.dictionary))
+                ids[at] = (WORDS + np.fromiter(map(zlib.crc32, rare.dictionary.to_pylist()), np.int64, len(rare.dictionary)) % MEMBERS)[own]
+                keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[at] * n + own, return_counts=True)
+                text, word = np.divmod(keys, n)
+                heads = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
+                edges = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
+                                                  pa.ListArray.from_arrays(heads, rare.dictionary.cast(pa.binary()).take(pa.array(word))), pa.ListArray.from_arrays(heads, pa.array(times, pa.int32()))],
+                                                 names=["id", "ids", "rare", "times"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()),
                            T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.IntegerType()))])
@@ -310,6 +369,7 @@ def train(model: Model, encoded: DataFrame, rounds: int = 2, share: float | None
                             draw = np.random.Generator(np.random.PCG64([seed, zlib.crc32(text)])).random(b - a)
                             chosen.append(a + np.flatnonzero((draw - number * share) % 1 < share))
                     at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+                    ids = ids.astype(np.uint16)  # a group's windows are read in random order
                     held_windows.append(ids[at + OFFSETS[:, None]])
                     held_targets.append(ids[at])
                     held += len(at)
@@ -385,15 +445,16 @@ def _scored(encoded: DataFrame, model: Model, id_col: str) -> DataFrame:
     schema = T.StructType([T.StructField("row", T.LongType()), encoded.schema["id"], T.StructField("n", T.LongType()), T.StructField("network", T.DoubleType())])
     by_network = encoded.select("row", "id", "ids").mapInArrow(run, schema)
     rare = encoded.select("row", F.inline(F.arrays_zip("rare", "times"))).withColumnRenamed("rare", "word")
-    if model.counts is not None:
-        # Words are the key and each of them is rare, so no key is hot.
-        rare = rare.join(model.counts.hint("shuffle_hash"), "word", "left")
-    else:
-        rare = rare.withColumn("n", F.lit(None).cast("long"))
     inside = F.element_at(F.array(*(F.lit(math.log(n + 1)) for n in model.shared)), (F.crc32("word") % MEMBERS).cast("int") + 1)
     # Whole billionths, whose sum is the same in any order.
-    part = F.round((F.log(F.coalesce("n", F.lit(1))) - inside) * 1e9).cast("long")
-    shares = rare.groupBy("row").agg(F.sum(part * F.col("times")).alias("part"))
+    once = F.rint(-inside * 1e9).cast("long")
+    if model.counts is not None:
+        # Words are the key and each of them is rare, so no key is hot. A word's part is made where it is counted, once.
+        parts = model.counts.select("word", F.rint((F.log("n") - inside) * 1e9).cast("long").alias("part"))
+        rare = rare.join(parts.hint("shuffle_hash"), "word", "left").withColumn("part", F.coalesce("part", once))
+    else:
+        rare = rare.withColumn("part", once)
+    shares = rare.groupBy("row").agg(F.sum(F.col("part") * F.col("times")).alias("part"))
     total = F.col("network") + F.coalesce(F.col("part"), F.lit(0)) / 1e9
     return (by_network.join(shares, "row", "left")
             .select(F.col("id").alias(id_col), F.col("n").alias("n_tokens"), total.alias("log_probability"),

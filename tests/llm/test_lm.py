@@ -144,3 +144,37 @@ def test_every_place_is_learnt_from(spark, docs_of, monkeypatch):
     monkeypatch.setattr(type(encoded), "collect", spy)
     lm.train(model, encoded)
     assert merged and len(told) == 2 and sum(told) == 29 * 40 and min(told) > 0.4 * 29 * 40
+
+
+def test_a_step_equals_plain_adagrad():
+    """All places and classes at once: the same as one class and one place after the other."""
+    rng, first = np.random.default_rng(6), lm.Network.fresh(4)
+    windows, target = rng.integers(0, lm.EDGE + 1, (4, 700)), rng.integers(0, lm.EDGE, 700)
+    windows[:, :200] %= 5
+    trainer = lm.Trainer(first)
+    told = trainer.step(windows.astype(np.uint16), target.astype(np.uint16))
+    (back, bias, classes, members), total = first.gradient(windows, target)
+    want = [np.zeros(x.shape) for x in first.parts()]
+    for place in range(4):
+        np.add.at(want[0][place], windows[place], back)
+    want[1], want[2] = bias, classes
+    for j, g in members:
+        want[3][j] = g
+    assert told == pytest.approx(total, rel=1e-5)
+    for x, old, g in zip(trainer.net.parts(), first.parts(), want):
+        g = np.asarray(g, np.float64) / 700
+        assert np.allclose(x, old + lm.RATE * g / np.sqrt(1e-2 + g * g), atol=1e-5)
+
+
+def test_token_arrays_equal_single_texts(docs_of, monkeypatch):
+    texts = ["A b\x0bc\x0c d\te\r\nf", "", None, " \n ", "é ü İ ß x", "a\x1cb \x85 a", "x", "the " * 9]
+    tokens, sizes = lm.token_array(texts)
+    assert tokens.to_pylist() == [w for t in texts for w in lm.tokens_of(t)] and sizes.tolist() == [len(lm.tokens_of(t)) for t in texts]
+    assert len(lm.token_array([])[0]) == 0 and lm.token_array([None, ""])[1].tolist() == [0, 0]
+    monkeypatch.setattr(lm, "TEXTS", 3)
+    head = [b"the", b"a"]
+    rows = {r.id: r for r in lm.encode(docs_of(list(enumerate(texts))), head).collect()}
+    for i, text in enumerate(texts):
+        own = lm.tokens_of(text)
+        assert np.frombuffer(rows[i].ids, "<u2").tolist() == [lm.Vocabulary({b"the": 0, b"a": 1})[w] for w in own]
+        assert dict(zip(map(bytes, rows[i].rare), rows[i].times)) == Counter(w for w in own if w not in head)
