@@ -83,3 +83,49 @@ def test_registered_streams_read_their_input_each_time(spark, name):
     from coursemetrics.plans.registry import QUERIES
     first, second = (QUERIES[name](spark, SF_SMALL) for _ in range(2))
     assert first.count() == second.count() > 0 and set(first.inputFiles()).isdisjoint(second.inputFiles())
+
+
+def test_calls_of_the_state_do_not_grow_with_learners():
+    """A share's batch takes as many calls for three learners as for three hundred, and its windows go by one timer after the other."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    def calls(learners):
+        told = []
+
+        class Held:
+            def __init__(self):
+                self.rows = []
+
+            def get(self):
+                told.append("get")
+                return iter(self.rows)
+
+            def put(self, rows):
+                told.append("put")
+                self.rows = list(rows)
+
+            def appendList(self, rows):
+                told.append("append")
+                self.rows += rows
+
+            def clear(self):
+                told.append("clear")
+                self.rows = []
+
+        timers = []
+        p = exact.WindowLearners()
+        p.init(SimpleNamespace(getListState=lambda *_: Held(), registerTimer=timers.append))
+        hour = 3_600_000_000
+        rows = [Row(course_id="c", module_id="m", window_start=h * hour, window_end=(h + 1) * hour, learner_email=None if i == 0 else f"l{i}") for h in range(4) for i in range(learners) for _ in range(2)]
+        out = list(p.handleInputRows((7,), iter(rows), None))
+        assert {(r.window_start // hour, r.event_count, r.unique_learners) for r in out} == {(h, 2 * learners, learners - 1) for h in range(4)} and timers == [3_600_000]
+        assert [r.unique_learners for r in p.handleInputRows((7,), iter(rows[:2] + [Row(**(rows[0].asDict() | {"learner_email": "other"}))]), None)] == [learners]
+        list(p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 3 * 3_600_000), None))
+        assert len(p.counts.rows) == 1 and len(p.seen.rows) == learners and timers[-1] == 4 * 3_600_000
+        list(p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 4 * 3_600_000), None))
+        assert p.counts.rows == p.seen.rows == []
+        return len(told) + len(timers)
+
+    assert calls(3) == calls(300)
