@@ -36,7 +36,7 @@ HIDDEN = 24
 SIDE = 2  # tokens on either side
 BATCH = 1024
 RATE = 0.15
-STEP = 16384
+STEP = 2048  # places that are scored at once, so that their values stay in a core's cache
 GROUP = 1 << 20  # tokens that are scored at once
 FLOATS = 1 << 14  # parameters in one exchanged row
 SLOTS = 64
@@ -44,6 +44,8 @@ MAX_COUNTED = 400_000
 WORDS = (CLASSES - 1) * MEMBERS
 EDGE = CLASSES * MEMBERS
 TEXTS = 512  # whose tokens are held at once
+LAYERS = 12  # occurrences of a row that are added one by one
+LONG = 64  # bytes of a word whose hash is taken with all others'
 SPACE = np.zeros(256, bool)
 SPACE[list(b" \t\n\r\x0b\x0c")] = True
 
@@ -64,6 +66,36 @@ def token_array(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
     return tokens, np.diff(np.searchsorted(starts, np.cumsum([0] + [len(x) + 1 for x in own])))
 
 
+def crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CRC = crc_table()
+
+
+def crc32_of(words: pa.Array) -> np.ndarray:
+    """``zlib.crc32`` of each of a large_binary array, all words' first bytes at once, then all second ones."""
+    _, offsets, data = words.buffers()
+    starts = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    sizes, data = np.diff(starts), np.frombuffer(data or b"", np.uint8)
+    order = np.argsort(-np.minimum(sizes, LONG + 1), kind="stable")
+    longer = np.searchsorted(-sizes[order].clip(max=LONG + 1), -np.arange(LONG + 1))  # how many words have more than k bytes
+    at, crc = starts[:-1][order], np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k, n in enumerate(longer[:LONG].tolist()):
+        if not n:
+            break
+        now = crc[:n]
+        crc[:n] = CRC[(now ^ data[at[:n] + k]) & 0xFF] ^ (now >> 8)
+    out = np.empty_like(crc)
+    out[order] = ~crc
+    for i in order[:longer[LONG]].tolist():
+        out[i] = zlib.crc32(data[starts[i]:starts[i + 1]])
+    return out.astype(np.int64)
+
+
 class Vocabulary(dict):
     """Word to id; words outside it get one of MEMBERS ids by hash, kept for a bounded number of them."""
 
@@ -153,84 +185,110 @@ class Network:
 
     def hidden(self, windows: np.ndarray) -> np.ndarray:
         """windows: ids of the neighbours, a row for each place. The last column is the constant."""
-        near = np.take(self.tables.reshape(-1, self.tables.shape[2]), windows + TABLE_OF[:, None], axis=0).sum(0)
+        return self._hidden(windows + TABLE_OF[:, None])
+
+    def _hidden(self, rows: np.ndarray) -> np.ndarray:
+        """``hidden`` from rows of the tables, where they are one. tanh by one exp, which is half the work."""
+        tables = self.tables.reshape(-1, self.tables.shape[2])
+        near = np.take(tables, rows[0], axis=0)
+        more = np.empty_like(near)
+        for own in rows[1:]:
+            near += np.take(tables, own, axis=0, out=more, mode="clip")
         near += self.bias
+        near *= 2
+        with np.errstate(over="ignore"):  # 1 / inf is right
+            np.exp(near, out=near)
+        near += 1
+        np.divide(-2, near, out=near)
+        near += 1
         out = np.ones((len(near), near.shape[1] + 1), near.dtype)
-        np.tanh(near, out=out[:, :-1])
+        out[:, :-1] = near
         return out
 
     def log_probabilities(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log P(id | both sides) of the places ``at`` of a row of ids with SIDE edges around every text."""
-        out = np.empty(len(at), np.float32)
-        for k in range(0, len(at), STEP):
-            place = at[k:k + STEP]
-            h, (c, m) = self.hidden(ids[place + OFFSETS[:, None]]), np.divmod(ids[place], MEMBERS)
-            order = np.argsort(c, kind="stable")
-            h, c, m = h[order], c[order], m[order]
-            z = h @ self.classes
-            got = z[np.arange(len(c)), c] - _log_sum(z)
-            cuts = np.searchsorted(c, np.arange(CLASSES + 1))
-            for j in np.flatnonzero(np.diff(cuts)):
-                a, b = cuts[j], cuts[j + 1]
-                z = h[a:b] @ self.members[j]
-                got[a:b] += z[np.arange(b - a), m[a:b]] - _log_sum(z)
-            out[k + order] = got
+        """log P(id | both sides) of the places ``at`` of a row of ids with SIDE edges around every text. Places are taken class by class."""
+        order = by_class(ids[at])
+        place = at[order]
+        cuts, m = class_cuts(ids[place])
+        got = np.empty(len(at), np.float32)
+        for j in np.flatnonzero(np.diff(cuts)):
+            for a in range(cuts[j], cuts[j + 1], STEP):
+                own = slice(a, min(a + STEP, cuts[j + 1]))
+                h = self.hidden(ids[place[own] + OFFSETS[:, None]])
+                z, inside = h @ self.classes, h @ self.members[j]
+                right = z[:, j] + inside[np.arange(len(h)), m[own]]
+                got[own] = right - _log_sum(z) - _log_sum(inside)
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradient(self, windows: np.ndarray, target: np.ndarray) -> tuple[list, float]:
         """Gradients of the summed log-probability: (tables by place, bias, classes, members by class), and the sum."""
-        (back, to_bias, to_classes, (touched, to_members)), total = self._gradient(windows, target)
+        order = by_class(target)
+        (sorted_back, to_bias, to_classes, (touched, to_members)), total = self._gradient((windows + TABLE_OF[:, None])[:, order], target[order])
+        back = np.empty_like(sorted_back)
+        back[order] = sorted_back
         return [back, to_bias, to_classes, list(zip(touched.tolist(), to_members))], total
 
-    def _gradient(self, windows: np.ndarray, target: np.ndarray) -> tuple[list, float]:
-        """``gradient``, with the classes that occur and their gradients as two arrays. Examples are sorted by class, so a class is a slice;
-        only the products go class by class, and the softmax is of all members' values at once."""
-        c, m = np.divmod(target, MEMBERS)
-        order = np.argsort(c.astype(np.uint8), kind="stable")
-        c, m = c[order], m[order]
-        cuts = np.searchsorted(c, np.arange(CLASSES + 1))
+    def _gradient(self, rows: np.ndarray, target: np.ndarray) -> tuple[list, float]:
+        """``gradient`` from rows of the tables, with the classes that occur and their gradients as two arrays. Examples are sorted by class, so
+        a class is a slice; only the products go class by class, and the softmax is of all members' values at once."""
+        cuts, m = class_cuts(target)
         touched = np.flatnonzero(np.diff(cuts))
-        slices = [(j, slice(cuts[j], cuts[j + 1])) for j in touched.tolist()]
-        h = self.hidden(windows[:, order])
+        edges, c = cuts.tolist(), target // MEMBERS
+        slices = [(j, slice(edges[j], edges[j + 1])) for j in touched.tolist()]
+        h = self._hidden(rows)
         error, total = _error(h @ self.classes, c)
         to_classes, back = h.T @ error, error @ self.classes[:-1].T
-        z, more, to_members = np.empty((len(h), MEMBERS), h.dtype), np.empty_like(h), np.empty((len(slices), h.shape[1], MEMBERS), h.dtype)
+        z, more, to_members = np.empty((len(h), MEMBERS), h.dtype), np.empty_like(back), np.empty((len(slices), h.shape[1], MEMBERS), h.dtype)
         for j, own in slices:
             np.dot(h[own], self.members[j], z[own])
         error, inside = _error(z, m)
         for k, (j, own) in enumerate(slices):
-            np.dot(h[own].T, error[own], to_members[k])
-            np.dot(error[own], self.members[j].T, more[own])
-        back += more[:, :-1]
-        back *= 1 - h[:, :-1] ** 2
-        out = np.empty_like(back)
-        out[order] = back
-        return [out, back.sum(0), to_classes, (touched, to_members)], total + inside
+            part = error[own]
+            np.dot(h[own].T, part, to_members[k])
+            np.dot(part, self.members[j, :-1].T, more[own])
+        back += more
+        np.multiply(h[:, :-1], h[:, :-1], out=more)
+        back *= np.subtract(1, more, out=more)
+        return [back, np.ones(len(back), back.dtype) @ back, to_classes, (touched, to_members)], total + inside
 
 
 OFFSETS = np.array([*range(-SIDE, 0), *range(1, SIDE + 1)])
 TABLE_OF = np.arange(2 * SIDE) * (EDGE + 1)  # first row of each place, where the tables are one
 
 
+def by_class(target: np.ndarray) -> np.ndarray:
+    """The order of the classes, in which each keeps its own."""
+    return np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")
+
+
+def class_cuts(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each class begins in targets that are sorted by class, and each one's member."""
+    return np.searchsorted(target // MEMBERS, np.arange(CLASSES + 1, dtype=target.dtype)), target % MEMBERS
+
+
 def _error(z: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, float]:
-    """Gradient by ``z`` of the summed log-probability of the ``right`` columns, and the sum. Rows are shifted only if a value could overflow."""
-    rows = np.arange(len(z))
+    """Gradient by ``z`` of the summed log-probability of the ``right`` columns, written into ``z``, and the sum. Rows are shifted only if a
+    value could overflow."""
     if z.size and z.max() > 80:
-        z = z - z.max(1)[:, None]
-    e = np.exp(z)
-    sums = e @ np.ones(z.shape[1], z.dtype)
-    total = float((z[rows, right] - np.log(sums)).sum())
-    e *= (-1 / sums)[:, None]
-    e[rows, right] += 1
-    return e, total
+        z -= z.max(1)[:, None]
+    at, flat = np.arange(0, z.size, z.shape[1]) + right, z.reshape(-1)
+    chosen = flat[at]
+    np.exp(z, out=z)
+    sums = z @ np.ones(z.shape[1], z.dtype)
+    z *= (-1 / sums)[:, None]
+    flat[at] += 1
+    return z, float((chosen - np.log(sums)).sum())
 
 
 def _log_sum(z: np.ndarray) -> np.ndarray:
-    """log of the summed exp of each row; rows are shifted only if a value could overflow."""
+    """log of the summed exp of each row, in the place of ``z``; rows are shifted only if a value could overflow."""
+    top = 0
     if z.size and z.max() > 80:
         top = z.max(1)
-        return top + np.log(np.exp(z - top[:, None]).sum(1))
-    return np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))
+        z -= top[:, None]
+    return top + np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
 class Trainer:
@@ -241,30 +299,68 @@ class Trainer:
         self.squares = [np.full(x.shape, 1e-2, np.float32) for x in self.net.parts()]
 
     def step(self, windows: np.ndarray, target: np.ndarray) -> float:
-        (back, to_bias, to_classes, (touched, to_members)), total = self.net._gradient(windows, target)
+        order = by_class(target)
+        rows = np.take(windows.T, order, axis=0) + TABLE_OF
+        (back, to_bias, to_classes, (touched, to_members)), total = self.net._gradient(rows.T, target[order])
         scale, net = np.float32(1 / len(target)), self.net
-        # All places at once; small ids are sorted by their digits.
-        ids = (windows + TABLE_OF[:, None]).ravel().astype(np.uint16)
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        # Two values as one complex number: the same sums in half the steps.
-        sums = np.add.reduceat(np.take(back, order % len(target), axis=0).view(np.complex64), heads).view(np.float32)
-        self._move(net.tables.reshape(-1, HIDDEN), self.squares[0].reshape(-1, HIDDEN), ids[heads], sums * scale)
-        self._move(net.bias, self.squares[1], slice(None), to_bias * scale)
-        self._move(net.classes, self.squares[2], slice(None), to_classes * scale)
-        self._move(net.members, self.squares[3], touched if len(touched) < CLASSES else slice(None), to_members * scale)
+        heads, sums = summed(rows, back)
+        for g in (sums, to_bias, to_classes, to_members):
+            g *= scale
+        _move_rows(net.tables.reshape(-1, HIDDEN), self.squares[0].reshape(-1, HIDDEN), heads, sums)
+        self._move(net.bias, self.squares[1], to_bias)
+        self._move(net.classes, self.squares[2], to_classes)
+        if len(touched) == CLASSES:
+            self._move(net.members, self.squares[3], to_members)
+        else:
+            _move_rows(net.members.reshape(CLASSES, -1), self.squares[3].reshape(CLASSES, -1), touched, to_members.reshape(len(touched), -1))
         self.examples += len(target)
         return total
 
     @staticmethod
-    def _move(x: np.ndarray, square: np.ndarray, at, g: np.ndarray) -> None:
-        """One step; no row is twice in ``at``."""
-        now = square[at] + g * g
-        square[at] = now
+    def _move(x: np.ndarray, square: np.ndarray, g: np.ndarray) -> None:
+        root = g * g
+        square += root
         g *= RATE
-        g /= np.sqrt(now)
-        x[at] += g
+        g /= np.sqrt(square, out=root)
+        x += g
+
+
+def summed(rows: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the tables that occur, each once, and the sum of each one's ``back``, which has a row for each row of ``rows``."""
+    ids = rows.ravel().astype(np.uint16)  # small ids are sorted by their digits
+    order = np.argsort(ids, kind="stable")
+    ids, example = np.take(ids, order), order // rows.shape[1]
+    new = np.ones(len(ids) + 1, bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:-1])
+    edges = np.flatnonzero(new)
+    heads, times = edges[:-1], np.diff(edges)
+    sums = np.take(back, example[heads], axis=0)
+    # Most occur once. Of the others, the most frequent first, all second occurrences are added at once, then all third ones.
+    many = np.flatnonzero(times > 1)
+    many = many[np.argsort(-times[many], kind="stable")]
+    first, left, total = heads[many], times[many], np.take(sums, many, axis=0)
+    for k, n in enumerate(np.searchsorted(-left, -np.arange(1, LAYERS)).tolist(), 1):
+        if n:
+            total[:n] += np.take(back, example[first[:n] + k], axis=0)
+    n = int(np.searchsorted(-left, -LAYERS))
+    if n:  # Two values as one complex number: the same sums in half the steps.
+        more = left[:n] - LAYERS
+        starts = np.cumsum(more) - more
+        rest = np.repeat(first[:n] + LAYERS - starts, more) + np.arange(more.sum())
+        total[:n] += np.add.reduceat(np.take(back, example[rest], axis=0).view(np.complex64), starts).view(np.float32)
+    sums[many] = total
+    return ids[heads].astype(np.intp), sums
+
+
+def _move_rows(x: np.ndarray, square: np.ndarray, at: np.ndarray, g: np.ndarray) -> None:
+    """One step of some rows, none of them twice. A row is written as one value."""
+    now, whole = g * g, f"V{x.strides[0]}"
+    now += np.take(square, at, axis=0)
+    np.put(square.view(whole), at, now.view(whole), mode="clip")
+    g *= RATE
+    g /= np.sqrt(now, out=now)
+    g += np.take(x, at, axis=0)
+    np.put(x.view(whole), at, g.view(whole), mode="clip")
 
 
 def grouped(rows: list[np.ndarray], limit: int = GROUP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -274,7 +370,7 @@ def grouped(rows: list[np.ndarray], limit: int = GROUP) -> Iterator[tuple[int, i
         starts.append(size)
         size += len(own) + SIDE
         if size >= limit or i == len(rows) - 1:
-            ids = np.full(size, EDGE, np.int64)
+            ids = np.full(size, EDGE, np.uint16)  # places are read in another order
             for s, x in zip(starts, rows[first:i + 1]):
                 ids[s:s + len(x)] = x
             yield first, i + 1, ids, np.array(starts)
@@ -330,7 +426,7 @@ def encode(docs: DataFrame, words: list[bytes], id_col: str = "doc_id", text_col
                 at = np.flatnonzero(ids == EDGE)
                 rare = tokens.take(pa.array(at)).dictionary_encode()
                 own, n = rare.indices.to_numpy().astype(np.int64), max(1, len(rare.dictionary))
-                ids[at] = (WORDS + np.fromiter(map(zlib.crc32, rare.dictionary.to_pylist()), np.int64, len(rare.dictionary)) % MEMBERS)[own]
+                ids[at] = (WORDS + crc32_of(rare.dictionary) % MEMBERS)[own]
                 keys, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[at] * n + own, return_counts=True)
                 text, word = np.divmod(keys, n)
                 heads = pa.array(np.searchsorted(text, np.arange(len(sizes) + 1)), pa.int32())
@@ -363,26 +459,28 @@ def train(model: Model, encoded: DataFrame, rounds: int = 2, share: float | None
             for batch in batches:
                 texts = batch.column(0).to_pylist()
                 for first, end, ids, starts in grouped([np.frombuffer(x, "<u2") for x in texts]):
-                    chosen = []
-                    for text, a, b in zip(texts[first:end], starts, np.append(starts[1:], len(ids)) - SIDE):
+                    draw = np.full(len(ids), np.nan)  # edges are not drawn
+                    for text, a, b in zip(texts[first:end], starts.tolist(), [*(starts[1:] - SIDE).tolist(), len(ids) - SIDE]):
                         if b > a:
-                            draw = np.random.Generator(np.random.PCG64([seed, zlib.crc32(text)])).random(b - a)
-                            chosen.append(a + np.flatnonzero((draw - number * share) % 1 < share))
-                    at = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
-                    ids = ids.astype(np.uint16)  # a group's windows are read in random order
-                    held_windows.append(ids[at + OFFSETS[:, None]])
+                            np.random.Generator(np.random.PCG64([seed, zlib.crc32(text)])).random(out=draw[a:b])
+                    draw -= number * share
+                    draw -= np.floor(draw)
+                    at = np.flatnonzero(draw < share)
+                    windows = np.empty((len(at), 2 * SIDE), np.uint16)
+                    for k, o in enumerate(OFFSETS.tolist()):
+                        windows[:, k] = ids[at + o]
+                    held_windows.append(windows)
                     held_targets.append(ids[at])
                     held += len(at)
                     if held >= BATCH:
-                        w, t = np.concatenate(held_windows, axis=1), np.concatenate(held_targets)
                         order = np.random.default_rng(held).permutation(held)
+                        w, t = np.take(np.concatenate(held_windows), order, axis=0), np.concatenate(held_targets)[order]
                         whole = held - held % BATCH
                         for k in range(0, whole, BATCH):
-                            trainer.step(w[:, order[k:k + BATCH]], t[order[k:k + BATCH]])
-                        left = order[whole:]
-                        held_windows, held_targets, held = [w[:, left]], [t[left]], len(left)
+                            trainer.step(w[k:k + BATCH].T, t[k:k + BATCH])
+                        held_windows, held_targets, held = [w[whole:]], [t[whole:]], held - whole
             if held:
-                trainer.step(np.concatenate(held_windows, axis=1), np.concatenate(held_targets))
+                trainer.step(np.concatenate(held_windows).T, np.concatenate(held_targets))
             if trainer.examples:
                 values = trainer.net.flat()
                 blocks = list(range(0, len(values), FLOATS))
@@ -449,8 +547,9 @@ def _scored(encoded: DataFrame, model: Model, id_col: str) -> DataFrame:
     # Whole billionths, whose sum is the same in any order.
     once = F.rint(-inside * 1e9).cast("long")
     if model.counts is not None:
-        # Words are the key and each of them is rare, so no key is hot. A word's part is made where it is counted, once.
-        parts = model.counts.select("word", F.rint((F.log("n") - inside) * 1e9).cast("long").alias("part"))
+        # Words are the key and each of them is rare, so no key is hot. A word's part is made where it is counted, once; most words are
+        # held once, and their part is that of a word that isn't held.
+        parts = model.counts.where("n > 1").select("word", F.rint((F.log("n") - inside) * 1e9).cast("long").alias("part"))
         rare = rare.join(parts.hint("shuffle_hash"), "word", "left").withColumn("part", F.coalesce("part", once))
     else:
         rare = rare.withColumn("part", once)

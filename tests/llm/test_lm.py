@@ -4,6 +4,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from coursemetrics.llm import lm, queries
@@ -178,3 +179,53 @@ def test_token_arrays_equal_single_texts(docs_of, monkeypatch):
         own = lm.tokens_of(text)
         assert np.frombuffer(rows[i].ids, "<u2").tolist() == [lm.Vocabulary({b"the": 0, b"a": 1})[w] for w in own]
         assert dict(zip(map(bytes, rows[i].rare), rows[i].times)) == Counter(w for w in own if w not in head)
+
+
+def test_hashes_of_all_words_at_once():
+    rng = np.random.default_rng(2)
+    words = [rng.bytes(int(n)) for n in rng.integers(0, 2 * lm.LONG, 500)] + [b"", b"a" * lm.LONG, b"b" * (lm.LONG + 1), b"c" * 5000, "é".encode()]
+    for array in (pa.array(words, pa.large_binary()), pa.array([b"x", *words], pa.large_binary()).slice(1)):
+        assert lm.crc32_of(array).tolist() == [zlib.crc32(w) for w in words]
+    assert lm.crc32_of(pa.array([], pa.large_binary())).tolist() == []
+
+
+@pytest.mark.parametrize("n, ids", [(1, 5), (40, 3), (700, 60), (700, lm.EDGE)])
+def test_rows_are_summed_once(n, ids):
+    """Rows that occur once, a few times, and more than LAYERS times."""
+    rng = np.random.default_rng(n + ids)
+    rows, back = rng.integers(0, ids, (n, 4)) + lm.TABLE_OF, rng.standard_normal((n, lm.HIDDEN)).astype(np.float32)
+    want = np.zeros((4 * (lm.EDGE + 1), lm.HIDDEN))
+    np.add.at(want, rows, back[:, None])
+    heads, sums = lm.summed(rows, back)
+    assert heads.tolist() == np.unique(rows).tolist() and np.allclose(sums, want[heads], atol=1e-4)
+
+
+def test_places_are_scored_in_bounded_steps(monkeypatch):
+    """No product is of more than STEP places, and the scores don't depend on it, nor on values that would overflow."""
+    network, rng, held = lm.Network.fresh(5), np.random.default_rng(1), []
+    network.classes *= 200
+    network.members[3] *= 300
+    ids = np.concatenate([[lm.EDGE] * 2, rng.integers(0, lm.EDGE, 400), [7] * 5000, [lm.EDGE] * 2]).astype(np.uint16)
+    at = np.flatnonzero(ids != lm.EDGE)
+    hidden = lm.Network.hidden
+    monkeypatch.setattr(lm.Network, "hidden", lambda self, windows: held.append(windows.shape[1]) or hidden(self, windows))
+    got = network.log_probabilities(ids, at)
+    assert max(held) <= lm.STEP < 5000 and sum(held) == len(at)
+    monkeypatch.setattr(lm, "STEP", 7)
+    assert np.isfinite(got).all() and np.allclose(got, network.log_probabilities(ids, at), atol=1e-3)
+    some = network.log_probabilities(ids, at[:50])
+    for place, value in zip(at[:50], some):
+        h = network.bias.astype(np.float64) + sum(network.tables[k][ids[place + o]].astype(np.float64) for k, o in enumerate(lm.OFFSETS))
+        h, (c, m) = np.append(np.tanh(h), 1.0), divmod(int(ids[place]), lm.MEMBERS)
+        want = sum(z[i] - z.max() - np.log(np.exp(z - z.max()).sum()) for z, i in ((h @ network.classes, c), (h @ network.members[c], m)))
+        assert value == pytest.approx(want, abs=1e-2)
+
+
+def test_words_held_once_or_never_have_the_same_share(docs_of):
+    docs = docs_of([(i, "many words " * 3 + f"single{i}") for i in range(lm.WORDS + 50)])
+    model = replace(lm.counted(docs), network=lm.Network.fresh(3))
+    assert model.counts.where("n = 1").count() == lm.WORDS + 50
+    word = next(f"single{i}" for i in range(50) if f"single{i}".encode() not in model.words)
+    other = next(f"absent{i}" for i in range(9999) if (zlib.crc32(f"absent{i}".encode()) - zlib.crc32(word.encode())) % lm.MEMBERS == 0)
+    got = {r.doc_id: r.log_probability for r in lm.score(docs_of([(1, word), (2, other)]), model).collect()}
+    assert got[1] == got[2] < 0
