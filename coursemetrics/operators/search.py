@@ -694,7 +694,7 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
         whose = _beside(whose, _statistics(dsel, block)).mapInArrow(keep, whose.schema)
     # What a request asks for is its id here: requests that ask the same are answered once.
     whose = whose.select("query_id", F.struct(F.col("kept").alias("terms"), "totals", "own.*").alias("ask"))
-    if total > MANY_REQUEST_BYTES:
+    if total > min(MANY_REQUEST_BYTES, MAX_REQUEST_BYTES):
         # What is left of many requests is written: it decides on their blocks, and is read more than once.
         whose = _written(whose)
         total = whose.select("ask").distinct().agg(F.coalesce(F.sum(_ask_bytes()), F.lit(0))).first()[0]
@@ -709,7 +709,7 @@ def keyword_top_k(docs: DataFrame, requests: DataFrame, k: int, doc_id: str = "d
 
 
 def _ask_bytes() -> Column:
-    return F.coalesce(F.octet_length(F.array_join(F.col("ask.terms")["term"], " ")), F.lit(0)) + 8 * F.size("ask.terms") + 64
+    return F.coalesce(F.octet_length(F.array_join(F.col("ask.terms")["term"], " ")), F.lit(0)) + 8 * F.size("ask.terms") + 32
 
 
 # ── hybrid search (G6) and skill search (G7) ───────────────────────────────
